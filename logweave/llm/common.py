@@ -64,7 +64,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
         .select("doc_id", "text", "label")
     )
-    found = {r.doc_id: (bytes(r.text), r.label) for r in texts.toLocalIterator()}
+    found = {r.doc_id: (bytes(r.text), r.label) for r in texts.collect()}
     return [found[k] for k in sorted(found)]
 
 
