@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import exact_dedup, fingerprint, ngram_join, warc
+from logweave.llm import exact_dedup, fingerprint, html_extract, ngram_join, quality, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_components(documents(spark, sf_dir))
 
@@ -30,6 +34,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.document_fingerprints(documents(spark, sf_dir))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(pages(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), digest=True)
 
@@ -40,6 +52,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_fingerprints": op3_fingerprints,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_html_main_text": op7_html_main_text,
+        "op8_quality": op8_quality,
     }
 
 
