@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import exact_dedup, fingerprint, html_extract, ngram_join, quality, substring, toxicity, warc
+from logweave.llm import exact_dedup, fingerprint, html_extract, mixing, ngram_join, quality, spm, substring, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "source", "mix_epoch", "mix_order")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), digest=True)
 
@@ -59,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_warc": op2_warc,
         "op3_fingerprints": op3_fingerprints,
+        "op4_mixing": op4_mixing,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_html_main_text": op7_html_main_text,
         "op8_quality": op8_quality,

@@ -14,12 +14,12 @@ from logweave.llm.common import PIECE_BYTES, mix64, segment_hashes
 #: Bytes that the rolling hash looks back on.
 LOOK_BACK = 16
 #: A byte ends a chunk with odds of one in so many.
-EVERY = 24
-#: Least and most bytes of a chunk.
-LEAST, MOST = 12, 96
+EVERY = 20
+#: No chunk ends where another could have ended fewer bytes before; none has more bytes than MOST.
+APART, MOST = 8, 128
 #: Words that a run of repeated chunks must hold to count as a passage. A run lacks the ends of its passage, some ten
-#: words, so this finds passages of 50 words and more and leaves shared lines of less than 25 words alone.
-RUN_WORDS = 25
+#: words, so this finds passages of 50 words and more and leaves shared lines of fewer words alone.
+RUN_WORDS = 22
 
 NO_ID = (1 << 63) - 1
 
@@ -41,20 +41,21 @@ def gear(buf: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(text: bytes) -> np.ndarray:
-    """Ends of the chunks of a text. Where two texts have the same bytes, their ends fall together after a few chunks."""
+    """Ends of the chunks of a text. Which bytes end a chunk depends on LOOK_BACK + APART bytes alone, but for MOST."""
     ends: list[int] = []
-    last = 0
+    last, before = 0, -APART
     for at in range(0, len(text), PIECE_BYTES):
         back = min(at, LOOK_BACK)
         h = gear(np.frombuffer(text, np.uint8, min(PIECE_BYTES + back, len(text) - at + back), at - back))[back:]
-        # The odds are judged by the high bits, which all bytes looked back on reach.
-        for cut in (np.flatnonzero(mix64(h.astype(np.uint64)) < np.uint64((1 << 64) // EVERY)) + at + 1).tolist():
+        could = np.flatnonzero(mix64(h.astype(np.uint64)) < np.uint64((1 << 64) // EVERY)) + at + 1
+        cuts = could[np.diff(could, prepend=before) >= APART]
+        before = int(could[-1]) if len(could) else before
+        for cut in cuts.tolist():
             while cut - last > MOST:
                 last += MOST
                 ends.append(last)
-            if cut - last >= LEAST:
-                ends.append(cut)
-                last = cut
+            ends.append(cut)
+            last = cut
     while len(text) - last > MOST:
         last += MOST
         ends.append(last)
