@@ -86,7 +86,7 @@ _FILE = "CASE event_type WHEN 'signup' THEN 'Accounts.java' WHEN 'click' THEN 'T
 
 #: The parsed log in SQL, made from the events' fields rather than by parsing lines.
 LOG_SQL = f"""l AS (
-  SELECT event_id AS rec_id, event_type, user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at",
+  SELECT event_id AS rec_id, event_type, user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS logged,
          CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END AS level,
          {_FILE} AS file, user_id % 90 + 10 AS lineno, CAST(user_id AS VARCHAR) AS thread, {_MESSAGE} AS body, {_TRACE} AS trace
   FROM events

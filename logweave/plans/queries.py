@@ -214,11 +214,11 @@ def q_format_match(spark, sf_dir):
     return log.agg(F.count("*").alias("records"), F.count_if(inputs.log_format().matches(F.col("content"))).alias("matching"))
 
 
-@query(f"WITH {inputs.LOG_SQL} SELECT rec_id, file, lineno, thread, "at", level FROM l")
+@query(f"WITH {inputs.LOG_SQL} SELECT rec_id, file, lineno, thread, logged, level FROM l")
 def q_format_parse(spark, sf_dir):
     """What the format captures."""
     fmt, content = inputs.log_format(), F.col("content")
-    captured = [fmt.capture("timestamp", content).alias("at"), fmt.capture("level", content).alias("level")]
+    captured = [fmt.capture("timestamp", content).alias("logged"), fmt.capture("level", content).alias("level")]
     return inputs.log(spark, sf_dir).select("rec_id", *fmt.details(content)[:3], *captured)
 
 
