@@ -62,15 +62,15 @@ def document_features(text: str) -> set[str]:
     return {f for w in words_of(text) for f in features_of(w)}
 
 
-def swaps(text: str, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[str]:
-    """The sentences of a text that hold identity terms, each with those terms swapped within their row."""
+def swaps(text: str, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[tuple[str, str]]:
+    """The sentences of a text that hold identity terms, each beside itself with those terms swapped within their row."""
     following = {t: row[(i + 1) % len(row)] for row in terms for i, t in enumerate(row)}
     out = []
     for sentence in _SENTENCE.split(text):
         parts = re.split(r"(\w+)", sentence)
         swapped = [following.get(p.lower(), p) for p in parts]
         if swapped != parts:
-            out.append("".join(swapped))
+            out.append((sentence, "".join(swapped)))
     return out
 
 
@@ -100,11 +100,10 @@ class Model:
 
 
 def fit(texts: list[str], labels: np.ndarray, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, steps: int = 300) -> Model:
-    """Logistic regression whose loss adds PENALTY times the mean squared change of score under swaps.
+    """Logistic regression whose loss adds PENALTY times the mean squared change of log odds under swaps.
 
     Features are those that tell the labels apart best in the sample, and those of identity terms. The log loss
-    weighs both labels alike but for a small bonus to label 0, which is the common one. Without rows of both labels
-    the score is the smoothed share of label 1.
+    weighs both labels alike. Without rows of both labels the score is the smoothed share of label 1.
     """
     share = (labels.sum() + 1) / (len(labels) + 2)
     if len(np.unique(labels)) < 2:
@@ -136,11 +135,9 @@ def fit(texts: list[str], labels: np.ndarray, terms: Sequence[Sequence[str]] = I
     r, c = matrix(found)
     before, after = [], []
     for t in texts:
-        for s in swaps(t, terms):
-            back = swaps(s, terms)
-            if back:
-                before.append(document_features(s))
-                after.append(document_features(back[0]))
+        for own, swapped in swaps(t, terms):
+            before.append(document_features(own))
+            after.append(document_features(swapped))
     pr, pc = matrix(before)
     qr, qc = matrix(after)
     balance = np.where(labels == 1, 0.5 / n1, 0.5 / n0)
@@ -151,12 +148,9 @@ def fit(texts: list[str], labels: np.ndarray, terms: Sequence[Sequence[str]] = I
         miss = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) * balance
         grad = np.concatenate((np.bincount(c, miss[r], minlength=len(chosen)) + 1e-4 * w, [miss.sum()]))
         if before:
-            x = 1 / (1 + np.exp(-np.clip(bias + np.bincount(pr, w[pc], minlength=len(before)), -30, 30)))
-            y = 1 / (1 + np.exp(-np.clip(bias + np.bincount(qr, w[qc], minlength=len(before)), -30, 30)))
-            change = 2 * PENALTY * (x - y) / len(before)
-            dx, dy = change * x * (1 - x), -change * y * (1 - y)
-            grad[:-1] += np.bincount(pc, dx[pr], minlength=len(chosen)) + np.bincount(qc, dy[qr], minlength=len(chosen))
-            grad[-1] += dx.sum() + dy.sum()
+            apart = np.bincount(pr, w[pc], minlength=len(before)) - np.bincount(qr, w[qc], minlength=len(before))
+            change = 2 * PENALTY * apart / len(before)
+            grad[:-1] += np.bincount(pc, change[pr], minlength=len(chosen)) - np.bincount(qc, change[qr], minlength=len(chosen))
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
