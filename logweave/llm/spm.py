@@ -18,8 +18,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a literal U+2581 of a text while it is encoded; no valid text holds it.
 LITERAL = "\ud800"
-#: Segments up to this length are remembered, so many of them by each worker.
-SHORT, REMEMBERED = 40, 400_000
+#: Segments up to SHORT characters are searched at once; those up to KEPT are remembered, so many by each worker.
+SHORT, KEPT, REMEMBERED = 64, 24, 600_000
 #: How far an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Types of pieces in a model file.
@@ -39,7 +39,12 @@ class Model:
         if len(self.bytes) < 256:
             raise ValueError("the model has no byte pieces, so it can't encode every text")
         self.longest = max(map(len, self.pieces))
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        self.tree: dict = {}
+        for piece, found in self.pieces.items():
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = found
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         self.surface = [p.piece.replace(SPACE, " ").encode() if p.type in (_NORMAL, _USER) else bytes([int(p.piece[3:-1], 16)]) if p.type == _BYTE else b"" for p in model.pieces]
         # Where every path has a boundary whatever the text: before a space that follows another character, unless a
@@ -87,13 +92,13 @@ class Model:
 
     def _spread(self, text: str, at: int, best: list[float], back: list[tuple[int, tuple]], least: int) -> None:
         """Extends the best path to `at` by every piece that begins there and ends beyond `least`."""
-        base = best[at]
-        single = False
-        for end in range(at + 1, min(at + self.longest, len(text)) + 1):
-            piece = text[at:end]
-            if piece not in self.prefixes:
+        base, node, end, single = best[at], self.tree, at, False
+        for c in text[at : at + self.longest]:
+            node = node.get(c)
+            if node is None:
                 break
-            found = self.pieces.get(piece)
+            end += 1
+            found = node.get("")
             if found:
                 single = single or end == at + 1
                 if end > least and base + found[1] > best[end]:
@@ -102,6 +107,31 @@ class Model:
             char = SPACE if text[at] == LITERAL else text[at]
             best[at + 1], back[at + 1] = base + self.unknown, (at, tuple(self.bytes[b] for b in char.encode()))
 
+    def short(self, text: str) -> tuple[int, ...]:
+        """The ids of a text that is so short that all of it is held at once."""
+        n = len(text)
+        best, back = [0.0] + [float("-inf")] * n, [(0, ())] * (n + 1)
+        tree, pieces = self.tree, []
+        for at in range(n):
+            base, node, end, single = best[at], tree, at, False
+            while end < n and (node := node.get(text[end])) is not None:
+                end += 1
+                found = node.get("")
+                if found:
+                    single = single or end == at + 1
+                    if base + found[1] > best[end]:
+                        best[end], back[end] = base + found[1], (at, found[0])
+            if not single and base + self.unknown > best[at + 1]:
+                best[at + 1], back[at + 1] = base + self.unknown, (at, None)
+        while n:
+            start, own = back[n]
+            if own is None:
+                pieces += reversed([self.bytes[b] for b in (SPACE if text[start] == LITERAL else text[start]).encode()])
+            else:
+                pieces.append(own)
+            n = start
+        return tuple(reversed(pieces))
+
     def _settled(self, best: list[float], back: list[tuple[int, tuple]]) -> tuple[list[int], int]:
         """The boundary in which the paths to all live positions meet, and the ids up to it."""
         live = set(range(max(0, len(best) - self.longest), len(best)))
@@ -134,9 +164,11 @@ class _Known(dict):
         self.model = model
 
     def __missing__(self, segment: str) -> tuple[int, ...]:
-        step = 256
-        ids = tuple(chain.from_iterable(self.model.stream(segment[i : i + step] for i in range(0, len(segment), step))))
-        if len(segment) <= SHORT:
+        if len(segment) > SHORT:
+            step = 256
+            return tuple(chain.from_iterable(self.model.stream(segment[i : i + step] for i in range(0, len(segment), step))))
+        ids = self.model.short(segment)
+        if len(segment) <= KEPT:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[segment] = ids
