@@ -45,20 +45,20 @@ def chunk_ends(text: bytes) -> np.ndarray:
     ends: list[int] = []
     last, before = 0, -APART
     for at in range(0, len(text), PIECE_BYTES):
-        back = min(at, LOOK_BACK)
-        h = gear(np.frombuffer(text, np.uint8, min(PIECE_BYTES + back, len(text) - at + back), at - back))[back:]
-        could = np.flatnonzero(mix64(h.astype(np.uint64)) < np.uint64((1 << 64) // EVERY)) + at + 1
+        first = max(0, at - LOOK_BACK - MOST)
+        stop = min(at + PIECE_BYTES, len(text))
+        h = mix64(gear(np.frombuffer(text, np.uint8, stop - first, first)).astype(np.uint64))
+        could = np.flatnonzero(h[at - first :] < np.uint64((1 << 64) // EVERY)) + at + 1
         cuts = could[np.diff(could, prepend=before) >= APART]
         before = int(could[-1]) if len(could) else before
-        for cut in cuts.tolist():
-            while cut - last > MOST:
-                last += MOST
+        for cut in [*cuts.tolist(), stop]:
+            while cut - last > MOST:  # as in runs of one word: the least hash within reach, wherever the run began
+                low = last + APART
+                last = low + 1 + int(np.argmin(h[low - first : last + MOST - first]))
                 ends.append(last)
-            ends.append(cut)
-            last = cut
-    while len(text) - last > MOST:
-        last += MOST
-        ends.append(last)
+            if cut < stop or cut in cuts[-1:]:
+                ends.append(cut)
+                last = cut
     if last < len(text):
         ends.append(len(text))
     return np.array(ends, np.int64)
