@@ -15,7 +15,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes hashed at once; bounds the memory of a task whatever the length of a text.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +36,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts the lineage and survives lost executors."""
     at = new_folder(df.sparkSession, name)
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -29,6 +29,8 @@ MARKS = 1 << 22
 REMEMBERED = 200_000
 #: Lists of at most so many entries give all their pairs at once.
 SHORT_LIST = 8
+#: How often long lists pick leaders before their remaining pairs are compared.
+LEADER_TURNS = 2
 #: Sizes below this power of two use single tokens only.
 FIRST_COMBINED_LEVEL = 4
 
@@ -61,38 +63,103 @@ def set_node(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+#: Documents that a task works on at once.
+SLICE = 500
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def _rows(batch: pa.RecordBatch) -> tuple[list[int], list[bytes]]:
     return batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
 
 
-_SCANNED = "doc_id long, n long, node long, block int, counts binary"
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """The tokens' hashes as bits of a few words, four to sixteen bits a token."""
+    words = max(4, 1 << max(0, (len(tokens) - 1).bit_length() - 4))
+    at = ((tokens >> np.uint64(8)) & np.uint64(64 * words - 1)).view(np.int64)
+    out = np.zeros(64 * words, np.uint8)
+    out[at] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
+
+
+#: Words of the bitmap that joins compare in place, for sets of any size.
+SHORT_WORDS = 16
+
+
+def short_bitmap(tokens: np.ndarray) -> np.ndarray:
+    out = np.zeros(64 * SHORT_WORDS, np.uint8)
+    out[((tokens >> np.uint64(8)) & np.uint64(64 * SHORT_WORDS - 1)).view(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
+
+
+def may_link_short(na: str, nb: str) -> Column:
+    """As may_link, on the columns a0, b0, a1, ... of short bitmaps, which compile to plain arithmetic."""
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, SHORT_WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    sizes = F.col(na) + F.col(nb)
+    return _similar_sizes(na, nb) & (100 * (sizes - differ) >= PERCENT * (sizes + differ))
+
+
+def _folded(bits: Column, other: Column) -> Column:
+    """A bitmap at the width of the other, if that is half as wide."""
+    half = (F.size(bits) / 2).cast("int")
+    both = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseOR(y))
+    return F.when(F.size(bits) > F.size(other), both).otherwise(bits)
+
+
+def _similar_sizes(a: str, b: str) -> Column:
+    return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
+
+
+def may_link(na: str, nb: str, a: str, b: str) -> Column:
+    """False only for sets that can't have the least similarity: each bit that differs is a token that one set lacks.
+
+    With d such tokens at least, the similarity is at most (na + nb - d) / (na + nb + d).
+    """
+    a, b = F.col(a), F.col(b)
+    differ = F.aggregate(F.zip_with(_folded(a, b), _folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sizes = F.col(na) + F.col(nb)
+    return _similar_sizes(na, nb) & (100 * (sizes - differ) >= PERCENT * (sizes + differ))
+
+
+_SCANNED = "doc_id long, n long, node long, bits array<long>, short array<long>, block int, counts binary"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document rows (id, set size, set name), then the task's counters of tokens in blocks."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", _NODE), ("block", pa.int32()), ("counts", pa.binary())])
+    """Document rows (id, set size, set name, bitmap), then the task's counters of tokens in blocks."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", _NODE), ("bits", pa.list_(pa.int64())), ("short", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
     total = np.zeros(COUNTERS, np.uint32)
-    for batch in batches:
+
+    def add(pending: list[np.ndarray]) -> None:
+        total[:] += np.bincount(np.concatenate(pending).view(np.int64), minlength=COUNTERS).astype(np.uint32)
+
+    def rows(*columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for batch in _slices(batches):
         ids, texts = _rows(batch)
-        sizes, nodes, pending, held = [], [], [], 0
+        sizes, nodes, bits, short, pending, held = [], [], [], [], [], 0
         for s in shingle_sets(texts):
             sizes.append(len(s))
             nodes.append(set_node(s) if len(s) else None)
+            bits.append(bitmap(s) if len(s) else None)
+            short.append(short_bitmap(s) if len(s) else None)
             pending.append(s & np.uint64(COUNTERS - 1))
             held += len(s)
             if held >= COUNTERS:
-                total += np.bincount(np.concatenate(pending).view(np.int64), minlength=COUNTERS).astype(np.uint32)
+                add(pending)
                 pending, held = [], 0
         if held:
-            total += np.bincount(np.concatenate(pending).view(np.int64), minlength=COUNTERS).astype(np.uint32)
+            add(pending)
         none = [None] * len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, _NODE), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
+        yield rows(ids, sizes, nodes, bits, short, none, none)
     if total.any():
         parts = total.reshape(-1, BLOCK)
         none = [None] * len(parts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, _NODE), pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema
-        )
+        yield rows(none, none, none, none, none, list(range(len(parts))), [p.tobytes() for p in parts])
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,19 +178,24 @@ def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["block", "counts"])
 
 
-def token_classes(scanned: DataFrame) -> np.ndarray:
-    """For each counter the class of its tokens: 1 rare, 2 frequent, 3 very frequent. COUNTERS bytes in all.
-
-    A counter is frequent when it stands out from what the other counters hold by chance.
-    """
+def token_counts(scanned: DataFrame) -> np.ndarray:
+    """The counters of all tasks together, at most 65535 each; 2 bytes for each of COUNTERS."""
     blocks = scanned.where("block is not null").select("block", "counts").mapInArrow(_widen, "block int, counts binary")
     summed = blocks.repartition("block").mapInArrow(_sum_blocks, "block int, counts binary")
     counts = np.zeros(COUNTERS, np.uint64)
     for r in summed.collect():
         counts[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(r.counts, np.uint64)
-    mean = float(np.median(counts))
-    bound = max(32.0, 8 * mean**0.5)
-    return (1 + (counts > mean + bound) + (counts > mean + 16 * bound)).astype(np.uint8)
+    return np.minimum(counts, 65535).astype(np.uint16)
+
+
+def token_classes(counts: np.ndarray) -> np.ndarray:
+    """For each counter the class of its tokens: 1 rare, 2 frequent, 3 very frequent.
+
+    A counter is frequent when it stands out from what the other counters hold by chance.
+    """
+    usual = float(np.median(counts))
+    bound = max(32.0, 8 * usual**0.5)
+    return (1 + (counts > usual + bound) + (counts > usual + 16 * bound)).astype(np.uint8)
 
 
 def levels(n: int) -> list[int]:
@@ -131,10 +203,10 @@ def levels(n: int) -> list[int]:
     return list(range(n.bit_length() - 1, (n * 100 // PERCENT).bit_length()))
 
 
-def signatures(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def signatures(tokens: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Hashes that any two sets with the least similarity share at least one of.
 
-    Tokens have one order: by class, then by hash. A set of n may miss at most t = floor(n / 4) tokens that the other
+    Tokens have one order: by their counter, so that rare ones come first, then by hash. A set of n may miss at most t = floor(n / 4) tokens that the other
     lacks. Its prefix runs until removing any t tokens still leaves, in some group, as many shared tokens as that
     group combines: rare tokens are one group that combines one; frequent ones (at each size level) fall by hash
     into groups that combine two or three. The prefix that ends first lies inside the other's, so both hold the
@@ -142,21 +214,22 @@ def signatures(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """
     n = len(tokens)
     spare = n - -(-n * PERCENT // 100)
+    counter = (tokens & np.uint64(COUNTERS - 1)).view(np.int64)
+    tokens = tokens[np.lexsort((tokens, counts[counter]))]
     kind = classes[(tokens & np.uint64(COUNTERS - 1)).view(np.int64)]
     rare = tokens[kind == 1]
     if len(rare) > spare:
-        return np.sort(rare)[: spare + 1]
+        return rare[: spare + 1]
     out: list[np.ndarray] = []
     for level in levels(n):
         if level < FIRST_COMBINED_LEVEL:
-            order = np.lexsort((tokens, kind))
-            out.append(tokens[order[: spare + 1]])
+            out.append(tokens[: spare + 1])
             continue
         out.append(rare)
         left = spare + 1 - len(rare)
         made = []
         for k in (2, 3):
-            own = np.sort(tokens[kind == k])
+            own = tokens[kind == k]
             groups = (1 << level) // (4 if k == 2 else 8)
             group = ((own >> np.uint64(20)) % np.uint64(groups)).view(np.int64)
             # The rank of a token in its group: from the k-th on, each token adds one to what must be removed.
@@ -172,7 +245,7 @@ def signatures(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
             order = np.argsort(group, kind="stable")
             cuts = np.flatnonzero(np.diff(group[order])) + 1
             for members in np.split(own[order], cuts):
-                made += combinations(members.tolist(), k) if len(members) >= k else []
+                made += combinations(sorted(members.tolist()), k) if len(members) >= k else []
             if left <= 0:
                 break
         if made:
@@ -189,10 +262,12 @@ def signatures(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else rare
 
 
-def _index(classes: np.ndarray):
+def _index(counts: np.ndarray):
+    classes = token_classes(counts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             _, texts = _rows(batch)
             sigs, nodes, sizes, held = [], [], [], 0
 
@@ -206,7 +281,7 @@ def _index(classes: np.ndarray):
                     continue
                 if len(seen) < REMEMBERED:
                     seen.add(node)
-                sigs.append(signatures(s, classes))
+                sigs.append(signatures(s, counts, classes))
                 nodes.append(node)
                 sizes.append(len(s))
                 held += len(sigs[-1])
@@ -252,30 +327,35 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _similar_sizes(a: str, b: str) -> Column:
-    return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
-
-
 class _Verifier:
-    """Tells which candidate pairs are similar, fetching the sets of the documents that they name."""
+    """Tells which candidate pairs are similar. Sets are fetched only where the bitmaps don't rule a pair out."""
 
     def __init__(self, texts: DataFrame, reps: DataFrame) -> None:
         self.texts, self.reps = texts, reps
 
+    def side(self, name: str) -> DataFrame:
+        return self.reps.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"bits_{name}"))
+
+    def short_side(self, entries: DataFrame, name: str) -> DataFrame:
+        """Entries (sig, node, label) with the size and the short bitmap of their sets as columns."""
+        words = [F.element_at("short", i + 1).alias(f"{name}{i}") for i in range(SHORT_WORDS)]
+        known = self.reps.select("node", F.col("n").alias(f"n{name}"), *words)
+        return entries.join(known, "node").select(F.col("sig").alias(f"sig_{name}"), F.col("node").alias(name), F.col("label").alias(f"l{name}"), f"n{name}", *(f"{name}{i}" for i in range(SHORT_WORDS)))
+
     def edges(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs (a, b) that are similar."""
-        pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
+        one, two = self.side("a"), self.side("b")
+        compared = pairs.select("a", "b").distinct().join(two, "b").join(one, (pairs.a == one.a) & may_link("na", "nb", "bits_a", "bits_b")).select(pairs.a, "b")
+        pairs = materialise(compared, "pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         needed = materialise(nodes.join(self.reps, "node").select("node", "doc_id"), "needed")
         marks = _marks(needed)
         found = self.texts.select(_mark_of(F.col("doc_id")).alias("mark"), "doc_id", "text").mapInArrow(_token_sets(marks), "doc_id long, node long, tokens array<long>")
-        sets = found.join(needed, ["node", "doc_id"], "left_semi").select("node", "tokens")
-        sets = materialise(sets, "sets")
+        sets = materialise(found.join(needed, ["node", "doc_id"], "left_semi").select("node", "tokens"), "sets")
         left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
         right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-        joined = pairs.join(right, "b").join(left, "a")
         shared = F.size(F.array_intersect("ta", "tb")).cast("long")
-        counted = joined.select("a", "b", shared.alias("shared"), (F.size("ta") + F.size("tb")).cast("long").alias("both"))
+        counted = pairs.join(right, "b").join(left, "a").select("a", "b", shared.alias("shared"), (F.size("ta") + F.size("tb")).cast("long").alias("both"))
         return materialise(counted.where(100 * F.col("shared") >= PERCENT * (F.col("both") - F.col("shared"))).select("a", "b").distinct(), "links")
 
 
@@ -289,7 +369,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     Two documents link when the Jaccard similarity of their sets of distinct 5-word shingles (A-Z in lower case) is
     0.75 or more; a text of 1 to 4 words is one shingle, and one without words or null has no set and links with
     nothing. The result is exact: equal sets are collapsed to one node first; then every pair of nodes that shares a
-    signature is compared, or already known to be connected when its turn comes.
+    signature is compared, or already known to be connected when its turn comes. Comparing begins with bitmaps of
+    the sets, which bound what two sets can share; only where that bound allows a link are the sets read.
 
     1. One pass finds set sizes and names and a sketch of token frequencies of fixed size.
     2. A second pass writes signatures (single rare tokens, combinations of frequent ones); lists of one node vanish.
@@ -303,10 +384,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     scanned = materialise(texts.mapInArrow(_scan, _SCANNED), "scanned")
     sized = scanned.where("n is not null").select("doc_id", "n", "node")
-    reps = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    classes = token_classes(scanned)
+    first = scanned.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n", "bits", "short")).alias("first"))
+    reps = materialise(first.select("node", "first.*"), "reps")
+    counts = token_counts(scanned)
 
-    entries = texts.mapInArrow(_index(classes), "sig long, node long, n int")
+    entries = texts.mapInArrow(_index(counts), "sig long, node long, n int")
     by_sig = Window.partitionBy("sig")
     listed = entries.select(
         "*", F.min(F.struct("node", "n")).over(by_sig).alias("leader"), F.max("node").over(by_sig).alias("last"), F.count("*").over(by_sig).alias("members")
@@ -323,18 +405,19 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     links = verifier.edges(pairs)
     labels = connected_components(links)
 
-    # Each list picks its second leader by a hash of its own, so that a document meets many of them.
     open_lists = _open(long_lists, labels)
-    if not open_lists.isEmpty():
-        picked = open_lists.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sig", "node").alias("h"), "node", "n", "label")).alias("lead"))
-        second = open_lists.join(picked, "sig").where((F.col("label") != F.col("lead.label")) & _similar_sizes("n", "lead.n"))
-        links = links.union(verifier.edges(second.select(*_ordered(F.col("node"), F.col("lead.node")))))
+    for turn in range(1, LEADER_TURNS + 1):
+        if open_lists.isEmpty():
+            break
+        # Each list picks another leader by a hash of its own, so that a document meets many of them.
+        picked = open_lists.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sig", "node").alias("h"), "node", "n", "label")).alias("lead"))
+        met = open_lists.join(picked, "sig").where((F.col("label") != F.col("lead.label")) & _similar_sizes("n", "lead.n"))
+        links = links.union(verifier.edges(met.select(*_ordered(F.col("node"), F.col("lead.node")))))
         labels = connected_components(links)
         open_lists = _open(long_lists, labels)
     if not open_lists.isEmpty():
-        x = open_lists.select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-        y = open_lists.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-        rest = x.join(y, "sig").where((F.col("lx") < F.col("ly")) & _similar_sizes("nx", "ny")).select(*_ordered(F.col("x"), F.col("y")))
+        x, y = verifier.short_side(open_lists.drop("n"), "a"), verifier.short_side(open_lists.drop("n"), "b")
+        rest = x.join(y, (F.col("sig_a") == F.col("sig_b")) & (F.col("la") < F.col("lb")) & may_link_short("na", "nb")).select(*_ordered(F.col("a"), F.col("b")))
         links = links.union(verifier.edges(rest))
         labels = connected_components(links)
 
