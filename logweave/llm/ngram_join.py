@@ -87,7 +87,7 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 
 
 #: Words of the bitmap that joins compare in place, for sets of any size.
-SHORT_WORDS = 16
+SHORT_WORDS = 32
 
 
 def short_bitmap(tokens: np.ndarray) -> np.ndarray:
