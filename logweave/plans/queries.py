@@ -86,11 +86,11 @@ def q_ignore_filter(spark, sf_dir):
     return page_paths(spark, sf_dir).where(~paths.is_ignored(F.col("path"), rules))
 
 
-@query(f"WITH {_PATH_SQL} SELECT page_id, path FROM p WHERE path = '/blog' OR path LIKE '/m.%/src/%'")
+@query(f"WITH {_PATH_SQL} SELECT page_id, path FROM p WHERE starts_with(path || '/', '/blog/') OR starts_with(path || '/', '/m.ththth.example.net/')")
 def q_root_cover(spark, sf_dir):
     """Paths that a registered root covers, by whole components."""
-    p = page_paths(spark, sf_dir)
-    return p.where((F.col("path") == "/blog") | (F.col("path").startswith("/m.") & F.col("path").contains("/src/")))
+    path = F.col("path")
+    return page_paths(spark, sf_dir).where(paths.covered_by(path, "/blog") | paths.covered_by(path, "/m.ththth.example.net/"))
 
 
 @query(f"WITH {_PATH_SQL} SELECT page_id, path, CASE WHEN page_id % 11 = 0 THEN 'Error' WHEN page_id % 5 = 0 THEN 'Directory' WHEN {_LANGUAGE_SQL} IS NOT NULL THEN 'File' ELSE 'UnsupportedFile' END AS kind FROM p")
