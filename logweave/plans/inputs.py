@@ -69,7 +69,9 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("request "), event, F.lit(" failed"), F.when(third == 0, java).when(third == 1, python).otherwise("")))
     )
     content = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), level, F.lit(" "), file, F.lit(":"), (F.col("user_id") % 90 + 10).cast("string"), F.lit(" ["), user, F.lit("] "), message)
-    return e.select(F.lit("app.log").alias("path"), F.col("event_id").alias("rec_id"), F.col("event_id").cast("int").alias("first_line"), content.alias("content"))
+    lines = e.select(F.lit("app.log").alias("path"), F.col("event_id").alias("rec_id"), F.col("event_id").cast("int").alias("first_line"), content.alias("content"))
+    # Records come out of an aggregate, as assembly leaves them; without it, filters would write out the rendering again and again.
+    return lines.groupBy("path", "rec_id").agg(F.min("first_line").alias("first_line"), F.max("content").alias("content"))
 
 
 _MESSAGE = r"""CASE event_type
