@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from logweave.llm.common import held_out, labelled_sample
 
 #: Labelled rows that are fitted on, at most; the only bound on what is learned from.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 6000
 THRESHOLD = 0.5
 #: Features that the model keeps, at most, besides those of identity terms.
 FEATURES = 3000
@@ -108,11 +109,14 @@ def fit(texts: list[str], labels: np.ndarray, terms: Sequence[Sequence[str]] = I
     share = (labels.sum() + 1) / (len(labels) + 2)
     if len(np.unique(labels)) < 2:
         return Model({}, float(np.log(share / (1 - share))))
-    found = [document_features(t) for t in texts]
     toxic: Counter[str] = Counter()
     clean: Counter[str] = Counter()
-    for f, y in zip(found, labels, strict=True):
-        (toxic if y else clean).update(f)
+    for t, y in zip(texts, labels, strict=True):
+        if y:
+            toxic.update(document_features(t))
+    for t, y in zip(texts, labels, strict=True):
+        if not y:  # only features of toxic rows can tell, and only these are held
+            clean.update(f for f in document_features(t) if f in toxic)
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     # Signed square root of the G statistic, which ranks rare and common features on one scale.
     tell: dict[str, float] = {}
@@ -128,11 +132,15 @@ def fit(texts: list[str], labels: np.ndarray, terms: Sequence[Sequence[str]] = I
     chosen = list(dict.fromkeys([n for n in names if tell[n] > 3.0] + identity))
     column = {f: i for i, f in enumerate(chosen)}
 
-    def matrix(rows: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(i, column[f]) for i, fs in enumerate(rows) for f in fs if f in column]
-        return (np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))
+    def matrix(rows: Iterable[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+        at, own = array("q"), array("q")
+        for i, fs in enumerate(rows):
+            hits = [column[f] for f in fs if f in column]
+            own.extend(hits)
+            at.extend([i] * len(hits))
+        return np.array(at, np.int64), np.array(own, np.int64)
 
-    r, c = matrix(found)
+    r, c = matrix(document_features(t) for t in texts)
     before, after = [], []
     for t in texts:
         for own, swapped in swaps(t, terms):
