@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, by content-defined chunks of a gear rolling hash."""
+"""Passages that repeat across documents, by windows of words gathered at content-defined anchors of a gear rolling hash."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import PIECE_BYTES, mix64, segment_hashes
+from logweave.llm.common import PIECE_BYTES, mix64, segment_hashes, word_bounds
 
 #: Bytes that the rolling hash looks back on.
 LOOK_BACK = 16
@@ -17,24 +17,31 @@ LOOK_BACK = 16
 EVERY = 20
 #: No chunk ends where another could have ended fewer bytes before; none has more bytes than MOST.
 APART, MOST = 8, 128
-#: Words that a run of repeated chunks must hold to count as a passage. A run lacks the ends of its passage, some ten
-#: words, so this finds passages of 50 words and more and leaves shared lines of fewer words alone.
+#: Words in a row that another document must have too.
 RUN_WORDS = 22
+#: Words that the hash of an anchor looks back on.
+ANCHOR_WORDS = 8
+#: Bytes of a window's hash besides the 64 bits of its anchor.
+HASH_BYTES = 6
+#: Occurrences of anchors that are compared at once; one anchor's are never parted.
+SLAB = 200_000
 
 NO_ID = (1 << 63) - 1
 
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
     """At each byte the gear hash of the LOOK_BACK bytes up to it: h = 2 h + G[byte], in doubling steps."""
-    h = _GEAR[buf]
+    return _rolled(_GEAR[buf], LOOK_BACK)
+
+
+def _rolled(h: np.ndarray, look_back: int) -> np.ndarray:
+    """Gear hashes of symbols whose own numbers are h; look_back is a power of two."""
     step = 1
-    while step < LOOK_BACK:
+    while step < look_back:
         shifted = np.zeros_like(h)
-        shifted[step:] = h[:-step] << np.uint32(step)
+        shifted[step:] = h[:-step] << h.dtype.type(step)
         h = h + shifted
         step *= 2
     return h
@@ -64,58 +71,206 @@ def chunk_ends(text: bytes) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-_CHUNKS = "doc_id long, seq int, digest long, start int, length int, words int"
+_ANCHORS = "digest long, row long, doc_id long, windows binary"
+_SHARED = "row long, doc_id long, first int, n int, start int, end int, lo long"
+#: How the windows of an anchor are packed: this head, then the windows' hashes, then the steps of starts and of ends.
+_HEAD = np.dtype([("first", "<i4"), ("start", "<i4"), ("end", "<i4"), ("n", "u1"), ("width", "u1")])
 
 
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.int32()), ("digest", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("words", pa.int32())])
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            columns: list[list[np.ndarray]] = [[] for _ in schema]
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if not text:
+def _anchors(texts: list[bytes], run_words: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """For each anchor of the texts: its text's place in the list, its digest and the windows that it gathers.
+
+    A window is `run_words` words in a row. Its anchor is the place in it where the gear hash of ANCHOR_WORDS words is
+    least, which its words alone decide, so equal windows have equal anchors. Consecutive windows mostly share one.
+    """
+    look = 1 << (min(ANCHOR_WORDS, run_words).bit_length() - 1)
+    span = run_words - look + 1
+    buf = np.frombuffer(b"\n".join(texts), np.uint8)
+    starts, ends = word_bounds(buf)
+    cuts = np.concatenate(([0], np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))))
+    sizes = np.diff(cuts)
+    n = len(starts) - run_words + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    words = np.concatenate([segment_hashes(buf[a[0] : b[-1]], a - a[0], b - a[0]) for a, b in _groups(starts, ends)])
+    with np.errstate(over="ignore"):
+        digest = mix64(_rolled(words, look)[look - 1 :])
+    # The least of `span` hashes in doubling steps; the first of equal ones.
+    least = (digest & ~np.uint64(0xFFFFFFFF)) | np.arange(len(digest), dtype=np.uint64)
+    width = 1
+    while width < span:
+        step = min(width, span - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    text = np.repeat(np.arange(len(texts)), sizes)
+    whole = np.flatnonzero(text[:n] == text[run_words - 1 :])
+    if not len(whole):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    anchor = (least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = np.arange(n)
+    hashes = segment_hashes(words, at, at + run_words)[whole].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+    # Offsets in code points of the text.
+    chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
+    base = chars[np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))[:-1]][text[whole]]
+    start, end = chars[starts[whole]] - base, chars[ends[whole + run_words - 1]] - base
+    new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[whole[1:]] != text[whole[:-1]])))
+    lows = np.flatnonzero(new)
+    counts = np.diff(np.concatenate((lows, [len(whole)])))
+    steps = np.stack([np.diff(x, prepend=0) for x in (start, end)])
+    steps[:, lows] = 0
+    most = np.maximum.reduceat(steps.max(0), lows)
+    widths = np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 4))
+    heads = np.zeros(len(lows), _HEAD)
+    heads["first"], heads["start"], heads["end"] = whole[lows] - cuts[text[whole[lows]]], start[lows], end[lows]
+    heads["n"], heads["width"] = counts, widths
+    head_bytes, hash_bytes = heads.tobytes(), hashes.tobytes()
+    step_bytes = {w: [x.astype(f"<u{w}").tobytes() for x in steps] for w in np.unique(widths).tolist()}
+    packed = []
+    for k, (low, count, w) in enumerate(zip(lows.tolist(), counts.tolist(), widths.tolist(), strict=True)):
+        a, b = step_bytes[w]
+        high = low + count
+        packed.append(head_bytes[k * _HEAD.itemsize : (k + 1) * _HEAD.itemsize] + hash_bytes[low * HASH_BYTES : high * HASH_BYTES] + a[low * w : high * w] + b[low * w : high * w])
+    return text[whole[lows]], digest[anchor[lows]].view(np.int64), packed
+
+
+def _gather(run_words: int):
+    """A pass over texts that gives their anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows: list[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
+            text, digest, packed = _anchors([t for _, t in rows], run_words)
+            if packed:
+                keys = pa.array([NO_ID if d is None else d for d, _ in rows], pa.int64())
+                ids = pa.array([d for d, _ in rows], pa.int64())
+                at = pa.array(text)
+                yield pa.RecordBatch.from_arrays([pa.array(digest), keys.take(at), ids.take(at), pa.array(packed, pa.binary())], names=["digest", "row", "doc_id", "windows"])
+
+        for batch in batches:
+            rows: list[tuple[int | None, bytes]] = []
+            size = 0
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                if (text := text.as_py()) is None:
                     continue
-                ends = chunk_ends(text)
-                starts = np.concatenate(([0], ends[:-1]))
-                buf = np.frombuffer(text, np.uint8)
-                # Offsets and lengths in code points; a word counts where it begins.
-                chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
-                space = _SPACE[buf]
-                begun = np.concatenate(([0], np.cumsum(~space & np.concatenate(([True], space[:-1])))))
-                digest = np.concatenate([segment_hashes(buf[s[0] : e[-1]], s - s[0], e - s[0]) for s, e in _groups(starts, ends)])
-                for column, values in zip(columns, (np.full(len(ends), doc_id), np.arange(len(ends)), digest.view(np.int64), chars[starts], chars[ends] - chars[starts], begun[ends] - begun[starts]), strict=True):
-                    column.append(values)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) if f.type == pa.int64() else pa.array(np.concatenate(c).astype(np.int32)) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                if rows and size + len(text) > PIECE_BYTES:
+                    yield from flush(rows)
+                    rows, size = [], 0
+                rows.append((doc_id.as_py(), text))
+                size += len(text)
+            yield from flush(rows)
+
+    return run
 
 
 def _groups(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chunks in groups of about PIECE_BYTES, so that hashing takes bounded memory."""
+    """Words in groups of about PIECE_BYTES, so that hashing takes bounded memory."""
     cuts = np.flatnonzero(np.diff(starts // PIECE_BYTES)) + 1
     yield from zip(np.split(starts, cuts), np.split(ends, cuts), strict=True)
 
 
+def _spread(low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each number from low to low + count: whose it is, and the number."""
+    owner = np.repeat(np.arange(len(low)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + low[owner]
+
+
+def _compare(table: pa.Table) -> pa.RecordBatch | None:
+    """Stretches of consecutive windows that another row has, from all occurrences of some anchors sorted by digest."""
+    digest, row = table.column(0).to_numpy(), table.column(1).to_numpy()
+    new = np.flatnonzero(np.concatenate(([True], digest[1:] != digest[:-1])))
+    several = np.minimum.reduceat(row, new) < np.maximum.reduceat(row, new)
+    several = np.repeat(several, np.diff(np.concatenate((new, [len(row)]))))
+    if not several.any():
+        return None
+    table = table.filter(pa.array(several))
+    digest, row = table.column(0).to_numpy(), table.column(1).to_numpy()
+    ids = table.column(2).combine_chunks()
+    doc_id = ids.fill_null(NO_ID).to_numpy()
+    windows = table.column(3).combine_chunks()
+    windows = windows.chunk(0) if isinstance(windows, pa.ChunkedArray) else windows
+    _, offsets, data = windows.buffers()
+    at = np.frombuffer(offsets, np.int32)[windows.offset : windows.offset + len(windows) + 1][:-1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    heads = data[at[:, None] + np.arange(_HEAD.itemsize)].reshape(-1).view(_HEAD)
+    n, width = heads["n"].astype(np.int64), heads["width"].astype(np.int64)
+    owner, j = _spread(np.zeros(len(n), np.int64), n)
+    body = at + _HEAD.itemsize
+    where = body[owner] + j * HASH_BYTES
+    hashes = np.zeros((len(owner), 8), np.uint8)
+    for b in range(HASH_BYTES):
+        hashes[:, b] = data[where + b]
+    h = hashes.reshape(-1).view("<u8")
+    group = np.cumsum(np.concatenate(([0], digest[1:] != digest[:-1])))[owner]
+    order = np.lexsort((h, group))
+    first = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (group[order][1:] != group[order][:-1]))))
+    sizes = np.diff(np.concatenate((first, [len(order)])))
+    rows = row[owner][order]
+    shared, lo = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
+    shared[order] = np.repeat(np.minimum.reduceat(rows, first) < np.maximum.reduceat(rows, first), sizes)
+    lo[order] = np.repeat(np.minimum.reduceat(doc_id[owner][order], first), sizes)
+    hit = np.flatnonzero(shared)
+    if not len(hit):
+        return None
+    # Starts and ends are sums of steps within an occurrence.
+    w = width[owner]
+    step = np.zeros((2, len(owner)), np.int64)
+    for side in range(2):
+        place = body[owner] + n[owner] * (HASH_BYTES + side * w) + j * w
+        for b in range(4):
+            held = w > b
+            step[side][held] += data[place[held] + b].astype(np.int64) << (8 * b)
+    total = np.cumsum(step, axis=1)
+    edge = total[:, np.cumsum(n) - n][:, owner]
+    start, end = heads["start"][owner] + total[0] - edge[0], heads["end"][owner] + total[1] - edge[1]
+    low = np.flatnonzero(np.concatenate(([True], (np.diff(hit) > 1) | (np.diff(owner[hit]) > 0))))
+    high = np.concatenate((low[1:], [len(hit)])) - 1
+    a, z = hit[low], hit[high]
+    of = owner[a]
+    columns = [pa.array(row[of]), ids.take(pa.array(of)), pa.array((heads["first"][of] + j[a]).astype(np.int32)), pa.array((z - a + 1).astype(np.int32)), pa.array(start[a].astype(np.int32)), pa.array(end[z].astype(np.int32)), pa.array(np.minimum.reduceat(lo[hit], low))]
+    return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "first", "n", "start", "end", "lo"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the anchors of a task, sorted by digest, in slabs that keep each digest together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        digest = batch.column(0).to_numpy()
+        # Up to here digests are complete, when this batch begins or holds another than its last.
+        cut = int(np.searchsorted(digest, digest[-1])) if len(digest) else 0
+        if size + cut >= SLAB and (cut or held[-1].column(0)[-1].as_py() != digest[0]):
+            if (out := _compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))) is not None:
+                yield out
+            held, size, batch = [], 0, batch.slice(cut)
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+    if held and (out := _compare(pa.Table.from_batches(held))) is not None:
+        yield out
+
+
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id) of each passage that another document has too.
 
-    start and end are code points into the whole text; first_doc_id is the smallest id of a document that shares a
-    chunk of the passage, which may be the document itself. Whole texts are cut into chunks where a rolling hash of
-    the last LOOK_BACK bytes says so, so that an insertion moves a few ends only; chunks are known by a 64-bit digest.
-    A run of chunks that other documents have, of `run_words` words or more, is a passage; a chance equality of two
-    digests thus does not make one.
+    A passage is a longest stretch of words in which every `run_words` words in a row occur in another document as
+    well; words are what white space separates. start and end are code points into the whole text, from the first
+    word's beginning to the last one's end; first_doc_id is the smallest id of a document that has `run_words` words
+    of the passage, which may be the document itself. No passage is missed: every window of `run_words` words is
+    compared, by a hash of 48 bits besides its anchor's 64.
+
+    Windows travel packed by their anchor, the place in them with the least gear hash of ANCHOR_WORDS words, which
+    equal windows share. All occurrences of an anchor meet in one task, which holds
+    them at once: about a kilobyte for each while it compares them.
 
-    Digests are counted before the shuffle, so any share of all documents may hold a chunk; a document's chunks meet
-    again by doc_id. Null and empty texts have no chunks; rows that share an id count as one document and give runs
-    as of one; rows without an id count as one more document; empty tables give no rows; other columns are not read.
+    Rows that share an id count as one document, rows without an id as one more. Null and empty texts and texts of
+    fewer words have no passages; empty tables give no rows; other columns are not read.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary"))
-    chunks = texts.mapInArrow(_chunk, _CHUNKS)
-    shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("digest", "lo")
-    repeated = chunks.join(shared, "digest").select("doc_id", "seq", "start", "length", "words", "lo").dropDuplicates(["doc_id", "seq", "start"])
-    order = Window.partitionBy("doc_id").orderBy("seq", "start")
-    runs = repeated.withColumn("run", F.col("seq") - F.row_number().over(order))
-    passages = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("words").alias("n_words"), F.min("lo").alias("first_doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    anchors = texts.mapInArrow(_gather(run_words), _ANCHORS)
+    shared = anchors.repartition("digest").sortWithinPartitions("digest").mapInArrow(_meet, _SHARED)
+    # Stretches of windows of one row that follow each other have one difference of last window and windows so far.
+    order = Window.partitionBy("row").orderBy("first")
+    runs = shared.withColumn("run", F.col("first") + F.col("n") - F.sum("n").over(order))
+    passages = runs.groupBy("row", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.sum("n") + run_words - 1).alias("n_words"), F.min("lo").alias("first_doc_id")
     )
-    return passages.where(F.col("n_words") >= run_words).select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "start", "end", "n_words", F.nullif("first_doc_id", F.lit(NO_ID)).alias("first_doc_id"))
+    return passages.select("doc_id", "start", "end", "n_words", F.nullif("first_doc_id", F.lit(NO_ID)).alias("first_doc_id"))

@@ -140,6 +140,55 @@ def test_repeated_passages(spark):
     assert substring.repeated_passages(docs.limit(0)).count() == 0
 
 
+def windows_expected(rows, n):
+    """Brute force: stretches of words in which every n in a row are another row's too."""
+    split = [[(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for _, t in rows]
+    holders = defaultdict(set)
+    for i, ws in enumerate(split):
+        for k in range(len(ws) - n + 1):
+            holders[tuple(w for *_, w in ws[k : k + n])].add(i)
+    out = []
+    for i, ws in enumerate(split):
+        run = []
+        for k in range(len(ws) - n + 2):
+            found = holders[tuple(w for *_, w in ws[k : k + n])] if k <= len(ws) - n else ()
+            if len(found) > 1:
+                run.append((k, min((rows[r][0] for r in found if rows[r][0] is not None), default=None)))
+            elif run:
+                ids = [f for _, f in run if f is not None]
+                out.append((rows[i][0], ws[run[0][0]][0], ws[run[-1][0] + n - 1][1], len(run) + n - 1, min(ids) if ids else None))
+                run = []
+    return sorted(out, key=str)
+
+
+def test_repeated_passages_whole(spark):
+    rng = random.Random(12)
+    text = lambda n, most: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, most))) for _ in range(n))
+    rows = []
+    for i in range(150):  # short words, and lengths from just below the threshold on
+        passage = text((51, 21, 22, 23, 30, 40)[i % 6], 3)
+        rows += [(2 * i + k, f"{text(rng.randint(0, 40), 9)} {passage}\n{text(rng.randint(0, 40), 9)}") for k in range(2)]
+    rows += [(1000, "a " * 300), (1001, "b a " + "a " * 200), (1002, text(30, 90_000)), (1003, rows[0][1] + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in substring.repeated_passages(docs).collect()), key=str)
+    assert got == windows_expected(rows, substring.RUN_WORDS)
+    assert len(got) > 250
+
+
+def test_repeated_passages_one_anchor_over_slabs(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring, "SLAB", 4)
+    rng = random.Random(14)
+    passage = " ".join(str(rng.random()) for _ in range(30))
+    texts = [f"{i} {passage} {i}".encode() for i in range(9)]
+    at, digest, packed = substring._anchors(texts, 22)
+    rows = sorted(zip(digest.tolist(), at.tolist(), packed, strict=True))
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows[k : k + 2]]), pa.array([x[1] for x in rows[k : k + 2]]), pa.array([x[1] for x in rows[k : k + 2]]), pa.array([x[2] for x in rows[k : k + 2]], pa.binary())], names=["digest", "row", "doc_id", "windows"]) for k in range(0, len(rows), 2)]
+    found = [r for b in substring._meet(iter(batches)) for r in b.to_pylist()]
+    assert {r["row"]: sum(x["n"] for x in found if x["row"] == r["row"]) for r in found} == dict.fromkeys(range(9), 9)
+
+
 def test_chunks_cover_any_text():
     rng = random.Random(2)
     for n in (0, 1, 7, 96, 5000):
