@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,13 +136,22 @@ def _anchors(texts: list[bytes], run_words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _gather(run_words: int):
-    """A pass over texts that gives their anchors."""
+    """A pass over texts that gives their anchors, each input row known by a key of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        seen: dict[bytes, int] = {}
+
+        def key(doc_id: int | None, text: bytes) -> int:
+            # By content and not by place, so that a task that runs again gives equal keys in whatever order.
+            name = hashlib.blake2b(repr((part, doc_id)).encode() + text, digest_size=8).digest()
+            n = seen[name] = seen.get(name, -1) + 1
+            return int.from_bytes(hashlib.blake2b(name + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
+
         def flush(rows: list[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
             text, digest, packed = _anchors([t for _, t in rows], run_words)
             if packed:
-                keys = pa.array([NO_ID if d is None else d for d, _ in rows], pa.int64())
+                keys = pa.array([key(*r) for r in rows], pa.int64())
                 ids = pa.array([d for d, _ in rows], pa.int64())
                 at = pa.array(text)
                 yield pa.RecordBatch.from_arrays([pa.array(digest), keys.take(at), ids.take(at), pa.array(packed, pa.binary())], names=["digest", "row", "doc_id", "windows"])
@@ -261,8 +272,9 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     equal windows share. All occurrences of an anchor meet in one task, which holds
     them at once: about a kilobyte for each while it compares them.
 
-    Rows that share an id count as one document, rows without an id as one more. Null and empty texts and texts of
-    fewer words have no passages; empty tables give no rows; other columns are not read.
+    Every input row is a document of its own, known by a key of its content and its count in its partition, so rows
+    without an id, rows that share an id and repeated rows are told apart; null ids come last in first_doc_id. Null
+    and empty texts and texts of fewer words have no passages; empty tables give no rows; other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     anchors = texts.mapInArrow(_gather(run_words), _ANCHORS)

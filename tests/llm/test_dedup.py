@@ -175,6 +175,18 @@ def test_repeated_passages_whole(spark):
     assert len(got) > 250
 
 
+def test_repeated_passages_rows_without_own_ids(spark):
+    rng = random.Random(13)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    a, b, c, whole = text(60), text(60), text(60), text(40)
+    rows = [(None, f"{text(9)} {a} {text(5)}"), (None, f"{text(30)} {a}"), (7, f"{b} {text(8)}"), (7, f"{text(12)} {b}")]
+    rows += [(None, f"{text(20 + i)} {c} {text(9)}") for i in range(20)] + [(9, f"{c} {text(3)}"), (None, whole), (None, whole), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in substring.repeated_passages(docs).collect()), key=str)
+    assert got == windows_expected(rows, substring.RUN_WORDS)
+    assert len(got) == 27
+
+
 def test_repeated_passages_one_anchor_over_slabs(spark, monkeypatch):
     import pyarrow as pa
 
