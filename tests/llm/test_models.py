@@ -40,6 +40,14 @@ def test_toxicity_on_the_held_out_fold(spark, tables):
     assert not any(got[i].predicted for i in fold if not truth[i])
 
 
+def test_toxicity_learns_from_ten_thousand_rows(spark, monkeypatch):
+    ids = spark.range(13_000).withColumnRenamed("id", "doc_id")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, terms: seen.append(len(texts)))
+    toxicity.train(ids.selectExpr("doc_id", "'a' AS text"), ids.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"))
+    assert seen == [10_000]
+
+
 @pytest.mark.parametrize("score", [quality.score_quality, toxicity.score_toxicity])
 def test_edge_rows(spark, score):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "word " * 50, 0.5), (3, "word " * 50, 0.5), (None, "x", 0.5)], "doc_id long, text string, score double")
