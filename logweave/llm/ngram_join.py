@@ -378,6 +378,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
        one leader, then members outside the leader's component paired with a leader that each list picks anew, and
        at last only the pairs that are still in different components.
 
+    Only the components are exact. Long lists never compare pairs that are already in one component, so the links
+    found are enough to connect each component but not all there are, and neither pairs nor numbers of links are given.
+
     Repeated rows and ties fall together, null ids take part and give a null component if alone, empty tables give
     empty results, and other columns are not read.
     """
