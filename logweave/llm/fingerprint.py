@@ -15,7 +15,7 @@ from logweave.llm.common import PIECE_BYTES, mix64, new_folder, segment_hashes
 
 #: Rounds of parsing; a phrase of the last is some 25 bytes long, and one of the round before some 8.
 ROUNDS = 3
-#: Smallest phrase names that a fingerprint keeps.
+#: Smallest phrase names that a fingerprint's string keeps.
 KEPT = 48
 #: Rounds of coin tossing that bring 64-bit names down to labels below six.
 TOSSES = 4
@@ -65,7 +65,7 @@ def parse_round(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text the KEPT smallest 32-bit phrase names of the last two rounds, sorted; none for an empty text."""
+    """For each text all 64-bit phrase names of the last two rounds, sorted; none for an empty text."""
     out: list[np.ndarray] = []
     block: list[bytes] = []
 
@@ -79,9 +79,9 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
         for k in range(ROUNDS):
             symbols, doc = parse_round(symbols, doc)
             if k >= ROUNDS - 2:
-                found.append((mix64(symbols + np.uint64(k)) >> np.uint64(32), np.searchsorted(doc, np.arange(len(block) + 1))))
+                found.append((mix64(symbols + np.uint64(k)), np.searchsorted(doc, np.arange(len(block) + 1))))
         for i in range(len(block)):
-            out.append(np.unique(np.concatenate([names[cuts[i] : cuts[i + 1]] for names, cuts in found]))[:KEPT])
+            out.append(np.unique(np.concatenate([names[cuts[i] : cuts[i + 1]] for names, cuts in found])))
         block.clear()
 
     size = 0
@@ -96,16 +96,15 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of phrases that two texts have in common (Dice), from their smallest names; 1 for two empty ones."""
+    """The share of phrases that two texts have in common (Dice), from all their names; 1 for two empty ones."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)[: min(KEPT, max(len(a), len(b))) if max(len(a), len(b)) >= KEPT else None]
-    both = len(np.intersect1d(np.intersect1d(a, b, True), union, True)) / len(union)
-    return 2 * both / (1 + both)
+    return 2 * len(np.intersect1d(a, b, True)) / (len(a) + len(b))
 
 
 def encode(names: np.ndarray) -> str:
-    return names.astype(">u4").tobytes().hex()
+    """The compact string: the upper halves of the KEPT smallest names."""
+    return np.unique(names[: 2 * KEPT] >> np.uint64(32))[:KEPT].astype(">u4").tobytes().hex()
 
 
 def edit(text: str, following: str) -> str:
@@ -170,6 +169,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
+    near_edited and near_next are shares of all phrases; the two strings keep the KEPT smallest names each.
     The edited text ends with the beginning of the next document by descending doc_id, after the last of the first.
     Rows are dealt by ranges of doc_id, so a text is shuffled once and its follower mostly lies in the same task;
     for the last row of each task a small join brings the first row of the next. Null texts are empty, null ids come

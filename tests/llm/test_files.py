@@ -76,6 +76,22 @@ def test_fingerprints(spark):
     assert fingerprint.document_fingerprints(docs.limit(0)).count() == 0
 
 
+def test_likeness_from_all_phrases(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmno"), rng.integers(2, 9))) for _ in range(n))
+    rows = []
+    for i in range(0, 12, 2):  # neighbours that share some 2% of their words
+        passage = text(60)
+        rows += [(i, f"{text(1500)} {passage} {text(1500)}"), (i + 1, f"{text(2000)} {passage} {text(1000)}")]
+    got = {r.doc_id: r for r in fingerprint.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [set(fingerprint.fingerprints([t.encode()])[0].tolist()) for _, t in rows]
+    for i in range(1, 12, 2):
+        assert got[i].near_next == 2 * len(sets[i] & sets[i - 1]) / (len(sets[i]) + len(sets[i - 1]))
+        alone = sets[i - 1] & sets[(i + 2) % 12]
+        assert len(sets[i] & sets[i - 1]) > len(alone) + 20
+    assert all(len(r.fingerprint) == 8 * fingerprint.KEPT for r in got.values())
+
+
 def test_parsing_is_local():
     rng = np.random.default_rng(2)
     body = bytes(rng.integers(97, 110, 4000, dtype=np.uint8))
