@@ -33,6 +33,37 @@ BLOCKS = FURNITURE | MAIN | HEADINGS | frozenset(
 _SCOPES = BLOCKS - frozenset("p".split()) - HEADINGS
 
 
+#: What may stand in a head besides text of its own elements; any other tag ends a head that isn't closed.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+
+
+def _seen_again(page: str, at: int, name: str) -> int:
+    """Where the page goes on after an element of UNSEEN that begins before `at`.
+
+    That is after its end tag. Without one, a head ends at the first tag that may not stand in it, and other elements
+    but script and style end at the next block tag.
+    """
+    close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+    # A head that isn't closed before the body begins ends there.
+    if close and not (name == "head" and (body := re.compile(r"<body\b", re.I).search(page, at, close.start()))):
+        return close.end()
+    if close:
+        return body.start()
+    if name in ("script", "style"):
+        return len(page)
+    while tag := _TAG.search(page, at):
+        inner = (tag[2] or "").lower()
+        if name == "head":
+            if inner and inner not in IN_HEAD and (not tag[1] or inner in ("body", "html")):
+                return tag.start()
+        elif inner in BLOCKS and not (name == "select" and inner in ("option", "optgroup", "hr")):
+            return tag.start()
+        at = tag.end()
+        if name == "head" and inner in UNSEEN and inner != "head" and not tag[1] and not (tag[3] or "").endswith("/"):
+            at = _seen_again(page, at, inner)
+    return len(page)
+
+
 @dataclass
 class Block:
     text: str
@@ -69,12 +100,7 @@ def blocks(page: str) -> list[Block]:
 
     while at < end:
         if unseen:
-            close = re.compile(rf"</{re.escape(unseen)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            # A head that isn't closed ends where the body begins.
-            if unseen == "head" and (body := re.compile(r"<body\b", re.I).search(page, at)) and (not close or body.start() < close.start()):
-                at = body.start()
-            else:
-                at = close.end() if close else end
+            at = _seen_again(page, at, unseen)
             unseen = ""
             continue
         tag = _TAG.search(page, at)

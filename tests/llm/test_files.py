@@ -2,6 +2,7 @@ import gzip
 import hashlib
 
 import numpy as np
+import pytest
 
 from logweave.llm import fingerprint, html_extract, spm, warc
 
@@ -123,6 +124,23 @@ def test_main_text(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "seen"),
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><p>One</p><p>Two</p>", ["One", "Two"]),
+        ("<head><title>T<x></title><script>a='<p>'</script><link rel=x><article>One</article>", ["One"]),
+        ("<head><title>T</title></head><p>One</p>", ["One"]),
+        ("<head><style>p{}</style><body><p>One</p>", ["One"]),
+        ("<p>One</p><svg><path d=x><p>Two</p>", ["One", "Two"]),
+        ("<div>One <select><option>a</div><p>Two</p>", ["One", "Two"]),
+        ("<noscript>no<div>One</div>", ["One"]),
+        ("<p>One</p><script>x<p>Two</p>", ["One"]),
+    ],
+)
+def test_unclosed_unseen_elements(page, seen):
+    assert [b.text for b in html_extract.blocks(page)] == seen
+
+
 def test_labelled_table_is_learnt():
     tree = html_extract.trained_tree()
     import re
