@@ -9,12 +9,25 @@ from pyspark.sql import SparkSession
 
 from logweave.engine import Engine
 from logweave.errors import LogweaveError
+from logweave.tables import new_folder
+
+
+def _standard_input(spark: SparkSession) -> str:
+    """Copies standard input to a file in the shared folder, a piece at a time, so that tasks can read it."""
+    at = new_folder(spark, "stdin")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/stdin.log")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    source = getattr(sys.stdin, "buffer", sys.stdin)
+    while piece := source.read(1 << 20):
+        out.write(bytearray(piece))
+    out.close()
+    return path.toString()
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="logweave", description=__doc__)
     parser.add_argument("-d", "--sources", action="append", required=True, help="a source root; may be given more than once")
-    parser.add_argument("-l", "--log", required=True, help="path of the log, in any store that Spark reads")
+    parser.add_argument("-l", "--log", help="path of the log, in any store that Spark reads; standard input if not given")
     parser.add_argument("-f", "--format", help="regular expression with a group named body")
     parser.add_argument("-s", "--start", type=int, default=0, help="lines to leave out")
     parser.add_argument("-c", "--count", type=int, help="records to map")
@@ -29,7 +42,9 @@ def main(argv: list[str] | None = None) -> int:
         for root in args.sources:
             engine.add_root(root)
         engine.refresh()
-        rows = engine.map_log(args.log, args.format, args.start, args.count)
+        for r in engine.unreadable.select("root", "path").toLocalIterator():
+            print(f"warning: cannot read {r.root}/{r.path}", file=sys.stderr)
+        rows = engine.map_log(args.log or _standard_input(spark), args.format, args.start, args.count)
         if args.output:
             rows.select("json").write.text(args.output)
         else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
 from pyspark.errors import PySparkException
@@ -12,41 +13,76 @@ from logweave.errors import CannotReadLog, NoLogMessages, NoLogStatements
 from logweave.functions.formats import LogFormat
 from logweave.operators import derive, emit, match, records
 from logweave.sources import catalog, lines, tree
+from logweave.tables import materialise
 
 KEYS = ["path", "rec_id"]
 
 
 class Engine:
-    """Keeps the statements of source roots and maps logs to them."""
+    """Keeps the statements of source roots and maps logs to them.
+
+    Every table that outlives a call is written, to the store or else to the session's shared folder, so what a call
+    returns doesn't depend on the state of files later on.
+    """
 
     def __init__(self, spark: SparkSession, store: str | None = None) -> None:
         self.spark, self.store = spark, store
         self.roots = tree.Roots()
-        self.snapshot = spark.createDataFrame([], tree.SNAPSHOT)
-        self.catalogue = spark.createDataFrame([], catalog.STATEMENTS)
+        #: Per root, by its place: snapshot and catalogue.
+        self.tables: dict[str, tuple[DataFrame, DataFrame]] = {}
+        #: Per root the id that its next new file gets; ids are never used again.
+        self.next_id: dict[str, int] = {}
+        self.unreadable = spark.createDataFrame([], "root string, path string, language string, file_id long")
 
     def add_root(self, root: str) -> None:
-        if self.roots.add(root) and self.store and (found := catalog.load(self.spark, self.store, self.roots.paths[-1])):
-            self.catalogue = self.catalogue.unionByName(found[0])
-            self.snapshot = self.snapshot.unionByName(found[1])
+        if not self.roots.add(root):
+            return
+        at = self.roots.paths[-1]
+        found = catalog.load(self.spark, self.store, at) if self.store else None
+        if found:
+            self.tables[at], self.next_id[at] = (found[1], found[0]), found[2]
+        else:
+            self.tables[at] = (self.spark.createDataFrame([], tree.SNAPSHOT), self.spark.createDataFrame([], catalog.STATEMENTS))
+            self.next_id[at] = 0
+
+    @property
+    def snapshot(self) -> DataFrame:
+        return self._all(0, tree.SNAPSHOT)
+
+    @property
+    def catalogue(self) -> DataFrame:
+        return self._all(1, catalog.STATEMENTS)
+
+    def _all(self, which: int, schema: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t[which] for t in self.tables.values()] or [self.spark.createDataFrame([], schema)])
 
     def refresh(self) -> DataFrame:
-        """Brings the catalogue in step with the roots; returns the change feed, cached."""
-        current = None
+        """Brings the catalogue in step with the roots; returns the change feed.
+
+        `unreadable` then has the files that could not be read and the entries that could not be listed.
+        """
+        listed = [self.spark.createDataFrame([], "root string, path string, kind string, language string, mtime timestamp")]
         for root in self.roots.paths:
             ignore = Path(root, ".gitignore")
-            listed = tree.list_tree(self.spark, root, ignore.read_text() if ignore.is_file() else None)
-            current = listed if current is None else current.unionByName(listed)
-        if current is None:
-            current = self.snapshot.drop("file_id").limit(0)
-        snapshot, feed = tree.sync(self.snapshot, current)
-        self.snapshot, feed = snapshot.cache(), feed.cache()
-        sources, self.unreadable = tree.read_sources(feed)
-        fresh = catalog.extract(sources)
-        self.catalogue = catalog.update(self.catalogue, feed, fresh).cache()
-        if self.store and catalog.summary(feed).first().changes:
-            for root in self.roots.paths:
-                catalog.save(self.catalogue, self.snapshot, self.store, root)
+            listed.append(tree.list_tree(self.spark, root, ignore.read_text(errors="replace") if ignore.is_file() else None))
+        current = materialise(reduce(DataFrame.unionByName, listed), "listed")
+        tops = self.spark.createDataFrame([(r, n - 1) for r, n in self.next_id.items()], "root string, top long")
+        snapshot, feed = tree.sync(self.snapshot, current, tops)
+        snapshot, feed = materialise(snapshot, "snapshot"), materialise(feed, "feed")
+        sources, unreadable = tree.read_sources(feed)
+        errors = current.where("kind = 'Error'").select("root", "path", "language", F.lit(None).cast("long").alias("file_id"))
+        self.unreadable = unreadable.unionByName(errors)
+        catalogue = materialise(catalog.update(self.catalogue, feed, catalog.extract(sources)), "catalogue")
+        counts = feed.groupBy("root").agg(F.count("*").alias("changes"), F.max("file_id").alias("top"))
+        changed = {r.root: r.top for r in counts.collect()}  # a row for each root
+        for root in self.roots.paths:
+            own = F.col("root") == root
+            self.next_id[root] = max(self.next_id[root], changed.get(root, -1) + 1)
+            if self.store and root in changed:
+                stored = catalog.save(catalogue, snapshot, self.store, root, self.next_id[root])
+                self.tables[root] = (stored[1], stored[0])
+            else:
+                self.tables[root] = (snapshot.where(own), catalogue.where(own))
         return feed
 
     @property
@@ -62,10 +98,10 @@ class Engine:
         made = records.assemble(found, fmt) if fmt else records.bare_records(found)
         if fmt and count is not None:
             made = records.first_records(made, count)
-        matched = match.match(records.parse(made, fmt), self.statements(), KEYS)
+        matched = match.match(records.parse(made, fmt), self.statements())
         files = self.catalogue.select(F.lit(0).alias("root_ord"), "source_path").distinct()
         traced = derive.with_call_sites(matched, files, KEYS)
-        return traced.withColumn("variables", derive.variables(F.col("body"), F.col("stmt")))
+        return traced.withColumn("variables", derive.variables(F.col("body"), F.col("stmt"), F.col("captured")))
 
     def map_log(self, path: str, fmt: str | None = None, start: int = 0, count: int | None = None) -> DataFrame:
         """JSON lines (path, first_line, json) of a log's mappings and of its lines that are no UTF-8."""
@@ -76,9 +112,14 @@ class Engine:
             found = lines.read_lines(self.spark, path)
         except PySparkException as e:
             raise CannotReadLog(f"cannot read log file {path}") from e
-        mapped = self.map_lines(found.where("ok"), parsed, start, count)
-        if parsed and mapped.isEmpty():
+        rows = self.map_found(found, parsed, start, count)
+        if parsed and rows.where("not failed").isEmpty():
             raise NoLogMessages("no log messages found in input")
+        return rows.drop("failed")
+
+    def map_found(self, found: DataFrame, fmt: LogFormat | None, start: int = 0, count: int | None = None) -> DataFrame:
+        """(path, first_line, json, failed) of the mappings of numbered lines, and of their lines that are no UTF-8."""
+        mapped = self.map_lines(found.where("ok"), fmt, start, count)
         bad = found.where(~F.col("ok") & (F.col("line_no") >= start))
-        rows = mapped.select("path", "first_line", emit.mapping_json(mapped).alias("json"))
-        return rows.unionByName(bad.select("path", F.col("line_no").alias("first_line"), emit.error_json(F.col("line_no") - start).alias("json")))
+        rows = mapped.select("path", "first_line", emit.mapping_json(mapped).alias("json"), F.lit(False).alias("failed"))
+        return rows.unionByName(bad.select("path", F.col("line_no").alias("first_line"), emit.error_json(F.col("line_no") - start).alias("json"), F.lit(True).alias("failed")))

@@ -38,42 +38,88 @@ def covered_by(path: Column, root: str) -> Column:
     return (path == root) | path.startswith(root + "/")
 
 
-def kind(path: Column, is_dir: Column, readable: Column) -> Column:
-    return F.when(~readable, "Error").when(is_dir, "Directory").when(language(path).isNotNull(), "File").otherwise("UnsupportedFile")
+def kind(path: Column, is_dir: Column, readable: Column, is_file: Column | None = None) -> Column:
+    """Error, Directory, Unknown (as a link, which is neither file nor folder), File or UnsupportedFile."""
+    found = F.when(~readable, "Error").when(is_dir, "Directory")
+    found = found if is_file is None else found.when(~is_file, "Unknown")
+    return found.when(language(path).isNotNull(), "File").otherwise("UnsupportedFile")
+
+
+def _ignore_pattern(rule: str) -> str | None:
+    """A glob rule as a pattern: * ? [...] within a component, ** over components, a backslash before a character as it is."""
+    out, at = [], 0
+    while at < len(rule):
+        c = rule[at]
+        if rule.startswith("**/", at) and (at == 0 or rule[at - 1] == "/"):
+            out.append("(?:.*/)?")
+            at += 3
+            continue
+        if rule.startswith("**", at):
+            out.append(".*")
+            at += 2
+            continue
+        if c == "[":
+            shut = rule.find("]", at + 2 + (rule[at + 1 : at + 2] in ("!", "^")))
+            if shut < 0:
+                return None
+            inner = rule[at + 1 : shut]
+            mark = "^" if inner[0] in "!^" else ""
+            inner = "".join("\\" + x if x in "\\[]&^~" else x for x in (inner[1:] if mark else inner))
+            out.append(f"[{mark}{inner}{'/' if mark else ''}]")
+            at = shut
+        elif c == "\\":
+            at += 1
+            if at == len(rule):
+                return None
+            out.append(re.escape(rule[at]))
+        else:
+            out.append("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c))
+        at += 1
+    try:
+        re.compile("".join(out))
+    except re.error:
+        return None
+    return "".join(out)
 
 
 def ignore_rules(text: str) -> list[tuple[bool, str]]:
     """Rules of an ignore file as (ignored, pattern over relative paths), in order; lines that make no rule are left out."""
     rules = []
     for line in text.splitlines():
-        line = line.rstrip()
+        while line.endswith((" ", "\t", "\r")) and not line.endswith("\\ "):
+            line = line[:-1]
         if not line or line.startswith("#"):
             continue
-        negated, line = line.startswith("!"), line.lstrip("!")
-        only_dir, line = line.endswith("/"), line.rstrip("/")
-        anchored, line = "/" in line, line.lstrip("/")
-        out, at = [], 0
-        while at < len(line):
-            if line.startswith("**/", at):
-                out.append("(?:.*/)?")
-                at += 3
-            elif line.startswith("**", at):
-                out.append(".*")
-                at += 2
-            else:
-                c = line[at]
-                out.append("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c))
-                at += 1
-        rules.append((not negated, f"^{'' if anchored else '(?:.*/)?'}{''.join(out)}{'/.*' if only_dir else '(?:/.*)?'}$"))
+        negated = line.startswith("!")
+        line = line[1:] if negated else line
+        only_dir, line = line.endswith("/"), line.removesuffix("/")
+        anchored, line = "/" in line, line.removeprefix("/")
+        pattern = _ignore_pattern(line)
+        if line and pattern is not None:
+            rules.append((not negated, f"{'' if anchored else '(?:.*/)?'}{pattern}{'/' if only_dir else '/?'}"))
     return rules
 
 
 def is_ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
-    """Whether the last rule that matches the path or one of its parents ignores it."""
-    found = F.lit(False)
-    for ignored, pattern in rules:
-        found = F.when(path.rlike(pattern), F.lit(ignored)).otherwise(found)
-    return found
+    """Whether the last rule that matches the path itself ignores it; else the path goes with its nearest parent that any rule matches.
+
+    Folders are told by a final slash.
+    """
+    if not rules:
+        return F.lit(False)
+    def decision(part: Column) -> Column:
+        found = F.lit(None).cast("boolean")
+        for ignored, pattern in rules:
+            found = F.when(part.rlike(rf"\A{pattern}\z"), F.lit(ignored)).otherwise(found)
+        return found
+
+    names = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "/$", ""), "/")
+    # The path itself, then its parents upwards, each as a folder.
+    parents = F.transform(F.sequence(F.size(names) - 1, F.lit(0), F.lit(-1)), lambda k: F.concat(F.array_join(F.slice(names, F.lit(1), k), "/"), F.lit("/")))
+    parents = F.filter(parents, lambda p: p != "/")
+    above = F.aggregate(parents, F.lit(None).cast("boolean"), lambda found, p: F.coalesce(found, decision(p)))
+    own = F.regexp_replace(path, "^/", "")
+    return F.coalesce(decision(own), above, F.lit(False))
 
 
 def find_suffix(path: Column, wanted: Column) -> Column:

@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import hashlib
 import logging
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions import paths
 from logweave.sources.extract import statements
+from logweave.tables import delete_folder
 
 log = logging.getLogger(__name__)
 
 #: Layout of stored catalogues; others are rebuilt.
-REVISION = 1
+REVISION = 2
 STATEMENTS = (
     "root string, file_id long, source_path string, language string, stmt_idx int, line_no int, end_line_no int, column int, name string, text string, quality int, "
     "pattern string, executable string, prefix string, args array<struct<kind:string,name:string,pos:int>>, vars array<string>, exprs array<string>"
@@ -70,6 +74,22 @@ def for_matching(catalogue: DataFrame, roots: list[str]) -> DataFrame:
     return catalogue.withColumns({"root_ord": order[F.col("root")], "file_name": paths.file_name(F.col("source_path"))})
 
 
+#: What makes two statements equal: their place, function, text and values.
+IDENTITY = ("line_no", "column", "name", "text", "vars")
+
+
+def same(one: str, two: str) -> Column:
+    """Whether two struct columns of statements are equal, whatever their files and templates."""
+    return reduce(Column.__and__, [F.col(f"{one}.{c}").eqNullSafe(F.col(f"{two}.{c}")) for c in IDENTITY])
+
+
+def display(stmt: str) -> Column:
+    """A statement struct in one line: line, column, text, function and values."""
+    part = lambda c: F.col(f"{stmt}.{c}")
+    quoted = F.concat(F.lit("["), F.array_join(F.transform(part("vars"), lambda v: F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))), ", "), F.lit("]"))
+    return F.format_string("[Line: %d, Col: %d] source `%s` name `%s` vars=%s", part("line_no"), part("column"), part("text"), part("name"), quoted)
+
+
 def of_file(catalogue: DataFrame, path: str) -> DataFrame:
     return catalogue.where(F.col("source_path") == path)
 
@@ -78,31 +98,52 @@ def cache_name(root: str) -> str:
     return f"cache.{hashlib.sha256(root.encode()).hexdigest()}"
 
 
-def save(catalogue: DataFrame, snapshot: DataFrame, folder: str, root: str) -> None:
-    """Stores a root's tables. The header is written last, so that a store cut short is not read."""
-    base = f"{folder}/{cache_name(root)}"
-    spark = catalogue.sparkSession
-    catalogue.where(F.col("root") == root).write.mode("overwrite").parquet(f"{base}/statements")
-    snapshot.where(F.col("root") == root).write.mode("overwrite").parquet(f"{base}/snapshot")
-    header = spark.createDataFrame([(REVISION, "parquet", root)], "revision int, format string, path string")
-    header.coalesce(1).write.mode("overwrite").json(f"{base}/header")
+_HEADER = "revision int, format string, path string, generation long, folder string, next_id long"
 
 
-def load(spark: SparkSession, folder: str, root: str) -> tuple[DataFrame, DataFrame] | None:
-    """A root's stored catalogue and snapshot; None if there is none, if it is of another revision or can't be read."""
-    base = f"{folder}/{cache_name(root)}"
+def _headers(spark: SparkSession, base: str) -> list:
+    """The store's headers, the newest first; none if there is no store or its headers can't be read."""
     try:
-        header = spark.read.schema("revision int, format string, path string").json(f"{base}/header").collect()
-    except PySparkException:
+        return spark.read.schema(_HEADER).json(f"{base}/header").where("generation is not null").orderBy(F.desc("generation")).collect()
+    except (PySparkException, Py4JJavaError):
+        return []
+
+
+def save(catalogue: DataFrame, snapshot: DataFrame, folder: str, root: str, next_id: int) -> tuple[DataFrame, DataFrame]:
+    """Stores a root's tables as a new generation and reads them back.
+
+    Each generation has folders of its own, so tables that were read from an earlier one stay readable. The header
+    that points to it is added last, by one rename, so a store cut short shows the generation before. Generations but
+    the newest two are deleted.
+    """
+    base = f"{folder}/{cache_name(root)}"
+    spark = catalogue.sparkSession
+    known = _headers(spark, base)
+    at = f"generation-{uuid.uuid4().hex}"
+    catalogue.where(F.col("root") == root).write.parquet(f"{base}/{at}/statements")
+    snapshot.where(F.col("root") == root).write.parquet(f"{base}/{at}/snapshot")
+    header = spark.createDataFrame([(REVISION, "parquet", root, known[0].generation + 1 if known else 0, at, next_id)], _HEADER)
+    header.coalesce(1).write.mode("append").json(f"{base}/header")
+    for old in known[1:]:
+        if old.folder:
+            delete_folder(spark, f"{base}/{old.folder}")
+    return spark.read.schema(STATEMENTS).parquet(f"{base}/{at}/statements"), spark.read.schema(snapshot.schema).parquet(f"{base}/{at}/snapshot")
+
+
+def load(spark: SparkSession, folder: str, root: str) -> tuple[DataFrame, DataFrame, int] | None:
+    """A root's stored catalogue, snapshot and next file id; None if there is none, if it is of another revision or can't be read."""
+    base = f"{folder}/{cache_name(root)}"
+    known = _headers(spark, base)
+    if not known:
         return None
-    if [r.revision for r in header] != [REVISION]:
+    if known[0].revision != REVISION:
         log.info("old catalogue entry for %s", root)
         return None
     try:
-        found = spark.read.parquet(f"{base}/statements"), spark.read.parquet(f"{base}/snapshot")
+        found = [spark.read.parquet(f"{base}/{known[0].folder}/{name}") for name in ("statements", "snapshot")]
         for table in found:
             table.write.format("noop").mode("overwrite").save()
-        return found
-    except PySparkException as e:
+        return found[0], found[1], known[0].next_id
+    except (PySparkException, Py4JJavaError) as e:
         log.warning("failed to read the stored catalogue of %s, building it again: %s", root, str(e)[:200])
         return None

@@ -13,17 +13,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     the lines before it, so a file of any size is numbered in parallel. A carriage return before the line feed is
     dropped; lines that are no UTF-8 have ok false and a null value.
     """
-    raw = spark.read.option("lineSep", "\n").text(path)
+    return number_lines(marked_lines(spark.read.option("lineSep", "\n").text(path)))
+
+
+def marked_lines(raw: DataFrame) -> DataFrame:
+    """Rows (path, block, value, ok) of lines as the text source gives them, at rest or as a stream."""
     ok = F.is_valid_utf8("value")
-    rows = raw.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+    return raw.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.when(ok, F.regexp_replace("value", r"\r\z", "")).alias("value"), ok.alias("ok"),
     )
-    return number_lines(rows)
 
 
 def number_lines(rows: DataFrame) -> DataFrame:
-    """Rows (path, block, at, ...) with line_no in the order of (block, at) within each path."""
+    """Rows (path, block, ...), read in order within blocks, with line_no in that order within each path."""
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
     counts = rows.groupBy("path", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("path", "block", F.coalesce(before, F.lit(0)).alias("before"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import paths
+from logweave.tables import materialise
 
 SNAPSHOT = "root string, path string, kind string, language string, mtime timestamp, file_id long"
 
@@ -38,20 +42,43 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def _list_below(root: str):
-    """Lists what lies below the folders of a batch, in the task; hidden names count, links are not followed."""
+_ENTRIES = "path string, is_dir boolean, is_file boolean, readable boolean, mtime timestamp"
+
+
+def _entries(where: fs.FileSystem, base: str, path: str) -> Iterator[tuple]:
+    """The entries of one folder, by names below the base. Links are neither files nor folders.
+
+    A folder that can't be listed gives one row for itself, not readable.
+    """
+    at = f"{base}/{path}" if path else base
+    name = lambda x: f"{path}/{x}" if path else x
+    try:
+        if isinstance(where, fs.LocalFileSystem):
+            with os.scandir(at) as found:
+                for e in found:
+                    try:
+                        known = e.stat(follow_symlinks=False)
+                        yield name(e.name), e.is_dir(follow_symlinks=False), e.is_file(follow_symlinks=False), True, datetime.fromtimestamp(known.st_mtime, timezone.utc)
+                    except OSError:
+                        yield name(e.name), False, False, False, None
+        else:
+            for e in where.get_file_info(fs.FileSelector(at)):
+                yield name(e.base_name), e.type == fs.FileType.Directory, e.type == fs.FileType.File, True, e.mtime
+    except OSError:
+        yield path, True, False, False, None
+
+
+def _list_folders(root: str):
+    """Lists the folders of a batch, each by itself, in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = filesystem(root)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                at = f"{base}/{path}"
-                found = [where.get_file_info(at)]
-                if found[0].type == fs.FileType.Directory:
-                    found += where.get_file_info(fs.FileSelector(at, recursive=True))
-                names = [f.path[len(base) + 1 :] for f in found]
-                times = pa.array([f.mtime for f in found], pa.timestamp("us", "UTC"))
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([f.type == fs.FileType.Directory for f in found]), times], names=["path", "is_dir", "mtime"])
+                rows = list(_entries(where, base, path))
+                types = (pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.timestamp("us", "UTC"))
+                columns = zip(*rows, strict=True) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "is_dir", "is_file", "readable", "mtime"])
 
     return run
 
@@ -59,29 +86,39 @@ def _list_below(root: str):
 def list_tree(spark: SparkSession, root: str, ignore: str | None = None) -> DataFrame:
     """(root, path, kind, language, mtime) of all files and folders below a root, paths relative to it.
 
-    The driver lists the root's own entries, tasks what lies below each. Folders of version control systems are left
-    out, as is what the root's own ignore rules (the text of its ignore file) name.
+    Level by level, tasks list the folders of the level before, each folder on its own. Folders of version control
+    systems and what the root's own ignore rules (the text of its ignore file) name are left out before they are
+    listed. Links are of kind Unknown and not followed; what can't be listed or looked up is of kind Error. A root
+    that is no folder has no entries.
     """
-    where, base = filesystem(root)
-    top = [(f.path[len(base) + 1 :],) for f in where.get_file_info(fs.FileSelector(base, allow_not_found=True))]
-    names = spark.createDataFrame(top, "path string")
     rules = paths.ignore_rules(ignore or "")
-    listed = names.repartition("path").mapInArrow(_list_below(root), "path string, is_dir boolean, mtime timestamp")
-    return classify(listed.where(~paths.is_vcs(F.col("path")) & ~paths.is_ignored(F.concat("path", F.when(F.col("is_dir"), "/").otherwise("")), rules)), F.lit(root))
+    wanted = ~paths.is_vcs(F.col("path")) & ~paths.is_ignored(F.concat("path", F.when(F.col("is_dir"), "/").otherwise("")), rules)
+    where, base = filesystem(root)
+    there = where.get_file_info(base).type == fs.FileType.Directory
+    folders = spark.createDataFrame([("",)] if there else [], "path string")
+    levels = [spark.createDataFrame([], _ENTRIES)]
+    while not folders.isEmpty():
+        level = folders.repartition("path").mapInArrow(_list_folders(root), _ENTRIES).where(wanted & (F.col("path") != ""))
+        levels.append(materialise(level, "tree-level"))
+        folders = levels[-1].where("is_dir and readable").select("path")
+    rows = reduce(DataFrame.union, levels)
+    # A folder that turned out not to be readable counts once, as such.
+    return classify(rows.groupBy("path").agg(F.max("is_dir").alias("is_dir"), F.max("is_file").alias("is_file"), F.min("readable").alias("readable"), F.max("mtime").alias("mtime")), F.lit(root))
 
 
 def classify(rows: DataFrame, root: Column) -> DataFrame:
-    """Rows (path, is_dir, mtime) with kind and language."""
-    kind = paths.kind(F.col("path"), F.col("is_dir"), F.lit(True))
+    """Rows (path, is_dir, is_file, readable, mtime) with kind and language."""
+    kind = paths.kind(F.col("path"), F.col("is_dir"), F.col("readable"), F.col("is_file"))
     return rows.select(root.alias("root"), "path", kind.alias("kind"), F.when(kind == "File", paths.language(F.col("path"))).alias("language"), "mtime")
 
 
-def sync(previous: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sync(previous: DataFrame, current: DataFrame, tops: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The new snapshot with file ids and the change feed (event, root, path, language, file_id).
 
     A file is unchanged if its modification time is; otherwise the old id is deleted and the path gets a new one. New
-    ids follow the largest id ever used in the root, in the order of path components; deletions come first. Ids are
-    dealt by ranks within hash ranges of paths, so no root has to be ordered in one task.
+    ids follow the largest id ever used in the root, in the order of path components; deletions come first. `tops`
+    (root, top) has those largest ids; without it they are those of the previous snapshot. Ids are
+    dealt by ranks within leading path components, so no root has to be ordered in one task.
     """
     old, new = previous.alias("old"), current.alias("new")
     joined = old.join(new, (F.col("old.root") == F.col("new.root")) & (F.col("old.path") == F.col("new.path")), "full_outer")
@@ -92,7 +129,7 @@ def sync(previous: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]
         F.col("old.kind").alias("old_kind"), F.col("old.language").alias("old_language"), F.col("old.file_id").alias("old_id"),
         (F.col("new.path").isNotNull() & F.coalesce(same, F.lit(False))).alias("kept"),
     )
-    top = previous.groupBy("root").agg(F.max("file_id").alias("top"))
+    top = previous.groupBy("root").agg(F.max("file_id").alias("top")) if tops is None else tops
     fresh = pairs.where("kind = 'File' and not kept")
     ids = number(fresh.select("root", "path"), "root", F.split("path", "/"))
     ids = ids.join(top, "root", "left").select("root", "path", (F.coalesce("top", F.lit(-1)) + F.col("rank")).alias("new_id"))
@@ -138,8 +175,8 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_sources(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Contents of the feed's new files, and rows for those that can't be read or aren't UTF-8; both are read in tasks."""
+    """Contents of the feed's new files, and rows for those that can't be read or aren't UTF-8; each is read once, in tasks."""
     new = feed.where("event = 'NewFile'").select("root", "path", "language", "file_id").repartition("root", "path")
-    found = new.mapInArrow(_read_files, "root string, path string, language string, file_id long, bytes binary")
+    found = materialise(new.mapInArrow(_read_files, "root string, path string, language string, file_id long, bytes binary"), "sources")
     good = F.col("bytes").isNotNull() & F.is_valid_utf8(F.col("bytes").cast("string"))
     return found.where(good).select("root", "path", "language", "file_id", F.col("bytes").cast("string").alias("content")), found.where(~good).drop("bytes")
