@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # What stands for a logged value in a template, by language.
 PLACEHOLDERS = {
     "Rust": r"\{(?:([a-zA-Z_][a-zA-Z0-9_.]*)|(\d+))?\s*(?::[^}]*)?}",
@@ -120,3 +123,40 @@ def expressions(args: tuple[Arg, ...], names: list[str]) -> list[str]:
         else:
             out.append(next(following, UNKNOWN))
     return out
+
+
+#: Placeholders that name what they stand for: groups of a name and of a position in the patterns.
+_NAMES, _POSITIONS = ("Rust", "C++", "Java"), ("Rust", "C++")
+
+
+def _by_language(language: Column, made) -> Column:
+    out = F.lit(None)
+    for k in PLACEHOLDERS:
+        out = F.when(language == k, made(k)).otherwise(out)
+    return out
+
+
+def arg_count(text: Column, language: Column) -> Column:
+    """How many values a template logs."""
+    return _by_language(language, lambda k: F.regexp_count(text, F.lit(PLACEHOLDERS[k])))
+
+
+def arg_kinds(text: Column, language: Column) -> Column:
+    """array<struct<kind, name, pos>> of a template's placeholders, as `Arg` has them."""
+
+    def of(k: str) -> Column:
+        group = lambda g: F.regexp_extract_all(text, F.lit(PLACEHOLDERS[k]), F.lit(g))
+        names = group(1) if k in _NAMES else F.transform(group(0), lambda x: F.lit(""))
+        places = group(2) if k in _POSITIONS else F.transform(group(0), lambda x: F.lit(""))
+        kind = lambda n, p: F.when(n != "", "Named").when(p != "", "Positional").otherwise("Placeholder")
+        return F.zip_with(names, places, lambda n, p: F.struct(kind(n, p).alias("kind"), F.nullif(n, F.lit("")).alias("name"), p.try_cast("int").alias("pos")))
+
+    return _by_language(language, of)
+
+
+def quality(text: Column, language: Column) -> Column:
+    """The characters of a template's escaped literal text but white space, for literals that aren't raw."""
+    rest = _by_language(language, lambda k: F.regexp_replace(text, PLACEHOLDERS[k], ""))
+    for pattern, chars in ((r"\\(?:[0-7]{3}|0)", 4), (r"\\N\{[^}]+}", 2), (r"[.*+?^${}()|\[\]\n\r\t]", 2)):
+        rest = F.regexp_replace(rest, pattern, "x" * chars)
+    return F.length(F.regexp_replace(rest, r"(?U)\s", ""))

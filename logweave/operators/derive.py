@@ -7,36 +7,51 @@ from pyspark.sql import functions as F
 
 from logweave.functions import paths
 
-# Frames of stack traces.
-JAVA_FRAME = r"\s+at\s((?:[a-zA-Z_$][a-zA-Z0-9_$]*\.)*)([a-zA-Z_$][a-zA-Z0-9_$]*)\.([^(]+)\(([^:]+):(\d+)\)"
-PYTHON_FRAME = r"  File \"([^\"]+)\", line (\d+), in (\S+)"
+# Frames of stack traces. A class name has no $, so a frame of an inner class is named from its class on.
+JAVA_FRAME = r"(?m)^\s+at\s+((?:[^.\n(]+\.)*)([^.$\n(]+)\.(\S+)\(([^:]+):(\d+)\)\s*$"
+PYTHON_FRAME = r"(?m)^\s+File\s+\"([^\"]+)\",\s+line\s+(\d+),\s+in\s+([^\n]+)$"
 
 
-def variables(body: Column, stmt: Column) -> Column:
-    """array<struct<expr, value>> of the values that the statement's template captures, in order; empty without a match."""
+def variables(body: Column, stmt: Column, captured: Column | None = None) -> Column:
+    """array<struct<expr, value>> of the values that the statement's template captures, in order; empty without a match.
+
+    `captured` has the values where matching has found them already.
+    """
     n = F.size(stmt["exprs"])
-    values = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at(stmt["exprs"], i).alias("expr"), F.call_function("regexp_extract", body, stmt["executable"], i).alias("value")))
+    if captured is None:
+        captured = F.transform(F.sequence(F.lit(1), n), lambda i: F.call_function("regexp_extract", body, stmt["executable"], i))
+    values = F.zip_with(stmt["exprs"], captured, lambda e, v: F.struct(e.alias("expr"), v.alias("value")))
     empty = F.array().cast("array<struct<expr:string,value:string>>")
     return F.when(stmt.isNotNull() & (n > 0), values).otherwise(empty)
 
 
+def resolve(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """(wanted, source_path): the file that each relative path means, for those that mean one.
+
+    Its last component is the file's name and the others are folders above it, in order; folders may lie between them.
+    Of several files the first root's counts, of these one without folders between, then the first by path.
+    """
+    known = files.select("root_ord", "source_path", paths.file_name(F.col("source_path")).alias("file_name"))
+    named = wanted.select("wanted", F.regexp_extract("wanted", r"([^/]+)$", 1).alias("file_name")).distinct()
+    gaps = F.concat(F.lit(r"(?s)(?:^|/)\Q"), F.replace("wanted", F.lit("/"), F.lit(r"\E/(?:.*/)?\Q")), F.lit(r"\E$"))
+    found = named.withColumn("gaps", gaps).join(known, "file_name").withColumn("direct", paths.find_suffix(F.col("source_path"), F.col("wanted"))).where(F.col("direct") | F.expr("source_path rlike gaps"))
+    return found.groupBy("wanted").agg(F.min(F.struct("root_ord", ~F.col("direct"), "source_path")).alias("at")).select("wanted", "at.source_path")
+
+
 def call_sites(traces: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, name, source_path, language, line_no) of the frames of `trace`, for rows with a trace.
 
-    A Java frame is resolved to a file whose path ends with its package and file, the first by root and path; frames
-    that no file resolves are left out. Python frames state their path. Other languages have no frames.
+    A Java frame is resolved to a file by its package and file name; frames that no file resolves are left out. Python
+    frames state their path. Other languages have no frames.
     """
     java = traces.where("trace_language = 'Java'")
     group = lambda k: F.regexp_extract_all("trace", F.lit(JAVA_FRAME), F.lit(k))
     frames = java.select(*keys, F.posexplode(F.arrays_zip(group(1).alias("pkg"), group(3).alias("name"), group(4).alias("file"), group(5).alias("line"))).alias("pos", "frame"))
-    frames = frames.select(*keys, "pos", F.concat(F.replace("frame.pkg", F.lit("."), F.lit("/")), "frame.file").alias("wanted"), F.col("frame.file").alias("file_name"), "frame.name", "frame.line")
-    known = files.select("root_ord", "source_path", paths.file_name(F.col("source_path")).alias("file_name"))
-    found = frames.join(known, "file_name").where(paths.find_suffix(F.col("source_path"), F.col("wanted")))
-    first = found.groupBy(*keys, "pos", "name", "line").agg(F.min(F.struct("root_ord", "source_path")).alias("at"))
-    resolved = first.select(*keys, "pos", "name", F.col("at.source_path").alias("source_path"), F.lit("Java").alias("language"), F.col("line").cast("int").alias("line_no"))
+    frames = frames.select(*keys, "pos", F.concat(F.replace("frame.pkg", F.lit("."), F.lit("/")), "frame.file").alias("wanted"), "frame.name", "frame.line")
+    resolved = frames.join(resolve(frames, files), "wanted").select(*keys, "pos", "name", "source_path", F.lit("Java").alias("language"), F.col("line").try_cast("int").alias("line_no"))
     group = lambda k: F.regexp_extract_all("trace", F.lit(PYTHON_FRAME), F.lit(k))
     stated = traces.where("trace_language = 'Python'").select(*keys, F.posexplode(F.arrays_zip(group(1).alias("path"), group(2).alias("line"), group(3).alias("name"))).alias("pos", "frame"))
-    return resolved.unionByName(stated.select(*keys, "pos", "frame.name", F.col("frame.path").alias("source_path"), F.lit("Python").alias("language"), F.col("frame.line").cast("int").alias("line_no")))
+    return resolved.unionByName(stated.select(*keys, "pos", "frame.name", F.col("frame.path").alias("source_path"), F.lit("Python").alias("language"), F.col("frame.line").try_cast("int").alias("line_no")))
 
 
 def with_call_sites(matched: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:

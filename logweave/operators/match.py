@@ -1,70 +1,210 @@
-"""Matching records to the statements that may have written them."""
+"""Matching records to the statements that may have written them, in one pass over the records."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-#: Leading characters of bodies and literals that are joined on; shorter literals are compared with all bodies.
+#: Leading characters of bodies and literals by which statements are looked up.
 KEY_CHARS = 8
-#: Most statements, some 500 bytes each, that are broadcast.
-BROADCAST_STATEMENTS = 100_000
+#: Characters of a literal in any place by which the other statements are looked up.
+GRAM = 4
+#: A slice of the catalogue that tasks hold: statements, and bytes of their columns.
+SLICE_STATEMENTS, SLICE_BYTES = 200_000, 64 << 20
 
 #: Columns of a statement that a match carries.
 STATEMENT = ("root_ord", "source_path", "stmt_idx", "language", "line_no", "end_line_no", "column", "name", "text", "quality", "pattern", "executable", "args", "vars", "exprs")
-
-
-def _side(statements: DataFrame) -> DataFrame:
-    """Statements to be broadcast if they are few; else Spark joins them by shuffling."""
-    return F.broadcast(statements) if statements.limit(BROADCAST_STATEMENTS + 1).count() <= BROADCAST_STATEMENTS else statements
-
-
-def fits(body: str, prefix: str, executable: str) -> Column:
-    """Whether a body is of a statement's template: the literal beginning is compared before the pattern."""
-    return F.col(body).startswith(F.col(prefix)) & F.expr(f"{body} rlike {executable}")
-
-
-def by_text(records: DataFrame, statements: DataFrame, extra: Column | None = None) -> DataFrame:
-    """All (record, statement) pairs that fit.
-
-    Statements with a literal beginning of KEY_CHARS join on it by hash; only those that begin with a value or a
-    short literal meet every body, with a bounded broadcast.
+_CAPTURED = "captured array<string>"
+
+
+_PIECE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\[0-7]{1,3}|\\.|[^\\]", re.S)
+
+
+def literals(executable: str) -> list[str]:
+    """The stretches of literal text between the values and escapes of an executable pattern."""
+    inner = executable.removeprefix("(?s)").removeprefix("\\A").removesuffix("\\z")
+    out = []
+    for part in inner.split("(.+)"):
+        run = ""
+        for piece in _PIECE.findall(part):
+            if len(piece) == 1 or (len(piece) == 2 and piece[1] in ".*+?^${}()|[]"):
+                run += piece[-1]
+            else:
+                out.append(run)
+                run = ""
+        out.append(run)
+    return [run for run in out if run]
+
+
+class Index:
+    """Statements of a slice, found by the beginning of a body or by a rare piece of their literal text."""
+
+    def __init__(self, table: pa.Table, known: set[tuple[int, str]]) -> None:
+        self.known = known
+        self.prefixes, self.executables = table.column("prefix").to_pylist(), table.column("executable").to_pylist()
+        self.roots, self.paths, self.names = (table.column(c).to_pylist() for c in ("root_ord", "source_path", "file_name"))
+        self.order, self.quality = table.column("stmt_idx").to_pylist(), table.column("quality").to_pylist()
+        self.compiled: dict[int, re.Pattern] = {}
+        self.by_prefix: dict[str, list[int]] = {}
+        self.by_gram: dict[str, list[tuple[str, int]]] = {}
+        self.others: list[int] = []
+        loose = []
+        for i, prefix in enumerate(self.prefixes):
+            if len(prefix) >= KEY_CHARS:
+                self.by_prefix.setdefault(prefix[:KEY_CHARS], []).append(i)
+            elif len(longest := max(literals(self.executables[i]), key=len, default="")) >= GRAM:
+                loose.append((i, longest))
+            else:
+                self.others.append(i)
+        counts = Counter(g for _, text in loose for g in {text[k : k + GRAM] for k in range(len(text) - GRAM + 1)})
+        for i, text in loose:
+            gram = min((text[k : k + GRAM] for k in range(len(text) - GRAM + 1)), key=lambda g: (counts[g], g))
+            self.by_gram.setdefault(gram, []).append((text, i))
+
+    def fitting(self, body: str, hint: str | None) -> Iterator[tuple[int, re.Match]]:
+        """Statements whose template the body fits, among those that the file hint leaves."""
+        found = [i for i in self.by_prefix.get(body[:KEY_CHARS], ()) if body.startswith(self.prefixes[i])]
+        if self.by_gram:
+            for gram in {body[k : k + GRAM] for k in range(len(body) - GRAM + 1)} & self.by_gram.keys():
+                found += [i for text, i in self.by_gram[gram] if text in body]
+        found += self.others
+        for i in found:
+            if hint is not None and not (self.names[i] == hint if (self.roots[i], hint) in self.known else hint in self.paths[i]):
+                continue
+            pattern = self.compiled.get(i)
+            if pattern is None:
+                pattern = self.compiled[i] = re.compile(self.executables[i].removesuffix("\\z") + "\\Z")
+            if m := pattern.match(body):
+                yield i, m
+
+    def per_file(self, body: str, hint: str | None, best_in_file: bool) -> list[tuple[tuple, int, re.Match]]:
+        """Of each file the first statement that fits, or its best: (place among the files, statement, match)."""
+        won: dict[tuple[int, str], tuple[tuple, int, re.Match]] = {}
+        for i, m in self.fitting(body, hint):
+            rank = (-self.quality[i], self.order[i]) if best_in_file else (self.order[i],)
+            file = (self.roots[i], self.paths[i])
+            if file not in won or rank < won[file][0]:
+                won[file] = (rank, i, m)
+        return [((root, -self.quality[i], path, self.order[i]), i, m) for (root, path), (_, i, m) in won.items()]
+
+
+class _Slice:
+    """A part of the catalogue as it travels to the tasks: the statements of whole files, and all names of files."""
+
+    def __init__(self, table: pa.Table, known: list[tuple[int, str]]) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.data, self.known = sink.getvalue().to_pybytes(), known
+
+    def opened(self) -> tuple[pa.Table, Index]:
+        if not hasattr(self, "_opened"):
+            table = pa.ipc.open_stream(self.data).read_all().combine_chunks()
+            self._opened = (table, Index(table, set(map(tuple, self.known))))
+        return self._opened
+
+    def __getstate__(self) -> dict:
+        return {"data": self.data, "known": self.known}
+
+
+def slices(statements: DataFrame) -> Iterator[Broadcast]:
+    """The catalogue in broadcast slices of bounded size; the driver holds one at a time.
+
+    A file's statements lie in one slice. A catalogue grows with the source code, not with the logs; the slices grow in
+    number with it, and each costs one more pass through the records that are in a task anyway.
     """
-    keyed = statements.where(F.length("prefix") >= KEY_CHARS).withColumn("lw_key", F.left("prefix", F.lit(KEY_CHARS)))
-    loose = statements.where(F.length("prefix") < KEY_CHARS)
-    on = fits("body", "prefix", "executable") if extra is None else fits("body", "prefix", "executable") & extra
-    one = records.withColumn("lw_key", F.left("body", F.lit(KEY_CHARS))).join(_side(keyed), "lw_key").where(on).drop("lw_key")
-    return one.unionByName(records.join(_side(loose), on))
-
-
-def candidates(records: DataFrame, statements: DataFrame) -> DataFrame:
-    """Pairs by the three ways of a record's file hint, each taken per root.
-
-    A hint that is the name of a known file looks at files of that name alone, whether or not one fits; any other
-    hint looks at files whose path contains it; without a hint all files are looked at.
-    """
-    names = statements.select("root_ord", F.col("file_name").alias("known_name")).where("known_name is not null").distinct()
-    hinted = records.where("file is not null and body is not null")
-    exact = hinted.join(statements, F.col("file") == F.col("file_name")).where(fits("body", "prefix", "executable"))
-    part = by_text(hinted, statements, F.contains("source_path", "file"))
-    part = part.join(names.withColumnRenamed("root_ord", "known_root"), (F.col("file") == F.col("known_name")) & (F.col("root_ord") == F.col("known_root")), "left_anti")
-    free = by_text(records.where("file is null and body is not null"), statements)
-    return exact.unionByName(part).unionByName(free)
-
-
-def rank(pairs: DataFrame, keys: list[str], best_in_file: bool = False) -> DataFrame:
-    """The statement of each record as struct `stmt`: of each file the first that fits, of these the best of the first root.
-
-    Ties of quality are broken by path. With `best_in_file` a file's best statement counts instead of its first.
+    columns = [*STATEMENT, "prefix", "file_name"]
+    text = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("source_path", "name", "text", "pattern", "executable")), F.lit(100))
+    text = text + F.coalesce(F.aggregate(F.concat("vars", "exprs"), F.lit(0), lambda n, x: n + F.length(x)), F.lit(0))
+    measured = statements.agg(F.count("*").alias("n"), F.sum(text).alias("bytes")).first()
+    parts = max(1, -(-measured.n // SLICE_STATEMENTS), -(-(measured.bytes or 0) // SLICE_BYTES))
+    names = statements.where("file_name is not null").select("root_ord", "file_name").distinct()
+    known = [tuple(r) for r in names.collect()]
+    for k in range(parts):
+        some = statements if parts == 1 else statements.where(F.pmod(F.xxhash64("source_path"), F.lit(parts)) == k)
+        yield statements.sparkSession.sparkContext.broadcast(_Slice(some.select(*columns).toArrow(), known))
+
+
+def _winners(shared: Broadcast, columns: list[str], first: bool, best_in_file: bool):
+    """A pass that adds to each record its best statement of a slice, unless an earlier slice had a better one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, index = shared.value.opened()
+        statements = pa.StructArray.from_arrays([table.column(c).chunk(0) if table.num_rows else pa.array([], table.column(c).type) for c in STATEMENT], names=list(STATEMENT))
+        for batch in batches:
+            n = batch.num_rows
+            bodies, hints = batch.column(columns.index("body")).to_pylist(), batch.column(columns.index("file")).to_pylist()
+            before = [None] * n if first else batch.column(len(columns)).to_pylist()
+            places, captured, better = np.full(n, -1, np.int64), [None] * n, np.zeros(n, bool)
+            for r, (body, hint) in enumerate(zip(bodies, hints, strict=True)):
+                if body is None:
+                    continue
+                won = min(index.per_file(body, hint, best_in_file), default=None, key=lambda w: w[0])
+                old = before[r]
+                if won and (old is None or won[0] < (old["root_ord"], -old["quality"], old["source_path"], old["stmt_idx"])):
+                    places[r], captured[r], better[r] = won[1], list(won[2].groups()), True
+            stmt = statements.take(pa.array(places, pa.int64(), mask=places < 0))
+            values = pa.array(captured, pa.list_(pa.string()))
+            if not first:
+                stmt = pc.if_else(pa.array(better), stmt, batch.column(len(columns)).cast(stmt.type))
+                values = pc.if_else(pa.array(better), values, batch.column(len(columns) + 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], stmt, values], names=[*columns, "stmt", "captured"])
+
+    return run
+
+
+def match(records: DataFrame, statements: DataFrame, best_in_file: bool = False) -> DataFrame:
+    """Every record with its statement `stmt`, null where none fits, and `captured`, the values of its template.
+
+    A hint (`file`) that is the name of a known file of a root looks at that root's files of that name alone, whether or
+    not one fits; any other hint looks at files whose path contains it; without a hint all files are looked at. Of each
+    file the first statement that fits counts (with `best_in_file` the best); of these the best of the first root,
+    ties of quality broken by path.
+
+    Records pass through tasks once and are not shuffled; statements come to them in bounded slices, indexed by their
+    literal text, with each pattern compiled once. Nothing depends on keys of records, so repeated rows stay as they are.
     """
-    stmt = F.struct(*STATEMENT)
-    first = F.struct(-F.col("quality") if best_in_file else F.col("stmt_idx"), F.col("stmt_idx"))
-    per_file = pairs.groupBy(*keys, "root_ord", "source_path").agg(F.min_by(stmt, first).alias("stmt"))
-    return per_file.groupBy(*keys).agg(F.min_by("stmt", F.struct("stmt.root_ord", -F.col("stmt.quality"), "stmt.source_path", "stmt.stmt_idx")).alias("stmt"))
-
-
-def match(records: DataFrame, statements: DataFrame, keys: list[str] | None = None, best_in_file: bool = False) -> DataFrame:
-    """Every record with its statement `stmt`, null where none fits."""
-    keys = keys or ["path", "rec_id"]
-    won = rank(candidates(records, statements), keys, best_in_file)
-    return records.join(won, keys, "left")
+    columns = records.columns
+    out = records
+    described = statements.select(F.struct(*STATEMENT).alias("stmt")).schema["stmt"].dataType
+    schema = StructType([*records.schema.fields, StructField("stmt", described), *StructType.fromDDL(_CAPTURED).fields])
+    for k, shared in enumerate(slices(statements)):
+        out = out.mapInArrow(_winners(shared, columns, k == 0, best_in_file), schema)
+    return out
+
+
+def first_in_files(records: DataFrame, statements: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, root_ord, source_path, stmt_idx) of the first statement of each file that fits a record."""
+    given = records.select(*keys, "body", "file")
+    schema = StructType([*records.select(*keys).schema.fields, *StructType.fromDDL("root_ord int, source_path string, stmt_idx int").fields])
+
+    def pass_of(shared: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, index = shared.value.opened()
+            for batch in batches:
+                rows, out = [], []
+                for r, (body, hint) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True)):
+                    for (root, _, path, order), *_ in index.per_file(body, hint, False) if body is not None else ():
+                        rows.append(r)
+                        out.append((root, path, order))
+                found = zip(*out, strict=True) if out else ([], [], [])
+                types = (pa.int32(), pa.string(), pa.int32())
+                columns = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[: len(keys)]] + [pa.array(c, t) for c, t in zip(found, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "root_ord", "source_path", "stmt_idx"])
+
+        return run
+
+    passes = [given.mapInArrow(pass_of(shared), schema) for shared in slices(statements)]
+    out = passes[0]
+    for more in passes[1:]:
+        out = out.union(more)
+    return out

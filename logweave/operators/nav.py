@@ -15,6 +15,12 @@ def set_breakpoints(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     return wanted.join(counts, "path", "left").select("path", "ord", "line", ((F.col("line") > 0) & (F.col("line") < F.coalesce("n_lines", F.lit(2**31 - 1)))).alias("verified"))
 
 
+def has_breakpoints(logs: DataFrame, breakpoints: DataFrame) -> DataFrame:
+    """(path, has_breakpoints) of the logs, whether any breakpoint is set in them."""
+    some = breakpoints.groupBy("path").agg(F.count("*").alias("n"))
+    return logs.select("path").distinct().join(some, "path", "left").select("path", F.col("n").isNotNull().alias("has_breakpoints"))
+
+
 def step(line: Column, n_lines: Column, by: int) -> Column:
     """The line `by` lines on or back, within the log."""
     return F.greatest(F.lit(1), F.least(n_lines, line + by))

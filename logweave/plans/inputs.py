@@ -69,9 +69,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("request "), event, F.lit(" failed"), F.when(third == 0, java).when(third == 1, python).otherwise("")))
     )
     content = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), level, F.lit(" "), file, F.lit(":"), (F.col("user_id") % 90 + 10).cast("string"), F.lit(" ["), user, F.lit("] "), message)
-    lines = e.select(F.lit("app.log").alias("path"), F.col("event_id").alias("rec_id"), F.col("event_id").cast("int").alias("first_line"), content.alias("content"))
-    # Records come out of an aggregate, as assembly leaves them; without it, filters would write out the rendering again and again.
-    return lines.groupBy("path", "rec_id").agg(F.min("first_line").alias("first_line"), F.max("content").alias("content"))
+    return e.select(F.lit("app.log").alias("path"), F.col("event_id").alias("rec_id"), F.col("event_id").cast("int").alias("first_line"), content.alias("content"))
 
 
 _MESSAGE = r"""CASE event_type
@@ -110,11 +108,10 @@ def statements_sql() -> str:
 def match_sql(hint: str = "file", best: bool = False, where: str = "TRUE") -> str:
     """CTEs l, s, and m with the statement of each record."""
     order = "quality DESC, stmt_idx" if best else "stmt_idx"
-    pick = {
-        "file": """(file = file_name) OR (file <> file_name AND contains(source_path, file)
-      AND NOT EXISTS (SELECT 1 FROM s s2 WHERE s2.root_ord = s.root_ord AND s2.file_name = l.file))""",
-        "none": "TRUE",
-    }[hint]
+    by_file = """(file = file_name) OR (file <> file_name AND contains(source_path, file)
+      AND NOT EXISTS (SELECT 1 FROM s s2 WHERE s2.root_ord = s.root_ord AND s2.file_name = l.file))"""
+    # "some": records of odd ids have their hint, the others none.
+    pick = {"file": by_file, "none": "TRUE", "some": f"rec_id % 2 = 0 OR ({by_file})"}[hint]
     return f"""WITH {LOG_SQL}, {statements_sql()}, c AS (
   SELECT rec_id, s.* FROM l, s WHERE ({where}) AND ({pick}) AND regexp_matches(body, executable)
 ), f AS (

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.functions import paths
-from logweave.functions.templates import PLACEHOLDERS, compile_template
-from logweave.operators import derive, match, nav, records
+from logweave.functions import paths, templates, tokens
+from logweave.functions.templates import PLACEHOLDERS
+from logweave.operators import derive, emit, match, nav, records
 from logweave.plans import inputs
 from logweave.sources import catalog, lines, tree
 
@@ -173,31 +175,112 @@ def q_find_suffix(spark, sf_dir):
 
 # Templates.
 
-_LITERALS = sorted({(t[2], t[5]) for t in inputs.TEMPLATES} | {("C++", "they are {0:d} years, %5.2f%% done"), ("Rust", "abc {main_path:?} def {2}"), ("Java", "a.b (c) [d] {}")})
-_LITERAL_SQL = "t(language, template) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _LITERALS) + ")"
-_RE2 = {k: v.replace("'", "''") for k, v in PLACEHOLDERS.items()}
-_SPLIT_SQL = "CASE language " + " ".join(f"WHEN '{k}' THEN regexp_split_to_array(template, '{v.replace('(', '(?:').replace('(?:?:', '(?:')}')" for k, v in _RE2.items()) + " END"
+#: What parts' names are logged with: language and the rest of the template, by part.
+_ENDINGS = [
+    ("Rust", " costs {}"), ("Rust", ": {price:>8.2} of {0} (a.b) [c]"), ("Java", " x {} of {id}"), ("Java", r" \{count()}!"),
+    ("C++", " %5.2f%% of %s"), ("C++", " {} {name} {12:d}"), ("Python", " %r\\n + %08.3f"), ("Python", " | plain"),
+]
+_TEMPLATE_SQL = "t AS (SELECT p_partkey, CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, _) in enumerate(_ENDINGS)) + " END AS language, p_name || CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(_ENDINGS)) + " END AS template FROM part)"
 
 
-@query(f"WITH {_LITERAL_SQL} SELECT language, template, len({_SPLIT_SQL}) - 1 AS n_args FROM t")
+def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = (F.col("p_partkey") % len(_ENDINGS) + 1).cast("int")
+    language, ending = (F.element_at(F.array(*[F.lit(e[k]) for e in _ENDINGS]), at) for k in range(2))
+    return table(spark, sf_dir, "part").select("p_partkey", language.alias("language"), F.concat("p_name", ending).alias("template"))
+
+
+def _split_sql(made: Callable[[str], str]) -> str:
+    return "CASE language " + " ".join(f"WHEN '{k}' THEN {made(v.replace(chr(39), chr(39) * 2))}" for k, v in PLACEHOLDERS.items()) + " END"
+
+
+@query(f"WITH {_TEMPLATE_SQL} SELECT p_partkey, language, template, {_split_sql(lambda v: f'len(regexp_extract_all(template, {chr(39)}{v}{chr(39)}))')} AS n_args FROM t")
 def q_placeholder_split(spark, sf_dir):
-    """How many values a template logs."""
-    made = [(a, b, len(compile_template(b, a).args)) for a, b in _LITERALS]
-    return spark.createDataFrame(made, "language string, template string, n_args long")
+    """How many values templates log."""
+    return _templates(spark, sf_dir).withColumn("n_args", templates.arg_count(F.col("template"), F.col("language")).cast("long"))
 
 
-@query(f"WITH {_LITERAL_SQL}, s AS (SELECT language, template, regexp_replace(array_to_string({_SPLIT_SQL}, ''), '\\s', '', 'g') AS x FROM t) SELECT language, template, length(x) + length(regexp_replace(x, '[^].*+?^$(){{}}|[]', '', 'g')) AS quality FROM s")
+@query(
+    f"WITH {_TEMPLATE_SQL}, s AS (SELECT *, {_split_sql(lambda v: f'regexp_replace(template, {chr(39)}{v}{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')} AS x FROM t) "
+    r"SELECT p_partkey, template, length(regexp_replace(x, '\s', '', 'g')) + length(regexp_replace(x, '[^].*+?^$(){}|[]', '', 'g')) AS quality FROM s"
+)
 def q_quality(spark, sf_dir):
-    """Characters of a template's escaped literal text but white space."""
-    made = [(a, b, compile_template(b, a).quality) for a, b in _LITERALS]
-    return spark.createDataFrame(made, "language string, template string, quality long")
+    """Characters of templates' escaped literal text but white space."""
+    return _templates(spark, sf_dir).select("p_partkey", "template", templates.quality(F.col("template"), F.col("language")).cast("long").alias("quality"))
 
 
-@query("SELECT * FROM (VALUES ('{}', 'Placeholder', NULL, NULL), ('{name}', 'Named', 'name', NULL), ('{0}', 'Positional', NULL, 0), ('{x:?}', 'Named', 'x', NULL)) v(template, kind, name, pos)")
+@query(
+    "SELECT p_partkey, k.pos AS at, k.kind, k.name, k.place FROM part JOIN (VALUES (0, 0, 'Placeholder', NULL, NULL), (1, 0, 'Named', 'price', NULL), (1, 1, 'Positional', NULL, 0), (2, 0, 'Placeholder', NULL, NULL), (2, 1, 'Placeholder', NULL, NULL), "
+    "(3, 0, 'Named', 'count()', NULL), (4, 0, 'Placeholder', NULL, NULL), (4, 1, 'Placeholder', NULL, NULL), (4, 2, 'Placeholder', NULL, NULL), (5, 0, 'Placeholder', NULL, NULL), (5, 1, 'Named', 'name', NULL), (5, 2, 'Positional', NULL, 12), "
+    "(6, 0, 'Placeholder', NULL, NULL), (6, 1, 'Placeholder', NULL, NULL)) k(m, pos, kind, name, place) ON p_partkey % 8 = m"
+)
 def q_arg_kinds(spark, sf_dir):
     """What placeholders name."""
-    made = [(t, a.kind, a.name, a.pos) for t in ("{}", "{name}", "{0}", "{x:?}") for a in compile_template(f"a {t}", "Rust").args]
-    return spark.createDataFrame(made, "template string, kind string, name string, pos int")
+    kinds = _templates(spark, sf_dir).select("p_partkey", F.posexplode(templates.arg_kinds(F.col("template"), F.col("language"))).alias("at", "k"))
+    return kinds.select("p_partkey", "at", "k.kind", "k.name", F.col("k.pos").alias("place"))
+
+
+# Statement extraction, from a source file rendered for each part.
+
+_QUALITY_SQL = "length(replace(p_name, ' ', ''))"
+
+
+def _extracted(spark: SparkSession, sf_dir: str, language: str, *code: str) -> DataFrame:
+    """Statements of a file per part; {name}, {brand}, {size} and {key} of the code are its columns."""
+    pieces = re.split(r"\{(name|brand|size|key)\}", "\n".join(code))
+    columns = {"name": "p_name", "brand": "p_brand", "size": "p_size", "key": "p_partkey"}
+    content = F.concat(*[F.col(columns[x]).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
+    part = table(spark, sf_dir, "part")
+    sources = part.select(F.lit("r").alias("root"), F.col("p_partkey").cast("string").alias("path"), F.lit(language).alias("language"), F.col("p_partkey").alias("file_id"), content.alias("content"))
+    found = catalog.extract(sources)
+    return found.select(
+        F.col("file_id").alias("p_partkey"), "source_path", "stmt_idx", "line_no", "end_line_no", F.col("column").alias("col"), "name", "text", "quality", "pattern",
+        F.array_join("vars", "|").alias("vars"), F.array_join("exprs", "|").alias("exprs"),
+    )
+
+
+def _extract_sql(*rows: tuple) -> str:
+    """Rows (stmt_idx, line_no, end_line_no, col, name, text, quality, pattern, vars, exprs) as SQL expressions over part."""
+    names = ("stmt_idx", "line_no", "end_line_no", "col", "name", "text", "quality", "pattern", "vars", "exprs")
+    return " UNION ALL ".join("SELECT p_partkey, 'r/' || p_partkey AS source_path, " + ", ".join(f"{e} AS {n}" for n, e in zip(names, row, strict=True)) + " FROM part" for row in rows)
+
+
+@query(_extract_sql((0, 4, 4, 10, "'p' || p_partkey", """'"' || p_name || ' of ' || p_brand || ' at {}: {k:?}"'""", f"{_QUALITY_SQL} + length(p_brand) + 5", "'(?s)^' || p_name || ' of ' || p_brand || ' at (.+): (.+)$'", "'n|k = 3'", "'n|k'")))
+def q_extract_rust(spark, sf_dir):
+    """Statements of Rust files."""
+    code = ("// {name}", "fn p{key}(n: u32) {", '    // info!("none {}", n);', '    info!("{name} of {brand} at {}: {k:?}", n, k = 3);', '    let s = format!("{brand} {}", n);', "}", "")
+    return _extracted(spark, sf_dir, "Rust", *code)
+
+
+@query(
+    _extract_sql(
+        (0, 4, 5, 13, "'m' || p_partkey", """'"' || p_name || ' (' || p_size || ') sold {} times"'""", f"{_QUALITY_SQL} + length(p_size || '') + 13", r"'(?s)^' || p_name || ' \(' || p_size || '\) sold (.+) times$'", "'n|total(n, 1)'", "'n'"),
+        (1, 8, 8, 16, "'P' || p_partkey", """'"' || p_name || ' made"'""", f"{_QUALITY_SQL} + 4", "'(?s)^' || p_name || ' made$'", "''", "''"),
+    )
+)
+def q_extract_java(spark, sf_dir):
+    """Statements of Java files."""
+    code = ("package p;", "class P{key} {", "  void m{key}(int n) {", '    log.info("{name} ({size}) sold {} times",', "        n, total(n, 1));", '    other.info("{name}");', "  }", '  { logger.fine("{name} made"); }', "}", "")
+    return _extracted(spark, sf_dir, "Java", *code)
+
+
+@query(_extract_sql((0, 3, 3, 9, "'P::m' || p_partkey || '(int n, char* w)'", r"""'"' || p_name || ': %d of %s\n"'""", f"{_QUALITY_SQL} + 5", r"'(?s)^' || p_name || ': (.+) of (.+)\n$'", "'n + {size}|w'".replace("{size}", "' || p_size || '"), "'n + {size}|w'".replace("{size}", "' || p_size || '"))))
+def q_extract_cpp(spark, sf_dir):
+    """Statements of C++ files."""
+    code = ("#include <x>", "void P::m{key}(int n, char* w) {", r'  printf("{name}: %d of %s\n", n + {size}, w);', '  snprintf(w, 9, "{name} %d", n);', "}", "")
+    return _extracted(spark, sf_dir, "C++", *code)
+
+
+@query(
+    _extract_sql(
+        (0, 2, 2, 13, "'m' || p_partkey", """'f"' || p_name || ' {n + ' || p_size || '} of {brand!r}"'""", f"{_QUALITY_SQL} + 2", "'(?s)^' || p_name || ' (.+) of (.+)$'", "''", "'n + ' || p_size || '|brand'"),
+        (1, 3, 4, 14, "'m' || p_partkey", """'"%s left in ' || p_name || '"'""", f"{_QUALITY_SQL} + 6", "'(?s)^(.+) left in ' || p_name || '$'", "'n'", "'n'"),
+    )
+)
+def q_extract_python(spark, sf_dir):
+    """Statements of Python files."""
+    code = ("def m{key}(n, brand='{brand}'):", '    log.info(f"{name} {n + {size}} of {brand!r}")', '    log.debug("%s left in {name}",', "              n)", '    x = log.info("{name}")', "")
+    # {brand!r} is no column of the rendering, for only whole words in braces are.
+    return _extracted(spark, sf_dir, "Python", *code)
 
 
 # Records.
@@ -266,7 +349,7 @@ def q_one_line_trace(spark, sf_dir):
 def _won(spark: SparkSession, sf_dir: str, hinted: bool = True, best: bool = False) -> DataFrame:
     found = parsed(spark, sf_dir)
     found = found if hinted else found.withColumn("file", F.lit(None).cast("string"))
-    return match.match(found, inputs.statements(spark), KEYS, best)
+    return match.match(found, inputs.statements(spark), best)
 
 
 def _short(matched: DataFrame) -> DataFrame:
@@ -279,13 +362,13 @@ _WON = " SELECT rec_id, source_path, stmt_idx, quality FROM m"
 @query(inputs.match_sql(where="file LIKE '%.%'") + _WON)
 def q_match_exact_hint(spark, sf_dir):
     """Matches among the files of the hinted name."""
-    return _short(match.match(parsed(spark, sf_dir).where("file like '%.%'"), inputs.statements(spark), KEYS))
+    return _short(match.match(parsed(spark, sf_dir).where("file like '%.%'"), inputs.statements(spark)))
 
 
 @query(inputs.match_sql(where="file NOT LIKE '%.%'") + _WON)
 def q_match_substr_hint(spark, sf_dir):
     """Matches among the files whose path contains the hint."""
-    return _short(match.match(parsed(spark, sf_dir).where("file not like '%.%'"), inputs.statements(spark), KEYS))
+    return _short(match.match(parsed(spark, sf_dir).where("file not like '%.%'"), inputs.statements(spark)))
 
 
 @query(inputs.match_sql("none") + _WON)
@@ -297,8 +380,8 @@ def q_match_unhinted(spark, sf_dir):
 @query(inputs.match_sql("none").replace("WHERE r = 1", "").replace("\n)", "\n)", 1) + " SELECT rec_id, source_path, stmt_idx FROM f WHERE k = 1")
 def q_first_in_file(spark, sf_dir):
     """The first statement of each file that fits a record."""
-    found = match.candidates(parsed(spark, sf_dir).withColumn("file", F.lit(None).cast("string")), inputs.statements(spark))
-    return found.groupBy("rec_id", "source_path").agg(F.min("stmt_idx").alias("stmt_idx"))
+    found = parsed(spark, sf_dir).withColumn("file", F.lit(None).cast("string"))
+    return match.first_in_files(found, inputs.statements(spark), ["rec_id"]).select("rec_id", "source_path", "stmt_idx")
 
 
 @query(inputs.match_sql("none", best=True) + _WON)
@@ -324,7 +407,7 @@ SELECT rec_id, i - 1 AS pos, exprs[i] AS expr, CASE i WHEN 1 THEN regexp_extract
 
 
 def _variables(matched: DataFrame) -> DataFrame:
-    pairs = matched.select("rec_id", F.posexplode(derive.variables(F.col("body"), F.col("stmt"))).alias("pos", "v"))
+    pairs = matched.select("rec_id", F.posexplode(derive.variables(F.col("body"), F.col("stmt"), F.col("captured"))).alias("pos", "v"))
     return pairs.select("rec_id", F.col("pos").cast("long").alias("pos"), "v.expr", "v.value")
 
 
@@ -337,7 +420,7 @@ def q_variables(spark, sf_dir):
 @query(inputs.match_sql(where="event_type = 'view'") + _VARIABLES)
 def q_variables_positional(spark, sf_dir):
     """Logged values that placeholders name by position."""
-    return _variables(match.match(parsed(spark, sf_dir).where("file = 'view.rs'"), inputs.statements(spark), KEYS))
+    return _variables(match.match(parsed(spark, sf_dir).where("file = 'view.rs'"), inputs.statements(spark)))
 
 
 def _files(spark: SparkSession) -> DataFrame:
@@ -360,30 +443,90 @@ def q_callsites_python(spark, sf_dir):
     return derive.call_sites(found, _files(spark), KEYS).select("rec_id", "pos", "name", "source_path", F.col("line_no").cast("long").alias("line_no"))
 
 
-@query(inputs.match_sql("none", where="rec_id % 2 = 0") + " SELECT l.rec_id, CASE WHEN m.rec_id IS NULL OR trace IS NULL THEN 0 WHEN trace LIKE 'java%' THEN 1 ELSE 2 END AS n_sites FROM l LEFT JOIN m USING (rec_id)")
+@query(inputs.match_sql("some") + " SELECT l.rec_id, CASE WHEN m.rec_id IS NULL OR trace IS NULL THEN 0 WHEN trace LIKE 'java%' THEN 1 ELSE 2 END AS n_sites FROM l LEFT JOIN m USING (rec_id)")
 def q_trace_gate(spark, sf_dir):
-    """Call sites are given for matched records alone."""
-    found = parsed(spark, sf_dir).withColumn("file", F.lit(None).cast("string"))
-    # Records of odd ids get a body that nothing fits.
-    found = found.withColumn("body", F.when(F.col("rec_id") % 2 == 0, F.col("body")).otherwise(""))
-    out = derive.with_call_sites(match.match(found, inputs.statements(spark), KEYS), _files(spark), KEYS)
+    """Call sites are given for matched records alone; of the records with traces, those with a hint match nothing."""
+    found = parsed(spark, sf_dir)
+    found = found.withColumn("file", F.when(F.col("rec_id") % 2 == 1, F.col("file")))
+    out = derive.with_call_sites(match.match(found, inputs.statements(spark)), _files(spark), KEYS)
     return out.select("rec_id", F.greatest(F.size("exception_trace"), F.lit(0)).alias("n_sites"))
 
 
+_TRACE_JSON_SQL = """CASE WHEN trace IS NULL THEN '' ELSE ',"trace":{"language":"' || CASE WHEN trace LIKE 'java%' THEN 'Java' ELSE 'Python' END || '","content":' || CAST(to_json(trace) AS VARCHAR) || '}' END"""
+
+
 @query(
     inputs.match_sql()
-    + r""" SELECT rec_id, '{"logRef":{"details":{"thread":"' || thread || '","file":"' || file || '","lineno":' || lineno || '}},"srcRef":' || CASE WHEN m.rec_id IS NULL THEN 'null' ELSE '"' || name || '"' END || '}' AS json FROM l LEFT JOIN m USING (rec_id) WHERE trace IS NULL"""
+    + f""" SELECT rec_id, '{{"logRef":{{"details":{{"thread":"' || thread || '","file":"' || file || '","lineno":' || lineno || {_TRACE_JSON_SQL} || '}}}},"srcRef":' || CASE WHEN m.rec_id IS NULL THEN 'null' ELSE '"' || name || '"' END || '}}' AS json FROM l LEFT JOIN m USING (rec_id)"""
 )
 def q_json_emit(spark, sf_dir):
     """Mappings as JSON, here with the statement's name alone for its source."""
-    from logweave.operators import emit
-
-    rows = _won(spark, sf_dir).where("trace is null").withColumns({"exception_trace": F.lit(None).cast("array<struct<name:string,source_path:string,language:string,line_no:int>>"), "variables": derive.variables(F.col("body"), F.col("stmt"))})
+    matched = _won(spark, sf_dir)
+    rows = matched.withColumns({"exception_trace": F.lit(None).cast("array<struct<name:string,source_path:string,language:string,line_no:int>>"), "variables": derive.variables(F.col("body"), F.col("stmt"), F.col("captured"))})
     rows = rows.select("rec_id", "stmt.name", emit.mapping_json(rows).alias("json"))
     head = F.regexp_extract("json", r'^(\{"logRef":.*\}),"srcRef":', 1)
     return rows.select("rec_id", F.concat(head, F.lit(',"srcRef":'), F.coalesce(F.concat(F.lit('"'), "name", F.lit('"')), F.lit("null")), F.lit("}")).alias("json"))
 
 
+def _source_json(row: tuple) -> str:
+    """The wire shape of a statement, made with Python's own JSON."""
+    _, path, _, _, language, line, end, column, name, text, quality, pattern, _, _, args, names, _ = row
+    arg = lambda a: {"Named": a[1]} if a[0] == "Named" else {"Positional": a[2]} if a[0] == "Positional" else a[0]
+    shape = {"sourcePath": path, "language": language, "lineNumber": line, "endLineNumber": end, "column": column, "name": name, "text": text, "quality": quality, "pattern": pattern, "args": [arg(a) for a in args], "vars": names}
+    return json.dumps(shape, separators=(",", ":"), ensure_ascii=False)
+
+
+def _json_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    shapes = ", ".join(f"({quoted(r[1])}, {r[3]}, {quoted(_source_json(r))})" for r in inputs.rows())
+    value = " ".join(f"WHEN {i} THEN regexp_extract(body, executable, {i})" for i in (1, 2, 3))
+    return (
+        inputs.match_sql("none")
+        + f""", j(source_path, stmt_idx, shape) AS (VALUES {shapes}), v AS (
+  SELECT rec_id, string_agg('{{"expr":' || to_json(expr) || ',"value":' || to_json(value) || '}}', ',' ORDER BY i) AS vars FROM (
+    SELECT rec_id, i, exprs[i] AS expr, CASE i {value} END AS value FROM (
+      SELECT m.rec_id, exprs, executable, body, unnest(range(1, len(exprs) + 1)) AS i FROM m JOIN l USING (rec_id))) GROUP BY rec_id
+) SELECT l.rec_id, '{{"logRef":{{"details":{{"thread":"' || thread || '","lineno":' || lineno || {_TRACE_JSON_SQL} || '}}}},"srcRef":' || coalesce(shape, 'null')
+  || CASE WHEN shape IS NULL OR trace IS NULL THEN ''
+     WHEN trace LIKE 'java%' THEN ',"exceptionTrace":[{{"name":"run","sourcePath":"/src/a/org/example/Main.java","language":"Java","lineNumber":' || (event_id % 50 + 1) || '}}]'
+     ELSE ',"exceptionTrace":[{{"name":"main","sourcePath":"/srv/app.py","language":"Python","lineNumber":' || (event_id % 50 + 1) || '}},{{"name":"go","sourcePath":"/srv/go.py","language":"Python","lineNumber":3}}]' END
+  || ',"variables":[' || coalesce(vars, '') || ']}}' AS json
+FROM l LEFT JOIN m USING (rec_id) LEFT JOIN j USING (source_path, stmt_idx) LEFT JOIN v USING (rec_id)"""
+    )
+
+
+@query(_json_sql())
+def q_json_full(spark, sf_dir):
+    """Mappings as whole JSON lines: details with traces, sources with arguments and values, call sites, variables."""
+    matched = derive.with_call_sites(_won(spark, sf_dir, False), _files(spark), KEYS)
+    rows = matched.withColumn("variables", derive.variables(F.col("body"), F.col("stmt"), F.col("captured")))
+    return rows.select("rec_id", emit.mapping_json(rows).alias("json"))
+
+
+_LARGE_SQL = """c AS (SELECT o_orderkey AS k, o_orderkey % 2 AS loose, '/src/' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '/F' || (o_orderkey % 1000) || '.java' AS source_path FROM orders)
+SELECT l_orderkey, l_linenumber, source_path, CAST(k AS INTEGER) AS line_no, CAST(l_partkey AS VARCHAR) AS value FROM lineitem JOIN c ON l_orderkey = k"""
+
+
+@query(f"WITH {_LARGE_SQL}")
+def q_match_large_catalogue(spark, sf_dir):
+    """Matches against a statement for each order, half of which begin with a value."""
+    key = F.col("o_orderkey").cast("string")
+    loose = F.col("o_orderkey") % 2 == 1
+    path = F.concat(F.lit("/src/"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("/F"), (F.col("o_orderkey") % 1000).cast("string"), F.lit(".java"))
+    body = F.when(loose, F.concat(F.lit("(.+) goes to order "), key, F.lit(" now"))).otherwise(F.concat(F.lit("order "), key, F.lit(" takes (.+)")))
+    none = F.array().cast("array<string>")
+    statements = table(spark, sf_dir, "orders").select(
+        F.lit(0).alias("root_ord"), path.alias("source_path"), F.regexp_extract(path, "([^/]+)$", 1).alias("file_name"), F.col("o_orderkey").cast("int").alias("stmt_idx"), F.lit("Java").alias("language"),
+        F.col("o_orderkey").cast("int").alias("line_no"), F.col("o_orderkey").cast("int").alias("end_line_no"), F.lit(8).alias("column"), F.lit("f").alias("name"), F.lit("").alias("text"), F.lit(9).alias("quality"),
+        F.lit("").alias("pattern"), F.concat(F.lit(r"(?s)\A"), body, F.lit(r"\z")).alias("executable"), F.when(loose, "").otherwise(F.concat(F.lit("order "), key, F.lit(" takes "))).alias("prefix"),
+        F.array().cast("array<struct<kind:string,name:string,pos:int>>").alias("args"), none.alias("vars"), F.array(F.lit("x")).alias("exprs"),
+    )
+    order, part = F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")
+    logged = F.when(F.col("l_orderkey") % 2 == 1, F.concat(part, F.lit(" goes to order "), order, F.lit(" now"))).otherwise(F.concat(F.lit("order "), order, F.lit(" takes "), part))
+    found = match.match(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", logged.alias("body"), F.lit(None).cast("string").alias("file")), statements)
+    return found.where("stmt is not null").select("l_orderkey", "l_linenumber", "stmt.source_path", "stmt.line_no", F.col("captured")[0].alias("value"))
+
+
 # Navigation.
 
 _BREAKPOINTS = "b AS (SELECT 'u' || user_id % 20 AS path, CAST(event_id AS INTEGER) AS ord, CAST(event_id * 7919 % 400 AS INTEGER) AS line FROM events WHERE event_id % 10 = 0), n AS (SELECT 'u' || user_id % 20 AS path, count(*) AS n_lines FROM events GROUP BY 1)"
@@ -401,6 +544,13 @@ def q_breakpoints(spark, sf_dir):
     return nav.set_breakpoints(*_breakpoints(spark, sf_dir))
 
 
+@query(f"WITH {_BREAKPOINTS} SELECT path, path IN (SELECT path FROM b WHERE line % 3 = 0 AND ord < 200) AS has_breakpoints FROM n")
+def q_has_breakpoints(spark, sf_dir):
+    """Logs and whether any breakpoint is set in them; here of the early ones on every third line."""
+    stops, counts = _breakpoints(spark, sf_dir)
+    return nav.has_breakpoints(counts, stops.where("line % 3 = 0 and ord < 200"))
+
+
 @query(f"WITH {_BREAKPOINTS} SELECT path, 200 AS line, n_lines, coalesce(arg_min(b.line, ord) FILTER (b.line > 200), n_lines) AS next_line FROM n LEFT JOIN b USING (path) GROUP BY path, n_lines")
 def q_next_bp(spark, sf_dir):
     """Where going on from line 200 stops."""
@@ -436,6 +586,21 @@ def q_level_tokens(spark, sf_dir):
     return inputs.log(spark, sf_dir).select("rec_id", token.alias("token"))
 
 
+_TOKEN_LINE_SQL = "'[' || ['info', 'W', 'dbg'][event_id % 3 + 1] || '] ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' \"' || event_type || '\" http://x.org/' || user_id || ' ' || [md5(event_type)[1:7], 'a.IOException', 'null'][event_id % 3 + 1] || ' ' || props"
+_TOKENS_SQL = ", ".join("CASE WHEN regexp_matches(line, '" + tokens.pattern(c).replace("'", "''") + f"') THEN '{c}' END" for c in tokens.CLASSES)
+
+
+@query(f"WITH t AS (SELECT event_id, {_TOKEN_LINE_SQL} AS line FROM events) SELECT event_id, array_to_string(list_filter([{_TOKENS_SQL}], lambda x: x IS NOT NULL), ',') AS classes FROM t")
+def q_token_classes(spark, sf_dir):
+    """Highlighting classes of the tokens of lines."""
+    pick = lambda *xs: F.element_at(F.array(*xs), (F.col("event_id") % 3 + 1).cast("int"))
+    line = F.concat(
+        F.lit("["), pick(F.lit("info"), F.lit("W"), F.lit("dbg")), F.lit("] "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(' "'), F.col("event_type"), F.lit('" http://x.org/'), F.col("user_id").cast("string"),
+        F.lit(" "), pick(F.left(F.md5(F.col("event_type").cast("binary")), F.lit(7)), F.lit("a.IOException"), F.lit("null")), F.lit(" "), F.col("props"),
+    )
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(tokens.classes(line), ",").alias("classes"))
+
+
 # What users do with mappings.
 
 

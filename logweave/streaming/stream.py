@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from logweave.engine import Engine
 from logweave.functions.formats import LogFormat
 from logweave.operators import derive, match, records
+from logweave.sources import lines as numbered
 
 RECORD = "path string, rec_id long, first_line long, content string"
 _STATE = "rec_id long, first_line long, content string"
@@ -35,7 +38,7 @@ def assemble_stream(lines: DataFrame, fmt: LogFormat, flush_ms: int = 10_000) ->
                 out.append((key[0], rec_id, first, content))
             state.update((rec_id, None, None))
         else:
-            # One micro-batch's lines of one file.
+            # One micro-batch's lines of one file; the source's limits per trigger bound them.
             rows = pd.concat(list(parts)).sort_values("line_no")
             for number, value in zip(rows["line_no"], rows["value"], strict=True):
                 if begins.search(value):
@@ -51,19 +54,43 @@ def assemble_stream(lines: DataFrame, fmt: LogFormat, flush_ms: int = 10_000) ->
     return lines.groupBy("path").applyInPandasWithState(step, RECORD, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def map_stream(lines: DataFrame, fmt: LogFormat, statements: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, flush_ms: int = 10_000, every: str = "1 second") -> StreamingQuery:
-    """Starts a query that hands the mappings of each batch's records to `sink`.
+def map_stream(
+    lines: DataFrame, fmt: LogFormat, statements: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, flush_ms: int = 10_000, every: str = "1 second"
+) -> StreamingQuery:
+    """Starts a query that hands the mappings of each batch's records to `sink`, with variables and exception_trace.
 
-    Matching a batch is the same plan as for a log at rest, against the catalogue as it was given.
+    For lines without an end of file, as of a socket or a queue; see assemble_stream. Matching a batch is the same plan
+    as for a log at rest, against the catalogue as it was given.
     """
     made = assemble_stream(lines, fmt, flush_ms)
+    files = statements.select("root_ord", "source_path").distinct()
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        if batch.isEmpty():
-            return
-        found = match.match(records.parse(batch, fmt), statements, ["path", "rec_id"])
-        sink(found.withColumn("variables", derive.variables(found.body, found.stmt)), number)
-        batch.unpersist()
+        batch.persist()  # records leave the state once
+        try:
+            if not batch.isEmpty():
+                matched = match.match(records.parse(batch, fmt), statements)
+                traced = derive.with_call_sites(matched, files, ["path", "rec_id"])
+                sink(traced.withColumn("variables", derive.variables(F.col("body"), F.col("stmt"), F.col("captured"))), number)
+        finally:
+            batch.unpersist()
 
     return made.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def map_log_files(
+    engine: Engine, folder: str, fmt: LogFormat | None, sink: Callable[[DataFrame, int], None], checkpoint: str, start: int = 0, count: int | None = None, files_per_trigger: int = 1000, every: str | None = None
+) -> StreamingQuery:
+    """Starts a query over the log files that arrive in a folder; `sink` gets rows (path, first_line, json, failed).
+
+    A file is whole when it arrives, so each batch is numbered, assembled and mapped as logs at rest are, in parallel
+    within files of any size, and a record ends with its file. Without `every` the query ends when all files that are
+    there have been mapped. start and count count per file.
+    """
+    raw = engine.spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_trigger).text(folder)
+
+    def each(batch: DataFrame, number: int) -> None:
+        sink(engine.map_found(numbered.number_lines(batch), fmt, start, count), number)
+
+    out = numbered.marked_lines(raw).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()

@@ -1,10 +1,13 @@
+import json
 import time
 
 from pyspark.sql import functions as F
 
+from logweave.engine import Engine
+from logweave.functions.formats import LogFormat
 from logweave.operators import records
 from logweave.plans import inputs
-from logweave.streaming.stream import assemble_stream
+from logweave.streaming.stream import assemble_stream, map_log_files, map_stream
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -28,3 +31,40 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = records.assemble(rows, fmt, block_lines=3).where("rec_id < 6")
     got = [tuple(r) for r in spark.table("made").select("path", "rec_id", "first_line", "content").collect()]
     assert sorted(got) == sorted((r.path, r.rec_id, r.first_line, r.content) for r in batch.collect())
+
+
+def test_log_files_as_they_arrive(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/Oven.java").write_text('class Oven {\n  void bake(int n) {\n    log.info("baked {} pots", n);\n  }\n}\n')
+    engine = Engine(spark)
+    engine.add_root(str(tmp_path / "src"))
+    engine.refresh()
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a.log").write_bytes(b"I baked 3 pots\nI baked 4 pots\nmore\n\xff\nI baked 5 pots\n")
+    (logs / "b.log").write_text("I baked 6 pots\njava.lang.Error: hot\n    at Oven.bake(Oven.java:3)\n")
+    rows = []
+    fmt = LogFormat.parse("^I (?<body>.*)$")
+    run = lambda: map_log_files(engine, str(logs), fmt, lambda df, n: rows.extend(df.collect()), str(tmp_path / "check")).awaitTermination(90)
+    assert run()
+    by_line = {(r.path.rsplit("/", 1)[1], r.first_line): json.loads(r.json) for r in rows}
+    assert sorted(by_line) == [("a.log", 0), ("a.log", 1), ("a.log", 3), ("a.log", 4), ("b.log", 0)]
+    assert by_line["a.log", 0]["variables"] == [{"expr": "n", "value": "3"}] and by_line["a.log", 1]["srcRef"] is None
+    assert "error" in by_line["a.log", 3] and by_line["b.log", 0]["exceptionTrace"][0]["lineNumber"] == 3
+    (logs / "c.log").write_text("I baked 7 pots\n")
+    rows.clear()
+    assert run() and [json.loads(r.json)["variables"][0]["value"] for r in rows] == ["7"]
+
+
+def test_map_stream(spark, tmp_path):
+    lines = [("app", 2 * i + k, v) for i in range(4) for k, v in enumerate((f"2024-01-01 00:00:0{i} INFO Tracker.java:5 [7] click on item {i}", "java.lang.Error: e\n    at org.example.Main.run(Main.java:3)"))]
+    spark.createDataFrame(lines, "path string, line_no long, value string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("path string, line_no long, value string").parquet(str(tmp_path / "in"))
+    rows = []
+    query = map_stream(stream, inputs.log_format(), inputs.statements(spark), lambda df, n: rows.extend(df.collect()), str(tmp_path / "check"), 600_000)
+    until = time.time() + 90
+    while len(rows) < 3 and time.time() < until:
+        time.sleep(0.5)
+    query.stop()
+    assert sorted(r.variables[0].value for r in rows) == ["item 0", "item 1", "item 2"]
+    assert all(r.exception_trace[0].source_path == "/src/a/org/example/Main.java" for r in rows)
