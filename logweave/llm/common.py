@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logweave.tables import materialise, new_folder, shared_dir  # noqa: F401
+
 #: White space of all contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,26 +18,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 19
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, else (in tests) one made here."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-logweave-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
+#: Most rows, each of a few numbers, that are broadcast.
+BROADCAST_ROWS = 250_000
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def small(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """The table, to be broadcast if it has no more than so many (narrow) rows; it is counted first."""
+    most = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    at = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, upper and lower case alike."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,27 +41,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+#: Bytes of texts that a model is fitted on at most.
+FIT_BYTES = 64 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[tuple[bytes, int]]:
-    """Texts (UTF-8) and labels of at most `rows` training rows, chosen by a hash of doc_id.
+    """Texts (UTF-8) and labels of at most `rows` training rows and FIT_BYTES bytes, chosen by a hash of doc_id.
 
-    Only rows outside the held-out fold are taken. The bound makes both the broadcast of the chosen ids and what
-    the driver receives independent of the corpus.
+    Only rows outside the held-out fold are taken. Of several labels of one id the largest counts, of several texts
+    the first by bytes. The bounds make both the broadcast of the chosen ids and what the driver receives
+    independent of the corpus.
     """
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-        .withColumnRenamed("doc_id", "label_id")
-    )
-    texts = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-        .select("doc_id", "text", "label")
-    )
-    found = {r.doc_id: (bytes(r.text), r.label) for r in texts.collect()}
-    return [found[k] for k in sorted(found)]
+        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+        .orderBy(*order).limit(rows).withColumnRenamed("doc_id", "label_id")
+    )
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    texts = materialise(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "labelled")
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(*order))
+    fitting = texts.select("doc_id", upto.alias("upto")).where(F.col("upto") <= FIT_BYTES).select(F.col("doc_id").alias("label_id"))
+    found = texts.join(F.broadcast(fitting), F.col("doc_id") == F.col("label_id")).collect()
+    return [(bytes(r.text), r.label) for r in sorted(found, key=lambda r: r.doc_id)]
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import materialise, mix64, word_hashes
+from logweave.llm.common import free_name, materialise, mix64, small, word_hashes
 from logweave.llm.components import connected_components
-from logweave.llm.exact_dedup import BROADCAST_KEYS
 
 #: Words in a shingle.
 WORDS = 5
@@ -27,10 +28,14 @@ BLOCK = 1 << 14
 MARKS = 1 << 22
 #: Distinct sets that a task remembers, in order not to index repeated ones.
 REMEMBERED = 200_000
-#: Lists of at most so many entries give all their pairs at once.
-SHORT_LIST = 8
-#: How often long lists pick leaders before their remaining pairs are compared.
-LEADER_TURNS = 2
+#: Postings of one signature that meet in one task; more are dealt over several by their set's name.
+LIST_ROWS = 50_000
+#: Tokens of a set by which it is grouped with its like: those that follow so many points of the ring of hashes.
+LIKE_POINTS = 4
+#: Sets that one side of a comparison holds, and the bytes of bitmaps that it holds at most.
+BLOCK_SETS, BLOCK_BYTES = 512, 1 << 23
+#: Partners of a set that one comparison gives at most before the last one, which gives all.
+BEST = 4
 #: Sizes below this power of two use single tokens only.
 FIRST_COMBINED_LEVEL = 4
 
@@ -86,23 +91,6 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(out, bitorder="little").view(np.int64)
 
 
-#: Words of the bitmap that joins compare in place, for sets of any size.
-SHORT_WORDS = 32
-
-
-def short_bitmap(tokens: np.ndarray) -> np.ndarray:
-    out = np.zeros(64 * SHORT_WORDS, np.uint8)
-    out[((tokens >> np.uint64(8)) & np.uint64(64 * SHORT_WORDS - 1)).view(np.int64)] = 1
-    return np.packbits(out, bitorder="little").view(np.int64)
-
-
-def may_link_short(na: str, nb: str) -> Column:
-    """As may_link, on the columns a0, b0, a1, ... of short bitmaps, which compile to plain arithmetic."""
-    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, SHORT_WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    sizes = F.col(na) + F.col(nb)
-    return _similar_sizes(na, nb) & (100 * (sizes - differ) >= PERCENT * (sizes + differ))
-
-
 def _folded(bits: Column, other: Column) -> Column:
     """A bitmap at the width of the other, if that is half as wide."""
     half = (F.size(bits) / 2).cast("int")
@@ -125,28 +113,30 @@ def may_link(na: str, nb: str, a: str, b: str) -> Column:
     return _similar_sizes(na, nb) & (100 * (sizes - differ) >= PERCENT * (sizes + differ))
 
 
-_SCANNED = "doc_id long, n long, node long, bits array<long>, short array<long>, block int, counts binary"
+_SCANNED = "doc_id long, content long, n long, node long, bits array<long>, likes array<long>, block int, counts binary"
+_POINTS = np.arange(LIKE_POINTS, dtype=np.uint64) << np.uint64(62)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document rows (id, set size, set name, bitmap), then the task's counters of tokens in blocks."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", _NODE), ("bits", pa.list_(pa.int64())), ("short", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
+    """Document rows (id, hash of the text, set size, set name, bitmap, tokens that similar sets share), then the task's counters of tokens in blocks."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("node", _NODE), ("bits", longs), ("likes", longs), ("block", pa.int32()), ("counts", pa.binary())])
     total = np.zeros(COUNTERS, np.uint32)
 
     def add(pending: list[np.ndarray]) -> None:
         total[:] += np.bincount(np.concatenate(pending).view(np.int64), minlength=COUNTERS).astype(np.uint32)
 
     def rows(*columns: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for batch in _slices(batches):
         ids, texts = _rows(batch)
-        sizes, nodes, bits, short, pending, held = [], [], [], [], [], 0
+        sizes, nodes, bits, likes, pending, held = [], [], [], [], [], 0
         for s in shingle_sets(texts):
             sizes.append(len(s))
             nodes.append(set_node(s) if len(s) else None)
             bits.append(bitmap(s) if len(s) else None)
-            short.append(short_bitmap(s) if len(s) else None)
+            likes.append(s[np.searchsorted(s, _POINTS) % len(s)].view(np.int64) if len(s) else None)
             pending.append(s & np.uint64(COUNTERS - 1))
             held += len(s)
             if held >= COUNTERS:
@@ -155,37 +145,31 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             add(pending)
         none = [None] * len(ids)
-        yield rows(ids, sizes, nodes, bits, short, none, none)
+        yield rows(ids, batch.column(2), sizes, nodes, bits, likes, none, none)
     if total.any():
         parts = total.reshape(-1, BLOCK)
         none = [None] * len(parts)
-        yield rows(none, none, none, none, none, list(range(len(parts))), [p.tobytes() for p in parts])
+        yield rows(none, none, none, none, none, none, list(range(len(parts))), [zlib.compress(p.tobytes(), 1) for p in parts])
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the counters of equal blocks in one task; used before and after the shuffle, so tasks stay small."""
+    """Sums the counters of equal blocks in one task, in 64 bits."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            c = np.frombuffer(c, np.uint64)
+            c = np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64)
             sums[k] = sums[k] + c if k in sums else c
     yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "counts"])
 
 
-def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        wide = [np.frombuffer(c, np.uint32).astype(np.uint64).tobytes() for c in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["block", "counts"])
-
-
 def token_counts(scanned: DataFrame) -> np.ndarray:
-    """The counters of all tasks together, at most 65535 each; 2 bytes for each of COUNTERS."""
-    blocks = scanned.where("block is not null").select("block", "counts").mapInArrow(_widen, "block int, counts binary")
+    """The counters of all tasks together; 4 bytes for each of COUNTERS."""
+    blocks = scanned.where("block is not null").select("block", "counts")
     summed = blocks.repartition("block").mapInArrow(_sum_blocks, "block int, counts binary")
     counts = np.zeros(COUNTERS, np.uint64)
     for r in summed.collect():
         counts[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(r.counts, np.uint64)
-    return np.minimum(counts, 65535).astype(np.uint16)
+    return np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
 
 
 def token_classes(counts: np.ndarray) -> np.ndarray:
@@ -203,8 +187,8 @@ def levels(n: int) -> list[int]:
     return list(range(n.bit_length() - 1, (n * 100 // PERCENT).bit_length()))
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Hashes that any two sets with the least similarity share at least one of.
+def signatures(tokens: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that any two sets with the least similarity share at least one of, and how many sets at most hold each.
 
     Tokens have one order: by their counter, so that rare ones come first, then by hash. A set of n may miss at most t = floor(n / 4) tokens that the other
     lacks. Its prefix runs until removing any t tokens still leaves, in some group, as many shared tokens as that
@@ -214,18 +198,23 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> n
     """
     n = len(tokens)
     spare = n - -(-n * PERCENT // 100)
-    counter = (tokens & np.uint64(COUNTERS - 1)).view(np.int64)
-    tokens = tokens[np.lexsort((tokens, counts[counter]))]
-    kind = classes[(tokens & np.uint64(COUNTERS - 1)).view(np.int64)]
+    tokens = tokens[np.lexsort((tokens, counts[_counter(tokens)]))]
+    kind = classes[_counter(tokens)]
     rare = tokens[kind == 1]
     if len(rare) > spare:
-        return rare[: spare + 1]
+        return rare[: spare + 1], counts[_counter(rare[: spare + 1])]
     out: list[np.ndarray] = []
+    most: list[np.ndarray] = []
+
+    def single(ts: np.ndarray) -> None:
+        out.append(ts)
+        most.append(counts[_counter(ts)])
+
     for level in levels(n):
         if level < FIRST_COMBINED_LEVEL:
-            out.append(tokens[: spare + 1])
+            single(tokens[: spare + 1])
             continue
-        out.append(rare)
+        single(rare)
         left = spare + 1 - len(rare)
         made = []
         for k in (2, 3):
@@ -259,7 +248,15 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> n
                     for i in range(k):
                         h = mix64(h * np.uint64(0xD6E8FEB86659FD93) + a[:, i])
                 out.append(h)
-    return np.unique(np.concatenate(out)) if out else rare
+                most.append(counts[_counter(a)].min(axis=1))
+    if not out:
+        return rare, counts[_counter(rare)]
+    found, at = np.unique(np.concatenate(out), return_index=True)
+    return found, np.concatenate(most)[at]
+
+
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(COUNTERS - 1)).view(np.int64)
 
 
 def _index(counts: np.ndarray):
@@ -269,25 +266,27 @@ def _index(counts: np.ndarray):
         seen: set[int] = set()
         for batch in _slices(batches):
             _, texts = _rows(batch)
-            sigs, nodes, sizes, held = [], [], [], 0
+            sigs, parts, nodes, held = [], [], [], 0
 
             def flush() -> pa.RecordBatch:
                 lens = [len(s) for s in sigs]
-                columns = [np.concatenate(sigs).view(np.int64), np.repeat(np.array(nodes, np.int64), lens), np.repeat(np.array(sizes, np.int32), lens)]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "node", "n"])
+                columns = [np.concatenate(sigs).view(np.int64), np.concatenate(parts), np.repeat(np.array(nodes, np.int64), lens)]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "part", "node"])
 
             for s in shingle_sets(texts):
                 if not len(s) or (node := set_node(s)) in seen:
                     continue
                 if len(seen) < REMEMBERED:
                     seen.add(node)
-                sigs.append(signatures(s, counts, classes))
+                found, most = signatures(s, counts, classes)
+                sigs.append(found)
+                # 0 where a list is small for sure.
+                parts.append(np.where(most > LIST_ROWS, 1 + (node & 0xFFFFFFFF) % (1 + most // LIST_ROWS), 0).astype(np.int32))
                 nodes.append(node)
-                sizes.append(len(s))
-                held += len(sigs[-1])
+                held += len(found)
                 if held > 200_000:
                     yield flush()
-                    sigs, nodes, sizes, held = [], [], [], 0
+                    sigs, parts, nodes, held = [], [], [], 0
             if sigs:
                 yield flush()
 
@@ -330,28 +329,27 @@ def _marks(ids: DataFrame) -> np.ndarray:
 class _Verifier:
     """Tells which candidate pairs are similar. Sets are fetched only where the bitmaps don't rule a pair out."""
 
-    def __init__(self, texts: DataFrame, reps: DataFrame) -> None:
-        self.texts, self.reps = texts, reps
+    def __init__(self, texts: DataFrame, reps: DataFrame, bits: DataFrame) -> None:
+        self.texts, self.reps, self.bits = texts, reps, bits
 
-    def side(self, name: str) -> DataFrame:
-        return self.reps.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"bits_{name}"))
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b), each once and without those that the bitmaps rule out."""
+        for x in ("b", "a"):  # sizes first, for they rule out most
+            pairs = pairs.join(self.bits.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")), x)
+        pairs = pairs.where(_similar_sizes("na", "nb")).distinct()
+        for x in ("b", "a"):
+            pairs = pairs.join(self.bits.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")), x)
+        return pairs.where(may_link("na", "nb", "bits_a", "bits_b")).select("a", "b")
 
-    def short_side(self, entries: DataFrame, name: str) -> DataFrame:
-        """Entries (sig, node, label) with the size and the short bitmap of their sets as columns."""
-        words = [F.element_at("short", i + 1).alias(f"{name}{i}") for i in range(SHORT_WORDS)]
-        known = self.reps.select("node", F.col("n").alias(f"n{name}"), *words)
-        return entries.join(known, "node").select(F.col("sig").alias(f"sig_{name}"), F.col("node").alias(name), F.col("label").alias(f"l{name}"), f"n{name}", *(f"{name}{i}" for i in range(SHORT_WORDS)))
-
-    def edges(self, pairs: DataFrame) -> DataFrame:
+    def edges(self, possible: DataFrame) -> DataFrame:
         """(a, b) of the pairs (a, b) that are similar."""
-        one, two = self.side("a"), self.side("b")
-        compared = pairs.select("a", "b").distinct().join(two, "b").join(one, (pairs.a == one.a) & may_link("na", "nb", "bits_a", "bits_b")).select(pairs.a, "b")
-        pairs = materialise(compared, "pairs")
+        pairs = materialise(possible, "pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         needed = materialise(nodes.join(self.reps, "node").select("node", "doc_id"), "needed")
         marks = _marks(needed)
         found = self.texts.select(_mark_of(F.col("doc_id")).alias("mark"), "doc_id", "text").mapInArrow(_token_sets(marks), "doc_id long, node long, tokens array<long>")
-        sets = materialise(found.join(needed, ["node", "doc_id"], "left_semi").select("node", "tokens"), "sets")
+        # Dealt by node once, for both sides of the pairs.
+        sets = found.join(needed, ["node", "doc_id"], "left_semi").select("node", "tokens").dropDuplicates(["node"])
         left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
         right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
         shared = F.size(F.array_intersect("ta", "tb")).cast("long")
@@ -359,8 +357,215 @@ class _Verifier:
         return materialise(counted.where(100 * F.col("shared") >= PERCENT * (F.col("both") - F.col("shared"))).select("a", "b").distinct(), "links")
 
 
-def _ordered(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _alike(nodes: DataFrame) -> DataFrame:
+    """Rows (leader, node): each set with the first of those that have its token after some point of the ring."""
+    keyed = nodes.select("node", F.explode("likes").alias("like"))
+    leaders = keyed.groupBy("like").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
+    return keyed.join(materialise(leaders, "alike"), "like").select("leader", "node")
+
+
+def _lists(entries: DataFrame) -> DataFrame:
+    """Rows (sig, node, leader, members) of the lists of more than one set; the leader is the list's least name.
+
+    A list that may be long is dealt by its sets' names over parts, which no task needs whole; members then counts
+    the part.
+    """
+    of_list = Window.partitionBy("sig", "part")
+    listed = entries.select("*", F.min("node").over(of_list).alias("leader"), F.max("node").over(of_list).alias("last"), F.count("*").over(of_list).alias("members"))
+    kept = materialise(listed.where("part > 0 or leader <> last").drop("last"), "postings")
+    parted = kept.where("part > 0")
+    if not parted.isEmpty():
+        whole = parted.groupBy("sig").agg(F.min("leader").alias("first"), F.max("node").alias("last"))
+        whole = materialise(whole.where("first <> last").select(F.col("sig").alias("of"), "first"), "hot-lists")
+        parted = parted.join(whole, F.col("sig") == F.col("of")).withColumn("leader", F.col("first")).drop("of", "first")
+        kept = kept.where("part = 0").unionByName(parted)
+    return kept.drop("part")
+
+
+def _level(n: Column) -> Column:
+    """n.bit_length() - 1"""
+    return F.length(F.bin(n)) - 1
+
+
+def _comparisons(listed: DataFrame) -> DataFrame:
+    """Deals the rows (key, node, n, label) of lists into units (unit, side, node, n, label) of bounded size.
+
+    Any two sets of one list, with different labels and sizes that allow a link, meet in exactly one unit; they are to be
+    compared there if they are of different sides or their side is -1. A list falls by size into levels, a level into
+    blocks: those of its largest component and those of the rest. Blocks of the largest component meet blocks of the
+    rest only, so pairs that are connected already cost nothing.
+    """
+    n = F.col("n").cast("long")
+    leveled = listed.withColumn("level", F.explode(F.sequence(_level(n), _level(F.floor(n * 100 / PERCENT)))))
+    by_label = leveled.groupBy("key", "level", "label").agg(F.count("*").alias("k"))
+    lists = by_label.groupBy("key", "level").agg(F.max(F.struct("k", "label")).alias("home"), F.sum("k").alias("sets"), F.count("*").alias("labels")).where("labels > 1")
+    words = F.pow(F.lit(2.0), F.greatest(F.col("level") - 3, F.lit(2)))
+    block = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK_SETS)), F.floor(BLOCK_BYTES / (8 * words))))
+    lists = lists.select(
+        "key", "level", F.col("home.label").alias("home"), (F.col("sets") <= block).alias("whole"),
+        F.ceil(F.col("home.k") / block).alias("homes"), F.ceil((F.col("sets") - F.col("home.k")) / block).alias("rests"),
+    )
+    at_home = F.col("label") == F.col("home")
+    dealt = leveled.join(materialise(lists, "lists"), ["key", "level"]).withColumn("own", F.pmod(F.xxhash64("node"), F.when(at_home, F.col("homes")).otherwise(F.col("rests"))))
+
+    def unit(kind: int, one: Column, two: Column, side: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), one.alias("one"), two.alias("two"), side.cast("long").alias("side"))
+
+    zero, own = F.lit(0).cast("long"), F.col("own")
+    meets_rest = F.transform(F.sequence(zero, F.col("rests") - 1), lambda j: unit(1, own, j, F.lit(0)))
+    meets_home = F.transform(F.sequence(zero, F.col("homes") - 1), lambda i: unit(1, i, own, F.lit(1)))
+    among_rest = F.transform(F.sequence(zero, F.col("rests") - 1), lambda k: unit(2, F.least(own, k), F.greatest(own, k), F.when(own == k, -1).otherwise(own)))
+    units = F.when(F.col("whole"), F.array(unit(0, zero, zero, F.lit(-1)))).when(at_home, meets_rest).otherwise(F.concat(meets_home, among_rest))
+    out = dealt.withColumn("to", F.explode(units))
+    return out.select(F.xxhash64("key", "level", "to.kind", "to.one", "to.two").alias("unit"), "level", F.col("to.side").alias("side"), "node", "n", "label")
+
+
+#: Words of bitmaps that a comparison gathers at once, and pairs that it lists at once.
+_WORDS_AT_ONCE, _PAIRS_AT_ONCE = 1 << 20, 1 << 20
+
+
+def _within(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of all pairs within consecutive groups of the given sizes, some at a time."""
+    group_end = np.repeat(np.cumsum(sizes), sizes)
+    followers = group_end - np.arange(len(group_end)) - 1
+    low = 0
+    upto = np.cumsum(followers)
+    while low < len(followers):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + _PAIRS_AT_ONCE, "right")))
+        k = followers[low:high]
+        i = np.repeat(np.arange(low, high), k)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        low = high
+
+
+def _possible_pairs(table: pa.Table, best: int | None) -> pa.RecordBatch:
+    """Pairs of the units' sets that their bitmaps allow to be similar; rows of a unit follow each other.
+
+    With `best` only the pairs that are among so many most similar ones of one of their sets, by what the bitmaps
+    allow; a row of nulls tells that others were left out.
+    """
+    unit, level, side, node, n, label = (table.column(c).to_numpy() for c in ("unit", "level", "side", "node", "n", "label"))
+    bits = table.column("bits").combine_chunks()
+    words = pc.list_value_length(bits).to_numpy().astype(np.int64)
+    flat = bits.flatten().to_numpy().view(np.uint64)
+    at = np.cumsum(words) - words
+    n = n.astype(np.int64)
+    own = np.frexp(n)[1] - 1
+    found: list[np.ndarray] = []
+    allowed: list[np.ndarray] = []
+    for i, j in _within(np.diff(np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True]))))):
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        asked = (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j])) & (100 * low >= PERCENT * high) & (np.maximum(own[i], own[j]) == level[i])
+        i, j = i[asked], j[asked]
+        narrow = np.minimum(words[i], words[j])
+        for w in np.unique(narrow).tolist():
+            of = np.flatnonzero(narrow == w)
+            step = max(1, _WORDS_AT_ONCE // w)
+            for k in range(0, len(of), step):
+                a, b = i[of[k : k + step]], j[of[k : k + step]]
+                differ = np.bitwise_count(_narrowed(flat, at, words, a, w) ^ _narrowed(flat, at, words, b, w)).sum(axis=1, dtype=np.int64)
+                both = n[a] + n[b]
+                may = 100 * (both - differ) >= PERCENT * (both + differ)
+                x, y = node[a[may]], node[b[may]]
+                found.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+                allowed.append((both[may] - differ[may]) / (both[may] + differ[may]))
+    pairs, at = np.unique(np.concatenate(found, axis=1), axis=1, return_index=True) if found else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+    columns = [pa.array(p, _NODE) for p in pairs]
+    if best is not None and pairs.shape[1]:
+        similarity = np.concatenate(allowed)[at]
+        kept = np.zeros(len(similarity), bool)
+        for side in pairs:
+            order = np.lexsort((-similarity, side))
+            first = np.searchsorted(side[order], side[order])
+            kept[order] |= np.arange(len(order)) - first < best
+        if not kept.all():
+            columns = [pa.concat_arrays([c.filter(pa.array(kept)), pa.nulls(1, _NODE)]) for c in columns]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+
+def _narrowed(flat: np.ndarray, at: np.ndarray, words: np.ndarray, rows: np.ndarray, w: int) -> np.ndarray:
+    """The rows' bitmaps as a matrix of w words each; those of twice as many are folded."""
+    out = flat[at[rows][:, None] + np.arange(w)]
+    wide = np.flatnonzero(words[rows] > w)
+    if len(wide):
+        out[wide] |= flat[at[rows[wide]][:, None] + np.arange(w, 2 * w)]
+    return out
+
+
+def _compare(best: int | None):
+    """A pass that compares the units of a task, whose rows are sorted by unit, some whole units at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            start = 0
+            units = batch.column(0).to_numpy()
+            ends = np.flatnonzero(np.concatenate((units[1:] != units[:-1], [False]))) + 1
+            if held and len(units) and held[-1].column(0)[-1].as_py() != units[0]:
+                ends = np.concatenate(([0], ends))
+            for end in ends.tolist():
+                if end > start:
+                    held.append(batch.slice(start, end - start))
+                    size += held[-1].nbytes
+                start = end
+                if size >= BLOCK_BYTES:
+                    yield _possible_pairs(pa.Table.from_batches(held), best)
+                    held, size = [], 0
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+                size += held[-1].nbytes
+        if held:
+            yield _possible_pairs(pa.Table.from_batches(held), best)
+
+    return run
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, content, n, component) of each row: a hash of its text, its set's size and a name of its component, null without words."""
+    text = F.col(text_col).cast("binary")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("content"))
+    scanned = materialise(texts.mapInArrow(_scan, _SCANNED), "scanned")
+    sized = scanned.where("n is not null").select("doc_id", "content", "n", "node")
+    counts = token_counts(scanned)
+
+    postings = _lists(texts.select("doc_id", "text").mapInArrow(_index(counts), "sig long, part int, node long"))
+    # Many lists of one family of texts have the same least name: they become one list, whose rows are few.
+    merged = materialise(postings.groupBy("leader", "node").agg(F.sum("members").alias("members")), "merged")
+    listed = materialise(merged.select("node").distinct(), "listed")
+    found = scanned.where("node is not null").join(listed, "node", "left_semi")
+    reps = materialise(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("likes").alias("likes")), "reps")
+    verifier = _Verifier(texts, reps.select("node", "doc_id"), reps.select("node", "n", "bits"))
+    leaders = merged.select("leader", "node").union(_alike(reps.select("node", "likes"))).where("leader <> node")
+    links = verifier.edges(verifier.possible(leaders.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))))
+    labels = connected_components(links)
+
+    for best in (BEST, None):
+        possible = materialise(_compared(merged, postings, labels, reps.select("node", "n", "bits"), best), "possible")
+        more = verifier.edges(possible.where("a is not null").distinct())
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = connected_components(links)
+        if possible.where("a is null").isEmpty():
+            break
+    return sized.join(labels, "node", "left").select("doc_id", "content", "n", F.coalesce("label", "node").alias("component"))
+
+
+def _compared(merged: DataFrame, postings: DataFrame, labels: DataFrame, bits: DataFrame, best: int | None) -> DataFrame:
+    """Pairs (a, b) of sets of one list and of different components that the bitmaps allow, as `_possible_pairs` gives them."""
+    # Leaders have met all sets of their lists.
+    followers = merged.where("node <> leader")
+    labelled = materialise(followers.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    open_lists = labelled.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("sets"), F.sum("members").alias("apart")).where("lo <> hi")
+    # Where the lists of one leader have little in common, they stay apart.
+    open_lists = materialise(open_lists.select("leader", (F.col("sets") * F.col("sets") > 4 * F.col("apart")).alias("apart")), "open")
+    listed = labelled.join(open_lists.where("not apart"), "leader", "left_semi").select(F.col("leader").alias("key"), "node", "label")
+    if not open_lists.where("apart").isEmpty():
+        apart = postings.join(open_lists.where("apart"), "leader", "left_semi").where("node <> leader").select(F.col("sig").alias("key"), "node")
+        listed = listed.union(apart.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    listed = materialise(listed.join(bits.select("node", "n"), "node").select("key", "node", "n", "label"), "compared")
+    units = _comparisons(listed).join(bits.select("node", "bits"), "node").select("unit", "level", "side", "node", "n", "label", "bits")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare(best), "a long, b long")
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,78 +579,53 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     1. One pass finds set sizes and names and a sketch of token frequencies of fixed size.
     2. A second pass writes signatures (single rare tokens, combinations of frequent ones); lists of one node vanish.
-    3. Short lists give all pairs. Long lists, as of thousands of near copies, first give their members paired with
-       one leader, then members outside the leader's component paired with a leader that each list picks anew, and
-       at last only the pairs that are still in different components.
-
-    Only the components are exact. Long lists never compare pairs that are already in one component, so the links
+       A list's leader is its least name; lists with one leader, mostly of one family of texts, are merged.
+    3. Nodes meet the leader of their lists, and the first node with the same token at some points of the ring of
+       hashes. What is similar is linked, so that families of near copies are components before any pair in them.
+    4. Within each merged list, nodes but the leader that are still in different components meet: its largest component the rest,
+       and the rest each other, in blocks of bounded size. Only what the bitmaps allow leaves a task, to be verified:
+       first a few best partners of each set, so that what is similar becomes one component, then all that is left.
+
+    Only the components are exact. Pairs that are already in one component are not compared, so the links
     found are enough to connect each component but not all there are, and neither pairs nor numbers of links are given.
 
     Repeated rows and ties fall together, null ids take part and give a null component if alone, empty tables give
-    empty results, and other columns are not read.
+    empty results, and other columns are not read. A text takes some 40 bytes for each of its words while its set is
+    made, and two sets of 8 bytes a shingle meet in a task at a time.
     """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    scanned = materialise(texts.mapInArrow(_scan, _SCANNED), "scanned")
-    sized = scanned.where("n is not null").select("doc_id", "n", "node")
-    first = scanned.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n", "bits", "short")).alias("first"))
-    reps = materialise(first.select("node", "first.*"), "reps")
-    counts = token_counts(scanned)
-
-    entries = texts.mapInArrow(_index(counts), "sig long, node long, n int")
-    by_sig = Window.partitionBy("sig")
-    listed = entries.select(
-        "*", F.min(F.struct("node", "n")).over(by_sig).alias("leader"), F.max("node").over(by_sig).alias("last"), F.count("*").over(by_sig).alias("members")
-    )
-    postings = materialise(listed.where("leader.node <> last").drop("last"), "postings")
-    verifier = _Verifier(texts, reps)
-
-    short = postings.where(F.col("members") <= SHORT_LIST)
-    x, y = short.select("sig", F.col("node").alias("x"), F.col("n").alias("nx")), short.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"))
-    short_pairs = x.join(y, "sig").where((F.col("x") < F.col("y")) & _similar_sizes("nx", "ny")).select(*_ordered(F.col("x"), F.col("y")))
-    long_lists = postings.where(F.col("members") > SHORT_LIST).select("sig", "node", "n", "leader")
-    led = long_lists.where((F.col("node") != F.col("leader.node")) & _similar_sizes("n", "leader.n"))
-    pairs = short_pairs.union(led.select(*_ordered(F.col("node"), F.col("leader.node"))))
-    links = verifier.edges(pairs)
-    labels = connected_components(links)
-
-    open_lists = _open(long_lists, labels)
-    for turn in range(1, LEADER_TURNS + 1):
-        if open_lists.isEmpty():
-            break
-        # Each list picks another leader by a hash of its own, so that a document meets many of them.
-        picked = open_lists.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sig", "node").alias("h"), "node", "n", "label")).alias("lead"))
-        met = open_lists.join(picked, "sig").where((F.col("label") != F.col("lead.label")) & _similar_sizes("n", "lead.n"))
-        links = links.union(verifier.edges(met.select(*_ordered(F.col("node"), F.col("lead.node")))))
-        labels = connected_components(links)
-        open_lists = _open(long_lists, labels)
-    if not open_lists.isEmpty():
-        x, y = verifier.short_side(open_lists.drop("n"), "a"), verifier.short_side(open_lists.drop("n"), "b")
-        rest = x.join(y, (F.col("sig_a") == F.col("sig_b")) & (F.col("la") < F.col("lb")) & may_link_short("na", "nb")).select(*_ordered(F.col("a"), F.col("b")))
-        links = links.union(verifier.edges(rest))
-        labels = connected_components(links)
-
-    named = reps.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    classed = named.join(smallest, "label").select("node", "component_id")
-    out = sized.join(classed, "node", "left")
+    classed = _classed(docs, id_col, text_col)
+    classed = materialise(classed, "classed")
+    smallest = classed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    smallest = materialise(smallest.withColumnRenamed("component", "of"), "smallest")
+    out = classed.join(smallest, F.col("component") == F.col("of"), "left")
     return out.select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NO_ID)).alias("component_id")
     )
 
 
-def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries (sig, node, n, label) of the lists that hold nodes of more than one component, each once."""
-    labelled = lists.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    return materialise(labelled.join(mixed, "sig", "left_semi").distinct(), "open")
-
-
 def drop_near(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of near duplicates, that of the smallest doc_id; columns unchanged.
 
-    Documents without words belong to no group and stay.
+    Of rows that share that id, the one with the least hash of its text stays; rows that share id and text are one
+    document, of which one row stays. Null ids come last, and such rows are told apart by their texts. Documents
+    without words belong to no group and stay as they are. Any column names are accepted, an empty table gives an
+    empty result, and very long texts take memory as in `ngram_jaccard_components`.
     """
-    out = ngram_jaccard_components(docs)
-    lost = materialise(out.where("doc_id <> component_id").select(F.col("doc_id").alias("lost_id")).distinct(), "near-lost")
-    lost = F.broadcast(lost) if lost.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else lost
-    return docs.join(lost, docs.doc_id == F.col("lost_id"), "left_anti")
+    classed = materialise(_classed(docs, "doc_id", "text").where("component is not null"), "near-classed")
+    keep = classed.groupBy("component").agg(F.min(F.struct("doc_id", "content")).alias("keep")).withColumnRenamed("component", "of")
+    keep = materialise(keep, "near-keep")
+    rows = classed.join(keep, F.col("component") == F.col("of")).groupBy("doc_id", "content").agg(
+        F.max((F.col("doc_id") == F.col("keep.doc_id")) & (F.col("content") == F.col("keep.content"))).alias("kept"), F.count("*").alias("rows")
+    )
+    rows = materialise(rows.where("not kept or rows > 1"), "near-lost")
+    lost_id, lost_content, key, content = (free_name(docs, x) for x in ("lw_lost_id", "lw_lost_content", "lw_key", "lw_content"))
+    lost = rows.where("not kept").select(F.col("doc_id").alias(lost_id), F.col("content").alias(lost_content))
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), content: F.xxhash64(F.col("text").cast("binary"))})
+    out = keyed.join(small(lost), (F.col(key) == F.col(lost_id)) & (F.col(content) == F.col(lost_content)), "left_anti")
+    again = rows.where("kept")
+    if not again.isEmpty():
+        # Only rows of repeated documents are gathered by document.
+        again = small(again.select(F.col("doc_id").alias(lost_id), F.col("content").alias(lost_content)))
+        on = (F.col(key) == F.col(lost_id)) & (F.col(content) == F.col(lost_content))
+        out = out.join(again, on, "left_anti").unionByName(out.join(again, on, "left_semi").dropDuplicates([key, content]))
+    return out.drop(key, content)
