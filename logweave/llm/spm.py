@@ -18,8 +18,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a literal U+2581 of a text while it is encoded; no valid text holds it.
 LITERAL = "\ud800"
-#: Segments up to SHORT characters are searched at once; those up to KEPT are remembered, so many by each worker.
-SHORT, KEPT, REMEMBERED = 64, 24, 600_000
+#: Characters that the search takes in before it looks for a boundary to commit to.
+STEP = 256
+#: Segments up to KEPT characters are remembered with their ids, so many by each worker.
+KEPT, REMEMBERED = 24, 600_000
 #: How far an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Types of pieces in a model file.
@@ -69,86 +71,56 @@ class Model:
         Best scores are held for the last `longest` positions only. All paths that can still win go through one of
         these; when their backpointers meet in one boundary, the ids up to it are given out and forgotten.
         """
-        text, done = "", 0  # text[0] is at position `done`
-        best, back = [0.0], [(0, ())]  # by position - done
+        tree, longest, unknown = self.tree, self.longest, self.unknown
+        text = ""
+        best, back, own = [0.0], [0], [None]  # of each position in the window: score, where its last piece begins, its id
         for part in parts:
+            old = len(text)
             text += part
-            end = len(best) - 1
-            for at in range(end, len(text)):
-                # Position at + 1: the best among pieces that end there, the longest of equal ones.
-                best.append(float("-inf"))
-                back.append((at, ()))
-            for at in range(max(0, end - self.longest + 1), len(text)):
-                self._spread(text, at, best, back, end)
-            ids, cut = self._settled(best, back)
-            if cut:
-                yield ids
-                text, done = text[cut:], done + cut
-                offset = best[cut]
-                best = [b - offset for b in best[cut:]]
-                back = [(at - cut, own) for at, own in back[cut:]]
+            n = len(text)
+            best += [float("-inf")] * (n - old)
+            back += [0] * (n - old)
+            own += [None] * (n - old)
+            # Of equal scores the longest last piece wins, for its beginning comes first.
+            for at in range(max(0, old - longest + 1), n):
+                base, node, end, single = best[at], tree, at, False
+                while end < n and (node := node.get(text[end])) is not None:
+                    end += 1
+                    found = node.get("")
+                    if found:
+                        single = single or end == at + 1
+                        if end > old and base + found[1] > best[end]:
+                            best[end], back[end], own[end] = base + found[1], at, found[0]
+                if not single and at + 1 > old and base + unknown > best[at + 1]:
+                    best[at + 1], back[at + 1], own[at + 1] = base + unknown, at, None
+            if n > longest and (cut := self._settled(back)):
+                yield self._path(text, back, own, cut)
+                text, offset = text[cut:], best[cut]
+                best, back, own = [x - offset for x in best[cut:]], [at - cut for at in back[cut:]], own[cut:]
         if text:
-            yield self._path(back, len(text), 0)
-
-    def _spread(self, text: str, at: int, best: list[float], back: list[tuple[int, tuple]], least: int) -> None:
-        """Extends the best path to `at` by every piece that begins there and ends beyond `least`."""
-        base, node, end, single = best[at], self.tree, at, False
-        for c in text[at : at + self.longest]:
-            node = node.get(c)
-            if node is None:
-                break
-            end += 1
-            found = node.get("")
-            if found:
-                single = single or end == at + 1
-                if end > least and base + found[1] > best[end]:
-                    best[end], back[end] = base + found[1], (at, (found[0],))
-        if not single and at + 1 > least and base + self.unknown > best[at + 1]:
-            char = SPACE if text[at] == LITERAL else text[at]
-            best[at + 1], back[at + 1] = base + self.unknown, (at, tuple(self.bytes[b] for b in char.encode()))
-
-    def short(self, text: str) -> tuple[int, ...]:
-        """The ids of a text that is so short that all of it is held at once."""
-        n = len(text)
-        best, back = [0.0] + [float("-inf")] * n, [(0, ())] * (n + 1)
-        tree, pieces = self.tree, []
-        for at in range(n):
-            base, node, end, single = best[at], tree, at, False
-            while end < n and (node := node.get(text[end])) is not None:
-                end += 1
-                found = node.get("")
-                if found:
-                    single = single or end == at + 1
-                    if base + found[1] > best[end]:
-                        best[end], back[end] = base + found[1], (at, found[0])
-            if not single and base + self.unknown > best[at + 1]:
-                best[at + 1], back[at + 1] = base + self.unknown, (at, None)
-        while n:
-            start, own = back[n]
-            if own is None:
-                pieces += reversed([self.bytes[b] for b in (SPACE if text[start] == LITERAL else text[start]).encode()])
-            else:
-                pieces.append(own)
-            n = start
-        return tuple(reversed(pieces))
+            yield self._path(text, back, own, len(text))
 
-    def _settled(self, best: list[float], back: list[tuple[int, tuple]]) -> tuple[list[int], int]:
-        """The boundary in which the paths to all live positions meet, and the ids up to it."""
-        live = set(range(max(0, len(best) - self.longest), len(best)))
+    def _settled(self, back: list[int]) -> int:
+        """The boundary in which the paths to all live positions meet."""
+        live = set(range(max(0, len(back) - self.longest), len(back)))
         while len(live) > 1:
             last = max(live)
             live.remove(last)
-            live.add(back[last][0])
-        cut = live.pop()
-        return (self._path(back, cut, 0), cut) if cut else ([], 0)
-
-    @staticmethod
-    def _path(back: list[tuple[int, tuple]], end: int, start: int) -> list[int]:
-        parts = []
-        while end > start:
-            end, own = back[end]
-            parts.append(own)
-        return [i for own in reversed(parts) for i in own]
+            live.add(back[last])
+        return live.pop()
+
+    def _path(self, text: str, back: list[int], own: list[int | None], end: int) -> list[int]:
+        """Ids of the best path from the beginning of the window to a position; unknown characters are their bytes."""
+        ids: list[int] = []
+        while end > 0:
+            start = back[end]
+            if own[end] is None:
+                ids += reversed([self.bytes[b] for b in (SPACE if text[start] == LITERAL else text[start]).encode()])
+            else:
+                ids.append(own[end])
+            end = start
+        ids.reverse()
+        return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids; for ids of `encode`, the text that it was given."""
@@ -157,17 +129,14 @@ class Model:
 
 
 class _Known(dict):
-    """Ids of segments, worked out when first asked for."""
+    """Ids of segments between boundaries that every path shares, found by the streaming search when first asked for."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
 
     def __missing__(self, segment: str) -> tuple[int, ...]:
-        if len(segment) > SHORT:
-            step = 256
-            return tuple(chain.from_iterable(self.model.stream(segment[i : i + step] for i in range(0, len(segment), step))))
-        ids = self.model.short(segment)
+        ids = tuple(chain.from_iterable(self.model.stream(segment[i : i + STEP] for i in range(0, len(segment), STEP))))
         if len(segment) <= KEPT:
             if len(self) >= REMEMBERED:
                 self.clear()
