@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import html
+import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,11 +75,43 @@ class Block:
     heading: bool
 
 
+class _Open:
+    """Open elements: name, and whether they or one around them are furniture, the main part, a heading, a link.
+
+    Where each name was opened last and where the last scope began are kept, so that no tag has to search for them.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool, bool, bool]] = []
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, name: str, *state: bool) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in _SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append((name, *state))
+
+    def close(self, name: str, within_scope: bool) -> None:
+        """Closes the last open element of the name and what is open inside it, unless a scope bars the way."""
+        place = self.at.get(name) or [-1]
+        if place[-1] < 0 or (within_scope and self.scopes and self.scopes[-1] > place[-1]):
+            return
+        for _ in range(len(self.stack) - place[-1]):
+            inner = self.stack.pop()[0]
+            self.at[inner].pop()
+            if inner in _SCOPES:
+                self.scopes.pop()
+
+    @property
+    def state(self) -> tuple[bool, bool, bool, bool]:
+        return self.stack[-1][1:] if self.stack else (False, False, False, False)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, each with white space as single spaces."""
     out: list[Block] = []
-    # Open elements: name, and whether they or one around them are furniture, the main part, a heading, a link.
-    stack: list[tuple[str, bool, bool, bool, bool]] = []
+    opened = _Open()
     parts: list[str] = []
     linked: list[str] = []
     state: tuple[bool, bool, bool, bool] = (False, False, False, False)
@@ -118,13 +151,8 @@ def blocks(page: str) -> list[Block]:
         elif name == "br":
             add(" ")
         if tag[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCKS and stack[k][0] in _SCOPES:
-                    break
-            state = stack[-1][1:] if stack else (False, False, False, False)
+            opened.close(name, name not in BLOCKS)
+            state = opened.state
             continue
         if name in UNSEEN:
             unseen = "" if (tag[3] or "").endswith("/") else name
@@ -132,17 +160,12 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if name in BLOCKS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in _SCOPES:
-                    break
-            state = stack[-1][1:] if stack else (False, False, False, False)
+            opened.close("p", True)
+            state = opened.state
         hinted = name not in MAIN and name not in ("html", "body") and any(_HINT.search(a[1] or a[2] or a[3]) for a in (m.group(0, 2, 3, 4) for m in _ATTRIBUTE.finditer(tag[3])) if a[1] or a[2] or a[3]) if tag[3] else False
         furniture = state[0] or name in FURNITURE or hinted or (name == "header" and not state[1])
-        stack.append((name, furniture, state[1] or name in MAIN, state[2] or name in HEADINGS, state[3] or name == "a"))
-        state = stack[-1][1:]
+        opened.push(name, furniture, state[1] or name in MAIN, state[2] or name in HEADINGS, state[3] or name == "a")
+        state = opened.state
     flush()
     return out
 
@@ -155,8 +178,8 @@ def features(found: list[Block]) -> np.ndarray:
     return np.hstack((flags, own, np.vstack((edge, own[:-1])), np.vstack((own[1:], edge))))
 
 
-#: The labelled table, as pages whose blocks begin with + (main text) or - (not main text).
-LABELLED = (
+#: Labelled pages made by hand; their blocks begin with + (main text) or - (not main text).
+BY_HAND = (
     "<header><div>- Daily Paper</div><div><a>- Sign in</a></div></header><nav><li><a>- Home</a><li><a>- World news</a><li><a>- Sport</a></nav><article><h1>+ A title of a few words</h1><p>+ A first paragraph that goes on for quite a number of words and tells what happened where and when.<p>+ Short.<p>+ No.<p>+ Another paragraph of running text with <a>one link</a> among its many other plain words.</article><aside><p>- More from this author in our weekly letter to all of our readers</aside><footer>- All rights reserved 2020</footer>",
     "<div id=menu><a>- Products</a><p><a>- Prices and plans</a></div><main><h2>+ Two words</h2><p>+ Yes.</p><p>+ This is how the story went on, as far as anybody who was there that night could tell us later.</p><li>+ one item</li><li>+ another item of a list</li><p><a>- Read more stories like this</a></p></main><div class=cookie-notice>- We use cookies to make this site better for you, please accept all of them to go on</div>",
     "<div>- Menu</div><div><a>- Start</a></div><div><a>- About us</a></div><h1>+ How to mend a bicycle tyre</h1><p>+ First take the wheel off the frame and lay it flat on the ground so that you can reach the valve with ease.</p><p>+ Then press.</p><p>+ Use the levers to lift one side of the tyre over the rim, then pull the tube out and look for the hole in it.</p><div><a>- Next page</a></div><div><a>- Contact</a></div><div>- Copyright</div>",
@@ -169,6 +192,59 @@ LABELLED = (
 )
 
 
+def labelled_page(seed: int) -> str:
+    """A labelled page made by a rule: with elements named for their part, with classes that name it, or with neither.
+
+    In the last kind nothing but the lengths of texts and their links tells what is main text. Pages of the other
+    kinds also have passages that read as main text does: readers' comments, notices and adverts.
+    """
+    rng = random.Random(seed)
+    kind = ("named", "classed", "bare")[seed % 3]
+    words = lambda low, high: " ".join("".join(rng.choice("aeioulnrstdm") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(low, high)))
+    link = lambda low, high: f"<a href=x>- {words(low, high)}</a>"
+    around = lambda element, cls, inner: f"<{element}>{inner}</{element}>" if kind == "named" else f'<div class="{cls}">{inner}</div>' if kind == "classed" else f"<div>{inner}</div>"
+
+    def article() -> str:
+        out = [f"<h1>+ {words(2, 14)}</h1>"]
+        for _ in range(rng.randint(2, 9)):
+            long = rng.random() < 0.75
+            part = rng.choice(("p", "p", "p", "li", "blockquote")) if kind != "bare" else "p"
+            text = words(12, 120) if long else words(1, 9) if kind != "bare" else words(5, 12)
+            inner = f" <a href=y>{words(1, 3)}</a> {words(6, 12)}" if long and rng.random() < 0.3 else ""
+            out.append(f"<{part}>+ {text}{inner}</{part}>")
+            if kind != "bare" and rng.random() < 0.15:
+                out.append(f'<div class="{rng.choice(("ad", "promo", "newsletter signup", "related"))}">- {words(4, 40)}</div>')
+        return "".join(out)
+
+    menu = "".join(f"<li>{link(1, 3)}</li>" for _ in range(rng.randint(2, 8)))
+    out = [around("nav", rng.choice(("menu", "navbar", "breadcrumb")), f"<ul>{menu}</ul>")]
+    if rng.random() < 0.5 and kind != "bare":
+        out.append(f'<div class="{rng.choice(("cookie-notice", "banner", "alert"))}">- {words(5, 40)}</div>')
+    body = article()
+    if kind != "bare" and rng.random() < 0.4:
+        body += f'<section class="comments">{"".join(f"<p>- {words(3, 60)}</p>" for _ in range(rng.randint(1, 4)))}</section>'
+    out.append(f"<article>{body}</article>" if kind == "named" else f"<main>{body}</main>" if kind == "classed" and rng.random() < 0.5 else f"<div>{body}</div>")
+    if rng.random() < 0.6:
+        out.append(around("aside", "sidebar", "".join(f"<p>{link(3, 9)}</p>" for _ in range(rng.randint(2, 5)))))
+    if rng.random() < 0.4 and kind != "bare":
+        out.append(f"<form><p>- {words(2, 6)}</p><p>- {words(2, 30)}</p></form>")
+    out.append(around("footer", "footer", f"<p>- {words(2, 12) if kind != 'bare' else words(2, 4)}</p>" + "".join(link(1, 2) for _ in range(rng.randint(0, 3)))))
+    return "".join(out)
+
+
+#: Pages made by the rule that the tree learns from; the next HELD_BACK seeds are for measuring it.
+MADE, HELD_BACK = 400, 100
+
+
+def labelled(pages: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of labelled pages."""
+    rows, marks = [], []
+    for page in pages:
+        rows.append(features(blocks(re.sub(r">[+-] ", ">", page))))
+        marks += [b.text.startswith("+") for b in blocks(page)]
+    return np.vstack(rows), np.array(marks, float)
+
+
 @dataclass
 class Tree:
     """A binary decision tree; a leaf has no feature."""
@@ -185,6 +261,10 @@ class Tree:
         return np.where(rows[:, self.feature] <= self.most, self.low.decide(rows), self.high.decide(rows)) if len(rows) else np.zeros(0, bool)
 
 
+#: Blocks of the labelled table that a leaf rests on at least.
+LEAF = 12
+
+
 def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 5) -> Tree:
     """Splits by the least Gini impurity; of equal splits the first feature and the lowest threshold win."""
     keep = bool(labels.mean() >= 0.5)
@@ -194,6 +274,8 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 5) -> Tree:
             values = np.unique(rows[:, f])
             for most in (values[1:] + values[:-1]) / 2:
                 low = rows[:, f] <= most
+                if min(low.sum(), len(low) - low.sum()) < LEAF:
+                    continue
                 impurity = sum(part.mean() * (1 - part.mean()) * len(part) for part in (labels[low], labels[~low]))
                 if best is None or impurity < best[0] - 1e-9:
                     best = (impurity, f, float(most))
@@ -204,8 +286,7 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 5) -> Tree:
 
 
 def trained_tree() -> Tree:
-    rows = np.vstack([features(blocks(re.sub(r">[+-] ", ">", p))) for p in LABELLED])
-    return grow(rows, np.array([b.text.startswith("+") for p in LABELLED for b in blocks(p)], float))
+    return grow(*labelled([*BY_HAND, *map(labelled_page, range(MADE))]))
 
 
 def main_text(page: str, tree: Tree) -> str:
