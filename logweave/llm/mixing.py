@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm.common import WORD, materialise
 
-#: Most times that a document of the most repeated source may be read.
+#: Most times that a document may be read.
 MAX_REPETITION = 1.5
 #: Blocks that a source's documents fall into, and again each block's.
 BLOCKS = 4096
@@ -68,7 +68,8 @@ def solve_exponent(sources: DataFrame, max_repetition: float | None, target_entr
 def mixing_plan(docs: DataFrame, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, budget_tokens: int | None = None, seed: int = 0) -> DataFrame:
     """One row per source: source, docs, tokens, share, weight, repetition and where its last permutation ends.
 
-    Without a budget, it is the least by which no source is cut below one full reading. `epochs` counts full
+    Without a budget, it is the least by which no source is cut below one full reading. No document is read more often
+    than max_repetition, rounded up; a budget that would need it is cut to what the limit allows. `epochs` counts full
     readings; `cut1`, `cut2`, `cut3` say up to which block, block within it and document (by hash) the next, partial
     one goes, null where there is none. A partial reading takes documents until their tokens reach what is left of
     the source's budget, so it goes beyond it by less than one document.
@@ -79,9 +80,11 @@ def mixing_plan(docs: DataFrame, max_repetition: float | None = MAX_REPETITION,
     sources = materialise(sources, "mixing-sources")
     filled = sources.where("tokens > 0")
     exponent = solve_exponent(filled, max_repetition, target_entropy)
-    total = filled.agg(F.sum("tokens").alias("t"), F.sum(F.pow(F.col("tokens"), F.lit(exponent))).alias("w"), F.max(F.pow(F.col("tokens"), F.lit(1 - exponent))).alias("least")).first()
+    total = filled.agg(F.sum("tokens").alias("t"), F.sum(F.pow(F.col("tokens"), F.lit(exponent))).alias("w"), F.max(F.pow(F.col("tokens"), F.lit(1 - exponent))).alias("least"), F.max(F.pow(F.col("tokens"), F.lit(exponent - 1))).alias("most")).first()
     whole, scale = float(total.t or 1), float(total.w or 1)
     budget = float(budget_tokens) if budget_tokens is not None else scale * float(total.least or 1)
+    if max_repetition is not None and total.most:
+        budget = min(budget, max_repetition * scale / float(total.most))
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens"), F.lit(exponent)) / scale).otherwise(0.0)
     plan = sources.select("source", "docs", "tokens", (F.col("tokens") / whole).alias("share"), weight.alias("weight"))
     # Rounded, so that a source that is due once isn't read 0.9999999 times.
@@ -128,8 +131,8 @@ def mix_sources(docs: DataFrame, max_repetition: float | None = MAX_REPETITION,
 
     Weights are token shares (words of `text`) to a power found from a repetition limit or a target entropy; see
     `mixing_plan`. Each source's documents form a permutation of blocks by hash, cut by its budget; mix_epoch is the
-    number of the reading, and ascending (mix_epoch, mix_order) deals out all sources in a random order that differs
-    by epoch. With the default budget every document is read at least once.
+    number of the reading, and ascending (mix_epoch, mix_order) goes through the blocks, each of which holds its part of
+    every source, in an order that differs by epoch, and so do the blocks within them and the documents. With the default budget every document is read at least once.
 
     A source may hold any share of all rows: sums are taken per block before the shuffle, and only one block of a
     block, about one document in 16 million of a source, is put in order document by document. A null source is a
@@ -147,7 +150,14 @@ def mix_sources(docs: DataFrame, max_repetition: float | None = MAX_REPETITION,
     again = F.col("lw_cut1").isNotNull() & (here <= cut)
     readings = F.col("lw_epochs") + again.cast("int")
     read = placed.withColumn("mix_epoch", F.explode(F.when(readings > 0, F.sequence(F.lit(0), readings - 1)).otherwise(F.array().cast("array<int>"))))
-    return read.select(*given.columns, "mix_epoch", F.xxhash64("mix_epoch", "lw_b1", "lw_b2", "lw_b3").alias("mix_order"))
+    return read.select(*given.columns, "mix_epoch", _order().alias("mix_order"))
+
+
+def _order() -> Column:
+    """A permutation of the blocks by epoch, then of the blocks within a block, then of documents: 20, 20 and 23 bits."""
+    parts = [F.xxhash64("mix_epoch", "lw_b1"), F.xxhash64("mix_epoch", "lw_b1", "lw_b2"), F.xxhash64("mix_epoch", "lw_b1", "lw_b2", "lw_b3")]
+    one, two, three = (F.pmod(h, F.lit(1 << bits)) for h, bits in zip(parts, (20, 20, 23), strict=True))
+    return F.shiftleft(one, 43).bitwiseOR(F.shiftleft(two, 23)).bitwiseOR(three)
 
 
 def entropy(weights: list[float]) -> float:

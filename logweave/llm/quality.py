@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import PIECE_BYTES, held_out, labelled_sample, mix64, pieces, segment_hashes, word_bounds
+from logweave.llm.common import PIECE_BYTES, free_name, held_out, labelled_sample, mix64, pieces, segment_hashes, word_bounds
 
 #: Labelled rows that are fitted on, at most; the only bound on what is learned from.
 SAMPLE_ROWS = 4000
@@ -192,8 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Networ
     return fit([t for t, _ in sample], np.array([y for _, y in sample], float))
 
 
-def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with a last column lw_score; every row and its whole text is scored, a null text as an empty one."""
+def scored(docs: DataFrame, net: Network, name: str) -> DataFrame:
+    """docs with a last column of the given name; every row and its whole text is scored, a null text as an empty one."""
     given = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +201,10 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
                 texts = [t or b"" for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(net.scores(pooled(texts, net.vectors)))], names=[*given, "lw_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(net.scores(pooled(texts, net.vectors)))], names=[*given, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select("*", F.col("text").cast("binary").alias("lw_bytes")).mapInArrow(run, f"{fields}, lw_score double")
+    return docs.select("*", F.col("text").cast("binary").alias(free_name(docs, "lw_bytes"))).mapInArrow(run, f"{fields}, `{name}` double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -217,10 +217,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     labels all scores are 0.5, and columns other than doc_id and text are not read.
     """
     net = train(docs, labels, rows)
-    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), net)
+    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), net, "lw_score")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("lw_score").alias("score"), (F.col("lw_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs without those that the classifier rejects; columns unchanged."""
-    return scored(docs, train(docs, labels, rows)).where(F.col("lw_score") >= THRESHOLD).drop("lw_score")
+    """docs without those that the classifier rejects; columns unchanged, whatever their names."""
+    name = free_name(docs, "lw_score")
+    return scored(docs, train(docs, labels, rows), name).where(F.col(name) >= THRESHOLD).drop(name)

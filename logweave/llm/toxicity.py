@@ -168,7 +168,7 @@ def fit(texts: list[str], labels: np.ndarray, terms: Sequence[Sequence[str]] = I
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
     sample = labelled_sample(docs, labels, "toxic", rows)
-    return fit([t.decode() for t, _ in sample], np.array([y for _, y in sample], float), terms)
+    return fit([t.decode("utf-8", "replace") for t, _ in sample], np.array([y for _, y in sample], float), terms)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> DataFrame:

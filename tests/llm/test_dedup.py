@@ -57,7 +57,9 @@ def test_components_equal_brute_force(spark, monkeypatch, classes):
     if classes == "all_frequent":
         real = ngram_join.token_classes
         monkeypatch.setattr(ngram_join, "token_classes", lambda counts: np.minimum(real(counts) + (counts > 3) + (counts > 30), 3).astype(np.uint8))
-        monkeypatch.setattr(ngram_join, "SHORT_LIST", 2)
+        monkeypatch.setattr(ngram_join, "LIST_ROWS", 3)
+        monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
+        monkeypatch.setattr(ngram_join, "BEST", 1)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "clash", i) for i, t in rows], DOCS).repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_components(docs).collect()}
@@ -74,7 +76,7 @@ def test_components_edge_rows(spark):
 
 def test_signatures_are_shared():
     rng = random.Random(5)
-    counts = np.array([rng.choice((0, 0, 500, 5000)) for _ in range(ngram_join.COUNTERS)], np.uint16)
+    counts = np.array([rng.choice((0, 0, 500, 5000)) for _ in range(ngram_join.COUNTERS)], np.uint32)
     classes = ngram_join.token_classes(counts)
     for _ in range(300):
         n = rng.choice((1, 2, 3, 5, 8, 13, 16, 20, 31, 33, 50, 100, 400))
@@ -85,10 +87,40 @@ def test_signatures_are_shared():
                 b.discard(rng.choice(sorted(b)))
             b.add(rng.getrandbits(64)) if rng.random() < 0.5 else None
         if b and 100 * len(a & b) >= 75 * len(a | b):
-            one, two = (ngram_join.signatures(np.array(sorted(x), np.uint64), counts, classes) for x in (a, b))
+            one, two = (ngram_join.signatures(np.array(sorted(x), np.uint64), counts, classes)[0] for x in (a, b))
             assert set(one.tolist()) & set(two.tolist()), n
 
 
+def test_possible_pairs_keep_every_link(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "_PAIRS_AT_ONCE", 500)
+    monkeypatch.setattr(ngram_join, "_WORDS_AT_ONCE", 64)
+    rng = random.Random(6)
+    sets, rows = [], []
+    for unit in range(30):
+        size = rng.choice((20, 60, 64, 65, 130, 500))
+        base = [rng.getrandbits(64) for _ in range(size)]
+        for k in range(rng.randint(2, 25)):
+            own = {t for t in base if rng.random() > rng.choice((0.02, 0.1, 0.2))} | {rng.getrandbits(64) for _ in range(rng.randint(0, size // 6))}
+            node = len(sets)
+            sets.append(own)
+            for level in ngram_join.levels(len(own)):
+                rows.append((unit * 100 + level, level, rng.choice((-1, -1, 0, 1)), node, len(own), node // 2))
+    rows.sort()
+    bits = [ngram_join.bitmap(np.array(sorted(sets[r[3]]), np.uint64)) for r in rows]
+    columns = [pa.array([r[k] for r in rows]) for k in range(6)] + [pa.array(bits, pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["unit", "level", "side", "node", "n", "label", "bits"])
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 20_000)
+    got = {(p["a"], p["b"]) for out in ngram_join._compare(None)(batch.slice(i, 7) for i in range(0, len(rows), 7)) for p in out.to_pylist()}
+    top = lambda a, b: max(len(sets[a]), len(sets[b])).bit_length() - 1
+    met = {(min(x[3], y[3]), max(x[3], y[3])) for x in rows for y in rows if x[0] == y[0] and x[5] != y[5] and (x[2] < 0 or x[2] != y[2]) and x[1] == top(x[3], y[3])}
+    links = {(a, b) for a, b in met if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    some = {(p["a"], p["b"]) for out in ngram_join._compare(1)(batch.slice(i, 7) for i in range(0, len(rows), 7)) for p in out.to_pylist()}
+    assert (None, None) in some and some - {(None, None)} < got and {x for p in got for x in p} == {x for p in some for x in p if x is not None}
+    assert links <= got <= met and len(links) > 300 and len(got) < 0.8 * len(met)
+
+
 def exact_expected(rows):
     first, size = {}, Counter()
     for i, t in rows:
@@ -98,11 +130,11 @@ def exact_expected(rows):
     return sorted((i, first[x], size[x], first[x] == i, hashlib.sha256(x.encode()).hexdigest()) for i, t in rows for x in [re.sub(r"[\x20\x09-\x0D]+", " ", t or "")])
 
 
-@pytest.mark.parametrize("most", [250_000, 1])
-def test_exact_groups(spark, monkeypatch, most):
-    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", most)
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 15])
+def test_exact_groups(spark, monkeypatch, bits):
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
     long = "x" * 200
-    texts = ["a b", "a  b", "a\n\tb", "ab", None, "", long + "1", long + "2", long + "1", " ", "a b", "é", "É", long * 50]
+    texts = ["a b", "a  b", "a\n\tb", "ab", None, "", long + "1", long + "2", long + "1", " ", "a b", "é", "É", long * 50, long + "3" * 7, "y" * 1_000_000, "y" * 1_000_000]
     rows = list(enumerate(texts))[::-1]
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, full string, n long")
     out = exact_dedup.exact_groups(docs, digest=True)
@@ -110,7 +142,15 @@ def test_exact_groups(spark, monkeypatch, most):
     kept = sorted(r.doc_id for r in exact_dedup.drop_exact(docs).collect())
     assert kept == sorted({x[1] for x in exact_expected(rows)})
     assert exact_dedup.drop_exact(docs).columns == docs.columns
-    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0 and exact_dedup.drop_exact(docs.limit(0)).count() == 0
+
+
+def test_exact_refinements_leave_what_they_should(spark):
+    prefix = "p" * exact_dedup.PREFIX_CHARS
+    texts = ["one", "other length", "same", "size", prefix + "a", prefix + "b", prefix + "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    full = {r.doc_id: r.full for r in exact_dedup._refined(docs, False, "doc_id", "text").collect()}
+    assert {i for i, x in full.items() if x} == {4, 5, 6}
 
 
 def test_exact_repeated_rows(spark):
@@ -120,6 +160,34 @@ def test_exact_repeated_rows(spark):
     assert sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_exact(docs).collect()) == [("1", "a"), ("1", "b"), ("None", "c")]
 
 
+CLASHING = "doc_id long, text string, lost_id long, lw_sha string, lw_key long, kept boolean, component long, node long, full string, LW_Of long"
+
+
+def test_drops_accept_any_columns_and_ids(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    near = a + " more"
+    rest = (7, "x", 8, True, 9, 10, "f", 11)
+    rows = [(1, a), (5, near), (5, "a text that nothing is like at all"), (None, near + " words"), (None, "alone without an id"), (None, None), (6, ""), (1, a), (None, "alone without an id")]
+    docs = spark.createDataFrame([(i, t, *rest) for i, t in rows], CLASHING).repartition(3)
+    out = ngram_join.drop_near(docs)
+    assert out.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted([("1", a), ("5", "a text that nothing is like at all"), ("None", "alone without an id"), ("None", "None"), ("6", "")])
+    out = exact_dedup.drop_exact(docs)
+    assert out.columns == docs.columns and out.count() == 6
+    assert ngram_join.drop_near(docs.limit(0)).count() == 0
+
+
+def test_components_of_very_long_texts(spark):
+    rng = random.Random(8)
+    base = [str(rng.getrandbits(40)) for _ in range(120_000)]
+    other = list(base)
+    for k in rng.sample(range(len(base)), 2000):
+        other[k] = "z"
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, "q" * 3_000_000), (4, " ".join(base[:60_000]))]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_repeated_passages(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 9)))
