@@ -1,53 +1,3 @@
-"""A training corpus from `documents`: good documents, no copies, no near copies, mixed sources, token ids.
+"""The corpus pipeline, which lives in logweave.llm."""
 
-Counted as part of the subpackage llm. Each stage is a function of (spark, docs, sf_dir); its result is written as
-Parquet and read again as the next one's docs.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from logweave.llm import exact_dedup, mixing, ngram_join, quality, spm
-from logweave.llm.common import materialise
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    return quality.keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return exact_dedup.drop_exact(docs.select(*COLUMNS))
-
-
-def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return ngram_join.drop_near(docs.select(*COLUMNS))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight wants them; each at least once."""
-    return mixing.mix_sources(docs.select(*COLUMNS)).select(*COLUMNS)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each reading of a document, checked to give the text back."""
-    return spm.encode_documents(docs.select("doc_id", "source", "text"))
-
-
-STAGES = [("quality", good), ("exact_dedup", distinct), ("near_dedup", dissimilar), ("mixing", mixed), ("tokens", tokens)]
-
-#: SQL has no word for the trained classifier and the token search; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, over the whole of `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+from logweave.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run  # noqa: F401
