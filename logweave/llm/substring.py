@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import PIECE_BYTES, mix64, segment_hashes, word_bounds
+from logweave.llm.common import PIECE_BYTES, materialise, mix64, segment_hashes, word_bounds
 
 #: Bytes that the rolling hash looks back on.
 LOOK_BACK = 16
@@ -27,6 +27,10 @@ ANCHOR_WORDS = 8
 HASH_BYTES = 6
 #: Occurrences of anchors that are compared at once; one anchor's are never parted.
 SLAB = 200_000
+#: An anchor with more occurrences than this, as one document in SAMPLED suggests, is hot and has its windows dealt singly.
+HOT_ROWS, SAMPLED = 20_000, 64
+#: Most anchors that are treated as hot, the most frequent ones; the list goes to all tasks.
+HOT_ANCHORS = 100_000
 
 NO_ID = (1 << 63) - 1
 
@@ -73,7 +77,7 @@ def chunk_ends(text: bytes) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-_ANCHORS = "digest long, row long, doc_id long, windows binary"
+_ANCHORS = "digest long, row long, doc_id long, windows binary, hot boolean"
 _SHARED = "row long, doc_id long, first int, n int, start int, end int, lo long"
 #: How the windows of an anchor are packed: this head, then the windows' hashes, then the steps of starts and of ends.
 _HEAD = np.dtype([("first", "<i4"), ("start", "<i4"), ("end", "<i4"), ("n", "u1"), ("width", "u1")])
@@ -135,8 +139,9 @@ def _anchors(texts: list[bytes], run_words: int) -> tuple[np.ndarray, np.ndarray
     return text[whole[lows]], digest[anchor[lows]].view(np.int64), packed
 
 
-def _gather(run_words: int):
-    """A pass over texts that gives their anchors, each input row known by a key of its own."""
+def _gather(run_words: int, hot: frozenset[int] = frozenset()):
+    """A pass over texts that gives their anchors, each input row known by a key of its own; hot ones are marked."""
+    hot_ones = np.array(sorted(hot), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -154,7 +159,7 @@ def _gather(run_words: int):
                 keys = pa.array([key(*r) for r in rows], pa.int64())
                 ids = pa.array([d for d, _ in rows], pa.int64())
                 at = pa.array(text)
-                yield pa.RecordBatch.from_arrays([pa.array(digest), keys.take(at), ids.take(at), pa.array(packed, pa.binary())], names=["digest", "row", "doc_id", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest), keys.take(at), ids.take(at), pa.array(packed, pa.binary()), pa.array(np.isin(digest, hot_ones))], names=["digest", "row", "doc_id", "windows", "hot"])
 
         for batch in batches:
             rows: list[tuple[int | None, bytes]] = []
@@ -184,6 +189,56 @@ def _spread(low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + low[owner]
 
 
+class _Opened:
+    """The windows that packed occurrences hold, in order: whose each is and its place there."""
+
+    def __init__(self, windows: pa.Array | pa.ChunkedArray) -> None:
+        windows = windows.chunk(0) if isinstance(windows, pa.ChunkedArray) else windows
+        _, offsets, data = windows.buffers()
+        at = np.frombuffer(offsets, np.int32)[windows.offset : windows.offset + len(windows) + 1][:-1].astype(np.int64)
+        self.data = np.frombuffer(data, np.uint8)
+        self.heads = self.data[at[:, None] + np.arange(_HEAD.itemsize)].reshape(-1).view(_HEAD)
+        self.n, self.width = self.heads["n"].astype(np.int64), self.heads["width"].astype(np.int64)
+        self.owner, self.j = _spread(np.zeros(len(self.n), np.int64), self.n)
+        self.body = at + _HEAD.itemsize
+
+    def hashes(self) -> np.ndarray:
+        where = self.body[self.owner] + self.j * HASH_BYTES
+        out = np.zeros((len(self.owner), 8), np.uint8)
+        for b in range(HASH_BYTES):
+            out[:, b] = self.data[where + b]
+        return out.reshape(-1).view("<u8")
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, which are sums of steps within an occurrence."""
+        owner, w = self.owner, self.width[self.owner]
+        step = np.zeros((2, len(owner)), np.int64)
+        for side in range(2):
+            place = self.body[owner] + self.n[owner] * (HASH_BYTES + side * w) + self.j * w
+            for b in range(4):
+                held = w > b
+                step[side][held] += self.data[place[held] + b].astype(np.int64) << (8 * b)
+        total = np.cumsum(step, axis=1)
+        edge = total[:, np.cumsum(self.n) - self.n][:, owner]
+        return self.heads["start"][owner] + total[0] - edge[0], self.heads["end"][owner] + total[1] - edge[1]
+
+
+_WINDOWS = "digest long, hash long, row long, doc_id long, first int, start int, end int"
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of the occurrences (digest, row, doc_id, windows)."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 5000):
+            part = batch.slice(low, 5000)
+            opened = _Opened(part.column(3))
+            start, end = opened.edges()
+            of = pa.array(opened.owner)
+            first = opened.heads["first"][opened.owner] + opened.j
+            columns = [part.column(0).take(of), pa.array(opened.hashes().view(np.int64)), part.column(1).take(of), part.column(2).take(of), *(pa.array(x.astype(np.int32)) for x in (first, start, end))]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "hash", "row", "doc_id", "first", "start", "end"])
+
+
 def _compare(table: pa.Table) -> pa.RecordBatch | None:
     """Stretches of consecutive windows that another row has, from all occurrences of some anchors sorted by digest."""
     digest, row = table.column(0).to_numpy(), table.column(1).to_numpy()
@@ -196,20 +251,8 @@ def _compare(table: pa.Table) -> pa.RecordBatch | None:
     digest, row = table.column(0).to_numpy(), table.column(1).to_numpy()
     ids = table.column(2).combine_chunks()
     doc_id = ids.fill_null(NO_ID).to_numpy()
-    windows = table.column(3).combine_chunks()
-    windows = windows.chunk(0) if isinstance(windows, pa.ChunkedArray) else windows
-    _, offsets, data = windows.buffers()
-    at = np.frombuffer(offsets, np.int32)[windows.offset : windows.offset + len(windows) + 1][:-1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8)
-    heads = data[at[:, None] + np.arange(_HEAD.itemsize)].reshape(-1).view(_HEAD)
-    n, width = heads["n"].astype(np.int64), heads["width"].astype(np.int64)
-    owner, j = _spread(np.zeros(len(n), np.int64), n)
-    body = at + _HEAD.itemsize
-    where = body[owner] + j * HASH_BYTES
-    hashes = np.zeros((len(owner), 8), np.uint8)
-    for b in range(HASH_BYTES):
-        hashes[:, b] = data[where + b]
-    h = hashes.reshape(-1).view("<u8")
+    opened = _Opened(table.column(3).combine_chunks())
+    owner, j, h = opened.owner, opened.j, opened.hashes()
     group = np.cumsum(np.concatenate(([0], digest[1:] != digest[:-1])))[owner]
     order = np.lexsort((h, group))
     first = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (group[order][1:] != group[order][:-1]))))
@@ -221,22 +264,12 @@ def _compare(table: pa.Table) -> pa.RecordBatch | None:
     hit = np.flatnonzero(shared)
     if not len(hit):
         return None
-    # Starts and ends are sums of steps within an occurrence.
-    w = width[owner]
-    step = np.zeros((2, len(owner)), np.int64)
-    for side in range(2):
-        place = body[owner] + n[owner] * (HASH_BYTES + side * w) + j * w
-        for b in range(4):
-            held = w > b
-            step[side][held] += data[place[held] + b].astype(np.int64) << (8 * b)
-    total = np.cumsum(step, axis=1)
-    edge = total[:, np.cumsum(n) - n][:, owner]
-    start, end = heads["start"][owner] + total[0] - edge[0], heads["end"][owner] + total[1] - edge[1]
+    start, end = opened.edges()
     low = np.flatnonzero(np.concatenate(([True], (np.diff(hit) > 1) | (np.diff(owner[hit]) > 0))))
     high = np.concatenate((low[1:], [len(hit)])) - 1
     a, z = hit[low], hit[high]
     of = owner[a]
-    columns = [pa.array(row[of]), ids.take(pa.array(of)), pa.array((heads["first"][of] + j[a]).astype(np.int32)), pa.array((z - a + 1).astype(np.int32)), pa.array(start[a].astype(np.int32)), pa.array(end[z].astype(np.int32)), pa.array(np.minimum.reduceat(lo[hit], low))]
+    columns = [pa.array(row[of]), ids.take(pa.array(of)), pa.array((opened.heads["first"][of] + j[a]).astype(np.int32)), pa.array((z - a + 1).astype(np.int32)), pa.array(start[a].astype(np.int32)), pa.array(end[z].astype(np.int32)), pa.array(np.minimum.reduceat(lo[hit], low))]
     return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "first", "n", "start", "end", "lo"])
 
 
@@ -259,6 +292,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def hot_anchors(texts: DataFrame, run_words: int) -> frozenset[int]:
+    """Digests of the anchors that have more than HOT_ROWS occurrences by a sample of documents; HOT_ANCHORS at most."""
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).mapInArrow(_gather(run_words), _ANCHORS)
+    counts = some.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS / SAMPLED)
+    return frozenset(r.digest for r in counts.orderBy(F.desc("n"), "digest").limit(HOT_ANCHORS).collect())
+
+
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id) of each passage that another document has too.
 
@@ -270,15 +310,25 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
     Windows travel packed by their anchor, the place in them with the least gear hash of ANCHOR_WORDS words, which
     equal windows share. All occurrences of an anchor meet in one task, which holds
-    them at once: about a kilobyte for each while it compares them.
+    them at once: about a kilobyte for each while it compares them. Anchors that a sample shows to be hot, as in a
+    passage that a third of all documents hold, don't meet so: their windows are counted one by one, in part before
+    the shuffle, and joined with those that more than one row has. The sample decides on the way, not on the result.
 
     Every input row is a document of its own, known by a key of its content and its count in its partition, so rows
     without an id, rows that share an id and repeated rows are told apart; null ids come last in first_doc_id. Null
     and empty texts and texts of fewer words have no passages; empty tables give no rows; other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    anchors = texts.mapInArrow(_gather(run_words), _ANCHORS)
-    shared = anchors.repartition("digest").sortWithinPartitions("digest").mapInArrow(_meet, _SHARED)
+    hot = hot_anchors(texts, run_words)
+    anchors = texts.mapInArrow(_gather(run_words, hot), _ANCHORS)
+    usual = anchors.where("not hot") if hot else anchors
+    shared = usual.drop("hot").repartition("digest").sortWithinPartitions("digest").mapInArrow(_meet, _SHARED)
+    if hot:
+        windows = materialise(anchors.where("hot").drop("hot").mapInArrow(_unpack, _WINDOWS), "hot-windows")
+        doc = F.coalesce("doc_id", F.lit(NO_ID))
+        several = windows.groupBy("digest", "hash").agg(F.min("row").alias("a"), F.max("row").alias("z"), F.min(doc).alias("lo")).where("a < z").drop("a", "z")
+        met = windows.join(materialise(several, "hot-shared"), ["digest", "hash"])
+        shared = shared.union(met.select("row", "doc_id", "first", F.lit(1).alias("n"), "start", "end", "lo"))
     # Stretches of windows of one row that follow each other have one difference of last window and windows so far.
     order = Window.partitionBy("row").orderBy("first")
     runs = shared.withColumn("run", F.col("first") + F.col("n") - F.sum("n").over(order))

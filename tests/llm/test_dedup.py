@@ -229,7 +229,10 @@ def windows_expected(rows, n):
     return sorted(out, key=str)
 
 
-def test_repeated_passages_whole(spark):
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_repeated_passages_whole(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT_ROWS", hot)
+    monkeypatch.setattr(substring, "SAMPLED", 1)
     rng = random.Random(12)
     text = lambda n, most: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, most))) for _ in range(n))
     rows = []
@@ -243,7 +246,10 @@ def test_repeated_passages_whole(spark):
     assert len(got) > 250
 
 
-def test_repeated_passages_rows_without_own_ids(spark):
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_repeated_passages_rows_without_own_ids(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT_ROWS", hot)
+    monkeypatch.setattr(substring, "SAMPLED", 1)
     rng = random.Random(13)
     text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
     a, b, c, whole = text(60), text(60), text(60), text(40)
