@@ -107,6 +107,46 @@ def test_mixing_keeps_limit_and_budget(spark):
         assert wanted - 1e-3 <= read[s] <= wanted + longest[s], s
 
 
+def test_mixing_cuts_block_permutations(spark):
+    docs, _ = mixed_docs(spark)
+    plan = {r.source: r for r in mixing.mixing_plan(docs, max_repetition=2.5).collect()}
+    placed = docs.select("doc_id", "source", mixing.tokens_of(docs.text).alias("tokens"), *mixing._places(0)).collect()
+    out = mixing.mix_sources(docs, max_repetition=2.5).collect()
+    times = Counter(r.doc_id for r in out)
+    for source, p in plan.items():
+        own = sorted((r for r in placed if r.source == source), key=lambda r: (r.b1, r.b2, r.b3))
+        whole = int(p.repetition) if p.tokens else 1
+        left = (p.repetition - whole) * p.tokens if p.tokens else 0
+        again, read = set(), 0
+        for r in own:
+            if left > 1e-6 and read < left - 1e-6:
+                again.add(r.doc_id)
+                read += r.tokens
+        assert {r.doc_id: times[r.doc_id] for r in own if r.tokens} == {r.doc_id: whole + (r.doc_id in again) for r in own if r.tokens}, source
+    block = {r.doc_id: (r.b1, r.b2) for r in placed}
+    for epoch in {r.mix_epoch for r in out}:
+        order = [block[r.doc_id] for r in sorted((r for r in out if r.mix_epoch == epoch), key=lambda r: r.mix_order)]
+        # Blocks follow each other whole, and not by number.
+        assert len([b for k, b in enumerate(order) if k == 0 or order[k - 1] != b]) == len(set(order)) and (len(order) < 20 or order != sorted(order))
+
+
+def test_mixing_limit_holds_under_any_budget(spark):
+    docs, rows = mixed_docs(spark)
+    words = sum(len((t or "").split()) for _, t, _ in rows)
+    assert max(Counter(r.doc_id for r in mixing.mix_sources(docs, budget_tokens=10 * words).collect()).values()) <= 2
+
+
+def test_sample_of_repeated_ids_is_settled(spark, monkeypatch):
+    from logweave.llm import common
+
+    free = [i for i in range(50) if not held(i)][:3]
+    docs = spark.createDataFrame([(free[0], "b"), (free[0], "a"), (free[1], None), (free[2], "c" * 100), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(free[0], 0), (free[0], 1), (free[1], 0), (free[2], 1), (None, 1)], "doc_id long, quality int")
+    assert common.labelled_sample(docs.repartition(4), labels, "quality", 10) == [(b"a", 1), (b"", 0), (b"c" * 100, 1)]
+    monkeypatch.setattr(common, "FIT_BYTES", 50)
+    assert b"c" * 100 not in [t for t, _ in common.labelled_sample(docs, labels, "quality", 10)]
+
+
 def test_mixing_meets_entropy(spark):
     docs, _ = mixed_docs(spark)
     plan = mixing.mixing_plan(docs.where("source is not null and source <> 'empty'"), max_repetition=None, target_entropy=1.2).collect()

@@ -36,3 +36,16 @@ def test_stages_against_brute_force(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in rows[4]}
     assert Counter(r["doc_id"] for r in rows[5]) == times
     assert all(r["text_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() and len(r["ids"]) == r["n_ids"] for r in rows[5])
+
+
+def test_stages_on_odd_rows(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, text + " end", None, None, None), (None, None, None, None, None), (None, "", "en", "b", 0), (3, "alone here", "en", "b", 10), (3, "of one id", "en", "b", 9)]
+    docs = spark.createDataFrame([(*r, "x", 1, True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, ids string, lw_score int, kept boolean")
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns == (corpus_pipeline.COLUMNS if name != "tokens" else ["doc_id", "source", "ids", "n_ids", "text_sha256"])
+        counts.append(out.count())
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert counts[0] <= len(rows) and counts[1:3] == [5, 5] and counts[3] >= len(rows) and counts[4] == len(rows)
