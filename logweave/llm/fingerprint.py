@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,59 @@ def _low_bit(x: np.ndarray) -> np.ndarray:
     return (np.frexp((x & (~x + np.uint64(1))).astype(np.float64))[1] - 1).astype(np.uint64)
 
 
+def _labels(s: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Labels of symbols by coin tossing; what stands before a head doesn't count."""
+    label = s
+    for _ in range(TOSSES):
+        before = np.concatenate((label[:1], label[:-1]))
+        before[head] = ~label[head]
+        differ = label ^ before
+        differ[differ == 0] = 1
+        bit = _low_bit(differ)
+        label = (bit << np.uint64(1)) | ((label >> bit) & np.uint64(1))
+    return label.astype(np.int16)
+
+
+def parse_long(symbols: np.ndarray, named: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> np.ndarray:
+    """The names that parse_round gives to the phrases of a single document, worked out in pieces.
+
+    Whether a phrase begins at a symbol depends on few runs to either side, so pieces see that many of their
+    neighbours'. Besides the symbols and the names, which may be given as narrow ones with `named` to widen them, it
+    takes some nine bytes a symbol.
+    """
+    runs = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
+    m, around = len(runs), TOSSES + 2
+
+    def merged(low: int, high: int) -> np.ndarray:
+        """The runs from low to high as symbols."""
+        length = np.diff(np.append(runs[low:high], runs[high] if high < m else len(symbols)))
+        s = named(symbols[runs[low:high]])
+        long = length > 1
+        if long.any():
+            with np.errstate(over="ignore"):
+                s[long] = mix64(s[long] ^ mix64(length[long].astype(np.uint64)))
+        return s
+
+    starts = [np.zeros(1, np.int64)]
+    for low in range(0, m, PIECE_BYTES):
+        high = min(low + PIECE_BYTES, m)
+        first, end = max(0, low - around), min(m, high + around)
+        s = merged(first, end)
+        head = np.zeros(len(s), bool)
+        head[0] = True  # only at the document's own beginning does it reach the piece
+        label = _labels(s, head)
+        top = (label > np.concatenate(([-1], label[:-1]))) & (label >= np.concatenate((label[1:], [-1])))
+        at = np.flatnonzero(top[low - first : high - first]) + low
+        starts.append(at[(at > 1) & (at < m - 1)])
+    at = np.concatenate(starts)
+    ends = np.append(at[1:], m)
+    out = []
+    for k in range(0, len(at), PIECE_BYTES // 4):
+        a, b = at[k : k + PIECE_BYTES // 4], ends[k : k + PIECE_BYTES // 4]
+        out.append(segment_hashes(merged(int(a[0]), int(b[-1])), a - a[0], b - a[0]))
+    return np.concatenate(out)
+
+
 def parse_round(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Names of the phrases of one round and the document of each.
 
@@ -45,15 +98,7 @@ def parse_round(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
         with np.errstate(over="ignore"):
             s[long] = mix64(s[long] ^ mix64(length[long].astype(np.uint64)))
     head = np.concatenate(([True], d[1:] != d[:-1]))
-    label = s
-    for _ in range(TOSSES):
-        before = np.concatenate((label[:1], label[:-1]))
-        before[head] = ~label[head]
-        differ = label ^ before
-        differ[differ == 0] = 1
-        bit = _low_bit(differ)
-        label = (bit << np.uint64(1)) | ((label >> bit) & np.uint64(1))
-    label = label.astype(np.int16)
+    label = _labels(s, head)
     prev, after = np.concatenate(([-1], label[:-1])), np.concatenate((label[1:], [-1]))
     last = np.concatenate((head[1:], [True]))
     top = (label > prev) & (label >= after) & ~last
@@ -86,6 +131,16 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
 
     size = 0
     for t in texts:
+        if len(t) > PIECE_BYTES:
+            flush()
+            size = 0
+            symbols, found = parse_long(np.frombuffer(t, np.uint8), lambda x: mix64(x.astype(np.uint64))), []
+            for k in range(ROUNDS):
+                symbols = parse_long(symbols) if k else symbols
+                if k >= ROUNDS - 2:
+                    found.append(mix64(symbols + np.uint64(k)))
+            out.append(np.unique(np.concatenate(found)))
+            continue
         if size + len(t) > PIECE_BYTES // 2 and block:
             flush()
             size = 0
@@ -173,13 +228,16 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text ends with the beginning of the next document by descending doc_id, after the last of the first.
     Rows are dealt by ranges of doc_id, so a text is shuffled once and its follower mostly lies in the same task;
     for the last row of each task a small join brings the first row of the next. Null texts are empty, null ids come
-    last, rows that share an id follow each other by text. A text's work takes memory in proportion to its length,
-    some 60 bytes a character. A table of one row follows itself; an empty one gives no rows; other columns are not
+    last, rows that share an id follow each other by a hash of their text. A text's work takes memory in proportion
+    to its length, some 15 bytes a character. A table of one row follows itself; an empty one gives no rows; other columns are not
     read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = texts.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
+    # Rows without an id, or of one id, are many ranges too, and so are equal ones, whose order is all the same.
+    keyed = texts.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash"), F.col("row")]
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("hash", "row")
     at = new_folder(spark, "fingerprints")
     dealt.mapInArrow(_walk, _ROWS).write.option("compression", "zstd").parquet(at)
     rows = spark.read.schema(_ROWS).parquet(at)

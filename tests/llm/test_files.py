@@ -93,6 +93,72 @@ def test_likeness_from_all_phrases(spark):
     assert all(len(r.fingerprint) == 8 * fingerprint.KEPT for r in got.values())
 
 
+def test_long_texts_are_parsed_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (130, 1000, 5000)]
+    texts += [b"a" * 3000, b"ab" * 900, b"".join(bytes([x]) * k for x, k in zip(rng.integers(97, 105, 400), rng.integers(1, 40, 400), strict=True)), b"x" * 500 + texts[1] + b"y" * 700]
+    whole = fingerprint.fingerprints(texts)
+    monkeypatch.setattr(fingerprint, "PIECE_BYTES", 64)
+    for a, b in zip(whole, fingerprint.fingerprints(texts), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def brute_names(text):
+    """Phrase names of the last two rounds by plain loops over Python numbers."""
+    mask = (1 << 64) - 1
+    mix = lambda x: int(fingerprint.mix64(np.array([x & mask], np.uint64))[0])
+    symbols, names = [mix(b) for b in text], set()
+    for k in range(fingerprint.ROUNDS):
+        runs = []
+        for x in symbols:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        s = [x if n == 1 else mix(x ^ mix(n)) for x, n in runs]
+        label = list(s)
+        for _ in range(fingerprint.TOSSES):
+            made = []
+            for i, x in enumerate(label):
+                differ = (x ^ (label[i - 1] if i else ~x & mask)) or 1
+                bit = (differ & -differ).bit_length() - 1
+                made.append(2 * bit | (x >> bit & 1))
+            label = made
+        starts = [0] + [i for i in range(2, len(s) - 1) if label[i] > label[i - 1] and label[i] >= label[i + 1]]
+        symbols = []
+        for a, b in zip(starts, starts[1:] + [len(s)], strict=True):
+            symbols.append(int(fingerprint.segment_hashes(np.array(s[a:b], np.uint64), np.array([0]), np.array([b - a]))[0]))
+        if k >= fingerprint.ROUNDS - 2:
+            names |= {mix(x + k) for x in symbols}
+    return names
+
+
+def test_fingerprints_equal_brute_force():
+    rng = np.random.default_rng(4)
+    texts = [b"a", b"ab", b"aab", b"aaaa", *(bytes(rng.integers(97, 97 + k, n, dtype=np.uint8)) for k, n in ((2, 50), (26, 300), (4, 400), (26, 3)))]
+    for text, found in zip(texts, fingerprint.fingerprints(texts), strict=True):
+        assert set(found.tolist()) == brute_names(text)
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(250_000)]
+    long = " ".join(words)
+    docs = spark.createDataFrame([(1, long, "s"), (2, "short text", "s"), (3, long + " x", "s")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    from logweave.llm import mixing, quality, substring, toxicity
+
+    prints = {r.doc_id: r for r in fingerprint.document_fingerprints(docs).collect()}
+    assert prints[2].n_chars == 10 and prints[3].near_edited > 0.6
+    assert {r.doc_id: r.n_words for r in substring.repeated_passages(docs).collect()} == {1: 250_000, 3: 250_000}
+    assert mixing.mix_sources(docs).count() >= 3
+    assert spm.encode_documents(docs).count() == 3
+    assert quality.score_quality(docs, labels).count() == toxicity.score_toxicity(docs, labels).count() == 3
+    pages = docs.selectExpr("doc_id AS page_id", "'u' AS url", "concat('<article><p>', text, '</p></article>') AS html")
+    assert {r.page_id: r.n_chars for r in html_extract.extract_main_text(pages).collect()} == {1: len(long), 2: 10, 3: len(long) + 2}
+    assert {r.page_id: r.record_type for r in warc.archive_round_trip(pages).collect()} == dict.fromkeys((1, 2, 3), "response")
+
+
 def test_parsing_is_local():
     rng = np.random.default_rng(2)
     body = bytes(rng.integers(97, 110, 4000, dtype=np.uint8))
