@@ -261,7 +261,8 @@ def revisits(pages: DataFrame) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     keyed = materialise(pages.select("page_id", payload.alias("payload")).where(F.length("payload") >= REVISIT_BYTES).select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("size")), "warc-digests")
     shared = keyed.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = keyed.join(shared, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    # Read back, so that a payload that very many pages have can be split in the join.
+    found = keyed.join(materialise(shared, "warc-shared"), ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     return materialise(found.select("page_id", "digest", "refers_to").distinct(), "warc-revisits")
 
 
@@ -272,7 +273,8 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     it; a null html is an empty payload, a null url or page_id leaves its header out. Null ids sort below all
     others; where all equal payloads have null ids, all are responses. Rows that
     repeat an id are written as often. Payloads are never shuffled while the revisit ids are few enough to
-    broadcast, else pages are joined to them by page_id. Other columns are not read; no pages, no records.
+    broadcast, else pages are joined to them by page_id. A payload takes memory several times its length, in the
+    task that writes or reads its record. Other columns are not read; no pages, no records.
     """
     folder = new_folder(pages.sparkSession, "warc")
     again = revisits(pages).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to")
