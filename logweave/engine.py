@@ -112,10 +112,11 @@ class Engine:
             found = lines.read_lines(self.spark, path)
         except PySparkException as e:
             raise CannotReadLog(f"cannot read log file {path}") from e
-        rows = self.map_found(found, parsed, start, count)
-        if parsed and rows.where("not failed").isEmpty():
+        # A line that begins a record is looked for first, which mostly ends after a few lines.
+        seen = found.where(F.col("line_no") >= start) if start else lines.marked_lines(self.spark.read.option("lineSep", "\n").text(path))
+        if parsed and (count == 0 or seen.where(F.col("ok") & parsed.matches(F.col("value"))).isEmpty()):
             raise NoLogMessages("no log messages found in input")
-        return rows.drop("failed")
+        return self.map_found(found, parsed, start, count).drop("failed")
 
     def map_found(self, found: DataFrame, fmt: LogFormat | None, start: int = 0, count: int | None = None) -> DataFrame:
         """(path, first_line, json, failed) of the mappings of numbered lines, and of their lines that are no UTF-8."""

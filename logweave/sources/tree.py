@@ -98,7 +98,7 @@ def list_tree(spark: SparkSession, root: str, ignore: str | None = None) -> Data
     folders = spark.createDataFrame([("",)] if there else [], "path string")
     levels = [spark.createDataFrame([], _ENTRIES)]
     while not folders.isEmpty():
-        level = folders.repartition("path").mapInArrow(_list_folders(root), _ENTRIES).where(wanted & (F.col("path") != ""))
+        level = folders.repartition("path").mapInArrow(_list_folders(root), _ENTRIES).where(wanted)
         levels.append(materialise(level, "tree-level"))
         folders = levels[-1].where("is_dir and readable").select("path")
     rows = reduce(DataFrame.union, levels)
