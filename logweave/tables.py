@@ -26,11 +26,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a table is written, so that a task holds few whole texts twice.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    at = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    spark = df.sparkSession
+    at = new_folder(spark, name)
+    rows = int(spark.conf.get(_BATCH))
+    try:
+        if not 0 < rows <= BATCH_ROWS:
+            spark.conf.set(_BATCH, BATCH_ROWS)
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(_BATCH, rows)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def delete_folder(spark: SparkSession, at: str) -> None:
