@@ -27,15 +27,15 @@ BLOCK = 1 << 14
 #: Bits that mark which documents a verification needs.
 MARKS = 1 << 22
 #: Distinct sets that a task remembers, in order not to index repeated ones.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: Postings of one signature that meet in one task; more are dealt over several by their set's name.
 LIST_ROWS = 50_000
 #: Tokens of a set by which it is grouped with its like: those that follow so many points of the ring of hashes.
 LIKE_POINTS = 4
 #: Sets that one side of a comparison holds, and the bytes of bitmaps that it holds at most.
-BLOCK_SETS, BLOCK_BYTES = 512, 1 << 23
+BLOCK_SETS, BLOCK_BYTES = 512, 1 << 22
 #: Partners of a set that one comparison gives at most before the last one, which gives all.
-BEST = 4
+BEST = 8
 #: Sizes below this power of two use single tokens only.
 FIRST_COMBINED_LEVEL = 4
 
@@ -421,7 +421,7 @@ def _comparisons(listed: DataFrame) -> DataFrame:
 
 
 #: Words of bitmaps that a comparison gathers at once, and pairs that it lists at once.
-_WORDS_AT_ONCE, _PAIRS_AT_ONCE = 1 << 20, 1 << 20
+_WORDS_AT_ONCE, _PAIRS_AT_ONCE = 1 << 17, 1 << 17
 
 
 def _within(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

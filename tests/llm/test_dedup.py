@@ -60,10 +60,13 @@ def test_components_equal_brute_force(spark, monkeypatch, classes):
         monkeypatch.setattr(ngram_join, "LIST_ROWS", 3)
         monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
         monkeypatch.setattr(ngram_join, "BEST", 1)
+    made, real_write = [], ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name: made.append(name) or real_write(df, name))
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "clash", i) for i, t in rows], DOCS).repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_components(docs).collect()}
     assert got == brute_components(rows)
+    assert ("hot-lists" in made) == (classes == "all_frequent")
 
 
 def test_components_edge_rows(spark):
