@@ -20,8 +20,8 @@ SPACE = "▁"
 LITERAL = "\ud800"
 #: Characters that the search takes in before it looks for a boundary to commit to.
 STEP = 256
-#: Segments up to KEPT characters are remembered with their ids, so many by each worker.
-KEPT, REMEMBERED = 24, 600_000
+#: Segments up to KEPT characters are remembered with their ids in two generations of so many each.
+KEPT, REMEMBERED = 16, 100_000
 #: How far an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Types of pieces in a model file.
@@ -129,20 +129,31 @@ class Model:
 
 
 class _Known(dict):
-    """Ids of segments between boundaries that every path shares, found by the streaming search when first asked for."""
+    """Ids of segments between boundaries that every path shares, found by the streaming search when first asked for.
+
+    When a generation is full it becomes the old one, from which only what is asked for again comes back.
+    """
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, segment: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(self.model.stream(segment[i : i + STEP] for i in range(0, len(segment), STEP))))
+        ids = self.old.get(segment)
+        if ids is None:
+            ids = tuple(chain.from_iterable(self.model.stream(segment[i : i + STEP] for i in range(0, len(segment), STEP))))
         if len(segment) <= KEPT:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[segment] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 _models: dict[bytes, Model] = {}
 
@@ -185,6 +196,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], arrays, pa.array(sizes, pa.int64()), pa.array(digests)], names=[*given, "ids", "n_ids", "text_sha256"])
+        model.known.forget()  # a worker stays, for stages that need its memory
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema][:-1]
     return read.mapInArrow(run, ", ".join([*fields, "ids array<int>", "n_ids long", "text_sha256 string"]))
