@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logweave.llm import exact_dedup, fingerprint, html_extract, mixing, ngram_join, quality, spm, substring, toxicity, warc
+from logweave.llm import exact_dedup, fill_middle, filter_audit, fingerprint, html_extract, mixing, ngram_join, quality, spm, substring, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), digest=True)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"))
+    digest = lambda x: F.sha2(x, 256)
+    chars = lambda c: F.char_length(c).cast("long").alias(c.removeprefix("fim_") + "_chars")
+    return cut.select(
+        "doc_id", F.col("fim_n").alias("n"), F.col("fim_form").alias("form"), chars("fim_prefix"), chars("fim_middle"),
+        digest(F.col("fim_output")).alias("output_sha256"), digest(fill_middle.restored(F.col("fim_output"), F.col("fim_form"))).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -74,11 +89,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_repeated_passages": op9_repeated_passages,
         "op10_toxicity": op10_toxicity,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_fill_middle": op12_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op2_warc": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op11_filter_audit": filter_audit.SQL, "op12_fill_middle": fill_middle.SQL}
 
 
 OP2_SQL = """
