@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +34,7 @@ LIST_ROWS = 50_000
 #: Tokens of a set by which it is grouped with its like: those that follow so many points of the ring of hashes.
 LIKE_POINTS = 4
 #: Sets that one side of a comparison holds, and the bytes of bitmaps that it holds at most.
-BLOCK_SETS, BLOCK_BYTES = 512, 1 << 22
+BLOCK_SETS, BLOCK_BYTES = 2048, 1 << 22
 #: Partners of a set that one comparison gives at most before the last one, which gives all.
 BEST = 8
 #: Sizes below this power of two use single tokens only.
@@ -43,14 +44,14 @@ NO_ID = (1 << 63) - 1
 _NODE = pa.int64()
 
 
-def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
     """For each text the sorted hashes of its distinct shingles; none for a text without words."""
     for h in word_hashes(texts):
-        if len(h) > WORDS:
-            n = len(h) - WORDS + 1
+        if len(h) > words:
+            n = len(h) - words + 1
             with np.errstate(over="ignore"):
                 s = np.zeros(n, np.uint64)
-                for k in range(WORDS):
+                for k in range(words):
                     s = s * np.uint64(0xD6E8FEB86659FD93) + h[k : k + n]
             yield np.unique(mix64(s))
         elif len(h):
@@ -58,14 +59,21 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
                 s = np.uint64(0)
                 for x in h:
                     s = s * np.uint64(0xD6E8FEB86659FD93) + x
-            yield mix64(np.array([s + np.uint64(WORDS - len(h))], np.uint64))
+            yield mix64(np.array([s + np.uint64(words - len(h))], np.uint64))
         else:
             yield h
 
 
-def set_node(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set: equal sets have equal names, and among 10**9 sets two names meet with odds of 3 %."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_names(tokens: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a set: equal sets have equal names. The second one tells sets apart that share the first."""
+    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def set_node(tokens: np.ndarray, clashing: frozenset[int] = frozenset()) -> int:
+    """The name by which a set is known: its first, or its second where different sets share the first."""
+    first, second = set_names(tokens)
+    return second if first in clashing else first
 
 
 #: Documents that a task works on at once.
@@ -98,11 +106,11 @@ def _folded(bits: Column, other: Column) -> Column:
     return F.when(F.size(bits) > F.size(other), both).otherwise(bits)
 
 
-def _similar_sizes(a: str, b: str) -> Column:
-    return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
+def _similar_sizes(a: str, b: str, percent: int) -> Column:
+    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
-def may_link(na: str, nb: str, a: str, b: str) -> Column:
+def may_link(na: str, nb: str, a: str, b: str, percent: int = PERCENT) -> Column:
     """False only for sets that can't have the least similarity: each bit that differs is a token that one set lacks.
 
     With d such tokens at least, the similarity is at most (na + nb - d) / (na + nb + d).
@@ -110,46 +118,55 @@ def may_link(na: str, nb: str, a: str, b: str) -> Column:
     a, b = F.col(a), F.col(b)
     differ = F.aggregate(F.zip_with(_folded(a, b), _folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     sizes = F.col(na) + F.col(nb)
-    return _similar_sizes(na, nb) & (100 * (sizes - differ) >= PERCENT * (sizes + differ))
+    return _similar_sizes(na, nb, percent) & (100 * (sizes - differ) >= percent * (sizes + differ))
 
 
-_SCANNED = "doc_id long, content long, n long, node long, bits array<long>, likes array<long>, block int, counts binary"
+_SCANNED = "doc_id long, content long, n long, node long, second long, bits array<long>, signature array<int>, likes array<long>, block int, counts binary"
 _POINTS = np.arange(LIKE_POINTS, dtype=np.uint64) << np.uint64(62)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document rows (id, hash of the text, set size, set name, bitmap, tokens that similar sets share), then the task's counters of tokens in blocks."""
+def _scan(join: NgramJoin):
+    """A pass that gives document rows (id, hash of the text, set size, both names, sketch, signature, tokens that similar sets share), then the task's counters of tokens in blocks."""
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("node", _NODE), ("bits", longs), ("likes", longs), ("block", pa.int32()), ("counts", pa.binary())])
-    total = np.zeros(COUNTERS, np.uint32)
-
-    def add(pending: list[np.ndarray]) -> None:
-        total[:] += np.bincount(np.concatenate(pending).view(np.int64), minlength=COUNTERS).astype(np.uint32)
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("node", _NODE), ("second", pa.int64()), ("bits", longs), ("signature", pa.list_(pa.int32())), ("likes", longs),
+        ("block", pa.int32()), ("counts", pa.binary()),
+    ])
 
     def rows(*columns: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    for batch in _slices(batches):
-        ids, texts = _rows(batch)
-        sizes, nodes, bits, likes, pending, held = [], [], [], [], [], 0
-        for s in shingle_sets(texts):
-            sizes.append(len(s))
-            nodes.append(set_node(s) if len(s) else None)
-            bits.append(bitmap(s) if len(s) else None)
-            likes.append(s[np.searchsorted(s, _POINTS) % len(s)].view(np.int64) if len(s) else None)
-            pending.append(s & np.uint64(COUNTERS - 1))
-            held += len(s)
-            if held >= COUNTERS:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.uint32)
+
+        def add(pending: list[np.ndarray]) -> None:
+            total[:] += np.bincount(np.concatenate(pending).view(np.int64), minlength=COUNTERS).astype(np.uint32)
+
+        for batch in _slices(batches):
+            ids, texts = _rows(batch)
+            sizes, names, bits, signed, likes, pending, held = [], [], [], [], [], [], 0
+            for s in shingle_sets(texts, join.words):
+                sizes.append(len(s))
+                names.append(set_names(s) if len(s) else (None, None))
+                sketch, signature, counted = join.sketch(s) if len(s) else (None, None, s)
+                bits.append(sketch)
+                signed.append(signature)
+                likes.append(s[np.searchsorted(s, _POINTS) % len(s)].view(np.int64) if len(s) else None)
+                pending.append(counted & np.uint64(COUNTERS - 1))
+                held += len(counted)
+                if held >= COUNTERS:
+                    add(pending)
+                    pending, held = [], 0
+            if held:
                 add(pending)
-                pending, held = [], 0
-        if held:
-            add(pending)
-        none = [None] * len(ids)
-        yield rows(ids, batch.column(2), sizes, nodes, bits, likes, none, none)
-    if total.any():
-        parts = total.reshape(-1, BLOCK)
-        none = [None] * len(parts)
-        yield rows(none, none, none, none, none, none, list(range(len(parts))), [zlib.compress(p.tobytes(), 1) for p in parts])
+            none = [None] * len(ids)
+            yield rows(ids, batch.column(2), sizes, [a for a, _ in names], [b for _, b in names], bits, signed, likes, none, none)
+        if total.any():
+            parts = total.reshape(-1, BLOCK)
+            none = [None] * len(parts)
+            yield rows(*[none] * 8, list(range(len(parts))), [zlib.compress(p.tobytes(), 1) for p in parts])
+
+    return run
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +199,9 @@ def token_classes(counts: np.ndarray) -> np.ndarray:
     return (1 + (counts > usual + bound) + (counts > usual + 16 * bound)).astype(np.uint8)
 
 
-def levels(n: int) -> list[int]:
+def levels(n: int, percent: int = PERCENT) -> list[int]:
     """The size levels at which a set of n tokens can meet a similar one: that of the larger set of the pair."""
-    return list(range(n.bit_length() - 1, (n * 100 // PERCENT).bit_length()))
+    return list(range(n.bit_length() - 1, (n * 100 // percent).bit_length()))
 
 
 def signatures(tokens: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +276,12 @@ def _counter(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(COUNTERS - 1)).view(np.int64)
 
 
-def _index(counts: np.ndarray):
+def listed_part(most: np.ndarray, node: int, rows: int) -> np.ndarray:
+    """The part of each list that a set goes to, so that parts have some `rows` sets; 0 where a list is small for sure."""
+    return np.where(most > rows, 1 + (node & 0xFFFFFFFF) % (1 + most // rows), 0).astype(np.int32)
+
+
+def _index(counts: np.ndarray, clashing: frozenset[int]):
     classes = token_classes(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,14 +296,13 @@ def _index(counts: np.ndarray):
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "part", "node"])
 
             for s in shingle_sets(texts):
-                if not len(s) or (node := set_node(s)) in seen:
+                if not len(s) or (node := set_node(s, clashing)) in seen:
                     continue
                 if len(seen) < REMEMBERED:
                     seen.add(node)
                 found, most = signatures(s, counts, classes)
                 sigs.append(found)
-                # 0 where a list is small for sure.
-                parts.append(np.where(most > LIST_ROWS, 1 + (node & 0xFFFFFFFF) % (1 + most // LIST_ROWS), 0).astype(np.int32))
+                parts.append(listed_part(most, node, LIST_ROWS))
                 nodes.append(node)
                 held += len(found)
                 if held > 200_000:
@@ -293,7 +314,7 @@ def _index(counts: np.ndarray):
     return run
 
 
-def _token_sets(marks: np.ndarray):
+def _token_sets(marks: np.ndarray, words: int, clashing: frozenset[int]):
     """Sets of the documents whose mark is set; the mark is the first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +323,8 @@ def _token_sets(marks: np.ndarray):
             chosen = np.flatnonzero(marks[at >> 3] & (1 << (at & 7)).astype(np.uint8))
             ids, texts = _rows(batch.select([1, 2]).take(pa.array(chosen)))
             for i in range(0, len(ids), 256):
-                sets = list(shingle_sets(texts[i : i + 256]))
-                nodes = [set_node(s) if len(s) else None for s in sets]
+                sets = list(shingle_sets(texts[i : i + 256], words))
+                nodes = [set_node(s, clashing) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[i : i + 256], pa.int64()), pa.array(nodes, _NODE), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "node", "tokens"]
                 )
@@ -329,17 +350,17 @@ def _marks(ids: DataFrame) -> np.ndarray:
 class _Verifier:
     """Tells which candidate pairs are similar. Sets are fetched only where the bitmaps don't rule a pair out."""
 
-    def __init__(self, texts: DataFrame, reps: DataFrame, bits: DataFrame) -> None:
-        self.texts, self.reps, self.bits = texts, reps, bits
+    def __init__(self, join: NgramJoin, texts: DataFrame, reps: DataFrame, bits: DataFrame, clashing: frozenset[int]) -> None:
+        self.join, self.texts, self.reps, self.bits, self.clashing = join, texts, reps, bits, clashing
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), each once and without those that the bitmaps rule out."""
         for x in ("b", "a"):  # sizes first, for they rule out most
             pairs = pairs.join(self.bits.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")), x)
-        pairs = pairs.where(_similar_sizes("na", "nb")).distinct()
+        pairs = pairs.where(_similar_sizes("na", "nb", self.join.percent)).distinct()
         for x in ("b", "a"):
             pairs = pairs.join(self.bits.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")), x)
-        return pairs.where(may_link("na", "nb", "bits_a", "bits_b")).select("a", "b")
+        return self.join.allowed(pairs).select("a", "b")
 
     def edges(self, possible: DataFrame) -> DataFrame:
         """(a, b) of the pairs (a, b) that are similar."""
@@ -347,14 +368,14 @@ class _Verifier:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         needed = materialise(nodes.join(self.reps, "node").select("node", "doc_id"), "needed")
         marks = _marks(needed)
-        found = self.texts.select(_mark_of(F.col("doc_id")).alias("mark"), "doc_id", "text").mapInArrow(_token_sets(marks), "doc_id long, node long, tokens array<long>")
+        found = self.texts.select(_mark_of(F.col("doc_id")).alias("mark"), "doc_id", "text").mapInArrow(_token_sets(marks, self.join.words, self.clashing), "doc_id long, node long, tokens array<long>")
         # Dealt by node once, for both sides of the pairs.
         sets = found.join(needed, ["node", "doc_id"], "left_semi").select("node", "tokens").dropDuplicates(["node"])
         left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
         right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
         shared = F.size(F.array_intersect("ta", "tb")).cast("long")
         counted = pairs.join(right, "b").join(left, "a").select("a", "b", shared.alias("shared"), (F.size("ta") + F.size("tb")).cast("long").alias("both"))
-        return materialise(counted.where(100 * F.col("shared") >= PERCENT * (F.col("both") - F.col("shared"))).select("a", "b").distinct(), "links")
+        return materialise(counted.where(100 * F.col("shared") >= self.join.percent * (F.col("both") - F.col("shared"))).select("a", "b").distinct(), "links")
 
 
 def _alike(nodes: DataFrame) -> DataFrame:
@@ -387,7 +408,7 @@ def _level(n: Column) -> Column:
     return F.length(F.bin(n)) - 1
 
 
-def _comparisons(listed: DataFrame) -> DataFrame:
+def _comparisons(join: NgramJoin, listed: DataFrame) -> DataFrame:
     """Deals the rows (key, node, n, label) of lists into units (unit, side, node, n, label) of bounded size.
 
     Any two sets of one list, with different labels and sizes that allow a link, meet in exactly one unit; they are to be
@@ -396,11 +417,10 @@ def _comparisons(listed: DataFrame) -> DataFrame:
     rest only, so pairs that are connected already cost nothing.
     """
     n = F.col("n").cast("long")
-    leveled = listed.withColumn("level", F.explode(F.sequence(_level(n), _level(F.floor(n * 100 / PERCENT)))))
+    leveled = listed.withColumn("level", F.explode(F.sequence(_level(n), _level(F.floor(n * 100 / join.percent)))))
     by_label = leveled.groupBy("key", "level", "label").agg(F.count("*").alias("k"))
     lists = by_label.groupBy("key", "level").agg(F.max(F.struct("k", "label")).alias("home"), F.sum("k").alias("sets"), F.count("*").alias("labels")).where("labels > 1")
-    words = F.pow(F.lit(2.0), F.greatest(F.col("level") - 3, F.lit(2)))
-    block = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK_SETS)), F.floor(BLOCK_BYTES / (8 * words))))
+    block = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK_SETS)), F.floor(BLOCK_BYTES / (8 * join.sketch_words(F.col("level"))))))
     lists = lists.select(
         "key", "level", F.col("home.label").alias("home"), (F.col("sets") <= block).alias("whole"),
         F.ceil(F.col("home.k") / block).alias("homes"), F.ceil((F.col("sets") - F.col("home.k")) / block).alias("rests"),
@@ -424,51 +444,47 @@ def _comparisons(listed: DataFrame) -> DataFrame:
 _WORDS_AT_ONCE, _PAIRS_AT_ONCE = 1 << 17, 1 << 17
 
 
-def _within(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j), i < j, of all pairs within consecutive groups of the given sizes, some at a time."""
-    group_end = np.repeat(np.cumsum(sizes), sizes)
-    followers = group_end - np.arange(len(group_end)) - 1
+def _within(unit: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of all pairs of one unit that are of different sides or of side -1, some at a time.
+
+    Rows are sorted by unit and side; no unit has more than two sides.
+    """
+    rows = np.arange(len(unit))
+    edge = lambda differs: np.append(np.flatnonzero(differs) + 1, len(unit))
+    unit_ends, side_ends = edge(unit[1:] != unit[:-1]), edge((unit[1:] != unit[:-1]) | (side[1:] != side[:-1]))
+    group_end = unit_ends[np.searchsorted(unit_ends, rows, "right")]
+    first = np.where(side < 0, rows + 1, side_ends[np.searchsorted(side_ends, rows, "right")])
+    followers = group_end - first
     low = 0
     upto = np.cumsum(followers)
     while low < len(followers):
         high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + _PAIRS_AT_ONCE, "right")))
         k = followers[low:high]
         i = np.repeat(np.arange(low, high), k)
-        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        yield i, first[i] + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
         low = high
 
 
-def _possible_pairs(table: pa.Table, best: int | None) -> pa.RecordBatch:
-    """Pairs of the units' sets that their bitmaps allow to be similar; rows of a unit follow each other.
+def _possible_pairs(join: NgramJoin, table: pa.Table, best: int | None) -> pa.RecordBatch:
+    """Pairs of the units' sets that their sketches allow to be similar; rows are sorted by unit and side.
 
     With `best` only the pairs that are among so many most similar ones of one of their sets, by what the bitmaps
     allow; a row of nulls tells that others were left out.
     """
     unit, level, side, node, n, label = (table.column(c).to_numpy() for c in ("unit", "level", "side", "node", "n", "label"))
-    bits = table.column("bits").combine_chunks()
-    words = pc.list_value_length(bits).to_numpy().astype(np.int64)
-    flat = bits.flatten().to_numpy().view(np.uint64)
-    at = np.cumsum(words) - words
+    likeness = join.likeness(table.column("bits").combine_chunks())
     n = n.astype(np.int64)
     own = np.frexp(n)[1] - 1
     found: list[np.ndarray] = []
     allowed: list[np.ndarray] = []
-    for i, j in _within(np.diff(np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True]))))):
+    for i, j in _within(unit, side):
         low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        asked = (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j])) & (100 * low >= PERCENT * high) & (np.maximum(own[i], own[j]) == level[i])
+        asked = (label[i] != label[j]) & (100 * low >= join.percent * high) & (np.maximum(own[i], own[j]) == level[i])
         i, j = i[asked], j[asked]
-        narrow = np.minimum(words[i], words[j])
-        for w in np.unique(narrow).tolist():
-            of = np.flatnonzero(narrow == w)
-            step = max(1, _WORDS_AT_ONCE // w)
-            for k in range(0, len(of), step):
-                a, b = i[of[k : k + step]], j[of[k : k + step]]
-                differ = np.bitwise_count(_narrowed(flat, at, words, a, w) ^ _narrowed(flat, at, words, b, w)).sum(axis=1, dtype=np.int64)
-                both = n[a] + n[b]
-                may = 100 * (both - differ) >= PERCENT * (both + differ)
-                x, y = node[a[may]], node[b[may]]
-                found.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
-                allowed.append((both[may] - differ[may]) / (both[may] + differ[may]))
+        for may, like, a, b in likeness(n, i, j):
+            x, y = node[a[may]], node[b[may]]
+            found.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+            allowed.append(like[may])
     pairs, at = np.unique(np.concatenate(found, axis=1), axis=1, return_index=True) if found else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
     columns = [pa.array(p, _NODE) for p in pairs]
     if best is not None and pairs.shape[1]:
@@ -492,8 +508,8 @@ def _narrowed(flat: np.ndarray, at: np.ndarray, words: np.ndarray, rows: np.ndar
     return out
 
 
-def _compare(best: int | None):
-    """A pass that compares the units of a task, whose rows are sorted by unit, some whole units at a time."""
+def _compare(join: NgramJoin, best: int | None):
+    """A pass that compares the units of a task, whose rows are sorted by unit and side, some whole units at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -510,38 +526,97 @@ def _compare(best: int | None):
                     size += held[-1].nbytes
                 start = end
                 if size >= BLOCK_BYTES:
-                    yield _possible_pairs(pa.Table.from_batches(held), best)
+                    yield _possible_pairs(join, pa.Table.from_batches(held), best)
                     held, size = [], 0
             if start < batch.num_rows:
                 held.append(batch.slice(start))
                 size += held[-1].nbytes
         if held:
-            yield _possible_pairs(pa.Table.from_batches(held), best)
+            yield _possible_pairs(join, pa.Table.from_batches(held), best)
 
     return run
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+@dataclass(frozen=True)
+class NgramJoin:
+    """What a join of sets is made of: words of a shingle, least similarity in hundredths, sketches and lists.
+
+    A sketch is an array of longs that tells cheaply which pairs can't be similar.
+    """
+
+    words: int = WORDS
+    percent: int = PERCENT
+
+    def sketch(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """A set's sketch, its signature if lists are made of one, and the tokens that are counted."""
+        return bitmap(tokens), None, tokens
+
+    def sketch_words(self, level: Column) -> Column:
+        """Longs of a sketch of a set of that size level."""
+        return F.pow(F.lit(2.0), F.greatest(level - 3, F.lit(2)))
+
+    def postings(self, texts: DataFrame, scanned: DataFrame, counts: np.ndarray, clashing: frozenset[int]) -> DataFrame:
+        """(sig, part, node): any two similar sets share a list."""
+        return texts.select("doc_id", "text").mapInArrow(_index(counts, clashing), "sig long, part int, node long")
+
+    def allowed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, na, nb, bits_a, bits_b) that may be similar."""
+        return pairs.where(may_link("na", "nb", "bits_a", "bits_b", self.percent))
+
+    def likeness(self, bits: pa.ListArray):
+        """A function that gives for sets at places i and j, in pieces: whether they may be similar, how similar at most, and the places."""
+        words = pc.list_value_length(bits).to_numpy().astype(np.int64)
+        flat = bits.flatten().to_numpy().view(np.uint64)
+        at = np.cumsum(words) - words
+
+        def run(n: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            narrow = np.minimum(words[i], words[j])
+            for w in np.unique(narrow).tolist():
+                of = np.flatnonzero(narrow == w)
+                step = max(1, _WORDS_AT_ONCE // w)
+                for k in range(0, len(of), step):
+                    a, b = i[of[k : k + step]], j[of[k : k + step]]
+                    differ = np.bitwise_count(_narrowed(flat, at, words, a, w) ^ _narrowed(flat, at, words, b, w)).sum(axis=1, dtype=np.int64)
+                    both = n[a] + n[b]
+                    yield 100 * (both - differ) >= self.percent * (both + differ), (both - differ) / (both + differ), a, b
+
+        return run
+
+
+def _clashing(scanned: DataFrame) -> frozenset[int]:
+    """First names that different sets share, which are known by their second names instead.
+
+    Among 10**10 sets fewer than three are expected, so the driver receives next to nothing.
+    """
+    seconds = scanned.where("node is not null").groupBy("node").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).where("lo <> hi")
+    return frozenset(r.node for r in seconds.select("node").collect())
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, join: NgramJoin | None = None) -> DataFrame:
     """(doc_id, content, n, component) of each row: a hash of its text, its set's size and a name of its component, null without words."""
+    join = join or NgramJoin()
     text = F.col(text_col).cast("binary")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("content"))
-    scanned = materialise(texts.mapInArrow(_scan, _SCANNED), "scanned")
-    sized = scanned.where("n is not null").select("doc_id", "content", "n", "node")
+    scanned = materialise(texts.mapInArrow(_scan(join), _SCANNED), "scanned")
     counts = token_counts(scanned)
+    clashing = _clashing(scanned)
+    if clashing:
+        scanned = scanned.withColumn("node", F.when(F.col("node").isin(list(clashing)), F.col("second")).otherwise(F.col("node")))
+    sized = scanned.where("n is not null").select("doc_id", "content", "n", "node")
 
-    postings = _lists(texts.select("doc_id", "text").mapInArrow(_index(counts), "sig long, part int, node long"))
+    postings = _lists(join.postings(texts, scanned, counts, clashing))
     # Many lists of one family of texts have the same least name: they become one list, whose rows are few.
     merged = materialise(postings.groupBy("leader", "node").agg(F.sum("members").alias("members")), "merged")
     listed = materialise(merged.select("node").distinct(), "listed")
     found = scanned.where("node is not null").join(listed, "node", "left_semi")
     reps = materialise(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("likes").alias("likes")), "reps")
-    verifier = _Verifier(texts, reps.select("node", "doc_id"), reps.select("node", "n", "bits"))
+    verifier = _Verifier(join, texts, reps.select("node", "doc_id"), reps.select("node", "n", "bits"), clashing)
     leaders = merged.select("leader", "node").union(_alike(reps.select("node", "likes"))).where("leader <> node")
     links = verifier.edges(verifier.possible(leaders.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))))
     labels = connected_components(links)
 
     for best in (BEST, None):
-        possible = materialise(_compared(merged, postings, labels, reps.select("node", "n", "bits"), best), "possible")
+        possible = materialise(_compared(join, merged, postings, labels, reps.select("node", "n", "bits"), best), "possible")
         more = verifier.edges(possible.where("a is not null").distinct())
         if not more.isEmpty():
             links = links.union(more)
@@ -551,7 +626,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return sized.join(labels, "node", "left").select("doc_id", "content", "n", F.coalesce("label", "node").alias("component"))
 
 
-def _compared(merged: DataFrame, postings: DataFrame, labels: DataFrame, bits: DataFrame, best: int | None) -> DataFrame:
+def _compared(join: NgramJoin, merged: DataFrame, postings: DataFrame, labels: DataFrame, bits: DataFrame, best: int | None) -> DataFrame:
     """Pairs (a, b) of sets of one list and of different components that the bitmaps allow, as `_possible_pairs` gives them."""
     # Leaders have met all sets of their lists.
     followers = merged.where("node <> leader")
@@ -564,8 +639,8 @@ def _compared(merged: DataFrame, postings: DataFrame, labels: DataFrame, bits: D
         apart = postings.join(open_lists.where("apart"), "leader", "left_semi").where("node <> leader").select(F.col("sig").alias("key"), "node")
         listed = listed.union(apart.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     listed = materialise(listed.join(bits.select("node", "n"), "node").select("key", "node", "n", "label"), "compared")
-    units = _comparisons(listed).join(bits.select("node", "bits"), "node").select("unit", "level", "side", "node", "n", "label", "bits")
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare(best), "a long, b long")
+    units = _comparisons(join, listed).join(bits.select("node", "bits"), "node").select("unit", "level", "side", "node", "n", "label", "bits")
+    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_compare(join, best), "a long, b long")
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -593,7 +668,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     empty results, and other columns are not read. A text takes some 40 bytes for each of its words while its set is
     made, and two sets of 8 bytes a shingle meet in a task at a time.
     """
-    classed = _classed(docs, id_col, text_col)
+    return components_of(_classed(docs, id_col, text_col))
+
+
+def components_of(classed: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of classed rows: each component is named by its smallest doc_id."""
     classed = materialise(classed, "classed")
     smallest = classed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     smallest = materialise(smallest.withColumnRenamed("component", "of"), "smallest")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import exact_dedup, fill_middle, filter_audit, fingerprint, html_extract, mixing, ngram_join, quality, spm, substring, toxicity, warc
+from logweave.llm import exact_dedup, fill_middle, filter_audit, fingerprint, html_extract, minhash, mixing, ngram_join, quality, spm, substring, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -91,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_filter_audit": op11_filter_audit,
         "op12_fill_middle": op12_fill_middle,
+        "op13_minhash": op13_minhash,
     }
 
 

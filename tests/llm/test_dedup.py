@@ -11,11 +11,11 @@ from logweave.llm import exact_dedup, ngram_join, substring
 DOCS = "doc_id long, text string, digest string, n long"
 
 
-def brute_components(rows):
+def brute_components(rows, words=5, percent=75):
     sets, places = {}, defaultdict(list)
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
         for x in sets[i]:
             places[x].append(i)
     parent = {i: i for i in sets}
@@ -27,7 +27,7 @@ def brute_components(rows):
 
     for a in sets:
         for b, n in Counter(b for x in sets[a] for b in places[x] if b < a).items():
-            if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
                 ra, rb = root(a), root(b)
                 parent[max(ra, rb)] = min(ra, rb)
     return {i: (len(s), root(i)) for i, s in sets.items()}
@@ -69,6 +69,19 @@ def test_components_equal_brute_force(spark, monkeypatch, classes):
     assert ("hot-lists" in made) == (classes == "all_frequent")
 
 
+def test_sets_that_share_a_name(spark, monkeypatch):
+    # In tasks too, for they get the function by value.
+    real = ngram_join.set_names
+    monkeypatch.setattr(ngram_join, "set_names", lambda tokens: (real(tokens)[0] % 40, real(tokens)[1]))
+    monkeypatch.setattr(ngram_join, "set_node", lambda tokens, clashing=frozenset(): (lambda a, b: b if a in clashing else a)(real(tokens)[0] % 40, real(tokens)[1]))
+    rows = corpus()[:150]
+    docs = spark.createDataFrame([(i, t, "clash", i) for i, t in rows], DOCS).repartition(3)
+    scanned = spark.createDataFrame([(1, 5), (1, 5), (2, 6), (2, 7)], "node long, second long")
+    assert ngram_join._clashing(scanned) == {2}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_components(docs).collect()}
+    assert got == brute_components(rows)
+
+
 def test_components_edge_rows(spark):
     text = "a b c d e f g"
     docs = spark.createDataFrame([(None, text), (7, text), (7, text), (9, text + " h"), (None, None)], "doc_id long, text string")
@@ -115,11 +128,11 @@ def test_possible_pairs_keep_every_link(monkeypatch):
     columns = [pa.array([r[k] for r in rows]) for k in range(6)] + [pa.array(bits, pa.list_(pa.int64()))]
     batch = pa.RecordBatch.from_arrays(columns, names=["unit", "level", "side", "node", "n", "label", "bits"])
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 20_000)
-    got = {(p["a"], p["b"]) for out in ngram_join._compare(None)(batch.slice(i, 7) for i in range(0, len(rows), 7)) for p in out.to_pylist()}
+    got = {(p["a"], p["b"]) for out in ngram_join._compare(ngram_join.NgramJoin(), None)(batch.slice(i, 7) for i in range(0, len(rows), 7)) for p in out.to_pylist()}
     top = lambda a, b: max(len(sets[a]), len(sets[b])).bit_length() - 1
     met = {(min(x[3], y[3]), max(x[3], y[3])) for x in rows for y in rows if x[0] == y[0] and x[5] != y[5] and (x[2] < 0 or x[2] != y[2]) and x[1] == top(x[3], y[3])}
     links = {(a, b) for a, b in met if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
-    some = {(p["a"], p["b"]) for out in ngram_join._compare(1)(batch.slice(i, 7) for i in range(0, len(rows), 7)) for p in out.to_pylist()}
+    some = {(p["a"], p["b"]) for out in ngram_join._compare(ngram_join.NgramJoin(), 1)(batch.slice(i, 7) for i in range(0, len(rows), 7)) for p in out.to_pylist()}
     assert (None, None) in some and some - {(None, None)} < got and {x for p in got for x in p} == {x for p in some for x in p if x is not None}
     assert links <= got <= met and len(links) > 300 and len(got) < 0.8 * len(met)
 
