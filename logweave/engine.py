@@ -99,8 +99,7 @@ class Engine:
         if fmt and count is not None:
             made = records.first_records(made, count)
         matched = match.match(records.parse(made, fmt), self.statements())
-        files = self.catalogue.select(F.lit(0).alias("root_ord"), "source_path").distinct()
-        traced = derive.with_call_sites(matched, files, KEYS)
+        traced = derive.with_call_sites(matched, catalog.source_files(self.snapshot, self.roots.paths), KEYS)
         return traced.withColumn("variables", derive.variables(F.col("body"), F.col("stmt"), F.col("captured")))
 
     def map_log(self, path: str, fmt: str | None = None, start: int = 0, count: int | None = None) -> DataFrame:

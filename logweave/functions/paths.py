@@ -125,3 +125,16 @@ def is_ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
 def find_suffix(path: Column, wanted: Column) -> Column:
     """Whether the path ends with the wanted relative path at a component boundary."""
     return (path == wanted) | path.endswith(F.concat(F.lit("/"), wanted))
+
+
+def holds_in_order(have: Column, wanted: Column) -> Column:
+    """Whether a path's components `have` end with the last one of `wanted` and hold the others before it, in order."""
+    last = F.size(wanted) - 1
+    met = F.aggregate(F.slice(have, F.lit(1), F.size(have) - 1), F.lit(0), lambda k, c: F.when((k < last) & (F.get(wanted, k) == c), k + 1).otherwise(k))
+    return (met == last) & (F.element_at(have, -1) == F.element_at(wanted, -1))
+
+
+def in_order(wanted: list[str], have: list[str]) -> bool:
+    """holds_in_order for lists of components."""
+    above = iter(have[:-1])
+    return have[-1:] == wanted[-1:] and all(x in above for x in wanted[:-1])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,144 +14,176 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: Leading characters of bodies and literals by which statements are looked up.
-KEY_CHARS = 8
-#: Characters of a literal in any place by which the other statements are looked up.
-GRAM = 4
+from logweave.functions import paths
+from logweave.functions.literal import Matcher
+from logweave.tables import materialise, small
+
+#: Characters of a statement's literal text by which it is looked up, at most: its rarest ones in the slice.
+ANCHOR_CHARS = 12
 #: A slice of the catalogue that tasks hold: statements, and bytes of their columns.
-SLICE_STATEMENTS, SLICE_BYTES = 200_000, 64 << 20
+SLICE_STATEMENTS, SLICE_BYTES = 100_000, 32 << 20
+#: Files whose paths travel to tasks to resolve call sites; for more, call sites are joined.
+MOST_FILES = 250_000
+#: Answers that a task remembers.
+REMEMBERED = 100_000
 
 #: Columns of a statement that a match carries.
 STATEMENT = ("root_ord", "source_path", "stmt_idx", "language", "line_no", "end_line_no", "column", "name", "text", "quality", "pattern", "executable", "args", "vars", "exprs")
 _CAPTURED = "captured array<string>"
-
-
-_PIECE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\[0-7]{1,3}|\\.|[^\\]", re.S)
-
-
-def literals(executable: str) -> list[str]:
-    """The stretches of literal text between the values and escapes of an executable pattern."""
-    inner = executable.removeprefix("(?s)").removeprefix("\\A").removesuffix("\\z")
-    out = []
-    for part in inner.split("(.+)"):
-        run = ""
-        for piece in _PIECE.findall(part):
-            if len(piece) == 1 or (len(piece) == 2 and piece[1] in ".*+?^${}()|[]"):
-                run += piece[-1]
-            else:
-                out.append(run)
-                run = ""
-        out.append(run)
-    return [run for run in out if run]
+CALL_SITES = "array<struct<name:string,source_path:string,language:string,line_no:int>>"
 
 
 class Index:
-    """Statements of a slice, found by the beginning of a body or by a rare piece of their literal text."""
+    """Statements of a slice, found by one walk over a body through an automaton of their anchors.
 
-    def __init__(self, table: pa.Table, known: set[tuple[int, str]]) -> None:
-        self.known = known
-        self.prefixes, self.executables = table.column("prefix").to_pylist(), table.column("executable").to_pylist()
+    A statement's anchor is its longest stretch of literal text, or the ANCHOR_CHARS characters of it that fewest
+    stretches of the slice hold. What a body costs is its length and the anchors that it really holds.
+    """
+
+    def __init__(self, table: pa.Table) -> None:
+        self.executables = table.column("executable").to_pylist()
         self.roots, self.paths, self.names = (table.column(c).to_pylist() for c in ("root_ord", "source_path", "file_name"))
         self.order, self.quality = table.column("stmt_idx").to_pylist(), table.column("quality").to_pylist()
-        self.compiled: dict[int, re.Pattern] = {}
-        self.by_prefix: dict[str, list[int]] = {}
-        self.by_gram: dict[str, list[tuple[str, int]]] = {}
-        self.others: list[int] = []
-        loose = []
-        for i, prefix in enumerate(self.prefixes):
-            if len(prefix) >= KEY_CHARS:
-                self.by_prefix.setdefault(prefix[:KEY_CHARS], []).append(i)
-            elif len(longest := max(literals(self.executables[i]), key=len, default="")) >= GRAM:
-                loose.append((i, longest))
-            else:
-                self.others.append(i)
-        counts = Counter(g for _, text in loose for g in {text[k : k + GRAM] for k in range(len(text) - GRAM + 1)})
-        for i, text in loose:
-            gram = min((text[k : k + GRAM] for k in range(len(text) - GRAM + 1)), key=lambda g: (counts[g], g))
-            self.by_gram.setdefault(gram, []).append((text, i))
-
-    def fitting(self, body: str, hint: str | None) -> Iterator[tuple[int, re.Match]]:
-        """Statements whose template the body fits, among those that the file hint leaves."""
-        found = [i for i in self.by_prefix.get(body[:KEY_CHARS], ()) if body.startswith(self.prefixes[i])]
-        if self.by_gram:
-            for gram in {body[k : k + GRAM] for k in range(len(body) - GRAM + 1)} & self.by_gram.keys():
-                found += [i for text, i in self.by_gram[gram] if text in body]
-        found += self.others
-        for i in found:
-            if hint is not None and not (self.names[i] == hint if (self.roots[i], hint) in self.known else hint in self.paths[i]):
+        self.matchers = [Matcher(x) for x in self.executables]
+        longest = [max(m.literals(), key=len, default="") for m in self.matchers]
+        windows = lambda text: (text[k : k + ANCHOR_CHARS] for k in range(len(text) - ANCHOR_CHARS + 1))
+        counts = Counter(w for text in longest if len(text) > ANCHOR_CHARS for w in set(windows(text)))
+        anchors: dict[str, list[int]] = {}
+        #: Statements without literal text, which every body meets.
+        self.others = [i for i, text in enumerate(longest) if not text]
+        for i, text in enumerate(longest):
+            if text:
+                anchor = text if len(text) <= ANCHOR_CHARS else min(windows(text), key=lambda w: (counts[w], w))
+                anchors.setdefault(anchor, []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for anchor, found in anchors.items():
+            self.automaton.add_word(anchor, (found[0], found))
+        if anchors:
+            self.automaton.make_automaton()
+
+    def candidates(self, body: str) -> list[int]:
+        """Statements whose anchor the body holds, each once."""
+        hits = dict(v for _, v in self.automaton.iter(body)) if len(self.automaton) and body else {}
+        return [i for found in hits.values() for i in found] + self.others
+
+    def fitting(self, body: str, hint: str | None, known: list[int] | None) -> Iterator[tuple[int, list[str]]]:
+        """Statements whose template the body fits, with the values, among those that the file hint leaves.
+
+        `known` has the roots in which the hint is the name of a file.
+        """
+        for i in self.candidates(body):
+            if hint is not None and not (self.names[i] == hint if known and self.roots[i] in known else hint in self.paths[i]):
                 continue
-            pattern = self.compiled.get(i)
-            if pattern is None:
-                pattern = self.compiled[i] = re.compile(self.executables[i].removesuffix("\\z") + "\\Z")
-            if m := pattern.match(body):
-                yield i, m
-
-    def per_file(self, body: str, hint: str | None, best_in_file: bool) -> list[tuple[tuple, int, re.Match]]:
-        """Of each file the first statement that fits, or its best: (place among the files, statement, match)."""
-        won: dict[tuple[int, str], tuple[tuple, int, re.Match]] = {}
-        for i, m in self.fitting(body, hint):
+            if (values := self.matchers[i].values(body)) is not None:
+                yield i, values
+
+    def per_file(self, body: str, hint: str | None, known: list[int] | None, best_in_file: bool) -> list[tuple[tuple, int, list[str]]]:
+        """Of each file the first statement that fits, or its best: (place among the files, statement, values)."""
+        won: dict[tuple[int, str], tuple[tuple, int, list[str]]] = {}
+        for i, values in self.fitting(body, hint, known):
             rank = (-self.quality[i], self.order[i]) if best_in_file else (self.order[i],)
             file = (self.roots[i], self.paths[i])
             if file not in won or rank < won[file][0]:
-                won[file] = (rank, i, m)
-        return [((root, -self.quality[i], path, self.order[i]), i, m) for (root, path), (_, i, m) in won.items()]
+                won[file] = (rank, i, values)
+        return [((root, -self.quality[i], path, self.order[i]), i, values) for (root, path), (_, i, values) in won.items()]
+
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-class _Slice:
-    """A part of the catalogue as it travels to the tasks: the statements of whole files, and all names of files."""
 
-    def __init__(self, table: pa.Table, known: list[tuple[int, str]]) -> None:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        self.data, self.known = sink.getvalue().to_pybytes(), known
+class _Opening:
+    """An Arrow table as it travels to the tasks, where it is opened once in a process."""
 
-    def opened(self) -> tuple[pa.Table, Index]:
+    def __init__(self, table: pa.Table) -> None:
+        self.data = _packed(table)
+
+    def opened(self):
         if not hasattr(self, "_opened"):
-            table = pa.ipc.open_stream(self.data).read_all().combine_chunks()
-            self._opened = (table, Index(table, set(map(tuple, self.known))))
+            self._opened = self.made(pa.ipc.open_stream(self.data).read_all().combine_chunks())
         return self._opened
 
     def __getstate__(self) -> dict:
-        return {"data": self.data, "known": self.known}
+        return {"data": self.data}
+
+
+class _Slice(_Opening):
+    """A part of the catalogue: the statements of whole files."""
+
+    @staticmethod
+    def made(table: pa.Table) -> tuple[pa.StructArray, Index]:
+        columns = [table.column(c).chunk(0) if table.num_rows else pa.array([], table.column(c).type) for c in STATEMENT]
+        return pa.StructArray.from_arrays(columns, names=list(STATEMENT)), Index(table)
+
+
+class _Files(_Opening):
+    """The source files by their names, to resolve relative paths of call sites."""
+
+    @staticmethod
+    def made(table: pa.Table):
+        by_name: dict[str, list[tuple]] = {}
+        for root, path in zip(table.column("root_ord").to_pylist(), table.column("source_path").to_pylist(), strict=True):
+            parts = path.split("/")
+            by_name.setdefault(parts[-1], []).append((root, path, parts))
+        answers: dict[str, str | None] = {}
+
+        def resolved(wanted: str) -> str | None:
+            if wanted not in answers:
+                if len(answers) >= REMEMBERED:
+                    answers.clear()
+                parts = wanted.split("/")
+                found = [(root, parts != have[-len(parts) :], path) for root, path, have in by_name.get(parts[-1], ()) if paths.in_order(parts, have)]
+                answers[wanted] = min(found)[2] if found else None
+            return answers[wanted]
+
+        return resolved
 
 
-def slices(statements: DataFrame) -> Iterator[Broadcast]:
-    """The catalogue in broadcast slices of bounded size; the driver holds one at a time.
+def slices(statements: DataFrame) -> tuple[int, Iterator[Broadcast]]:
+    """How many slices the catalogue has, and the slices as broadcasts of bounded size; the driver holds one at a time.
 
-    A file's statements lie in one slice. A catalogue grows with the source code, not with the logs; the slices grow in
-    number with it, and each costs one more pass through the records that are in a task anyway.
+    A file's statements lie in one slice. A catalogue grows with the source code, not with the logs.
     """
-    columns = [*STATEMENT, "prefix", "file_name"]
+    columns = [*STATEMENT, "file_name"]
     text = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("source_path", "name", "text", "pattern", "executable")), F.lit(100))
     text = text + F.coalesce(F.aggregate(F.concat("vars", "exprs"), F.lit(0), lambda n, x: n + F.length(x)), F.lit(0))
     measured = statements.agg(F.count("*").alias("n"), F.sum(text).alias("bytes")).first()
     parts = max(1, -(-measured.n // SLICE_STATEMENTS), -(-(measured.bytes or 0) // SLICE_BYTES))
-    names = statements.where("file_name is not null").select("root_ord", "file_name").distinct()
-    known = [tuple(r) for r in names.collect()]
-    for k in range(parts):
-        some = statements if parts == 1 else statements.where(F.pmod(F.xxhash64("source_path"), F.lit(parts)) == k)
-        yield statements.sparkSession.sparkContext.broadcast(_Slice(some.select(*columns).toArrow(), known))
+
+    def made() -> Iterator[Broadcast]:
+        for k in range(parts):
+            some = statements if parts == 1 else statements.where(F.pmod(F.xxhash64("source_path"), F.lit(parts)) == k)
+            yield statements.sparkSession.sparkContext.broadcast(_Slice(some.select(*columns).toArrow()))
+
+    return parts, made()
+
+
+def with_known(records: DataFrame, statements: DataFrame) -> DataFrame:
+    """records with `known_in`, the roots in which the hint `file` is the name of a file."""
+    names = statements.where("file_name is not null").groupBy(F.col("file_name").alias("known_name")).agg(F.collect_set("root_ord").alias("known_in"))
+    return records.join(small(names), F.col("file") == F.col("known_name"), "left").drop("known_name")
 
 
 def _winners(shared: Broadcast, columns: list[str], first: bool, best_in_file: bool):
     """A pass that adds to each record its best statement of a slice, unless an earlier slice had a better one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, index = shared.value.opened()
-        statements = pa.StructArray.from_arrays([table.column(c).chunk(0) if table.num_rows else pa.array([], table.column(c).type) for c in STATEMENT], names=list(STATEMENT))
+        statements, index = shared.value.opened()
         for batch in batches:
             n = batch.num_rows
-            bodies, hints = batch.column(columns.index("body")).to_pylist(), batch.column(columns.index("file")).to_pylist()
+            bodies, hints, known = (batch.column(columns.index(c)).to_pylist() for c in ("body", "file", "known_in"))
             before = [None] * n if first else batch.column(len(columns)).to_pylist()
             places, captured, better = np.full(n, -1, np.int64), [None] * n, np.zeros(n, bool)
-            for r, (body, hint) in enumerate(zip(bodies, hints, strict=True)):
+            for r, (body, hint, roots) in enumerate(zip(bodies, hints, known, strict=True)):
                 if body is None:
                     continue
-                won = min(index.per_file(body, hint, best_in_file), default=None, key=lambda w: w[0])
+                won = min(index.per_file(body, hint, roots, best_in_file), default=None, key=lambda w: w[0])
                 old = before[r]
                 if won and (old is None or won[0] < (old["root_ord"], -old["quality"], old["source_path"], old["stmt_idx"])):
-                    places[r], captured[r], better[r] = won[1], list(won[2].groups()), True
+                    places[r], captured[r], better[r] = won[1], won[2], True
             stmt = statements.take(pa.array(places, pa.int64(), mask=places < 0))
             values = pa.array(captured, pa.list_(pa.string()))
             if not first:
@@ -170,21 +202,59 @@ def match(records: DataFrame, statements: DataFrame, best_in_file: bool = False)
     file the first statement that fits counts (with `best_in_file` the best); of these the best of the first root,
     ties of quality broken by path.
 
-    Records pass through tasks once and are not shuffled; statements come to them in bounded slices, indexed by their
-    literal text, with each pattern compiled once. Nothing depends on keys of records, so repeated rows stay as they are.
+    Records pass through tasks and are not shuffled. A catalogue of up to SLICE_STATEMENTS statements is one pass; a
+    larger one comes in slices, with what is found so far written between them, so that a task holds one slice whatever
+    the catalogue's size. Nothing depends on keys of records, so repeated rows stay as they are.
     """
-    columns = records.columns
-    out = records
+    out = with_known(records, statements)
+    columns = out.columns
     described = statements.select(F.struct(*STATEMENT).alias("stmt")).schema["stmt"].dataType
-    schema = StructType([*records.schema.fields, StructField("stmt", described), *StructType.fromDDL(_CAPTURED).fields])
-    for k, shared in enumerate(slices(statements)):
+    schema = StructType([*out.schema.fields, StructField("stmt", described), *StructType.fromDDL(_CAPTURED).fields])
+    parts, shares = slices(statements)
+    for k, shared in enumerate(shares):
         out = out.mapInArrow(_winners(shared, columns, k == 0, best_in_file), schema)
-    return out
+        if k + 1 < parts:
+            out = materialise(out, "matched-so-far")
+    return out.drop("known_in")
+
+
+def _with_paths(shared: Broadcast, columns: list[str], frames: str):
+    """A pass that resolves the frames of each record that has a statement; other records have none."""
+    kind = pa.list_(pa.struct([("name", pa.string()), ("source_path", pa.string()), ("language", pa.string()), ("line_no", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resolved = shared.value.opened()
+        for batch in batches:
+            has = batch.column(columns.index("stmt")).is_valid()
+            found = pc.if_else(has, batch.column(columns.index(frames)), pa.scalar(None, batch.column(columns.index(frames)).type))
+            sites = pa.nulls(batch.num_rows, kind)
+            if found.null_count < len(found):
+                sites = pa.array([None if fs is None else [s for f in fs if (s := _site(f, resolved))["source_path"]] for fs in found.to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, columns, strict=True) if n != frames), sites], names=[*(n for n in columns if n != frames), "exception_trace"])
+
+    return run
+
+
+def _site(frame: dict, resolved) -> dict:
+    path = frame["at"] if frame["language"] == "Python" else resolved(frame["at"])
+    return {"name": frame["name"], "source_path": path, "language": frame["language"], "line_no": frame["line_no"]}
+
+
+def resolve_in_pass(matched: DataFrame, files: DataFrame, frames: str) -> DataFrame | None:
+    """matched with `exception_trace` in place of its column of frames, in the same pass; None if there are too many files.
+
+    Paths of source files travel to the tasks if there are at most MOST_FILES.
+    """
+    if files.limit(MOST_FILES + 1).count() > MOST_FILES:
+        return None
+    shared = matched.sparkSession.sparkContext.broadcast(_Files(files.select("root_ord", "source_path").toArrow()))
+    schema = StructType([*(f for f in matched.schema.fields if f.name != frames), *StructType.fromDDL(f"exception_trace {CALL_SITES}").fields])
+    return matched.mapInArrow(_with_paths(shared, matched.columns, frames), schema)
 
 
 def first_in_files(records: DataFrame, statements: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, root_ord, source_path, stmt_idx) of the first statement of each file that fits a record."""
-    given = records.select(*keys, "body", "file")
+    given = with_known(records.select(*keys, "body", "file"), statements)
     schema = StructType([*records.select(*keys).schema.fields, *StructType.fromDDL("root_ord int, source_path string, stmt_idx int").fields])
 
     def pass_of(shared: Broadcast):
@@ -192,8 +262,8 @@ def first_in_files(records: DataFrame, statements: DataFrame, keys: list[str]) -
             _, index = shared.value.opened()
             for batch in batches:
                 rows, out = [], []
-                for r, (body, hint) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True)):
-                    for (root, _, path, order), *_ in index.per_file(body, hint, False) if body is not None else ():
+                for r, (body, hint, known) in enumerate(zip(*(batch.column(len(keys) + k).to_pylist() for k in range(3)), strict=True)):
+                    for (root, _, path, order), *_ in index.per_file(body, hint, known, False) if body is not None else ():
                         rows.append(r)
                         out.append((root, path, order))
                 found = zip(*out, strict=True) if out else ([], [], [])
@@ -203,7 +273,8 @@ def first_in_files(records: DataFrame, statements: DataFrame, keys: list[str]) -
 
         return run
 
-    passes = [given.mapInArrow(pass_of(shared), schema) for shared in slices(statements)]
+    # A file lies in one slice, so each slice is a branch of its own.
+    passes = [given.mapInArrow(pass_of(shared), schema) for shared in slices(statements)[1]]
     out = passes[0]
     for more in passes[1:]:
         out = out.union(more)

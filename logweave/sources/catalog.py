@@ -68,10 +68,19 @@ def summary(feed: DataFrame) -> DataFrame:
     return out.withColumn("changes", F.col("deleted") + F.col("new"))
 
 
+def root_order(roots: list[str]) -> Column:
+    """The place of `root` among the registered ones."""
+    return F.create_map(*[x for i, r in enumerate(roots) for x in (F.lit(r), F.lit(i))])[F.col("root")]
+
+
 def for_matching(catalogue: DataFrame, roots: list[str]) -> DataFrame:
     """Statements with root_ord, the root's place among the registered ones, and file_name."""
-    order = F.create_map(*[x for i, r in enumerate(roots) for x in (F.lit(r), F.lit(i))])
-    return catalogue.withColumns({"root_ord": order[F.col("root")], "file_name": paths.file_name(F.col("source_path"))})
+    return catalogue.withColumns({"root_ord": root_order(roots), "file_name": paths.file_name(F.col("source_path"))})
+
+
+def source_files(snapshot: DataFrame, roots: list[str]) -> DataFrame:
+    """(root_ord, source_path) of all source files, with or without statements."""
+    return snapshot.where("kind = 'File'").select(root_order(roots).alias("root_ord"), F.concat("root", F.lit("/"), "path").alias("source_path"))
 
 
 #: What makes two statements equal: their place, function, text and values.

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +50,12 @@ def delete_folder(spark: SparkSession, at: str) -> None:
     """Deletes a folder in any store that Spark writes to."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Most rows, each of a few short columns, that are broadcast.
+BROADCAST_ROWS = 250_000
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, to be broadcast if it has no more than so many rows; it is counted first. Others are joined by shuffles."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
