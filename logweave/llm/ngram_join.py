@@ -121,15 +121,15 @@ def may_link(na: str, nb: str, a: str, b: str, percent: int = PERCENT) -> Column
     return _similar_sizes(na, nb, percent) & (100 * (sizes - differ) >= percent * (sizes + differ))
 
 
-_SCANNED = "doc_id long, content long, n long, node long, second long, bits array<long>, signature array<int>, likes array<long>, block int, counts binary"
+_SCANNED = "doc_id long, content long, n long, node long, second long, bits array<long>, signature array<int>, bound array<long>, likes array<long>, block int, counts binary"
 _POINTS = np.arange(LIKE_POINTS, dtype=np.uint64) << np.uint64(62)
 
 
 def _scan(join: NgramJoin):
-    """A pass that gives document rows (id, hash of the text, set size, both names, sketch, signature, tokens that similar sets share), then the task's counters of tokens in blocks."""
+    """A pass that gives document rows (id, hash of the text, set size, both names, sketch, signature, bitmap, tokens that similar sets share), then the task's counters of tokens in blocks."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([
-        ("doc_id", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("node", _NODE), ("second", pa.int64()), ("bits", longs), ("signature", pa.list_(pa.int32())), ("likes", longs),
+        ("doc_id", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("node", _NODE), ("second", pa.int64()), ("bits", longs), ("signature", pa.list_(pa.int32())), ("bound", longs), ("likes", longs),
         ("block", pa.int32()), ("counts", pa.binary()),
     ])
 
@@ -144,13 +144,14 @@ def _scan(join: NgramJoin):
 
         for batch in _slices(batches):
             ids, texts = _rows(batch)
-            sizes, names, bits, signed, likes, pending, held = [], [], [], [], [], [], 0
+            sizes, names, bits, signed, bounds, likes, pending, held = [], [], [], [], [], [], [], 0
             for s in shingle_sets(texts, join.words):
                 sizes.append(len(s))
                 names.append(set_names(s) if len(s) else (None, None))
-                sketch, signature, counted = join.sketch(s) if len(s) else (None, None, s)
+                sketch, signature, bound, counted = join.sketch(s) if len(s) else (None, None, None, s)
                 bits.append(sketch)
                 signed.append(signature)
+                bounds.append(bound)
                 likes.append(s[np.searchsorted(s, _POINTS) % len(s)].view(np.int64) if len(s) else None)
                 pending.append(counted & np.uint64(COUNTERS - 1))
                 held += len(counted)
@@ -160,11 +161,11 @@ def _scan(join: NgramJoin):
             if held:
                 add(pending)
             none = [None] * len(ids)
-            yield rows(ids, batch.column(2), sizes, [a for a, _ in names], [b for _, b in names], bits, signed, likes, none, none)
+            yield rows(ids, batch.column(2), sizes, [a for a, _ in names], [b for _, b in names], bits, signed, bounds, likes, none, none)
         if total.any():
             parts = total.reshape(-1, BLOCK)
             none = [None] * len(parts)
-            yield rows(*[none] * 8, list(range(len(parts))), [zlib.compress(p.tobytes(), 1) for p in parts])
+            yield rows(*[none] * 9, list(range(len(parts))), [zlib.compress(p.tobytes(), 1) for p in parts])
 
     return run
 
@@ -350,8 +351,9 @@ def _marks(ids: DataFrame) -> np.ndarray:
 class _Verifier:
     """Tells which candidate pairs are similar. Sets are fetched only where the bitmaps don't rule a pair out."""
 
-    def __init__(self, join: NgramJoin, texts: DataFrame, reps: DataFrame, bits: DataFrame, clashing: frozenset[int]) -> None:
-        self.join, self.texts, self.reps, self.bits, self.clashing = join, texts, reps, bits, clashing
+    def __init__(self, join: NgramJoin, texts: DataFrame, reps: DataFrame, clashing: frozenset[int]) -> None:
+        self.join, self.texts, self.clashing = join, texts, clashing
+        self.reps, self.bits, self.bounds = reps.select("node", "doc_id"), reps.select("node", "n", "bits"), reps.select("node", "n", "bound")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), each once and without those that the bitmaps rule out."""
@@ -364,7 +366,7 @@ class _Verifier:
 
     def edges(self, possible: DataFrame) -> DataFrame:
         """(a, b) of the pairs (a, b) that are similar."""
-        pairs = materialise(possible, "pairs")
+        pairs = materialise(self.join.bounded(possible, self.bounds), "pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         needed = materialise(nodes.join(self.reps, "node").select("node", "doc_id"), "needed")
         marks = _marks(needed)
@@ -547,9 +549,12 @@ class NgramJoin:
     words: int = WORDS
     percent: int = PERCENT
 
-    def sketch(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-        """A set's sketch, its signature if lists are made of one, and the tokens that are counted."""
-        return bitmap(tokens), None, tokens
+    #: Leaders that a set meets in its first turn, those of most of its lists; all of its lists' if None.
+    leaders: int | None = None
+
+    def sketch(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray]:
+        """A set's sketch, its signature if lists are made of one, its bitmap if that is not the sketch, and the tokens that are counted."""
+        return bitmap(tokens), None, None, tokens
 
     def sketch_words(self, level: Column) -> Column:
         """Longs of a sketch of a set of that size level."""
@@ -559,6 +564,10 @@ class NgramJoin:
         """(sig, part, node): any two similar sets share a list."""
         return texts.select("doc_id", "text").mapInArrow(_index(counts, clashing), "sig long, part int, node long")
 
+    def bounded(self, pairs: DataFrame, bounds: DataFrame) -> DataFrame:
+        """The pairs (a, b) that a closer look at bitmaps allows, which here the sketches are."""
+        return pairs
+
     def allowed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb, bits_a, bits_b) that may be similar."""
         return pairs.where(may_link("na", "nb", "bits_a", "bits_b", self.percent))
@@ -606,12 +615,17 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, join: NgramJoin | None
 
     postings = _lists(join.postings(texts, scanned, counts, clashing))
     # Many lists of one family of texts have the same least name: they become one list, whose rows are few.
-    merged = materialise(postings.groupBy("leader", "node").agg(F.sum("members").alias("members")), "merged")
+    merged = materialise(postings.groupBy("leader", "node").agg(F.sum("members").alias("members"), F.count("*").alias("lists")), "merged")
     listed = materialise(merged.select("node").distinct(), "listed")
     found = scanned.where("node is not null").join(listed, "node", "left_semi")
-    reps = materialise(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("likes").alias("likes")), "reps")
-    verifier = _Verifier(join, texts, reps.select("node", "doc_id"), reps.select("node", "n", "bits"), clashing)
-    leaders = merged.select("leader", "node").union(_alike(reps.select("node", "likes"))).where("leader <> node")
+    reps = materialise(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("bound").alias("bound"), F.first("likes").alias("likes")), "reps")
+    verifier = _Verifier(join, texts, reps, clashing)
+    leaders = merged.select("leader", "node")
+    if join.leaders:
+        # No more rows of a set than it has signatures.
+        ranked = merged.where("leader <> node").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("lists", "leader")), asc=False).alias("of"))
+        leaders = ranked.select(F.explode(F.slice("of", 1, join.leaders)).alias("of"), "node").select("of.leader", "node")
+    leaders = leaders.union(_alike(reps.select("node", "likes"))).where("leader <> node")
     links = verifier.edges(verifier.possible(leaders.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))))
     labels = connected_components(links)
 
@@ -628,15 +642,16 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, join: NgramJoin | None
 
 def _compared(join: NgramJoin, merged: DataFrame, postings: DataFrame, labels: DataFrame, bits: DataFrame, best: int | None) -> DataFrame:
     """Pairs (a, b) of sets of one list and of different components that the bitmaps allow, as `_possible_pairs` gives them."""
-    # Leaders have met all sets of their lists.
-    followers = merged.where("node <> leader")
+    # Leaders have met all sets of their lists, unless only the nearest ones had a turn.
+    own = "true" if join.leaders else "node <> leader"
+    followers = merged.where(own)
     labelled = materialise(followers.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     open_lists = labelled.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("sets"), F.sum("members").alias("apart")).where("lo <> hi")
     # Where the lists of one leader have little in common, they stay apart.
     open_lists = materialise(open_lists.select("leader", (F.col("sets") * F.col("sets") > 4 * F.col("apart")).alias("apart")), "open")
     listed = labelled.join(open_lists.where("not apart"), "leader", "left_semi").select(F.col("leader").alias("key"), "node", "label")
     if not open_lists.where("apart").isEmpty():
-        apart = postings.join(open_lists.where("apart"), "leader", "left_semi").where("node <> leader").select(F.col("sig").alias("key"), "node")
+        apart = postings.join(open_lists.where("apart"), "leader", "left_semi").where(own).select(F.col("sig").alias("key"), "node")
         listed = listed.union(apart.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     listed = materialise(listed.join(bits.select("node", "n"), "node").select("key", "node", "n", "label"), "compared")
     units = _comparisons(join, listed).join(bits.select("node", "bits"), "node").select("unit", "level", "side", "node", "n", "label", "bits")
