@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logweave.tables import materialise, new_folder, shared_dir  # noqa: F401
 
@@ -36,21 +38,33 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_batches(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """mapInArrow for columns of any names, which `run` gets by their places."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn labels from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-#: Bytes of texts that a model is fitted on at most.
-FIT_BYTES = 64 << 20
+#: Bytes of all texts that a model is fitted on, and of one of them, at most.
+FIT_BYTES, TEXT_BYTES = 64 << 20, 256 << 10
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[tuple[bytes, int]]:
-    """Texts (UTF-8) and labels of at most `rows` training rows and FIT_BYTES bytes, chosen by a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, fit_bytes: int = FIT_BYTES, text_bytes: int = TEXT_BYTES) -> list[tuple[bytes, int]]:
+    """Texts (UTF-8) and labels of at most `rows` training rows and `fit_bytes` bytes, chosen by a hash of doc_id.
 
-    Only rows outside the held-out fold are taken. Of several labels of one id the largest counts, of several texts
-    the first by bytes. The bounds make both the broadcast of the chosen ids and what the driver receives
-    independent of the corpus.
+    Only rows outside the held-out fold are taken. A text of more than `text_bytes` bytes is left out by itself, so no
+    single text takes the others' place; of the rest, rows are taken in the order of the hash until the bytes are
+    spent. Of several labels of one id the largest counts, of several texts the first by bytes. The bounds make both
+    the broadcast of the chosen ids and what the driver receives independent of the corpus. It warns when there are
+    labelled rows but none that can be learned from.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = (
@@ -61,8 +75,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     texts = materialise(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "labelled")
     upto = F.sum(F.octet_length("text")).over(Window.orderBy(*order))
-    fitting = texts.select("doc_id", upto.alias("upto")).where(F.col("upto") <= FIT_BYTES).select(F.col("doc_id").alias("label_id"))
+    # At most `rows` narrow rows are ordered.
+    fitting = texts.where(F.octet_length("text") <= text_bytes).select("doc_id", upto.alias("upto")).where(F.col("upto") <= fit_bytes).select(F.col("doc_id").alias("label_id"))
     found = texts.join(F.broadcast(fitting), F.col("doc_id") == F.col("label_id")).collect()
+    if not found and not texts.isEmpty():
+        warnings.warn(f"all labelled texts are longer than {text_bytes} bytes: nothing is learned of {label}", stacklevel=2)
     return [(bytes(r.text), r.label) for r in sorted(found, key=lambda r: r.doc_id)]
 
 

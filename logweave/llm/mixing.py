@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import WORD, materialise
+from logweave.llm.common import WORD, free_name, materialise, quoted
 
 #: Most times that a document may be read.
 MAX_REPETITION = 1.5
@@ -142,20 +142,21 @@ def mix_sources(docs: DataFrame, max_repetition: float | None = MAX_REPETITION,
     """
     spark = docs.sparkSession
     plan = mixing_plan(docs, max_repetition, target_entropy, budget_tokens, seed)
-    plan = plan.select(F.col("source").alias("lw_source"), *(F.col(c).alias(f"lw_{c}") for c in ("epochs", "cut1", "cut2", "cut3")))
-    places = dict(zip(("lw_b1", "lw_b2", "lw_b3"), _places(seed), strict=True))
+    own = {c: free_name(docs, f"lw_{c}") for c in ("source", "epochs", "cut1", "cut2", "cut3", "b1", "b2", "b3")}
+    plan = plan.select(*(F.col(c).alias(own[c]) for c in ("source", "epochs", "cut1", "cut2", "cut3")))
     given = docs.drop("mix_epoch", "mix_order")
-    placed = given.withColumns(places).join(_small(spark, plan), F.col("source").eqNullSafe(F.col("lw_source")))
-    here, cut = F.struct("lw_b1", "lw_b2", "lw_b3"), F.struct("lw_cut1", "lw_cut2", "lw_cut3")
-    again = F.col("lw_cut1").isNotNull() & (here <= cut)
-    readings = F.col("lw_epochs") + again.cast("int")
+    placed = given.withColumns({own[f"b{k + 1}"]: x for k, x in enumerate(_places(seed))}).join(_small(spark, plan), F.col("source").eqNullSafe(F.col(own["source"])))
+    here, cut = ([F.col(own[f"{x}{k}"]) for k in (1, 2, 3)] for x in ("b", "cut"))
+    # Compared one by one, for what names them differs.
+    again = cut[0].isNotNull() & ((here[0] < cut[0]) | ((here[0] == cut[0]) & ((here[1] < cut[1]) | ((here[1] == cut[1]) & (here[2] <= cut[2])))))
+    readings = F.col(own["epochs"]) + F.coalesce(again, F.lit(False)).cast("int")
     read = placed.withColumn("mix_epoch", F.explode(F.when(readings > 0, F.sequence(F.lit(0), readings - 1)).otherwise(F.array().cast("array<int>"))))
-    return read.select(*given.columns, "mix_epoch", _order().alias("mix_order"))
+    return read.select(*map(quoted, given.columns), "mix_epoch", _order(*here).alias("mix_order"))
 
 
-def _order() -> Column:
+def _order(*blocks: Column) -> Column:
     """A permutation of the blocks by epoch, then of the blocks within a block, then of documents: 20, 20 and 23 bits."""
-    parts = [F.xxhash64("mix_epoch", "lw_b1"), F.xxhash64("mix_epoch", "lw_b1", "lw_b2"), F.xxhash64("mix_epoch", "lw_b1", "lw_b2", "lw_b3")]
+    parts = [F.xxhash64("mix_epoch", *blocks[:k]) for k in (1, 2, 3)]
     one, two, three = (F.pmod(h, F.lit(1 << bits)) for h, bits in zip(parts, (20, 20, 23), strict=True))
     return F.shiftleft(one, 43).bitwiseOR(F.shiftleft(two, 23)).bitwiseOR(three)
 

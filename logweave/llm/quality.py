@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from logweave.llm.common import PIECE_BYTES, free_name, held_out, labelled_sample, mix64, pieces, segment_hashes, word_bounds
+from logweave.llm.common import FIT_BYTES, PIECE_BYTES, free_name, held_out, labelled_sample, map_batches, mix64, pieces, segment_hashes, word_bounds
 
-#: Labelled rows that are fitted on, at most; the only bound on what is learned from.
+#: Labelled rows that are fitted on, at most; FIT_BYTES and TEXT_BYTES bound their texts.
 SAMPLE_ROWS = 4000
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
@@ -187,14 +188,15 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 400, seed: int = 7)
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
-    sample = labelled_sample(docs, labels, "quality", rows)
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, fit_bytes: int = FIT_BYTES) -> Network:
+    sample = labelled_sample(docs, labels, "quality", rows, fit_bytes)
     return fit([t for t, _ in sample], np.array([y for _, y in sample], float))
 
 
 def scored(docs: DataFrame, net: Network, name: str) -> DataFrame:
     """docs with a last column of the given name; every row and its whole text is scored, a null text as an empty one."""
     given = docs.columns
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,25 +205,24 @@ def scored(docs: DataFrame, net: Network, name: str) -> DataFrame:
                 texts = [t or b"" for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(net.scores(pooled(texts, net.vectors)))], names=[*given, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select("*", F.col("text").cast("binary").alias(free_name(docs, "lw_bytes"))).mapInArrow(run, f"{fields}, `{name}` double")
+    return map_batches(docs.select("*", F.col("text").cast("binary").alias(free_name(docs, "lw_bytes"))), run, schema)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1) and predicted (score >= THRESHOLD).
 
-    The network is fitted on at most `rows` labelled rows outside the held-out fold; null labels and ids are not
+    The network is fitted on at most `rows` labelled rows and `fit_bytes` bytes of texts outside the held-out fold (see labelled_sample); null labels and ids are not
     learned from. Words take a vector by random indexing: a sparse random one plus those of their neighbours in the
     sample; documents pool the vectors of their words and word shapes. Scoring is one pass over the texts without a
     shuffle, in bounded memory. Repeated rows get equal scores, an empty table gives an empty result, without
     labels all scores are 0.5, and columns other than doc_id and text are not read.
     """
-    net = train(docs, labels, rows)
+    net = train(docs, labels, rows, fit_bytes)
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), net, "lw_score")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("lw_score").alias("score"), (F.col("lw_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """docs without those that the classifier rejects; columns unchanged, whatever their names."""
     name = free_name(docs, "lw_score")
-    return scored(docs, train(docs, labels, rows), name).where(F.col(name) >= THRESHOLD).drop(name)
+    return scored(docs, train(docs, labels, rows, fit_bytes), name).where(F.col(name) >= THRESHOLD).drop(name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 from pathlib import Path
 
@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from logweave.llm.common import free_name, map_batches, quoted
 
 #: Where the vocabulary file lies on the driver; its bytes go to the tasks with their code.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -54,16 +57,49 @@ class Model:
         across = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         feed = "" if any("\n" in p for p in self.pieces) else "\n"
         self.segment = None if across else re.compile(f"{SPACE}+[^{SPACE}{feed}]*|[^{SPACE}{feed}]+" + (f"|{feed}" if feed else ""))
+        #: What follows of a segment that has other characters than spaces, and of one that hasn't.
+        self.rest, self.rest_of_spaces = re.compile(f"[^{SPACE}{feed}]*"), re.compile(f"{SPACE}*[^{SPACE}{feed}]*")
         self.known = _Known(self)
 
     def encode(self, text: str) -> list[int]:
         """Ids of the best segmentation of the whole text; an empty text has none."""
-        if not text:
-            return []
-        text = (SPACE if self.dummy_prefix else "") + text.replace(SPACE, LITERAL).replace(" ", SPACE)
+        return list(chain.from_iterable(self.commits(text)))
+
+    def commits(self, text: str) -> Iterator[Sequence[int]]:
+        """Ids of the text as they become certain, in order, while it is taken in STEP characters at a time.
+
+        Where every path has a boundary whatever follows, they all converge, and what lies before it is committed:
+        looked up if it was searched before, else searched. A segment that outgrows a step is searched as it comes and
+        committed wherever its surviving paths meet, so what is held besides the ids is a step and the longest piece.
+        """
+        steps = (text[i : i + STEP].replace(SPACE, LITERAL).replace(" ", SPACE) for i in range(0, len(text), STEP))
+        first = SPACE if self.dummy_prefix and text else ""
         if self.segment is None:
-            return list(chain.from_iterable(self.stream([text])))
-        return list(chain.from_iterable(map(self.known.__getitem__, self.segment.findall(text))))
+            yield from self.stream(chain([first], steps))
+            return
+        left = [first]
+
+        def coming() -> Iterator[str]:
+            """The outgrown segment, step by step; what comes after it is left."""
+            going_on = self.rest if left[0].strip(SPACE) else self.rest_of_spaces
+            yield left.pop()
+            for step in steps:
+                part = going_on.match(step)[0]
+                going_on = self.rest if part.strip(SPACE) else going_on
+                if part:
+                    yield part
+                if len(part) < len(step):
+                    left.append(step[len(part) :])
+                    return
+            left.append("")
+
+        for step in steps:
+            *whole, left[0] = self.segment.findall(left[0] + step)
+            yield from map(self.known.__getitem__, whole)
+            if len(left[0]) >= STEP:
+                yield from self.stream(coming())
+        if left[0]:
+            yield from map(self.known.__getitem__, self.segment.findall(left[0]))
 
     def stream(self, parts: Iterable[str]) -> Iterator[list[int]]:
         """Ids of the text that the parts make up, as far as they are certain, in order.
@@ -178,7 +214,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame
     """
     proto = Path(model_path).read_bytes()
     given = docs.drop("ids", "n_ids", "text_sha256", "text").columns
-    read = docs.select(*given, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("lw_text"))
+    read = docs.select(*map(quoted, given), F.coalesce(F.col("text").cast("string"), F.lit("")).alias(free_name(docs, "lw_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(proto)
@@ -198,8 +234,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], arrays, pa.array(sizes, pa.int64()), pa.array(digests)], names=[*given, "ids", "n_ids", "text_sha256"])
         model.known.forget()  # a worker stays, for stages that need its memory
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema][:-1]
-    return read.mapInArrow(run, ", ".join([*fields, "ids array<int>", "n_ids long", "text_sha256 string"]))
+    return map_batches(read, run, StructType([*read.schema.fields[:-1], *StructType.fromDDL("ids array<int>, n_ids long, text_sha256 string").fields]))
 
 
 def decode_documents(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
@@ -213,6 +248,5 @@ def decode_documents(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFr
             texts = [model.decode(ids or ()) for ids in batch.column(len(given)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*given, "text"])
 
-    read = encoded.select(*given, "ids")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema][:-1]
-    return read.mapInArrow(run, ", ".join([*fields, "text string"]))
+    read = encoded.select(*map(quoted, given), "ids")
+    return map_batches(read, run, StructType([*read.schema.fields[:-1], *StructType.fromDDL("text string").fields]))

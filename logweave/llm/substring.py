@@ -29,7 +29,8 @@ HASH_BYTES = 6
 SLAB = 200_000
 #: An anchor with more occurrences than this, as one document in SAMPLED suggests, is hot and has its windows dealt singly.
 HOT_ROWS, SAMPLED = 20_000, 64
-#: Most anchors that are treated as hot, the most frequent ones; the list goes to all tasks.
+#: Most anchors that are treated as hot, the most frequent ones; the list goes to all tasks. Beyond so many, those with
+#: fewer occurrences than all of these meet in one task each, as anchors that aren't hot do.
 HOT_ANCHORS = 100_000
 
 NO_ID = (1 << 63) - 1
@@ -293,8 +294,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hot_anchors(texts: DataFrame, run_words: int) -> frozenset[int]:
-    """Digests of the anchors that have more than HOT_ROWS occurrences by a sample of documents; HOT_ANCHORS at most."""
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).mapInArrow(_gather(run_words), _ANCHORS)
+    """Digests of the anchors that have more than HOT_ROWS occurrences by a sample of rows; HOT_ANCHORS at most.
+
+    Rows are drawn whatever they hold, so of many copies of a text some share is in the sample.
+    """
+    some = texts.where(F.rand(SAMPLED) * SAMPLED < 1).mapInArrow(_gather(run_words), _ANCHORS)
     counts = some.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS / SAMPLED)
     return frozenset(r.digest for r in counts.orderBy(F.desc("n"), "digest").limit(HOT_ANCHORS).collect())
 

@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import held_out, labelled_sample
+from logweave.llm.common import FIT_BYTES, held_out, labelled_sample
 
-#: Labelled rows that are fitted on, at most; the only bound on what is learned from.
+#: Labelled rows that are fitted on, at most; FIT_BYTES and TEXT_BYTES bound their texts.
 SAMPLE_ROWS = 10_000
 THRESHOLD = 0.5
 #: Features that the model keeps, at most, besides those of identity terms.
@@ -166,20 +166,20 @@ def fit(texts: list[str], labels: np.ndarray, terms: Sequence[Sequence[str]] = I
     return Model({f: float(w[i]) for f, i in column.items() if w[i]}, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
-    sample = labelled_sample(docs, labels, "toxic", rows)
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, fit_bytes: int = FIT_BYTES) -> Model:
+    sample = labelled_sample(docs, labels, "toxic", rows, fit_bytes)
     return fit([t.decode("utf-8", "replace") for t, _ in sample], np.array([y for _, y in sample], float), terms)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1) and predicted (score >= THRESHOLD).
 
-    The model is fitted on at most `rows` labelled rows outside the held-out fold; rows with null labels or ids are
+    The model is fitted on at most `rows` labelled rows and `fit_bytes` bytes of texts outside the held-out fold (see labelled_sample); rows with null labels or ids are
     not learned from. Scoring is one pass over whole texts without a shuffle; a task remembers the features of a
     bounded number of words. Null and empty texts score as texts without features; repeated rows score alike; an
     empty table gives an empty result; columns other than doc_id and text are not read.
     """
-    model = train(docs, labels, rows, terms)
+    model = train(docs, labels, rows, terms, fit_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

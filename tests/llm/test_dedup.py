@@ -291,6 +291,16 @@ def test_repeated_passages_one_anchor_over_slabs(spark, monkeypatch):
     assert {r["row"]: sum(x["n"] for x in found if x["row"] == r["row"]) for r in found} == dict.fromkeys(range(9), 9)
 
 
+def test_copies_of_whole_texts_are_found_hot(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(10)]
+    docs = spark.createDataFrame([(t.encode(), k) for t in texts for k in range(2000)], "text binary, doc_id long").repartition(4)
+    monkeypatch.setattr(substring, "HOT_ROWS", 1000)
+    hot = substring.hot_anchors(docs.select("doc_id", "text"), 22)
+    anchors = {d for t in texts for d in substring._anchors([t.encode()], 22)[1].tolist()}
+    assert len(hot & anchors) > 0.7 * len(anchors) and hot <= anchors
+
+
 def test_chunks_cover_any_text():
     rng = random.Random(2)
     for n in (0, 1, 7, 96, 5000):

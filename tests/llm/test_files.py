@@ -1,3 +1,4 @@
+import random
 import gzip
 import hashlib
 
@@ -285,6 +286,24 @@ def test_sentencepiece_equals_brute_force():
             assert [i for ids in model.stream(whole[k : k + 5] for k in range(0, len(whole), 5)) for i in ids] == brute(text)
 
 
+def test_sentencepiece_streams_documents(monkeypatch):
+    model = spm.model_of(open(spm.MODEL_PATH, "rb").read())
+    prose = "It was a bright cold day in April, and the clocks were striking thirteen.\n" * 40
+    assert len(list(model.commits(prose))) > len(prose) / 100  # and not once at the end
+    rng = random.Random(3)
+    texts = [prose, "x" * 5000, " " * 2000 + "a", "word " * 300 + "y" * 700 + "\n\n" + "z" * 255 + " " + "z" * 256 + " \n" + " " * 300, "▁" * 600 + " ▁a"]
+    texts += ["".join(rng.choice("ab \n▁") * rng.choice((1, 1, 2, 90)) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    once = []
+    for t in texts:
+        whole = (spm.SPACE if t else "") + t.replace(spm.SPACE, spm.LITERAL).replace(" ", spm.SPACE)
+        once.append([i for ids in model.stream([whole]) for i in ids])
+    for step in (256, 16, 1):
+        monkeypatch.setattr(spm, "STEP", step)
+        model.known.forget()
+        for t, ids in zip(texts, once, strict=True):
+            assert model.encode(t) == ids and model.decode(ids) == t
+
+
 def test_sentencepiece_window_is_bounded():
     model = spm.model_of(open(spm.MODEL_PATH, "rb").read())
     given, most = 0, 0

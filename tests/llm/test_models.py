@@ -6,7 +6,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from logweave.llm import mixing, quality, toxicity
+from logweave.llm import mixing, quality, spm, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -143,8 +143,29 @@ def test_sample_of_repeated_ids_is_settled(spark, monkeypatch):
     docs = spark.createDataFrame([(free[0], "b"), (free[0], "a"), (free[1], None), (free[2], "c" * 100), (None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(free[0], 0), (free[0], 1), (free[1], 0), (free[2], 1), (None, 1)], "doc_id long, quality int")
     assert common.labelled_sample(docs.repartition(4), labels, "quality", 10) == [(b"a", 1), (b"", 0), (b"c" * 100, 1)]
-    monkeypatch.setattr(common, "FIT_BYTES", 50)
-    assert b"c" * 100 not in [t for t, _ in common.labelled_sample(docs, labels, "quality", 10)]
+    assert b"c" * 100 not in [t for t, _ in common.labelled_sample(docs, labels, "quality", 10, fit_bytes=50)]
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    from logweave.llm import common
+
+    free = [i for i in range(100) if not held(i)]
+    for long in free[::10]:  # wherever it stands in the order
+        docs = spark.createDataFrame([(i, "x" * (2000 if i == long else 10)) for i in free], "doc_id long, text string").coalesce(1)
+        labels = spark.createDataFrame([(i, i % 2) for i in free], "doc_id long, quality int").coalesce(1)
+        found = common.labelled_sample(docs, labels, "quality", 1000, fit_bytes=1500, text_bytes=1000)
+        assert len(found) == len(free) - 1
+    with pytest.warns(UserWarning, match="nothing is learned"):
+        assert common.labelled_sample(docs, labels, "quality", 1000, text_bytes=5) == []
+
+
+def test_any_column_names(spark, tables):
+    docs, labels = tables
+    odd = docs.limit(40).selectExpr("*", "1 as lw_b1", "2 as lw_source", "3 as lw_text", "4 as `a.b`", "5 as lw_score", "6 as lw_bytes", "7 as lw_cut1")
+    added = ("lw_b1", "lw_source", "lw_text", "a.b", "lw_score", "lw_bytes", "lw_cut1")
+    for out in (mixing.mix_sources(odd), spm.encode_documents(odd), quality.keep_good(odd, labels), spm.decode_documents(spm.encode_documents(odd))):
+        rows = out.collect()
+        assert rows and all([r[c] for c in added] == [1, 2, 3, 4, 5, 6, 7] for r in rows)
 
 
 def test_mixing_meets_entropy(spark):
