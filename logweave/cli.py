@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from logweave.engine import Engine
 from logweave.errors import LogweaveError
@@ -44,12 +44,15 @@ def main(argv: list[str] | None = None) -> int:
         engine.refresh()
         for r in engine.unreadable.select("root", "path").toLocalIterator():
             print(f"warning: cannot read {r.root}/{r.path}", file=sys.stderr)
-        rows = engine.map_log(args.log or _standard_input(spark), args.format, args.start, args.count)
+        counted = Observation("mapping")
+        rows = engine.map_log(args.log or _standard_input(spark), args.format, args.start, args.count, counted if args.verbose else None)
         if args.output:
             rows.select("json").write.text(args.output)
         else:
             for r in rows.orderBy("path", "first_line").toLocalIterator():
                 print(r.json)
+        if args.verbose:
+            print(", ".join(f"{k}: {v}" for k, v in counted.get.items()), file=sys.stderr)
     except LogweaveError as e:
         print(f"error: {e}" + (f"\nhelp: {e.help}" if e.help else ""), file=sys.stderr)
         return 1

@@ -6,13 +6,13 @@ from functools import reduce
 from pathlib import Path
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.errors import CannotReadLog, NoLogMessages, NoLogStatements
 from logweave.functions.formats import LogFormat
 from logweave.operators import derive, emit, match, records
-from logweave.sources import catalog, lines, tree
+from logweave.sources import blocks, catalog, lines, tree
 from logweave.tables import materialise
 
 KEYS = ["path", "rec_id"]
@@ -98,16 +98,29 @@ class Engine:
         made = records.assemble(found, fmt) if fmt else records.bare_records(found)
         if fmt and count is not None:
             made = records.first_records(made, count)
+        return self.map_records(made, fmt)
+
+    def map_records(self, made: DataFrame, fmt: LogFormat | None) -> DataFrame:
+        """Mappings of assembled records, which are read and matched once."""
         matched = match.match(records.parse(made, fmt), self.statements())
         traced = derive.with_call_sites(matched, catalog.source_files(self.snapshot, self.roots.paths), KEYS)
         return traced.withColumn("variables", derive.variables(F.col("body"), F.col("stmt"), F.col("captured")))
 
-    def map_log(self, path: str, fmt: str | None = None, start: int = 0, count: int | None = None) -> DataFrame:
-        """JSON lines (path, first_line, json) of a log's mappings and of its lines that are no UTF-8."""
+    def map_log(self, path: str, fmt: str | None = None, start: int = 0, count: int | None = None, observation: Observation | None = None) -> DataFrame:
+        """JSON lines (path, first_line, json) of a log's mappings and of its lines that are no UTF-8.
+
+        The log is read twice: once to number its lines and records, which also tells whether there are any, and once
+        to map them. `observation` gets records, matched, traces and unreadable_lines, counted while the rows are
+        read. Packed files, stores that only Spark reads, and logs of which lines are left out are numbered by a
+        shuffle instead.
+        """
         parsed = LogFormat.parse(fmt) if fmt else None
         if self.is_empty:
             raise NoLogStatements("no log statements found")
         try:
+            index = blocks.index_log(self.spark, path, parsed) if not start else None
+            if index is not None:
+                return self._map_index(materialise(index, "log-index"), parsed, count, observation)
             found = lines.read_lines(self.spark, path)
         except PySparkException as e:
             raise CannotReadLog(f"cannot read log file {path}") from e
@@ -115,7 +128,22 @@ class Engine:
         seen = found.where(F.col("line_no") >= start) if start else lines.marked_lines(self.spark.read.option("lineSep", "\n").text(path))
         if parsed and (count == 0 or seen.where(F.col("ok") & parsed.matches(F.col("value"))).isEmpty()):
             raise NoLogMessages("no log messages found in input")
-        return self.map_found(found, parsed, start, count).drop("failed")
+        rows = self.map_found(found, parsed, start, count).drop("failed")
+        return rows if observation is None else rows.observe(observation, F.count("*").alias("rows"))
+
+    def _map_index(self, index: DataFrame, fmt: LogFormat | None, count: int | None, observation: Observation | None) -> DataFrame:
+        if fmt and (count == 0 or not index.agg(F.sum("begins")).first()[0]):
+            raise NoLogMessages("no log messages found in input")
+        made = blocks.read_records(index, fmt)
+        if fmt and count is not None:
+            made = made.where(~F.col("ok") | (F.col("rec_id") <= count))
+        mapped = self.map_records(made, fmt)
+        if observation is not None:
+            ok = F.col("ok")
+            counts = {"records": ok, "matched": ok & F.col("stmt").isNotNull(), "traces": ok & F.col("trace").isNotNull(), "unreadable_lines": ~ok}
+            mapped = mapped.observe(observation, *(F.count_if(x).alias(n) for n, x in counts.items()))
+        json = F.when(F.col("ok"), emit.mapping_json(mapped)).otherwise(emit.error_json(F.col("first_line")))
+        return mapped.select("path", "first_line", json.alias("json"))
 
     def map_found(self, found: DataFrame, fmt: LogFormat | None, start: int = 0, count: int | None = None) -> DataFrame:
         """(path, first_line, json, failed) of the mappings of numbered lines, and of their lines that are no UTF-8."""
