@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import warnings
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -43,9 +45,30 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def release_memory() -> None:
+    """Gives memory that is no longer used back to the system, where it can be: a worker stays when its task has ended."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(run):
+    """A pass over batches that leaves its worker with little memory."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return tidied
+
+
 def map_batches(df: DataFrame, run, schema: StructType) -> DataFrame:
     """mapInArrow for columns of any names, which `run` gets by their places."""
-    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

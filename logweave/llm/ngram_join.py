@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import free_name, materialise, mix64, small, word_hashes
+from logweave.llm.common import free_name, materialise, mix64, small, tidy, word_hashes
 from logweave.llm.components import connected_components
 
 #: Words in a shingle.
@@ -121,15 +121,15 @@ def may_link(na: str, nb: str, a: str, b: str, percent: int = PERCENT) -> Column
     return _similar_sizes(na, nb, percent) & (100 * (sizes - differ) >= percent * (sizes + differ))
 
 
-_SCANNED = "doc_id long, content long, n long, node long, second long, bits array<long>, signature array<int>, bound array<long>, likes array<long>, block int, counts binary"
+_SCANNED = "doc_id long, content long, n long, node long, second long, bits array<long>, signature array<int>, likes array<long>, block int, counts binary"
 _POINTS = np.arange(LIKE_POINTS, dtype=np.uint64) << np.uint64(62)
 
 
 def _scan(join: NgramJoin):
-    """A pass that gives document rows (id, hash of the text, set size, both names, sketch, signature, bitmap, tokens that similar sets share), then the task's counters of tokens in blocks."""
+    """A pass that gives document rows (id, hash of the text, set size, both names, sketch, signature, tokens that similar sets share), then the task's counters of tokens in blocks."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([
-        ("doc_id", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("node", _NODE), ("second", pa.int64()), ("bits", longs), ("signature", pa.list_(pa.int32())), ("bound", longs), ("likes", longs),
+        ("doc_id", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("node", _NODE), ("second", pa.int64()), ("bits", longs), ("signature", pa.list_(pa.int32())), ("likes", longs),
         ("block", pa.int32()), ("counts", pa.binary()),
     ])
 
@@ -144,14 +144,13 @@ def _scan(join: NgramJoin):
 
         for batch in _slices(batches):
             ids, texts = _rows(batch)
-            sizes, names, bits, signed, bounds, likes, pending, held = [], [], [], [], [], [], [], 0
+            sizes, names, bits, signed, likes, pending, held = [], [], [], [], [], [], 0
             for s in shingle_sets(texts, join.words):
                 sizes.append(len(s))
                 names.append(set_names(s) if len(s) else (None, None))
-                sketch, signature, bound, counted = join.sketch(s) if len(s) else (None, None, None, s)
+                sketch, signature, counted = join.sketch(s) if len(s) else (None, None, s)
                 bits.append(sketch)
                 signed.append(signature)
-                bounds.append(bound)
                 likes.append(s[np.searchsorted(s, _POINTS) % len(s)].view(np.int64) if len(s) else None)
                 pending.append(counted & np.uint64(COUNTERS - 1))
                 held += len(counted)
@@ -161,11 +160,11 @@ def _scan(join: NgramJoin):
             if held:
                 add(pending)
             none = [None] * len(ids)
-            yield rows(ids, batch.column(2), sizes, [a for a, _ in names], [b for _, b in names], bits, signed, bounds, likes, none, none)
+            yield rows(ids, batch.column(2), sizes, [a for a, _ in names], [b for _, b in names], bits, signed, likes, none, none)
         if total.any():
             parts = total.reshape(-1, BLOCK)
             none = [None] * len(parts)
-            yield rows(*[none] * 9, list(range(len(parts))), [zlib.compress(p.tobytes(), 1) for p in parts])
+            yield rows(*[none] * 8, list(range(len(parts))), [zlib.compress(p.tobytes(), 1) for p in parts])
 
     return run
 
@@ -353,7 +352,7 @@ class _Verifier:
 
     def __init__(self, join: NgramJoin, texts: DataFrame, reps: DataFrame, clashing: frozenset[int]) -> None:
         self.join, self.texts, self.clashing = join, texts, clashing
-        self.reps, self.bits, self.bounds = reps.select("node", "doc_id"), reps.select("node", "n", "bits"), reps.select("node", "n", "bound")
+        self.reps, self.bits = reps.select("node", "doc_id"), reps.select("node", "n", "bits")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), each once and without those that the bitmaps rule out."""
@@ -366,11 +365,11 @@ class _Verifier:
 
     def edges(self, possible: DataFrame) -> DataFrame:
         """(a, b) of the pairs (a, b) that are similar."""
-        pairs = materialise(self.join.bounded(possible, self.bounds), "pairs")
+        pairs = materialise(possible, "pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         needed = materialise(nodes.join(self.reps, "node").select("node", "doc_id"), "needed")
         marks = _marks(needed)
-        found = self.texts.select(_mark_of(F.col("doc_id")).alias("mark"), "doc_id", "text").mapInArrow(_token_sets(marks, self.join.words, self.clashing), "doc_id long, node long, tokens array<long>")
+        found = self.texts.select(_mark_of(F.col("doc_id")).alias("mark"), "doc_id", "text").mapInArrow(tidy(_token_sets(marks, self.join.words, self.clashing)), "doc_id long, node long, tokens array<long>")
         # Dealt by node once, for both sides of the pairs.
         sets = found.join(needed, ["node", "doc_id"], "left_semi").select("node", "tokens").dropDuplicates(["node"])
         left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
@@ -552,9 +551,9 @@ class NgramJoin:
     #: Leaders that a set meets in its first turn, those of most of its lists; all of its lists' if None.
     leaders: int | None = None
 
-    def sketch(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray]:
-        """A set's sketch, its signature if lists are made of one, its bitmap if that is not the sketch, and the tokens that are counted."""
-        return bitmap(tokens), None, None, tokens
+    def sketch(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """A set's sketch, its signature if lists are made of one, and the tokens that are counted."""
+        return bitmap(tokens), None, tokens
 
     def sketch_words(self, level: Column) -> Column:
         """Longs of a sketch of a set of that size level."""
@@ -562,11 +561,11 @@ class NgramJoin:
 
     def postings(self, texts: DataFrame, scanned: DataFrame, counts: np.ndarray, clashing: frozenset[int]) -> DataFrame:
         """(sig, part, node): any two similar sets share a list."""
-        return texts.select("doc_id", "text").mapInArrow(_index(counts, clashing), "sig long, part int, node long")
+        return texts.select("doc_id", "text").mapInArrow(tidy(_index(counts, clashing)), "sig long, part int, node long")
 
-    def bounded(self, pairs: DataFrame, bounds: DataFrame) -> DataFrame:
-        """The pairs (a, b) that a closer look at bitmaps allows, which here the sketches are."""
-        return pairs
+    def pruned(self, postings: DataFrame) -> DataFrame:
+        """(sig, part, node) of the postings without sets that can't be similar to any of their list, where that is told cheaply."""
+        return postings
 
     def allowed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb, bits_a, bits_b) that may be similar."""
@@ -606,19 +605,19 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, join: NgramJoin | None
     join = join or NgramJoin()
     text = F.col(text_col).cast("binary")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("content"))
-    scanned = materialise(texts.mapInArrow(_scan(join), _SCANNED), "scanned")
+    scanned = materialise(texts.mapInArrow(tidy(_scan(join)), _SCANNED), "scanned")
     counts = token_counts(scanned)
     clashing = _clashing(scanned)
     if clashing:
         scanned = scanned.withColumn("node", F.when(F.col("node").isin(list(clashing)), F.col("second")).otherwise(F.col("node")))
     sized = scanned.where("n is not null").select("doc_id", "content", "n", "node")
 
-    postings = _lists(join.postings(texts, scanned, counts, clashing))
+    postings = _lists(join.pruned(join.postings(texts, scanned, counts, clashing)))
     # Many lists of one family of texts have the same least name: they become one list, whose rows are few.
     merged = materialise(postings.groupBy("leader", "node").agg(F.sum("members").alias("members"), F.count("*").alias("lists")), "merged")
     listed = materialise(merged.select("node").distinct(), "listed")
     found = scanned.where("node is not null").join(listed, "node", "left_semi")
-    reps = materialise(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("bound").alias("bound"), F.first("likes").alias("likes")), "reps")
+    reps = materialise(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("likes").alias("likes")), "reps")
     verifier = _Verifier(join, texts, reps, clashing)
     leaders = merged.select("leader", "node")
     if join.leaders:
@@ -655,7 +654,7 @@ def _compared(join: NgramJoin, merged: DataFrame, postings: DataFrame, labels: D
         listed = listed.union(apart.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     listed = materialise(listed.join(bits.select("node", "n"), "node").select("key", "node", "n", "label"), "compared")
     units = _comparisons(join, listed).join(bits.select("node", "bits"), "node").select("unit", "level", "side", "node", "n", "label", "bits")
-    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_compare(join, best), "a long, b long")
+    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(tidy(_compare(join, best)), "a long, b long")
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

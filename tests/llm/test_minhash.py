@@ -55,10 +55,51 @@ def test_signatures_estimate_similarity():
         spread = (minhash.COORDINATES * j * (1 - j)) ** 0.5
         assert abs(np.mean(agreed) - minhash.COORDINATES * j) < 5 * spread / 60**0.5 and np.std(agreed) < 1.5 * spread
         assert min(agreed) >= minhash.MATCHES
+    one, two = (np.array([minhash.mark(minhash.signature(x))], np.int64) for x in (a, b))
+    assert np.bitwise_count(one ^ two)[0] <= minhash.DIFFERING
     cut = minhash.lanes(minhash.signature(a)).view(np.uint8)
     assert (cut == minhash.lanes(minhash.signature(b)).view(np.uint8)).sum() >= agreed[-1]
 
 
+def test_parities_bound_what_sets_lack():
+    rng = np.random.default_rng(2)
+    for size, lost, gained in ((5, 1, 1), (60, 20, 3), (130, 0, 20), (700, 90, 70), (5000, 0, 0)):
+        a = rng.integers(0, 1 << 63, size, np.int64).astype(np.uint64)
+        b = np.concatenate((a[lost:], rng.integers(0, 1 << 63, gained, np.int64).astype(np.uint64)))
+        bits = [np.concatenate((minhash.lanes(minhash.signature(x)), minhash.parity(x))).view(np.uint64) for x in (a, b)]
+        words = np.array([len(x) for x in bits])
+        flat, at = np.concatenate(bits), np.array([0, words[0]])
+        w = min(words) - minhash.LANES
+        one, two = (minhash._folded(flat, at, words, np.array([k]), w) for k in (0, 1))
+        differ = int(np.bitwise_count(one ^ two).sum())
+        assert differ <= lost + gained and (differ + lost + gained) % 2 == 0
+        assert size < 100 or differ >= 0.6 * (lost + gained)
+
+
+@pytest.mark.parametrize("rows_at_once", [200_000, 3])
+def test_pruning_keeps_what_may_be_like(monkeypatch, rows_at_once):
+    import pyarrow as pa
+
+    monkeypatch.setattr(minhash, "_POSTINGS_AT_ONCE", rows_at_once)
+    rng = random.Random(3)
+    rows = []
+    for sig in range(60):
+        base = rng.getrandbits(63)
+        size = rng.choice((1, 2, 3, 9, 300))
+        for node in range(size):
+            own = rng.getrandbits(63) if rng.random() < 0.5 else base ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 11)))
+            rows += [(sig, 0 if sig % 9 else 1 + node % 2, node, own)] * rng.choice((1, 1, 2))
+    rows.sort()
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["sig", "part", "node", "mark"])
+    got = [(p["sig"], p["part"], p["node"]) for out in minhash._prune(batch.slice(k, 7) for k in range(0, len(rows), 7)) for p in out.to_pylist()]
+    want = []
+    for s, p, n, m in sorted(set(rows)):
+        others = [m2 for s2, p2, n2, m2 in set(rows) if (s2, p2) == (s, p) and n2 != n]
+        if p or (len(others) >= minhash.PRUNED) or any((m ^ m2).bit_count() <= minhash.DIFFERING for m2 in others):
+            want.append((s, p, n))
+    assert got == want and len(got) < len(set(rows))
+
+
 def test_only_sizes_that_can_link_are_posted():
     for n in range(1, 40):
         other = any(100 * shared >= 80 * (n + m - shared) for m in range(1, 80) for shared in range(min(n, m) + 1) if not shared == n == m)
