@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,11 +26,12 @@ LITERAL = "\ud800"
 #: Characters that the search takes in before it looks for a boundary to commit to.
 STEP = 256
 #: Segments up to KEPT characters are remembered with their ids in two generations of so many each.
-KEPT, REMEMBERED = 16, 100_000
+KEPT, REMEMBERED = 16, 150_000
 #: How far an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Types of pieces in a model file.
 _NORMAL, _USER, _BYTE = 1, 4, 6
+_NONE = float("-inf")
 
 
 class Model:
@@ -44,12 +47,12 @@ class Model:
         if len(self.bytes) < 256:
             raise ValueError("the model has no byte pieces, so it can't encode every text")
         self.longest = max(map(len, self.pieces))
-        self.tree: dict = {}
-        for piece, found in self.pieces.items():
-            node = self.tree
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = found
+        #: Gives all pieces that end at each character, the longest first.
+        self.automaton = ahocorasick.Automaton()
+        for piece, (i, score) in self.pieces.items():
+            self.automaton.add_word(piece, (len(piece), i, score))
+        self.automaton.make_automaton()
+        self.singles = frozenset(p for p in self.pieces if len(p) == 1)
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         self.surface = [p.piece.replace(SPACE, " ").encode() if p.type in (_NORMAL, _USER) else bytes([int(p.piece[3:-1], 16)]) if p.type == _BYTE else b"" for p in model.pieces]
         # Where every path has a boundary whatever the text: before a space that follows another character, unless a
@@ -63,10 +66,14 @@ class Model:
 
     def encode(self, text: str) -> list[int]:
         """Ids of the best segmentation of the whole text; an empty text has none."""
-        return list(chain.from_iterable(self.commits(text)))
+        return self.packed(text).tolist()
 
-    def commits(self, text: str) -> Iterator[Sequence[int]]:
-        """Ids of the text as they become certain, in order, while it is taken in STEP characters at a time.
+    def packed(self, text: str) -> np.ndarray:
+        """`encode` as an array of 32-bit integers."""
+        return np.frombuffer(b"".join(self.commits(text)), np.int32)
+
+    def commits(self, text: str) -> Iterator[bytes]:
+        """Ids of the text, as bytes of 32-bit integers, as they become certain, in order, while it is taken in STEP characters at a time.
 
         Where every path has a boundary whatever follows, they all converge, and what lies before it is committed:
         looked up if it was searched before, else searched. A segment that outgrows a step is searched as it comes and
@@ -75,7 +82,7 @@ class Model:
         steps = (text[i : i + STEP].replace(SPACE, LITERAL).replace(" ", SPACE) for i in range(0, len(text), STEP))
         first = SPACE if self.dummy_prefix and text else ""
         if self.segment is None:
-            yield from self.stream(chain([first], steps))
+            yield from (array("i", ids).tobytes() for ids in self.stream(chain([first], steps)))
             return
         left = [first]
 
@@ -97,7 +104,7 @@ class Model:
             *whole, left[0] = self.segment.findall(left[0] + step)
             yield from map(self.known.__getitem__, whole)
             if len(left[0]) >= STEP:
-                yield from self.stream(coming())
+                yield from (array("i", ids).tobytes() for ids in self.stream(coming()))
         if left[0]:
             yield from map(self.known.__getitem__, self.segment.findall(left[0]))
 
@@ -107,35 +114,49 @@ class Model:
         Best scores are held for the last `longest` positions only. All paths that can still win go through one of
         these; when their backpointers meet in one boundary, the ids up to it are given out and forgotten.
         """
-        tree, longest, unknown = self.tree, self.longest, self.unknown
+        longest = self.longest
         text = ""
         best, back, own = [0.0], [0], [None]  # of each position in the window: score, where its last piece begins, its id
         for part in parts:
             old = len(text)
             text += part
-            n = len(text)
-            best += [float("-inf")] * (n - old)
-            back += [0] * (n - old)
-            own += [None] * (n - old)
-            # Of equal scores the longest last piece wins, for its beginning comes first.
-            for at in range(max(0, old - longest + 1), n):
-                base, node, end, single = best[at], tree, at, False
-                while end < n and (node := node.get(text[end])) is not None:
-                    end += 1
-                    found = node.get("")
-                    if found:
-                        single = single or end == at + 1
-                        if end > old and base + found[1] > best[end]:
-                            best[end], back[end], own[end] = base + found[1], at, found[0]
-                if not single and at + 1 > old and base + unknown > best[at + 1]:
-                    best[at + 1], back[at + 1], own[at + 1] = base + unknown, at, None
-            if n > longest and (cut := self._settled(back)):
+            self._extend(text, old, best, back, own)
+            if len(text) > longest and (cut := self._settled(back)):
                 yield self._path(text, back, own, cut)
                 text, offset = text[cut:], best[cut]
                 best, back, own = [x - offset for x in best[cut:]], [at - cut for at in back[cut:]], own[cut:]
         if text:
             yield self._path(text, back, own, len(text))
 
+    def search(self, text: str) -> list[int]:
+        """Ids of a text that is taken at once."""
+        best, back, own = [0.0], [0], [None]
+        self._extend(text, 0, best, back, own)
+        return self._path(text, back, own, len(text))
+
+    def _extend(self, text: str, old: int, best: list[float], back: list[int], own: list[int | None]) -> None:
+        """Adds the positions after old; of equal scores the longest last piece wins."""
+        new = len(text) - old
+        best += [_NONE] * new
+        back += [0] * new
+        own += [None] * new
+        singles, unknown = self.singles, self.unknown
+        without = [k for k in range(old, len(text)) if text[k] not in singles] if not singles.issuperset(text[old:]) else []
+        without.reverse()
+        first = max(0, old - self.longest + 1)
+        for end, (size, piece, score) in self.automaton.iter(text[first:] if first else text):
+            end += first + 1
+            while without and without[-1] + 1 < end:
+                self._unknown(without.pop(), best, back, own)
+            if end > old and (score := score + best[end - size]) > best[end]:
+                best[end], back[end], own[end] = score, end - size, piece
+        while without:
+            self._unknown(without.pop(), best, back, own)
+
+    def _unknown(self, at: int, best: list[float], back: list[int], own: list[int | None]) -> None:
+        if best[at] + self.unknown > best[at + 1]:
+            best[at + 1], back[at + 1], own[at + 1] = best[at] + self.unknown, at, None
+
     def _settled(self, back: list[int]) -> int:
         """The boundary in which the paths to all live positions meet."""
         live = set(range(max(0, len(back) - self.longest), len(back)))
@@ -165,7 +186,7 @@ class Model:
 
 
 class _Known(dict):
-    """Ids of segments between boundaries that every path shares, found by the streaming search when first asked for.
+    """Ids, as bytes of 32-bit integers, of segments between boundaries that every path shares, found by the streaming search when first asked for.
 
     When a generation is full it becomes the old one, from which only what is asked for again comes back.
     """
@@ -173,12 +194,14 @@ class _Known(dict):
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, segment: str) -> tuple[int, ...]:
+    def __missing__(self, segment: str) -> bytes:
         ids = self.old.get(segment)
         if ids is None:
-            ids = tuple(chain.from_iterable(self.model.stream(segment[i : i + STEP] for i in range(0, len(segment), STEP))))
+            model = self.model
+            found = model.search(segment) if len(segment) <= STEP else chain.from_iterable(model.stream(segment[i : i + STEP] for i in range(0, len(segment), STEP)))
+            ids = array("i", found).tobytes()
         if len(segment) <= KEPT:
             if len(self) >= REMEMBERED:
                 self.old = dict(self)
@@ -223,16 +246,15 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame
                 part = batch.slice(i, 250)
                 lists, digests = [], []
                 for text in part.column(len(given)).to_pylist():
-                    ids = model.encode(text)
-                    if (again := model.decode(ids)) != text:
+                    ids = model.packed(text)
+                    if (again := model.decode(ids.tolist())) != text:
                         raise ValueError("a text doesn't survive encoding and decoding")
-                    lists.append(np.fromiter(ids, np.int32, len(ids)))
+                    lists.append(ids)
                     digests.append(hashlib.sha256(again.encode()).hexdigest())
                 sizes = [len(x) for x in lists]
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], arrays, pa.array(sizes, pa.int64()), pa.array(digests)], names=[*given, "ids", "n_ids", "text_sha256"])
-        model.known.forget()  # a worker stays, for stages that need its memory
 
     return map_batches(read, run, StructType([*read.schema.fields[:-1], *StructType.fromDDL("ids array<int>, n_ids long, text_sha256 string").fields]))
 

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import PIECE_BYTES, materialise, mix64, segment_hashes, word_bounds
+from logweave.llm.common import PIECE_BYTES, materialise, mix64, segment_hashes, small, word_bounds
 
 #: Bytes that the rolling hash looks back on.
 LOOK_BACK = 16
@@ -78,7 +79,7 @@ def chunk_ends(text: bytes) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-_ANCHORS = "digest long, row long, doc_id long, windows binary, hot boolean"
+_ANCHORS = "digest long, row long, doc_id long, windows binary, variant long"
 _SHARED = "row long, doc_id long, first int, n int, start int, end int, lo long"
 #: How the windows of an anchor are packed: this head, then the windows' hashes, then the steps of starts and of ends.
 _HEAD = np.dtype([("first", "<i4"), ("start", "<i4"), ("end", "<i4"), ("n", "u1"), ("width", "u1")])
@@ -141,7 +142,7 @@ def _anchors(texts: list[bytes], run_words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _gather(run_words: int, hot: frozenset[int] = frozenset()):
-    """A pass over texts that gives their anchors, each input row known by a key of its own; hot ones are marked."""
+    """A pass over texts that gives their anchors, each input row known by a key of its own; of hot ones the variant is named by the hashes of its windows."""
     hot_ones = np.array(sorted(hot), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +155,21 @@ def _gather(run_words: int, hot: frozenset[int] = frozenset()):
             n = seen[name] = seen.get(name, -1) + 1
             return int.from_bytes(hashlib.blake2b(name + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
 
+        def variants(digest: np.ndarray, packed: list[bytes]) -> list[int | None]:
+            out: list[int | None] = [None] * len(packed)
+            for k in np.flatnonzero(np.isin(digest, hot_ones)).tolist():
+                n = packed[k][_HEAD.fields["n"][1]]
+                hashes = packed[k][_HEAD.itemsize : _HEAD.itemsize + n * HASH_BYTES]
+                out[k] = int.from_bytes(hashlib.blake2b(hashes, digest_size=8).digest(), "little", signed=True)
+            return out
+
         def flush(rows: list[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
             text, digest, packed = _anchors([t for _, t in rows], run_words)
             if packed:
                 keys = pa.array([key(*r) for r in rows], pa.int64())
                 ids = pa.array([d for d, _ in rows], pa.int64())
                 at = pa.array(text)
-                yield pa.RecordBatch.from_arrays([pa.array(digest), keys.take(at), ids.take(at), pa.array(packed, pa.binary()), pa.array(np.isin(digest, hot_ones))], names=["digest", "row", "doc_id", "windows", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest), keys.take(at), ids.take(at), pa.array(packed, pa.binary()), pa.array(variants(digest, packed), pa.int64())], names=["digest", "row", "doc_id", "windows", "variant"])
 
         for batch in batches:
             rows: list[tuple[int | None, bytes]] = []
@@ -224,20 +233,54 @@ class _Opened:
         return self.heads["start"][owner] + total[0] - edge[0], self.heads["end"][owner] + total[1] - edge[1]
 
 
-_WINDOWS = "digest long, hash long, row long, doc_id long, first int, start int, end int"
+_WINDOWS = "digest long, variant long, a long, z long, lo long, hash long, j int"
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of the occurrences (digest, row, doc_id, windows)."""
+    """A row for each window of the variants (digest, variant, a, z, lo, windows)."""
     for batch in batches:
         for low in range(0, batch.num_rows, 5000):
             part = batch.slice(low, 5000)
-            opened = _Opened(part.column(3))
-            start, end = opened.edges()
+            opened = _Opened(part.column(5))
             of = pa.array(opened.owner)
-            first = opened.heads["first"][opened.owner] + opened.j
-            columns = [part.column(0).take(of), pa.array(opened.hashes().view(np.int64)), part.column(1).take(of), part.column(2).take(of), *(pa.array(x.astype(np.int32)) for x in (first, start, end))]
-            yield pa.RecordBatch.from_arrays(columns, names=["digest", "hash", "row", "doc_id", "first", "start", "end"])
+            columns = [*(part.column(k).take(of) for k in range(5)), pa.array(opened.hashes().view(np.int64)), pa.array(opened.j.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "variant", "a", "z", "lo", "hash", "j"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared windows of occurrences (row, doc_id, windows, shared), each by itself; `shared` has places and smallest ids."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 5000):
+            part = batch.slice(low, 5000)
+            opened = _Opened(part.column(2))
+            start, end = opened.edges()
+            begins = np.cumsum(opened.n) - opened.n
+            lists = part.column(3)
+            of = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
+            found = lists.flatten()
+            j = found.field(0).to_numpy().astype(np.int64)
+            at = begins[of] + j
+            whose = pa.array(of)
+            columns = [part.column(0).take(whose), part.column(1).take(whose), *(pa.array(x.astype(np.int32)) for x in (opened.heads["first"][of] + j, np.ones(len(of)), start[at], end[at])), found.field(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "first", "n", "start", "end", "lo"])
+
+
+def _hot_shared(anchors: DataFrame) -> DataFrame:
+    """Shared windows of hot anchors, whose occurrences never meet in one task.
+
+    Occurrences whose windows are the same words, as in copies, are one variant, known by a count that is combined
+    before the shuffle. Variants are compared window by window; what they share goes back to their occurrences.
+    """
+    hot = anchors.where("variant is not null")
+    doc = F.coalesce("doc_id", F.lit(NO_ID))
+    variants = hot.groupBy("digest", "variant").agg(F.min("row").alias("a"), F.max("row").alias("z"), F.min(doc).alias("lo"), F.first("windows").alias("windows"))
+    windows = materialise(materialise(variants, "hot-variants").mapInArrow(_unpack, _WINDOWS), "hot-windows")
+    several = windows.groupBy("digest", "hash").agg(F.min("a").alias("first_row"), F.max("z").alias("last_row"), F.min("lo").alias("least")).where("first_row < last_row")
+    met = windows.join(several.select("digest", "hash", "least"), ["digest", "hash"])
+    # A variant has no more windows than an anchor gathers, some tens.
+    shared = met.groupBy("digest", "variant").agg(F.collect_list(F.struct("j", "least")).alias("shared"))
+    shared = materialise(shared, "hot-shared")
+    return hot.join(small(shared), ["digest", "variant"]).select("row", "doc_id", "windows", "shared").mapInArrow(_placed, _SHARED)
 
 
 def _compare(table: pa.Table) -> pa.RecordBatch | None:
@@ -315,8 +358,8 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     Windows travel packed by their anchor, the place in them with the least gear hash of ANCHOR_WORDS words, which
     equal windows share. All occurrences of an anchor meet in one task, which holds
     them at once: about a kilobyte for each while it compares them. Anchors that a sample shows to be hot, as in a
-    passage that a third of all documents hold, don't meet so: their windows are counted one by one, in part before
-    the shuffle, and joined with those that more than one row has. The sample decides on the way, not on the result.
+    passage that a third of all documents hold, don't meet so: see _hot_shared. The sample decides on the way, not on
+    the result.
 
     Every input row is a document of its own, known by a key of its content and its count in its partition, so rows
     without an id, rows that share an id and repeated rows are told apart; null ids come last in first_doc_id. Null
@@ -325,14 +368,10 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     hot = hot_anchors(texts, run_words)
     anchors = texts.mapInArrow(_gather(run_words, hot), _ANCHORS)
-    usual = anchors.where("not hot") if hot else anchors
-    shared = usual.drop("hot").repartition("digest").sortWithinPartitions("digest").mapInArrow(_meet, _SHARED)
+    usual = anchors.where("variant is null") if hot else anchors
+    shared = usual.drop("variant").repartition("digest").sortWithinPartitions("digest").mapInArrow(_meet, _SHARED)
     if hot:
-        windows = materialise(anchors.where("hot").drop("hot").mapInArrow(_unpack, _WINDOWS), "hot-windows")
-        doc = F.coalesce("doc_id", F.lit(NO_ID))
-        several = windows.groupBy("digest", "hash").agg(F.min("row").alias("a"), F.max("row").alias("z"), F.min(doc).alias("lo")).where("a < z").drop("a", "z")
-        met = windows.join(materialise(several, "hot-shared"), ["digest", "hash"])
-        shared = shared.union(met.select("row", "doc_id", "first", F.lit(1).alias("n"), "start", "end", "lo"))
+        shared = shared.union(_hot_shared(anchors))
     # Stretches of windows of one row that follow each other have one difference of last window and windows so far.
     order = Window.partitionBy("row").orderBy("first")
     runs = shared.withColumn("run", F.col("first") + F.col("n") - F.sum("n").over(order))
