@@ -97,11 +97,19 @@ def _quoted(x) -> str:
     return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
 
 
+#: Of the templates above, in order: statement index in its file, quality, pattern and expressions, written out by hand.
+EXPECTED = [
+    (0, 12, r"User (.+) signed up", ["userId"]), (1, 6, r"User (.+) (.+) up", ["a", "b"]), (0, 7, r"click on (.+)", ["what"]), (1, 11, r"click on item (.+)", ["item"]),
+    (0, 12, r"view value=(.+) by (.+)", ["value", "user"]), (0, 13, r"view value=(.+) by (.+)!", ["v", "u"]), (0, 14, r"purchase of (.+) done", ["amount"]), (0, 6, r"(.+) failed", ["x"]),
+    (0, 13, r"request (.+) failed(.+)", ["rid", "<unknown>"]), (0, 13, r"request (.+) failed", ["id"]), (0, 5, r"ready", []),
+]
+
+
 def statements_sql() -> str:
     values = []
-    for r in rows():
-        exprs = "[" + ", ".join(_quoted(x) for x in r[16]) + "]::VARCHAR[]"
-        values.append("(" + ", ".join(_quoted(x) for x in (r[0], r[1], r[2], r[3], r[10], r[12], r[8], r[5])) + f", {exprs})")
+    for (root, path, _, line, name, *_), (idx, quality, pattern, found) in zip(TEMPLATES, EXPECTED, strict=True):
+        exprs = "[" + ", ".join(_quoted(x) for x in found) + "]::VARCHAR[]"
+        values.append("(" + ", ".join(_quoted(x) for x in (root, path, path.rsplit("/", 1)[1], idx, quality, rf"(?s)\A{pattern}\z", name, line)) + f", {exprs})")
     return "s(root_ord, source_path, file_name, stmt_idx, quality, executable, name, line_no, exprs) AS (VALUES\n  " + ",\n  ".join(values) + "\n)"
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import paths, templates, tokens
-from logweave.functions.templates import PLACEHOLDERS
 from logweave.operators import derive, emit, match, nav, records
 from logweave.plans import inputs
 from logweave.sources import catalog, lines, tree
@@ -189,20 +188,14 @@ def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", language.alias("language"), F.concat("p_name", ending).alias("template"))
 
 
-def _split_sql(made: Callable[[str], str]) -> str:
-    return "CASE language " + " ".join(f"WHEN '{k}' THEN {made(v.replace(chr(39), chr(39) * 2))}" for k, v in PLACEHOLDERS.items()) + " END"
-
-
-@query(f"WITH {_TEMPLATE_SQL} SELECT p_partkey, language, template, {_split_sql(lambda v: f'len(regexp_extract_all(template, {chr(39)}{v}{chr(39)}))')} AS n_args FROM t")
+@query(f"WITH {_TEMPLATE_SQL} SELECT p_partkey, language, template, CAST([1, 2, 2, 1, 3, 3, 2, 0][p_partkey % 8 + 1] AS BIGINT) AS n_args FROM t")
 def q_placeholder_split(spark, sf_dir):
     """How many values templates log."""
     return _templates(spark, sf_dir).withColumn("n_args", templates.arg_count(F.col("template"), F.col("language")).cast("long"))
 
 
-@query(
-    f"WITH {_TEMPLATE_SQL}, s AS (SELECT *, {_split_sql(lambda v: f'regexp_replace(template, {chr(39)}{v}{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')} AS x FROM t) "
-    r"SELECT p_partkey, template, length(regexp_replace(x, '\s', '', 'g')) + length(regexp_replace(x, '[^].*+?^$(){}|[]', '', 'g')) AS quality FROM s"
-)
+#: The endings' own characters, where a pattern's escapes count: costs, :of(a.b)[c], xof, !, of, none, a line feed and +, |plain.
+@query(f"WITH {_TEMPLATE_SQL} SELECT t.p_partkey, template, length(replace(p_name, ' ', '')) + [5, 16, 3, 1, 2, 0, 4, 7][t.p_partkey % 8 + 1] AS quality FROM t JOIN part USING (p_partkey)")
 def q_quality(spark, sf_dir):
     """Characters of templates' escaped literal text but white space."""
     return _templates(spark, sf_dir).select("p_partkey", "template", templates.quality(F.col("template"), F.col("language")).cast("long").alias("quality"))
@@ -582,12 +575,26 @@ def q_stack_frames(spark, sf_dir):
 def q_level_tokens(spark, sf_dir):
     """Highlighting class of a record's level."""
     level = inputs.log_format().capture("level", F.col("content"))
-    token = F.when(level.rlike("(?i)^(error|fatal|severe|err)$"), "error").when(level.rlike("(?i)^warn(ing)?$"), "warning").when(level.rlike("(?i)^(debug|fine|trace)$"), "debug").otherwise("info")
-    return inputs.log(spark, sf_dir).select("rec_id", token.alias("token"))
+    return inputs.log(spark, sf_dir).select("rec_id", tokens.level_class(level).alias("token"))
 
 
 _TOKEN_LINE_SQL = "'[' || ['info', 'W', 'dbg'][event_id % 3 + 1] || '] ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' \"' || event_type || '\" http://x.org/' || user_id || ' ' || [md5(event_type)[1:7], 'a.IOException', 'null'][event_id % 3 + 1] || ' ' || props"
-_TOKENS_SQL = ", ".join("CASE WHEN regexp_matches(line, '" + tokens.pattern(c).replace("'", "''") + f"') THEN '{c}' END" for c in tokens.CLASSES)
+#: What tokens of each class look like, written out here and not taken from what it tests.
+_TOKENS_SQL = r"""
+CASE WHEN regexp_matches(line, '\bTrace\b:|(?i:\[(verbose|verb|vrb|vb|v)\])|^[\s\d[:punct:]]*\bV\b') THEN 'verbose' END,
+CASE WHEN regexp_matches(line, '\b(DEBUG|Debug)\b|(?i:\bdebug:)|(?i:\[(debug|dbug|dbg|de|d)\])|^[\s\d[:punct:]]*\bD\b') THEN 'debug' END,
+CASE WHEN regexp_matches(line, '\b(HINT|INFO|INFORMATION|Info|NOTICE|II)\b|(?i:\b(info|information):)|(?i:\[(information|info|inf|in|i)\])|^[\s\d[:punct:]]*\bI\b') THEN 'info' END,
+CASE WHEN regexp_matches(line, '\b(WARNING|WARN|Warn|WW)\b|(?i:\bwarning:)|(?i:\[(warning|warn|wrn|wn|w)\])|^[\s\d[:punct:]]*\bW\b') THEN 'warning' END,
+CASE WHEN regexp_matches(line, '\b(ALERT|CRITICAL|EMERGENCY|ERROR|FAILURE|FAIL|Fatal|FATAL|Error|EE)\b|(?i:\berror:)|(?i:\[(error|eror|err|er|e|fatal|fatl|ftl|fa|f)\])|^[\s\d[:punct:]]*\bE\b') THEN 'error' END,
+CASE WHEN regexp_matches(line, '\b\d{4}-\d{2}-\d{2}(T|\b)|(^|\s)\d{2}[^\w\s]\d{2}[^\w\s]\d{4}\b|\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?(Z| ?[+-]\d{1,2}:\d{2})?\b') THEN 'date' END,
+CASE WHEN regexp_matches(line, '\b([0-9a-fA-F]{40}|[0-9a-fA-F]{10}|[0-9a-fA-F]{7})\b') THEN 'hash' END,
+CASE WHEN regexp_matches(line, '\b[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}\b|\b([0-9a-fA-F]{2,}[:-])+[0-9a-fA-F]{2,}\b') THEN 'guid' END,
+CASE WHEN regexp_matches(line, '\b([0-9]+|true|false|null)\b|\b0x[a-fA-F0-9]+\b') THEN 'constant' END,
+CASE WHEN regexp_matches(line, '"[^"]*"|(^|\W)''[^'']*''') THEN 'string' END,
+CASE WHEN regexp_matches(line, '\b[a-zA-Z.]*Exception\b') THEN 'exception' END,
+CASE WHEN regexp_matches(line, '^[\t ]*at[\t ]') THEN 'frame' END,
+CASE WHEN regexp_matches(line, '\b[a-z]+://\S+\b/?') THEN 'address' END,
+CASE WHEN regexp_matches(line, '(^|[^\w/\\.-])([\w-]+\.)+[\w-]+($|[^\w/\\.-])') THEN 'name' END"""
 
 
 @query(f"WITH t AS (SELECT event_id, {_TOKEN_LINE_SQL} AS line FROM events) SELECT event_id, array_to_string(list_filter([{_TOKENS_SQL}], lambda x: x IS NOT NULL), ',') AS classes FROM t")
@@ -601,6 +608,27 @@ def q_token_classes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(tokens.classes(line), ",").alias("classes"))
 
 
+_SPAN_SQL = """WITH t AS (
+  SELECT event_id, ['info', 'W', 'dbg'][event_id % 3 + 1] AS level, ['info', 'warning', 'debug'][event_id % 3 + 1] AS level_class, event_type, CAST(user_id AS VARCHAR) AS who,
+         [md5(event_type)[1:7], 'a.IOException', 'null'][event_id % 3 + 1] AS tail, ['hash', 'exception', 'constant'][event_id % 3 + 1] AS tail_class FROM events
+), p AS (
+  SELECT event_id, [2 + length(level), 10, 8, 2 + length(event_type), 13 + length(who), length(tail), 3] AS lengths, [level_class, 'date', 'date', 'string', 'address', tail_class, 'string'] AS classes FROM t
+), s AS (SELECT event_id, lengths, classes, unnest(range(1, 8)) AS i FROM p)
+SELECT event_id, CAST(i - 1 AS INTEGER) AS pos, CAST(list_sum(list_concat([0], lengths[1:i - 1])) + i - 1 AS INTEGER) AS first, CAST(list_sum(lengths[1:i]) + i - 1 AS INTEGER) AS behind, classes[i] AS class FROM s"""
+
+
+@query(_SPAN_SQL)
+def q_token_spans(spark, sf_dir):
+    """Where the tokens of lines lie, and their classes; each word of these lines is a token, with a space between them."""
+    pick = lambda *xs: F.element_at(F.array(*xs), (F.col("event_id") % 3 + 1).cast("int"))
+    line = F.concat(
+        F.lit("["), pick(F.lit("info"), F.lit("W"), F.lit("dbg")), F.lit("] "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(' "'), F.col("event_type"), F.lit('" http://x.org/'), F.col("user_id").cast("string"),
+        F.lit(" "), pick(F.left(F.md5(F.col("event_type").cast("binary")), F.lit(7)), F.lit("a.IOException"), F.lit("null")), F.lit(" 'q'"),
+    )
+    found = table(spark, sf_dir, "events").select("event_id", F.posexplode(tokens.spans(line)).alias("pos", "s"))
+    return found.select("event_id", "pos", F.col("s.start").alias("first"), F.col("s.end").alias("behind"), "s.class")
+
+
 # What users do with mappings.
 
 
