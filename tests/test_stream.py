@@ -33,6 +33,29 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(got) == sorted((r.path, r.rec_id, r.first_line, r.content) for r in batch.collect())
 
 
+def test_lines_after_the_flush_are_kept(spark, tmp_path):
+    fmt = inputs.log_format()
+    head = "2024-01-01 00:00:0{} INFO Tracker:5 [7] click on item {}"
+    given = [[(0, head.format(1, 1)), (1, "more 1")], [(2, "late 1"), (3, "late 2")], [(4, "later"), (5, head.format(2, 2))], [(6, "more 2")]]
+    at, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    put = lambda rows: spark.createDataFrame([("a", n, v) for n, v in rows], "path string, line_no long, value string").coalesce(1).write.mode("append").parquet(at)
+    put(given[0])
+    stream = spark.readStream.schema("path string, line_no long, value string").parquet(at)
+    rows = []
+    each = lambda df, n: rows.extend(tuple(r) for r in df.select("rec_id", "part", "first_line", "content").collect())
+    query = assemble_stream(stream, fmt, 500).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime="200 milliseconds").start()
+    for k in range(4):
+        until = time.time() + 90
+        while len(rows) < (1, 2, 4, 5)[k] and time.time() < until:  # until the open record has gone out
+            time.sleep(0.3)
+        if k < 3:
+            put(given[k + 1])
+    query.stop()
+    content = sorted(rows)
+    assert [v for _, _, _, c in content for v in c.split("\n")] == [v for batch in given for _, v in batch]
+    assert content[0] == (1, 0, 0, head.format(1, 1) + "\nmore 1") and content[1] == (1, 1, 2, "late 1\nlate 2") and content[2][:3] == (1, 2, 4) and [c[:3] for c in content[3:]] == [(2, 0, 5), (2, 1, 6)]
+
+
 def test_log_files_as_they_arrive(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/Oven.java").write_text('class Oven {\n  void bake(int n) {\n    log.info("baked {} pots", n);\n  }\n}\n')
