@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from pathlib import Path
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -13,7 +12,7 @@ from logweave.errors import CannotReadLog, NoLogMessages, NoLogStatements
 from logweave.functions.formats import LogFormat
 from logweave.operators import derive, emit, match, records
 from logweave.sources import blocks, catalog, lines, tree
-from logweave.tables import materialise
+from logweave.tables import materialise, new_folder
 
 KEYS = ["path", "rec_id"]
 
@@ -32,6 +31,9 @@ class Engine:
         self.tables: dict[str, tuple[DataFrame, DataFrame]] = {}
         #: Per root the id that its next new file gets; ids are never used again.
         self.next_id: dict[str, int] = {}
+        #: Roots whose store is what the tables are of.
+        self.kept: set[str] = set()
+        self._own_store = store or new_folder(spark, "store")
         self.unreadable = spark.createDataFrame([], "root string, path string, language string, file_id long")
 
     def add_root(self, root: str) -> None:
@@ -41,6 +43,7 @@ class Engine:
         found = catalog.load(self.spark, self.store, at) if self.store else None
         if found:
             self.tables[at], self.next_id[at] = (found[1], found[0]), found[2]
+            self.kept.add(at)
         else:
             self.tables[at] = (self.spark.createDataFrame([], tree.SNAPSHOT), self.spark.createDataFrame([], catalog.STATEMENTS))
             self.next_id[at] = 0
@@ -63,26 +66,27 @@ class Engine:
         """
         listed = [self.spark.createDataFrame([], "root string, path string, kind string, language string, mtime timestamp")]
         for root in self.roots.paths:
-            ignore = Path(root, ".gitignore")
-            listed.append(tree.list_tree(self.spark, root, ignore.read_text(errors="replace") if ignore.is_file() else None))
+            listed.append(tree.list_tree(self.spark, root, tree.read_ignore(root)))
         current = materialise(reduce(DataFrame.unionByName, listed), "listed")
         tops = self.spark.createDataFrame([(r, n - 1) for r, n in self.next_id.items()], "root string, top long")
         snapshot, feed = tree.sync(self.snapshot, current, tops)
-        snapshot, feed = materialise(snapshot, "snapshot"), materialise(feed, "feed")
+        changes = materialise(tree.delta(self.snapshot, materialise(snapshot, "snapshot")), "snapshot-delta")
+        feed = materialise(feed, "feed")
         sources, unreadable = tree.read_sources(feed)
         errors = current.where("kind = 'Error'").select("root", "path", "language", F.lit(None).cast("long").alias("file_id"))
         self.unreadable = unreadable.unionByName(errors)
-        catalogue = materialise(catalog.update(self.catalogue, feed, catalog.extract(sources)), "catalogue")
-        counts = feed.groupBy("root").agg(F.count("*").alias("changes"), F.max("file_id").alias("top"))
-        changed = {r.root: r.top for r in counts.collect()}  # a row for each root
+        fresh = materialise(catalog.extract(sources), "statements")
+        gone = feed.where("event = 'DeletedFile'")
+        tops = {r.root: r.top for r in feed.groupBy("root").agg(F.max("file_id").alias("top")).collect()}  # a row for each root
+        changed = {r.root for r in changes.select("root").distinct().collect()}
         for root in self.roots.paths:
             own = F.col("root") == root
-            self.next_id[root] = max(self.next_id[root], changed.get(root, -1) + 1)
-            if self.store and root in changed:
-                stored = catalog.save(catalogue, snapshot, self.store, root, self.next_id[root])
+            self.next_id[root] = max(self.next_id[root], tops.get(root, -1) + 1)
+            if root in changed:
+                rows = (fresh.where(own), changes.where(own), gone.where(own).select("file_id"))
+                stored = catalog.append(*rows, self._own_store, root, self.next_id[root], root not in self.kept)
                 self.tables[root] = (stored[1], stored[0])
-            else:
-                self.tables[root] = (snapshot.where(own), catalogue.where(own))
+                self.kept.add(root)
         return feed
 
     @property

@@ -72,4 +72,5 @@ def split_trace(rows: DataFrame) -> DataFrame:
 
 
 def full_body(body: Column, line: Column) -> Column:
+    """The text that a record logs: its body, or the whole line where no format gave one."""
     return F.coalesce(body, line)

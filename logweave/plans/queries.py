@@ -410,6 +410,21 @@ def q_variables(spark, sf_dir):
     return _variables(_won(spark, sf_dir))
 
 
+@query(inputs.match_sql() + _VARIABLES.replace("rec_id, i - 1 AS pos, exprs[i] AS expr", "rec_id AS first_line, exprs[i] AS name"))
+def q_locals(spark, sf_dir):
+    """Local variables of each record's frame: the expressions of its statement with their values."""
+    mapped = _won(spark, sf_dir)
+    found = nav.locals_of(mapped.withColumn("variables", derive.variables(F.col("body"), F.col("stmt"), F.col("captured"))))
+    return found.select(F.col("first_line").cast("long").alias("first_line"), "name", "value")
+
+
+@query(f"WITH {inputs.LOG_SQL} SELECT rec_id, CASE WHEN event_type = 'error' THEN body ELSE logged || ' ' || level || ' ' || file || ':' || lineno || ' [' || thread || '] ' || body END AS body FROM l")
+def q_full_body(spark, sf_dir):
+    """What records log: their bodies, or whole lines where no body was parsed, here of all but errors."""
+    body = F.when(F.col("content").contains(" ERROR "), F.col("body"))
+    return parsed(spark, sf_dir).select("rec_id", records.full_body(body, F.col("content")).alias("body"))
+
+
 @query(inputs.match_sql(where="event_type = 'view'") + _VARIABLES)
 def q_variables_positional(spark, sf_dir):
     """Logged values that placeholders name by position."""

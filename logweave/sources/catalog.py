@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from logweave.functions import paths
 from logweave.sources.extract import statements
+from logweave.sources.tree import SNAPSHOT
 from logweave.tables import delete_folder
 
 log = logging.getLogger(__name__)
 
 #: Layout of stored catalogues; others are rebuilt.
-REVISION = 2
+REVISION = 3
 STATEMENTS = (
     "root string, file_id long, source_path string, language string, stmt_idx int, line_no int, end_line_no int, column int, name string, text string, quality int, "
     "pattern string, executable string, prefix string, args array<struct<kind:string,name:string,pos:int>>, vars array<string>, exprs array<string>"
@@ -107,7 +108,11 @@ def cache_name(root: str) -> str:
     return f"cache.{hashlib.sha256(root.encode()).hexdigest()}"
 
 
-_HEADER = "revision int, format string, path string, generation long, folder string, next_id long"
+_HEADER = "revision int, format string, path string, generation long, folder string, next_id long, whole boolean"
+_SNAPSHOT = f"{SNAPSHOT}, generation long, gone boolean"
+_GONE = "file_id long"
+#: Generations that are read together before they are written as one.
+MOST_DELTAS = 16
 
 
 def _headers(spark: SparkSession, base: str) -> list:
@@ -118,29 +123,72 @@ def _headers(spark: SparkSession, base: str) -> list:
         return []
 
 
-def save(catalogue: DataFrame, snapshot: DataFrame, folder: str, root: str, next_id: int) -> tuple[DataFrame, DataFrame]:
-    """Stores a root's tables as a new generation and reads them back.
+def _chain(headers: list) -> list:
+    """The newest whole generation and those after it, the newest first; others are history."""
+    whole = next((k for k, h in enumerate(headers) if h.whole), len(headers) - 1)
+    return headers[: whole + 1]
 
-    Each generation has folders of its own, so tables that were read from an earlier one stay readable. The header
-    that points to it is added last, by one rename, so a store cut short shows the generation before. Generations but
-    the newest two are deleted.
+
+def _merged(spark: SparkSession, base: str, chain: list) -> tuple[DataFrame, DataFrame]:
+    """Catalogue and snapshot of a chain: statements of files that no generation lists as gone, and each path's last row.
+
+    Ids of files are never used again, so it doesn't matter in which generation a file went.
     """
-    base = f"{folder}/{cache_name(root)}"
-    spark = catalogue.sparkSession
-    known = _headers(spark, base)
+    at = lambda name: [f"{base}/{h.folder}/{name}" for h in chain]
+    statements = spark.read.schema(STATEMENTS).parquet(*at("statements"))
+    rows = spark.read.schema(_SNAPSHOT).parquet(*at("snapshot"))
+    columns = [c.split()[0] for c in SNAPSHOT.split(", ")]
+    if len(chain) == 1:
+        return statements, rows.select(*columns)
+    gone = spark.read.schema(_GONE).parquet(*at("gone"))
+    last = rows.groupBy("path").agg(F.max_by(F.struct(*columns, "gone"), "generation").alias("row")).where("not row.gone")
+    return statements.join(gone, "file_id", "left_anti"), last.select(*(f"row.{c}" for c in columns))
+
+
+def _write(spark: SparkSession, base: str, generation: int, root: str, next_id: int, whole: bool, statements: DataFrame, snapshot: DataFrame, gone: DataFrame | None):
     at = f"generation-{uuid.uuid4().hex}"
-    catalogue.where(F.col("root") == root).write.parquet(f"{base}/{at}/statements")
-    snapshot.where(F.col("root") == root).write.parquet(f"{base}/{at}/snapshot")
-    header = spark.createDataFrame([(REVISION, "parquet", root, known[0].generation + 1 if known else 0, at, next_id)], _HEADER)
+    statements.write.parquet(f"{base}/{at}/statements")
+    snapshot.withColumn("generation", F.lit(generation).cast("long")).select(*(c.split()[0] for c in _SNAPSHOT.split(", "))).write.parquet(f"{base}/{at}/snapshot")
+    if gone is not None:
+        gone.write.parquet(f"{base}/{at}/gone")
+    else:
+        spark.createDataFrame([], _GONE).write.parquet(f"{base}/{at}/gone")
+    header = spark.createDataFrame([(REVISION, "parquet", root, generation, at, next_id, whole)], _HEADER)
     header.coalesce(1).write.mode("append").json(f"{base}/header")
-    for old in known[1:]:
-        if old.folder:
-            delete_folder(spark, f"{base}/{old.folder}")
-    return spark.read.schema(STATEMENTS).parquet(f"{base}/{at}/statements"), spark.read.schema(snapshot.schema).parquet(f"{base}/{at}/snapshot")
+    return header.first()
+
+
+def append(statements: DataFrame, snapshot: DataFrame, gone: DataFrame, folder: str, root: str, next_id: int, anew: bool) -> tuple[DataFrame, DataFrame]:
+    """Adds a generation to a root's store and gives its catalogue and snapshot.
+
+    A generation holds what changed alone: statements of new files, snapshot rows that are new, changed or (`gone`)
+    vanished, and ids of deleted files; so a changed file costs its own rows whatever the size of the root. Its header
+    is added last, by one rename, so a store cut short shows the generation before. `anew` begins with these rows as
+    a whole. After MOST_DELTAS generations the merged tables are written as a whole one; folders that only older
+    wholes refer to are deleted then, so tables that were read before stay readable until the next time.
+    """
+    base = f"{folder}/{cache_name(root)}"
+    spark = statements.sparkSession
+    known = _headers(spark, base)
+    number = known[0].generation + 1 if known else 0
+    made = _write(spark, base, number, root, next_id, anew, statements, snapshot, gone)
+    chain = [made] if anew else [made, *_chain(known)]
+    if len(chain) > MOST_DELTAS:
+        merged = _merged(spark, base, chain)
+        whole = _write(spark, base, number + 1, root, next_id, True, merged[0], merged[1].withColumn("gone", F.lit(False)), None)
+        kept = {h.folder for h in chain}
+        for old in known:
+            if old.folder not in kept:
+                delete_folder(spark, f"{base}/{old.folder}")
+        chain = [whole]
+    return _merged(spark, base, chain)
 
 
 def load(spark: SparkSession, folder: str, root: str) -> tuple[DataFrame, DataFrame, int] | None:
-    """A root's stored catalogue, snapshot and next file id; None if there is none, if it is of another revision or can't be read."""
+    """A root's stored catalogue, snapshot and next file id; None if there is none, if it is of another revision or can't be read.
+
+    Only the ends of its files are read to see that they are whole.
+    """
     base = f"{folder}/{cache_name(root)}"
     known = _headers(spark, base)
     if not known:
@@ -149,10 +197,10 @@ def load(spark: SparkSession, folder: str, root: str) -> tuple[DataFrame, DataFr
         log.info("old catalogue entry for %s", root)
         return None
     try:
-        found = [spark.read.parquet(f"{base}/{known[0].folder}/{name}") for name in ("statements", "snapshot")]
-        for table in found:
-            table.write.format("noop").mode("overwrite").save()
-        return found[0], found[1], known[0].next_id
+        chain = _chain(known)
+        for name in ("statements", "snapshot", "gone"):
+            spark.read.parquet(*(f"{base}/{h.folder}/{name}" for h in chain)).select().count()
+        return *_merged(spark, base, chain), known[0].next_id
     except (PySparkException, Py4JJavaError) as e:
         log.warning("failed to read the stored catalogue of %s, building it again: %s", root, str(e)[:200])
         return None

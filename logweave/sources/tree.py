@@ -42,6 +42,16 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def read_ignore(root: str) -> str | None:
+    """The text of a root's own ignore file, in any store that trees are listed in; None if it has none."""
+    try:
+        where, base = filesystem(root)
+        with where.open_input_stream(f"{base}/.gitignore", compression=None) as source:
+            return source.read().decode(errors="replace")
+    except OSError:
+        return None
+
+
 _ENTRIES = "path string, is_dir boolean, is_file boolean, readable boolean, mtime timestamp"
 
 
@@ -140,6 +150,15 @@ def sync(previous: DataFrame, current: DataFrame, tops: DataFrame | None = None)
     return snapshot, deleted.unionByName(added)
 
 
+def delta(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Rows of a snapshot that the previous one hasn't, with `gone` false, and those of paths that vanished, with `gone` true."""
+    old, new = previous.alias("old"), current.alias("new")
+    equal = [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in current.columns]
+    there = (F.col("old.root") == F.col("new.root")) & (F.col("old.path") == F.col("new.path"))
+    changed = new.join(old, reduce(Column.__and__, equal, there), "left_anti").withColumn("gone", F.lit(False))
+    return changed.unionByName(old.join(new, there, "left_anti").withColumn("gone", F.lit(True)))
+
+
 def number(rows: DataFrame, group: str, order: Column) -> DataFrame:
     """rows with `rank`, 1 for the first of each group by `order`: ranks within leading components, then offsets.
 

@@ -123,6 +123,35 @@ def test_ids_are_never_used_again(spark, shop, tmp_path):
         top.unlink()
 
 
+def test_a_changed_file_writes_its_own_rows(spark, shop, tmp_path, monkeypatch):
+    store = tmp_path / "store"
+    engine = Engine(spark, str(store))
+    engine.add_root(str(shop))
+    engine.refresh()
+    newest = lambda name: spark.read.parquet(str(max(store.glob("cache.*/generation-*"), key=os.path.getmtime)) + "/" + name)
+    whole = newest("statements").count()
+    monkeypatch.setattr(catalog, "MOST_DELTAS", 4)
+    sizes = []
+    for k in range(6):
+        (shop / "src/shop/Wheel.py").write_text(PYTHON.replace("dipped", f"turned {k}"))
+        os.utime(shop / "src/shop/Wheel.py", (k + 5, k + 5))
+        os.utime(shop / "src/shop", (9, 9))
+        engine.refresh()
+        sizes.append((newest("statements").count(), newest("snapshot").where("kind = 'File'").count(), newest("gone").count()))
+        again = Engine(spark, str(store))
+        again.add_root(str(shop))
+        for e in (engine, again):
+            assert e.catalogue.count() == whole + 1
+            assert [r.text for r in catalog.of_file(e.catalogue, f"{shop}/src/shop/Wheel.py").collect()] == [f'"turned {k} %s"']
+        assert sorted(map(tuple, again.snapshot.collect())) == sorted(map(tuple, engine.snapshot.collect())) and again.next_id == engine.next_id
+        assert again.refresh().isEmpty()
+    # Its own rows alone, but for the generation that merges those before.
+    assert sizes[0] == (1, 1, 0) and sizes[1] == (1, 1, 1) and sizes[3][0] == whole + 1 and sizes[4] == (1, 1, 1)
+    (shop / "src/shop/Wheel.py").unlink()
+    engine.refresh()
+    assert engine.catalogue.count() == whole and newest("statements").count() == 0 and engine.snapshot.where("path like '%Wheel.py'").isEmpty()
+
+
 def test_two_roots_keep_their_tables(spark, shop, tmp_path):
     other = tmp_path / "other"
     other.mkdir()
