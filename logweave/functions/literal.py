@@ -56,6 +56,17 @@ class Segment:
         return next((k for k in range(high - self.width, low - 1, -1) if self.pattern.match(body, k)), -1)
 
 
+def literals(executable: str) -> list[str]:
+    """The stretches of literal text of an executable pattern."""
+    if "\\" not in (inner := _inner(executable)):
+        return [x for x in inner.split(_VALUE) if x]
+    return Matcher(executable).literals()
+
+
+def _inner(executable: str) -> str:
+    return executable.removeprefix("(?s)").removeprefix("\\A").removesuffix("\\z")
+
+
 class Matcher:
     """An executable pattern, matched from its end: each segment takes its last place before the one that follows.
 
@@ -66,10 +77,9 @@ class Matcher:
     __slots__ = ("pattern", "segments")
 
     def __init__(self, executable: str) -> None:
-        inner = executable.removeprefix("(?s)").removeprefix("\\A").removesuffix("\\z")
         self.pattern = None
         try:
-            self.segments = [Segment(x) for x in inner.split(_VALUE)]
+            self.segments = [Segment(x) for x in _inner(executable).split(_VALUE)]
         except ValueError:
             self.segments = []
             self.pattern = re.compile(executable.removesuffix("\\z") + "\\Z")

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from logweave.functions import paths
-from logweave.functions.literal import Matcher
+from logweave.functions.literal import Matcher, literals
 from logweave.tables import materialise, small
 
 #: Characters of a statement's literal text by which it is looked up, at most: its rarest ones in the slice.
 ANCHOR_CHARS = 12
 #: A slice of the catalogue that tasks hold: statements, and bytes of their columns.
-SLICE_STATEMENTS, SLICE_BYTES = 100_000, 32 << 20
+SLICE_STATEMENTS, SLICE_BYTES = 150_000, 48 << 20
 #: Files whose paths travel to tasks to resolve call sites; for more, call sites are joined.
 MOST_FILES = 250_000
 #: Answers that a task remembers.
@@ -42,10 +42,12 @@ class Index:
 
     def __init__(self, table: pa.Table) -> None:
         self.executables = table.column("executable").to_pylist()
-        self.roots, self.paths, self.names = (table.column(c).to_pylist() for c in ("root_ord", "source_path", "file_name"))
+        same: dict = {}  # one string for all statements of a file
+        self.roots, self.paths, self.names = ([same.setdefault(x, x) for x in table.column(c).to_pylist()] for c in ("root_ord", "source_path", "file_name"))
         self.order, self.quality = table.column("stmt_idx").to_pylist(), table.column("quality").to_pylist()
-        self.matchers = [Matcher(x) for x in self.executables]
-        longest = [max(m.literals(), key=len, default="") for m in self.matchers]
+        #: Of statements that were candidates before.
+        self.matchers: dict[int, Matcher] = {}
+        longest = [max(literals(x), key=len, default="") for x in self.executables]
         windows = lambda text: (text[k : k + ANCHOR_CHARS] for k in range(len(text) - ANCHOR_CHARS + 1))
         counts = Counter(w for text in longest if len(text) > ANCHOR_CHARS for w in set(windows(text)))
         anchors: dict[str, list[int]] = {}
@@ -74,7 +76,9 @@ class Index:
         for i in self.candidates(body):
             if hint is not None and not (self.names[i] == hint if known and self.roots[i] in known else hint in self.paths[i]):
                 continue
-            if (values := self.matchers[i].values(body)) is not None:
+            if (matcher := self.matchers.get(i)) is None:
+                matcher = self.matchers[i] = Matcher(self.executables[i])
+            if (values := matcher.values(body)) is not None:
                 yield i, values
 
     def per_file(self, body: str, hint: str | None, known: list[int] | None, best_in_file: bool) -> list[tuple[tuple, int, list[str]]]:
