@@ -23,6 +23,8 @@ COORDINATES, MATCHES = 128, 77
 LANES = COORDINATES // 8
 #: Bits of 64 in which the marks of similar sets differ at most, and the most sets of a list that are told apart by marks.
 DIFFERING, PRUNED = 22, 256
+#: Partners that a set is given at most in the first round of comparisons.
+FEW = 2
 #: Words of parities that are gathered at once.
 _WORDS_AT_ONCE = 1 << 17
 #: Tokens that are hashed by all coordinates at once.
@@ -55,11 +57,11 @@ def mark(values: np.ndarray) -> int:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """Whether an odd number of tokens falls on each of one to two bits a token.
+    """Whether an odd number of tokens falls on each of two to four bits a token.
 
     A bit that differs between two sets needs a token that one of them lacks; tokens that both have cancel out.
     """
-    words = max(4, 1 << max(0, (len(tokens) - 1).bit_length() - 6))
+    words = max(4, 1 << max(0, (len(tokens) - 1).bit_length() - 5))
     at = ((tokens >> np.uint64(8)) & np.uint64(64 * words - 1)).view(np.int64)
     return np.packbits((np.bincount(at, minlength=64 * words) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -217,7 +219,11 @@ class MinHashJoin(NgramJoin):
 
     words: int = WORDS
     percent: int = PERCENT
-    leaders: int | None = 3
+    leaders: int | None = 2
+
+    def rounds(self) -> tuple[int | None, ...]:
+        # What is similar mostly becomes one component by few links, so that few pairs are left to confirm.
+        return (FEW, None)
 
     def sketch(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         values = signature(tokens)
@@ -225,7 +231,7 @@ class MinHashJoin(NgramJoin):
         return np.concatenate((lanes(values), parity(tokens))), values.view(np.int32), counted
 
     def sketch_words(self, level: Column) -> Column:
-        return LANES + F.pow(F.lit(2.0), F.greatest(level - 5, F.lit(2)))
+        return LANES + F.pow(F.lit(2.0), F.greatest(level - 4, F.lit(2)))
 
     def postings(self, texts: DataFrame, scanned: DataFrame, counts: np.ndarray, clashing: frozenset[int]) -> DataFrame:
         return scanned.where("node is not null").select("node", "n", "signature").mapInArrow(tidy(_post(counts, self.percent)), "sig long, part int, node long, mark long")

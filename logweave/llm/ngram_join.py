@@ -551,6 +551,10 @@ class NgramJoin:
     #: Leaders that a set meets in its first turn, those of most of its lists; all of its lists' if None.
     leaders: int | None = None
 
+    def rounds(self) -> tuple[int | None, ...]:
+        """How many best partners a set is given in each round of comparisons; all in the last one."""
+        return (BEST, None)
+
     def sketch(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """A set's sketch, its signature if lists are made of one, and the tokens that are counted."""
         return bitmap(tokens), None, tokens
@@ -628,7 +632,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, join: NgramJoin | None
     links = verifier.edges(verifier.possible(leaders.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))))
     labels = connected_components(links)
 
-    for best in (BEST, None):
+    for best in join.rounds():
         possible = materialise(_compared(join, merged, postings, labels, reps.select("node", "n", "bits"), best), "possible")
         more = verifier.edges(possible.where("a is not null").distinct())
         if not more.isEmpty():

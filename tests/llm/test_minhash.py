@@ -13,7 +13,7 @@ def test_components_equal_brute_force(spark, monkeypatch, lists):
     if lists == "long":
         monkeypatch.setattr(ngram_join, "LIST_ROWS", 3)
         monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
-        monkeypatch.setattr(ngram_join, "BEST", 1)
+        monkeypatch.setattr(minhash, "FEW", 1)
     made, real_write = [], ngram_join.materialise
     monkeypatch.setattr(ngram_join, "materialise", lambda df, name: made.append(name) or real_write(df, name))
     rows = corpus()
