@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import PIECE_BYTES, materialise, mix64, segment_hashes, small, word_bounds
+from logweave.llm.common import PIECE_BYTES, materialise, mix64, segment_hashes, word_bounds
 
 #: Bytes that the rolling hash looks back on.
 LOOK_BACK = 16
@@ -34,6 +34,9 @@ HOT_ROWS, SAMPLED = 20_000, 64
 #: fewer occurrences than all of these meet in one task each, as anchors that aren't hot do.
 HOT_ANCHORS = 100_000
 
+#: Variants of hot anchors, of some tens of numbers each, that travel to all tasks.
+MOST_VARIANTS = 50_000
+
 NO_ID = (1 << 63) - 1
 
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -247,6 +250,22 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["digest", "variant", "a", "z", "lo", "hash", "j"])
 
 
+def _looked_up(known: Broadcast):
+    """_placed for occurrences (row, doc_id, windows, digest, variant), with what their variants share at hand."""
+    kind = pa.list_(pa.struct([("j", pa.int32()), ("least", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shared = [known.value.get(key) for key in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+                lists = pa.array([s and [{"j": j, "least": x} for j, x in s] for s in shared], kind)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["row", "doc_id", "windows", "shared"]).filter(lists.is_valid())
+
+        yield from _placed(found())
+
+    return run
+
+
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shared windows of occurrences (row, doc_id, windows, shared), each by itself; `shared` has places and smallest ids."""
     for batch in batches:
@@ -269,7 +288,8 @@ def _hot_shared(anchors: DataFrame) -> DataFrame:
     """Shared windows of hot anchors, whose occurrences never meet in one task.
 
     Occurrences whose windows are the same words, as in copies, are one variant, known by a count that is combined
-    before the shuffle. Variants are compared window by window; what they share goes back to their occurrences.
+    before the shuffle. Variants are compared window by window. What they share goes to the pass over the occurrences
+    if there are at most MOST_VARIANTS of them, so no occurrence is shuffled, and is joined with them otherwise.
     """
     hot = anchors.where("variant is not null")
     doc = F.coalesce("doc_id", F.lit(NO_ID))
@@ -280,7 +300,11 @@ def _hot_shared(anchors: DataFrame) -> DataFrame:
     # A variant has no more windows than an anchor gathers, some tens.
     shared = met.groupBy("digest", "variant").agg(F.collect_list(F.struct("j", "least")).alias("shared"))
     shared = materialise(shared, "hot-shared")
-    return hot.join(small(shared), ["digest", "variant"]).select("row", "doc_id", "windows", "shared").mapInArrow(_placed, _SHARED)
+    if shared.limit(MOST_VARIANTS + 1).count() <= MOST_VARIANTS:
+        known = {(r.digest, r.variant): [tuple(x) for x in r.shared] for r in shared.collect()}
+        known = hot.sparkSession.sparkContext.broadcast(known)
+        return hot.select("row", "doc_id", "windows", "digest", "variant").mapInArrow(_looked_up(known), _SHARED)
+    return hot.join(shared, ["digest", "variant"]).select("row", "doc_id", "windows", "shared").mapInArrow(_placed, _SHARED)
 
 
 def _compare(table: pa.Table) -> pa.RecordBatch | None:

@@ -245,9 +245,10 @@ def windows_expected(rows, n):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_repeated_passages_whole(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "variants"), [(20_000, 50_000), (1, 50_000), (1, 0)])
+def test_repeated_passages_whole(spark, monkeypatch, hot, variants):
     monkeypatch.setattr(substring, "HOT_ROWS", hot)
+    monkeypatch.setattr(substring, "MOST_VARIANTS", variants)
     monkeypatch.setattr(substring, "SAMPLED", 1)
     rng = random.Random(12)
     text = lambda n, most: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, most))) for _ in range(n))
