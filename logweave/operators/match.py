@@ -16,12 +16,15 @@ from pyspark.sql.types import StructField, StructType
 
 from logweave.functions import paths
 from logweave.functions.literal import Matcher, literals
+from logweave.operators import anchors
 from logweave.tables import materialise, small
 
 #: Characters of a statement's literal text by which it is looked up, at most: its rarest ones in the slice.
 ANCHOR_CHARS = 12
 #: A slice of the catalogue that tasks hold: statements, and bytes of their columns.
 SLICE_STATEMENTS, SLICE_BYTES = 150_000, 48 << 20
+#: Slices up to which each is a pass over the records; statements of a larger catalogue are joined by their literal text.
+MOST_SLICES = 5
 #: Files whose paths travel to tasks to resolve call sites; for more, call sites are joined.
 MOST_FILES = 250_000
 #: Answers that a task remembers.
@@ -146,8 +149,8 @@ class _Files(_Opening):
         return resolved
 
 
-def slices(statements: DataFrame) -> tuple[int, Iterator[Broadcast]]:
-    """How many slices the catalogue has, and the slices as broadcasts of bounded size; the driver holds one at a time.
+def slices(statements: DataFrame) -> tuple[int, int, Iterator[Broadcast]]:
+    """How many statements and slices the catalogue has, and the slices as broadcasts of bounded size; the driver holds one at a time.
 
     A file's statements lie in one slice. A catalogue grows with the source code, not with the logs.
     """
@@ -162,7 +165,7 @@ def slices(statements: DataFrame) -> tuple[int, Iterator[Broadcast]]:
             some = statements if parts == 1 else statements.where(F.pmod(F.xxhash64("source_path"), F.lit(parts)) == k)
             yield statements.sparkSession.sparkContext.broadcast(_Slice(some.select(*columns).toArrow()))
 
-    return parts, made()
+    return measured.n, parts, made()
 
 
 def with_known(records: DataFrame, statements: DataFrame) -> DataFrame:
@@ -198,6 +201,45 @@ def _winners(shared: Broadcast, columns: list[str], first: bool, best_in_file: b
     return run
 
 
+def _numbered(records: DataFrame, statements: DataFrame) -> DataFrame:
+    """records with `known_in` and a number, written, so that a row keeps its number."""
+    return materialise(with_known(records, statements).withColumn(anchors.ID, F.monotonically_increasing_id()), "records")
+
+
+def _fits(shared: Broadcast, best_in_file: bool):
+    """A pass from (ID, body, file, known_in) to (ID, stmt, captured): each record's statement of each file of a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        statements, index = shared.value.opened()
+        for batch in batches:
+            rows, places, captured = [], [], []
+            for r, (body, hint, known) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                for _, place, values in index.per_file(body, hint, known, best_in_file) if body is not None else ():
+                    rows.append(r)
+                    places.append(place)
+                    captured.append(values)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), statements.take(pa.array(places, pa.int64())), pa.array(captured, pa.list_(pa.string()))], names=[anchors.ID, "stmt", "captured"])
+
+    return run
+
+
+def _of_files(rows: DataFrame, statements: DataFrame, n: int, best_in_file: bool) -> DataFrame:
+    """(ID, stmt, captured): of each file the first statement that fits a numbered record, or its best.
+
+    Most statements are found by joins; those that no anchor tells come in slices, with their fits written one by one.
+    """
+    fits, others = anchors.meet(rows, statements.select(*STATEMENT, "file_name"), n)
+    given = rows.select(anchors.ID, "body", "file", "known_in")
+    if not others.isEmpty():
+        for shared in slices(others)[2]:
+            fits = fits.unionByName(materialise(given.mapInArrow(_fits(shared, best_in_file), fits.schema), "fits"))
+    rank = F.struct(-F.col("stmt.quality"), "stmt.stmt_idx") if best_in_file else F.col("stmt.stmt_idx")
+    files = [anchors.ID, F.col("stmt.root_ord").alias("lw_root"), F.col("stmt.source_path").alias("lw_path")]
+    # Dealt by record, which serves the statements of a file and then the files of a record.
+    return fits.repartition(anchors.ID).groupBy(*files).agg(F.min_by(F.struct("stmt", "captured"), rank).alias("won")).select(anchors.ID, "won.*")
+
+
 def match(records: DataFrame, statements: DataFrame, best_in_file: bool = False) -> DataFrame:
     """Every record with its statement `stmt`, null where none fits, and `captured`, the values of its template.
 
@@ -208,13 +250,20 @@ def match(records: DataFrame, statements: DataFrame, best_in_file: bool = False)
 
     Records pass through tasks and are not shuffled. A catalogue of up to SLICE_STATEMENTS statements is one pass; a
     larger one comes in slices, with what is found so far written between them, so that a task holds one slice whatever
-    the catalogue's size. Nothing depends on keys of records, so repeated rows stay as they are.
+    the catalogue's size. One of more than MOST_SLICES slices is joined instead, so that the work doesn't grow with
+    records times slices. Nothing depends on keys of records, so repeated rows stay as they are.
     """
+    n, parts, shares = slices(statements)
+    if parts > MOST_SLICES:
+        rows = _numbered(records, statements)
+        of_file = _of_files(rows, statements, n, best_in_file)
+        rank = F.struct("stmt.root_ord", -F.col("stmt.quality"), "stmt.source_path", "stmt.stmt_idx")
+        won = of_file.groupBy(anchors.ID).agg(F.min_by(F.struct("stmt", "captured"), rank).alias("won")).select(anchors.ID, "won.*")
+        return rows.join(won, anchors.ID, "left").drop(anchors.ID, "known_in")
     out = with_known(records, statements)
     columns = out.columns
     described = statements.select(F.struct(*STATEMENT).alias("stmt")).schema["stmt"].dataType
     schema = StructType([*out.schema.fields, StructField("stmt", described), *StructType.fromDDL(_CAPTURED).fields])
-    parts, shares = slices(statements)
     for k, shared in enumerate(shares):
         out = out.mapInArrow(_winners(shared, columns, k == 0, best_in_file), schema)
         if k + 1 < parts:
@@ -258,6 +307,11 @@ def resolve_in_pass(matched: DataFrame, files: DataFrame, frames: str) -> DataFr
 
 def first_in_files(records: DataFrame, statements: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, root_ord, source_path, stmt_idx) of the first statement of each file that fits a record."""
+    n, parts, shares = slices(statements)
+    if parts > MOST_SLICES:
+        rows = _numbered(records.select(*keys, "body", "file"), statements)
+        found = _of_files(rows, statements, n, False).select(anchors.ID, "stmt.root_ord", "stmt.source_path", "stmt.stmt_idx")
+        return rows.select(anchors.ID, *keys).join(found, anchors.ID).drop(anchors.ID)
     given = with_known(records.select(*keys, "body", "file"), statements)
     schema = StructType([*records.select(*keys).schema.fields, *StructType.fromDDL("root_ord int, source_path string, stmt_idx int").fields])
 
@@ -278,7 +332,7 @@ def first_in_files(records: DataFrame, statements: DataFrame, keys: list[str]) -
         return run
 
     # A file lies in one slice, so each slice is a branch of its own.
-    passes = [given.mapInArrow(pass_of(shared), schema) for shared in slices(statements)[1]]
+    passes = [given.mapInArrow(pass_of(shared), schema) for shared in shares]
     out = passes[0]
     for more in passes[1:]:
         out = out.union(more)
