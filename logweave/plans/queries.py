@@ -222,7 +222,7 @@ def _extracted(spark: SparkSession, sf_dir: str, language: str, *code: str) -> D
     pieces = re.split(r"\{(name|brand|size|key)\}", "\n".join(code))
     columns = {"name": "p_name", "brand": "p_brand", "size": "p_size", "key": "p_partkey"}
     content = F.concat(*[F.col(columns[x]).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
-    part = table(spark, sf_dir, "part")
+    part = catalog.dealt(table(spark, sf_dir, "part").select(*columns.values()), "p_partkey")
     sources = part.select(F.lit("r").alias("root"), F.col("p_partkey").cast("string").alias("path"), F.lit(language).alias("language"), F.col("p_partkey").alias("file_id"), content.alias("content"))
     found = catalog.extract(sources)
     return found.select(

@@ -34,16 +34,38 @@ _TYPES = {
 }
 
 
+#: Statements, and characters of their texts and functions, that are put out together.
+BATCH_STATEMENTS, BATCH_CHARS = 5_000, 8 << 20
+#: Files that a task parses, about, where a table of files comes in few parts.
+FILES_A_TASK = 20_000
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    files, rows, chars = [], [], 0
+
+    def batch_of() -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*files, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)]
+        columns += [pa.array([tuple_to_dict(r[k]) if k == "args" else r[k] for r in rows], t) for k, t in _TYPES.items()]
+        return pa.RecordBatch.from_arrays(columns, names=["root", "file_id", "source_path", "language", *_TYPES])
+
     for batch in batches:
-        for root, file_id, path, language, code in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            rows = statements(code, language)
-            if not rows:
-                continue
-            n = len(rows)
-            columns = [pa.array([root] * n), pa.array([file_id] * n, pa.int64()), pa.array([path] * n), pa.array([language] * n)]
-            columns += [pa.array([tuple_to_dict(r[k]) if k == "args" else r[k] for r in rows], t) for k, t in _TYPES.items()]
-            yield pa.RecordBatch.from_arrays(columns, names=["root", "file_id", "source_path", "language", *_TYPES])
+        for root, file_id, path, language, code in zip(*(batch.column(i) for i in range(5)), strict=True):
+            language = language.as_py()
+            for row in statements(code.as_py(), language):
+                files.append((root.as_py(), file_id.as_py(), path.as_py(), language))
+                rows.append(row)
+                chars += 3 * len(row["text"]) + len(row["name"])
+                if len(rows) >= BATCH_STATEMENTS or chars >= BATCH_CHARS:
+                    yield batch_of()
+                    files, rows, chars = [], [], 0
+    if rows:
+        yield batch_of()
+
+
+def dealt(files: DataFrame, key: str) -> DataFrame:
+    """A table of files dealt over tasks by a key: parsing takes long for what a file's row weighs, which readers go by."""
+    parts = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // FILES_A_TASK))
+    return files.repartition(parts, key)
 
 
 def tuple_to_dict(args: list[tuple]) -> list[dict]:

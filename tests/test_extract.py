@@ -1,11 +1,21 @@
 """One case per rule of extraction, in sources of a pottery shop."""
 
+import random
+import re
+
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from logweave.functions.templates import Arg, compile_template, expressions
+from logweave.functions.templates import PLACEHOLDERS, Arg, compile_template, escape, expressions
+from logweave.plans import queries
+from logweave.sources import catalog
 from logweave.sources.extract import statements
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def pick(rows, *keys):
     return [tuple(r[k] for k in keys) for r in rows]
 
@@ -161,3 +171,35 @@ def test_expressions_of_values():
     named, second, open_ = Arg("Named", "n"), Arg("Positional", pos=1), Arg("Placeholder")
     assert expressions((open_, named, open_, second), ["a", "b"]) == ["a", "n", "b", "b"]
     assert expressions((open_, Arg("Positional", pos=7)), []) == ["<unknown>", "<unknown>"]
+
+
+@pytest.mark.parametrize("name", ["q_extract_rust", "q_extract_java", "q_extract_cpp", "q_extract_python"])
+def test_files_are_dealt_over_tasks(spark, name):
+    # The table of parts is one row group, which a reader gives to one task.
+    tasks = {r.task for r in queries.QUERIES[name](spark, SF).select(F.spark_partition_id().alias("task")).distinct().collect()}
+    assert len(tasks) == spark.sparkContext.defaultParallelism > 1
+
+
+def test_statements_of_many_files_come_together(monkeypatch):
+    code = 'fn f() {\n    info!("a {} b", x);\n    warn!("c");\n}\n'
+    files = pa.RecordBatch.from_pylist([{"root": "r", "file_id": k, "path": f"r/{k}", "language": "Rust", "content": code} for k in range(30)])
+    out = list(catalog._extract(iter([files, files])))
+    assert [b.num_rows for b in out] == [120]
+    monkeypatch.setattr(catalog, "BATCH_STATEMENTS", 7)
+    small = list(catalog._extract(iter([files, files])))
+    assert max(b.num_rows for b in small) == 7 and pa.Table.from_batches(small).equals(pa.Table.from_batches(out))
+
+
+def test_only_doubtful_templates_are_tried_as_patterns():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["a", " ", "\\", ".", "(", ")", "[", "{", "}", "{}", "n", "1", "q", "x4", "é", "\n", '"', "*", "%d"]) for _ in range(rng.randint(1, 7)))
+        language, raw = rng.choice(["Rust", "Java", "C++", "Python"]), rng.random() < 0.3
+        made = compile_template(text, language, raw)
+        parts = [escape(p, raw) for p in re.split(re.sub(r"(?<!\\)\((?!\?)", "(?:", PLACEHOLDERS[language]), text)]
+        try:
+            re.compile("(.+)".join(parts))
+            valid = any(not c.isspace() for p in parts for c in p)
+        except re.error:
+            valid = False
+        assert (made is not None) == valid, text
