@@ -309,3 +309,28 @@ def test_chunks_cover_any_text():
         ends = substring.chunk_ends(t).tolist()
         assert ends == sorted(set(ends)) and (ends[-1] if ends else 0) == n
         assert all(b - a <= substring.MOST for a, b in zip([0, *ends], ends, strict=False))
+
+
+def test_shared_windows_of_an_occurrence_come_as_stretches():
+    import pyarrow as pa
+
+    text = " ".join(f"w{k * k % 97}" for k in range(60)).encode()
+    _, _, packed = substring._anchors([text], 22)
+    windows = pa.array(packed, pa.binary())
+    n = substring._Opened(windows).n.tolist()
+    kind = pa.list_(pa.struct([("j", pa.int32()), ("least", pa.int64())]))
+    schema = ["row", "doc_id", "windows", "shared"]
+
+    def placed(shared):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int64()), pa.array([5] * len(n), pa.int64()), windows, pa.array(shared, kind)], names=schema)
+        return [r for b in substring._placed(iter([batch])) for r in b.to_pylist()]
+
+    # All windows of an occurrence, in any order, are one stretch; a gap makes two.
+    rows = placed([[{"j": j, "least": 9 - j % 3} for j in reversed(range(k))] for k in n])
+    assert [r["n"] for r in rows] == n and sum(n) > len(n) == len(rows)
+    big = max(range(len(n)), key=n.__getitem__)
+    assert n[big] >= 3
+    cut = placed([[{"j": 0, "least": 4}, {"j": 2, "least": 3}] if k == big else [] for k in range(len(n))])
+    alone = placed([[{"j": j, "least": 7} for j in range(n[k])] if k == big else [] for k in range(len(n))])
+    assert [(r["row"], r["first"] - alone[0]["first"], r["n"], r["lo"]) for r in cut] == [(big, 0, 1, 4), (big, 2, 1, 3)]
+    assert cut[0]["start"] == alone[0]["start"] and cut[0]["start"] < cut[1]["start"] and cut[1]["end"] <= alone[0]["end"]
