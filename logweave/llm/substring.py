@@ -267,7 +267,7 @@ def _looked_up(known: Broadcast):
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of consecutive shared windows of occurrences (row, doc_id, windows, shared); `shared` has places and smallest ids."""
+    """Stretches of consecutive shared windows of rows, from occurrences (row, doc_id, windows, shared); `shared` has places and smallest ids."""
     for batch in batches:
         for low in range(0, batch.num_rows, 5000):
             part = batch.slice(low, 5000)
@@ -278,14 +278,14 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
             found = lists.flatten()
             j, least = found.field(0).to_numpy().astype(np.int64), found.field(1).to_numpy()
-            order = np.lexsort((j, of))
-            of, j, least = of[order], j[order], least[order]
-            low_at = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), bool), (np.diff(j) != 1) | (np.diff(of) > 0))))
+            # By number in the row, so that stretches go on from one occurrence to the next.
+            at, first, row = begins[of] + j, opened.heads["first"][of] + j, part.column(0).to_numpy()[of]
+            order = np.lexsort((first, row))
+            of, at, first, row, least = of[order], at[order], first[order], row[order], least[order]
+            low_at = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), bool), (np.diff(first) != 1) | (row[1:] != row[:-1]))))
             n = np.diff(np.append(low_at, len(of)))
-            of, j, least = of[low_at], j[low_at], np.minimum.reduceat(least, low_at) if len(low_at) else least
-            at = begins[of] + j
-            whose = pa.array(of)
-            columns = [part.column(0).take(whose), part.column(1).take(whose), *(pa.array(x.astype(np.int32)) for x in (opened.heads["first"][of] + j, n, start[at], end[at + n - 1])), pa.array(least)]
+            whose = pa.array(of[low_at])
+            columns = [part.column(0).take(whose), part.column(1).take(whose), *(pa.array(x.astype(np.int32)) for x in (first[low_at], n, start[at[low_at]], end[at[low_at + n - 1]])), pa.array(np.minimum.reduceat(least, low_at) if len(low_at) else least)]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "first", "n", "start", "end", "lo"])
 
 

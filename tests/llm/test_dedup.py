@@ -334,3 +334,16 @@ def test_shared_windows_of_an_occurrence_come_as_stretches():
     alone = placed([[{"j": j, "least": 7} for j in range(n[k])] if k == big else [] for k in range(len(n))])
     assert [(r["row"], r["first"] - alone[0]["first"], r["n"], r["lo"]) for r in cut] == [(big, 0, 1, 4), (big, 2, 1, 3)]
     assert cut[0]["start"] == alone[0]["start"] and cut[0]["start"] < cut[1]["start"] and cut[1]["end"] <= alone[0]["end"]
+
+
+def test_stretches_go_on_from_one_occurrence_to_the_next():
+    import pyarrow as pa
+
+    text = " ".join(f"w{k * k % 97}" for k in range(60)).encode()
+    _, _, packed = substring._anchors([text], 22)
+    windows = pa.array(packed, pa.binary())
+    n = substring._Opened(windows).n.tolist()
+    shared = pa.array([[{"j": j, "least": 8 + (k + j) % 2} for j in range(m)] for k, m in enumerate(n)], pa.list_(pa.struct([("j", pa.int32()), ("least", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * len(n), pa.int64()), pa.array([5] * len(n), pa.int64()), windows, shared], names=["row", "doc_id", "windows", "shared"])
+    rows = [r for b in substring._placed(iter([batch])) for r in b.to_pylist()]
+    assert len(n) > 1 and [(r["row"], r["n"], r["start"], r["end"], r["lo"]) for r in rows] == [(3, 39, 0, len(text), 8)]
