@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from logweave.llm import ngram_join
 from logweave.llm.common import mix64, tidy
-from logweave.llm.ngram_join import NgramJoin, _counter, levels, listed_part
+from logweave.llm.ngram_join import NgramJoin, _counter, listed_part
 
 #: Words in a shingle, and least similarity in hundredths.
 WORDS, PERCENT = 2, 80
 #: Coordinates of a signature, and how many of them two documents must agree in to be a candidate.
 COORDINATES, MATCHES = 128, 77
+#: Coordinates that a posting combines, the combinations of a signature, and how many of them two documents must agree in.
+COMBINED = 3
+COMBINATIONS, SHARED = COORDINATES // COMBINED, 4
 #: Longs of a signature cut to bytes.
 LANES = COORDINATES // 8
 #: Bits of 64 in which the marks of similar sets differ at most, and the most sets of a list that are told apart by marks.
@@ -66,11 +69,12 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=64 * words) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def pairs_of(values: np.ndarray, level: int) -> np.ndarray:
-    """The names of the coordinate-value pairs of a signature at a size level."""
-    with np.errstate(over="ignore"):
-        place = np.arange(COORDINATES, dtype=np.uint64) * np.uint64(64) + np.uint64(level)
-        return mix64((values.astype(np.uint64) << np.uint64(20)) ^ mix64(place))
+def combinations_of(values: np.ndarray) -> np.ndarray:
+    """The names of the combinations of a signature's coordinate-value pairs, neighbours in the signature."""
+    names = mix64(np.arange(COMBINATIONS, dtype=np.uint64))
+    for k in range(COMBINED):
+        names = mix64((values[k : COMBINED * COMBINATIONS : COMBINED].astype(np.uint64) << np.uint64(20)) ^ names)
+    return names
 
 
 def can_link(n: int, percent: int) -> bool:
@@ -79,13 +83,14 @@ def can_link(n: int, percent: int) -> bool:
 
 
 def _post(counts: np.ndarray, percent: int):
-    """A pass over (node, n, signature) that posts each set under the rarest of its coordinate-value pairs.
+    """A pass over (node, n, signature) that posts each set under the rarest combinations of its coordinate-value pairs.
 
-    Two sets that agree in MATCHES coordinates agree in one of the COORDINATES - MATCHES + 1 that come first in any
-    order of the pairs that all sets keep to; here the rare ones come first, by the counters, then by name. The lists
-    of the other pairs, the long ones, are never merged.
+    Two sets that agree in SHARED combinations agree in one of the COMBINATIONS - SHARED + 1 that come first in any
+    order of the combinations that all sets keep to; here the rare ones come first, by the counters, then by name. The
+    lists of the others, the long ones, are never merged. Sets of one vocabulary share single pairs by chance, each
+    with more of the others as the corpus grows; combinations of three hardly.
     """
-    kept, list_rows, remembered = COORDINATES - MATCHES + 1, ngram_join.LIST_ROWS, ngram_join.REMEMBERED
+    kept, list_rows, remembered = COMBINATIONS - SHARED + 1, ngram_join.LIST_ROWS, ngram_join.REMEMBERED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -105,14 +110,13 @@ def _post(counts: np.ndarray, percent: int):
                     continue
                 if len(seen) < remembered:
                     seen.add(node)
-                for level in levels(n, percent):
-                    names = pairs_of(values, level)
-                    often = counts[_counter(names)]
-                    first = np.lexsort((names, often))[:kept]
-                    sigs.append(names[first])
-                    parts.append(listed_part(often[first], node, list_rows))
-                    nodes.append(node)
-                    marks.append(mark(values))
+                names = combinations_of(values)
+                often = counts[_counter(names)]
+                first = np.lexsort((names, often))[:kept]
+                sigs.append(names[first])
+                parts.append(listed_part(often[first], node, list_rows))
+                nodes.append(node)
+                marks.append(mark(values))
                 if len(nodes) * kept >= _POSTINGS_AT_ONCE:
                     yield flush()
                     sigs, parts, nodes, marks = [], [], [], []
@@ -227,8 +231,7 @@ class MinHashJoin(NgramJoin):
 
     def sketch(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         values = signature(tokens)
-        counted = np.concatenate([pairs_of(values, level) for level in levels(len(tokens), self.percent)])
-        return np.concatenate((lanes(values), parity(tokens))), values.view(np.int32), counted
+        return np.concatenate((lanes(values), parity(tokens))), values.view(np.int32), combinations_of(values)
 
     def sketch_words(self, level: Column) -> Column:
         return LANES + F.pow(F.lit(2.0), F.greatest(level - 4, F.lit(2)))
@@ -262,9 +265,9 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     0.80 or more; a text of one word is one shingle, one without words or null has no set and links with nothing.
 
     1. One pass over the texts gives each set's size, names and signature of COORDINATES minima, and counts the
-       coordinate-value pairs in counters of fixed size. Equal sets become one node.
-    2. Each node is posted under the rarest of its pairs, as many as must hold one that any node with MATCHES
-       agreements shares (prefix); the long lists of the other pairs are skipped, and so are sizes that can't link.
+       combinations of COMBINED coordinate-value pairs in counters of fixed size. Equal sets become one node.
+    2. Each node is posted under the rarest of its combinations, as many as must hold one that any node with SHARED
+       of them in common has too (prefix); the long lists of the others are skipped, and so are sizes that can't link.
        A mark of 64 bits travels with each posting; from a list of up to PRUNED sets those whose mark is like no
        other's there are dropped, which met by chance.
     3. In each list nodes meet the list's leader, then, of different components only, each other in blocks. Where two
@@ -273,7 +276,8 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     4. What is left is confirmed on the full sets; components are formed of the confirmed links.
 
     A pair at exactly 0.80 agrees in 102 coordinates of 128 on average and in fewer than 77 with odds of 1 in 10**7;
-    at 0.85 they are 1 in 10**12. Every link is exact, and a component is whole unless a link that nothing
+    at 0.85 they are 1 in 10**12. It agrees in 21 combinations of 42 on average and in fewer than 4 with odds of 1 in
+    10**8, at 0.85 of 1 in 10**12. Every link is exact, and a component is whole unless a link that nothing
     else bridges is missed by these odds. As in ngram_jaccard_components, lists that may be long are dealt over tasks
     and neither copies nor families of near copies meet in all pairs.
 

@@ -314,20 +314,36 @@ def _index(counts: np.ndarray, clashing: frozenset[int]):
     return run
 
 
-def _token_sets(marks: np.ndarray, words: int, clashing: frozenset[int]):
-    """Sets of the documents whose mark is set; the mark is the first column."""
+def _marked(marks: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """The places of the rows whose mark, the first column, is set."""
+    return np.flatnonzero(_is_set(marks, batch.column(0).to_numpy()))
+
+
+def _is_set(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (marks[at >> 3] & (1 << (at & 7)).astype(np.uint8)) > 0
+
+
+def _where_marked(marks: np.ndarray):
+    """The rows whose mark is set, without it: nearly all others are left out before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            chosen = np.flatnonzero(marks[at >> 3] & (1 << (at & 7)).astype(np.uint8))
-            ids, texts = _rows(batch.select([1, 2]).take(pa.array(chosen)))
-            for i in range(0, len(ids), 256):
-                sets = list(shingle_sets(texts[i : i + 256], words))
-                nodes = [set_node(s, clashing) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i : i + 256], pa.int64()), pa.array(nodes, _NODE), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "node", "tokens"]
-                )
+            yield batch.select(list(range(1, batch.num_columns))).take(pa.array(_marked(marks, batch)))
+
+    return run
+
+
+def _token_sets(marks: np.ndarray, node_marks: np.ndarray, words: int, clashing: frozenset[int]):
+    """Sets of the documents whose mark is set, which is the first column, and whose node's mark is too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).take(pa.array(_marked(marks, batch))).to_pylist()]
+            for i in range(0, len(texts), 256):
+                sets = [s for s in shingle_sets(texts[i : i + 256], words) if len(s)]
+                nodes = np.array([set_node(s, clashing) for s in sets], np.int64)
+                chosen = np.flatnonzero(_is_set(node_marks, nodes & (MARKS - 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[chosen]), pa.array([sets[k].view(np.int64) for k in chosen], pa.list_(pa.int64()))], names=["node", "tokens"])
 
     return run
 
@@ -336,10 +352,15 @@ def _mark_of(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(MARKS)).cast("int")
 
 
-def _marks(ids: DataFrame) -> np.ndarray:
-    """A bitmap of MARKS bits over hashed ids; the driver receives MARKS / 8 bytes at most."""
-    bit = _mark_of(F.col("doc_id")).cast("long") + 1
-    maps = ids.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+def _mark_of_node(node: Column) -> Column:
+    """Names are hashes already."""
+    return F.pmod(node, F.lit(MARKS)).cast("int")
+
+
+def _marks(keys: DataFrame, mark: Column) -> np.ndarray:
+    """A bitmap of MARKS bits over the keys' marks; the driver receives MARKS / 8 bytes at most."""
+    bit = mark.cast("long") + 1
+    maps = keys.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
     out = np.zeros(MARKS // 8, np.uint8)
     for r in maps.collect():  # bit 1 is the first of bucket 1
         at = (r.bucket - 1) * 4096
@@ -368,10 +389,10 @@ class _Verifier:
         pairs = materialise(possible, "pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         needed = materialise(nodes.join(self.reps, "node").select("node", "doc_id"), "needed")
-        marks = _marks(needed)
-        found = self.texts.select(_mark_of(F.col("doc_id")).alias("mark"), "doc_id", "text").mapInArrow(tidy(_token_sets(marks, self.join.words, self.clashing)), "doc_id long, node long, tokens array<long>")
-        # Dealt by node once, for both sides of the pairs.
-        sets = found.join(needed, ["node", "doc_id"], "left_semi").select("node", "tokens").dropDuplicates(["node"])
+        marks, node_marks = _marks(needed, _mark_of(F.col("doc_id"))), _marks(needed, _mark_of_node(F.col("node")))
+        found = self.texts.select(_mark_of(F.col("doc_id")).alias("mark"), "text").mapInArrow(tidy(_token_sets(marks, node_marks, self.join.words, self.clashing)), "node long, tokens array<long>")
+        # Dealt by node once, each node once from a task, for both sides of the pairs; rows of one node have one set.
+        sets = found.dropDuplicates(["node"]).join(needed.select("node"), "node")
         left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
         right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
         shared = F.size(F.array_intersect("ta", "tb")).cast("long")
@@ -470,7 +491,7 @@ def _possible_pairs(join: NgramJoin, table: pa.Table, best: int | None) -> pa.Re
     """Pairs of the units' sets that their sketches allow to be similar; rows are sorted by unit and side.
 
     With `best` only the pairs that are among so many most similar ones of one of their sets, by what the bitmaps
-    allow; a row of nulls tells that others were left out.
+    allow; rows without a pair name in `open` the sets of those that were left out.
     """
     unit, level, side, node, n, label = (table.column(c).to_numpy() for c in ("unit", "level", "side", "node", "n", "label"))
     likeness = join.likeness(table.column("bits").combine_chunks())
@@ -487,7 +508,7 @@ def _possible_pairs(join: NgramJoin, table: pa.Table, best: int | None) -> pa.Re
             found.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
             allowed.append(like[may])
     pairs, at = np.unique(np.concatenate(found, axis=1), axis=1, return_index=True) if found else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-    columns = [pa.array(p, _NODE) for p in pairs]
+    columns = [*(pa.array(p, _NODE) for p in pairs), pa.nulls(pairs.shape[1], _NODE)]
     if best is not None and pairs.shape[1]:
         similarity = np.concatenate(allowed)[at]
         kept = np.zeros(len(similarity), bool)
@@ -496,8 +517,10 @@ def _possible_pairs(join: NgramJoin, table: pa.Table, best: int | None) -> pa.Re
             first = np.searchsorted(side[order], side[order])
             kept[order] |= np.arange(len(order)) - first < best
         if not kept.all():
-            columns = [pa.concat_arrays([c.filter(pa.array(kept)), pa.nulls(1, _NODE)]) for c in columns]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+            left = np.unique(pairs[:, ~kept])
+            ends = (pa.nulls(len(left), _NODE), pa.nulls(len(left), _NODE), pa.array(left, _NODE))
+            columns = [pa.concat_arrays([c.filter(pa.array(kept)), end]) for c, end in zip(columns, ends, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "open"])
 
 
 def _narrowed(flat: np.ndarray, at: np.ndarray, words: np.ndarray, rows: np.ndarray, w: int) -> np.ndarray:
@@ -620,7 +643,8 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, join: NgramJoin | None
     # Many lists of one family of texts have the same least name: they become one list, whose rows are few.
     merged = materialise(postings.groupBy("leader", "node").agg(F.sum("members").alias("members"), F.count("*").alias("lists")), "merged")
     listed = materialise(merged.select("node").distinct(), "listed")
-    found = scanned.where("node is not null").join(listed, "node", "left_semi")
+    found = scanned.where("node is not null").select(_mark_of_node(F.col("node")).alias("mark"), "node", "doc_id", "n", "bits", "likes")
+    found = found.mapInArrow(tidy(_where_marked(_marks(listed, _mark_of_node(F.col("node"))))), "node long, doc_id long, n long, bits array<long>, likes array<long>").join(listed, "node", "left_semi")
     reps = materialise(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("likes").alias("likes")), "reps")
     verifier = _Verifier(join, texts, reps, clashing)
     leaders = merged.select("leader", "node")
@@ -632,19 +656,24 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, join: NgramJoin | None
     links = verifier.edges(verifier.possible(leaders.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))))
     labels = connected_components(links)
 
+    bits = reps.select("node", "n", "bits")
     for best in join.rounds():
-        possible = materialise(_compared(join, merged, postings, labels, reps.select("node", "n", "bits"), best), "possible")
-        more = verifier.edges(possible.where("a is not null").distinct())
+        possible = materialise(_compared(join, merged, postings, labels, bits, best), "possible")
+        more = verifier.edges(possible.where("a is not null").select("a", "b").distinct())
         if not more.isEmpty():
             links = links.union(more)
             labels = connected_components(links)
-        if possible.where("a is null").isEmpty():
+        left = possible.where("a is null").select(F.col("open").alias("node")).distinct()
+        if left.isEmpty():
             break
+        # Both sets of any pair that was left out are among these.
+        left = small(materialise(left, "left-out"))
+        merged, postings, bits = (x.join(left, "node", "left_semi") for x in (merged, postings, bits))
     return sized.join(labels, "node", "left").select("doc_id", "content", "n", F.coalesce("label", "node").alias("component"))
 
 
 def _compared(join: NgramJoin, merged: DataFrame, postings: DataFrame, labels: DataFrame, bits: DataFrame, best: int | None) -> DataFrame:
-    """Pairs (a, b) of sets of one list and of different components that the bitmaps allow, as `_possible_pairs` gives them."""
+    """Pairs (a, b, open) of sets of one list and of different components that the bitmaps allow, as `_possible_pairs` gives them."""
     # Leaders have met all sets of their lists, unless only the nearest ones had a turn.
     own = "true" if join.leaders else "node <> leader"
     followers = merged.where(own)
@@ -658,7 +687,7 @@ def _compared(join: NgramJoin, merged: DataFrame, postings: DataFrame, labels: D
         listed = listed.union(apart.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     listed = materialise(listed.join(bits.select("node", "n"), "node").select("key", "node", "n", "label"), "compared")
     units = _comparisons(join, listed).join(bits.select("node", "bits"), "node").select("unit", "level", "side", "node", "n", "label", "bits")
-    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(tidy(_compare(join, best)), "a long, b long")
+    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(tidy(_compare(join, best)), "a long, b long, open long")
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -677,7 +706,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
        hashes. What is similar is linked, so that families of near copies are components before any pair in them.
     4. Within each merged list, nodes but the leader that are still in different components meet: its largest component the rest,
        and the rest each other, in blocks of bounded size. Only what the bitmaps allow leaves a task, to be verified:
-       first a few best partners of each set, so that what is similar becomes one component, then all that is left.
+       first a few best partners of each set, so that what is similar becomes one component, then, among the sets of
+       the pairs that were left out, all that is left.
 
     Only the components are exact. Pairs that are already in one component are not compared, so the links
     found are enough to connect each component but not all there are, and neither pairs nor numbers of links are given.

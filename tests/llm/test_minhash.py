@@ -104,3 +104,36 @@ def test_only_sizes_that_can_link_are_posted():
     for n in range(1, 40):
         other = any(100 * shared >= 80 * (n + m - shared) for m in range(1, 80) for shared in range(min(n, m) + 1) if not shared == n == m)
         assert minhash.can_link(n, 80) == other
+
+
+def test_sets_of_one_vocabulary_hardly_meet_by_chance(spark):
+    # Any two sets have about a fortieth of their tokens in common.
+    rng = np.random.default_rng(11)
+    pool = rng.integers(0, 1 << 63, 3000, np.int64).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, 150, replace=False)) for _ in range(1200)]
+    sets += [np.unique(np.concatenate((s[8:], rng.integers(0, 1 << 63, 8, np.int64).astype(np.uint64)))) for s in sets[:20]]
+    join = minhash.MinHashJoin()
+    rows, counts = [], np.zeros(ngram_join.COUNTERS, np.uint32)
+    for node, s in enumerate(sets):
+        _, values, counted = join.sketch(s)
+        rows.append((node, len(s), values.tolist()))
+        np.add.at(counts, ngram_join._counter(counted), 1)
+    scanned = spark.createDataFrame(rows, "node long, n long, signature array<int>")
+    posted = join.postings(None, scanned, counts, frozenset())
+    assert posted.count() <= 40 * len(sets)
+    kept = {r.node for r in join.pruned(posted).select("node").distinct().collect()}
+    assert {*range(20), *range(1200, 1220)} <= kept and len(kept) < 100
+
+
+def test_links_share_a_combination():
+    rng = np.random.default_rng(12)
+    counts = rng.choice(np.array([0, 5, 500], np.uint32), ngram_join.COUNTERS)
+    kept = minhash.COMBINATIONS - minhash.SHARED + 1
+    for k in range(400):
+        size = int(rng.choice((20, 90, 400)))
+        a = rng.integers(0, 1 << 63, size, np.int64).astype(np.uint64)
+        b = np.concatenate((a[size // 9 :], rng.integers(0, 1 << 63, size // 9, np.int64).astype(np.uint64)))  # 0.80
+        names = [minhash.combinations_of(minhash.signature(x)) for x in (a, b)]
+        assert len(names[0]) == minhash.COMBINATIONS and (names[0] == names[1]).sum() >= minhash.SHARED
+        first = [set(x[np.lexsort((x, counts[ngram_join._counter(x)]))[:kept]].tolist()) for x in names]
+        assert first[0] & first[1]
