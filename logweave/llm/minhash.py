@@ -277,7 +277,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A pair at exactly 0.80 agrees in 102 coordinates of 128 on average and in fewer than 77 with odds of 1 in 10**7;
     at 0.85 they are 1 in 10**12. It agrees in 21 combinations of 42 on average and in fewer than 4 with odds of 1 in
-    10**8, at 0.85 of 1 in 10**12. Every link is exact, and a component is whole unless a link that nothing
+    10**9, at 0.85 of 1 in 10**12. Every link is exact, and a component is whole unless a link that nothing
     else bridges is missed by these odds. As in ngram_jaccard_components, lists that may be long are dealt over tasks
     and neither copies nor families of near copies meet in all pairs.
 

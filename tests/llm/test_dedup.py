@@ -347,3 +347,22 @@ def test_stretches_go_on_from_one_occurrence_to_the_next():
     batch = pa.RecordBatch.from_arrays([pa.array([3] * len(n), pa.int64()), pa.array([5] * len(n), pa.int64()), windows, shared], names=["row", "doc_id", "windows", "shared"])
     rows = [r for b in substring._placed(iter([batch])) for r in b.to_pylist()]
     assert len(n) > 1 and [(r["row"], r["n"], r["start"], r["end"], r["lo"]) for r in rows] == [(3, 39, 0, len(text), 8)]
+
+
+def test_sets_of_left_out_pairs_are_named():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    rows, bits = [], []
+    for unit in range(12):
+        base = [rng.getrandbits(64) for _ in range(100)]
+        for _ in range(2 if unit % 2 else 9):  # two sets of a unit leave nothing out
+            bits.append(ngram_join.bitmap(np.array(sorted([*base[: rng.randint(90, 99)], rng.getrandbits(64)]), np.uint64)))
+            rows.append((unit, 6, -1, len(rows), 100, len(rows)))
+    columns = [pa.array([r[k] for r in rows]) for k in range(6)] + [pa.array(bits, pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["unit", "level", "side", "node", "n", "label", "bits"])
+    every, best = ([p for out in ngram_join._compare(ngram_join.NgramJoin(), k)(iter([batch])) for p in out.to_pylist()] for k in (None, 1))
+    left = {(p["a"], p["b"]) for p in every} - {(p["a"], p["b"]) for p in best if p["a"] is not None}
+    assert left and all(p["open"] is None for p in every)
+    assert {p["open"] for p in best if p["a"] is None} == {x for pair in left for x in pair}
+    assert all(rows[x][0] % 2 == 0 for pair in left for x in pair)
